@@ -9,17 +9,16 @@ from pyspark.sql import functions as F
 
 from .arrays import let
 
-# The code points a Unicode-aware whitespace split treats as separators.
+# The code points a Unicode-aware whitespace split treats as separators,
+# first as Java character class body, then as the characters themselves.
+WS_CLASS = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004"
+    "\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
-# The same set as a Java character class body.
-WS_CLASS = r"\s\x1c-\x1f\x85\xa0  -     　"
 
 # Fixed value: the word-start marker of subword vocabularies.
-WORD_START = "▁"
+WORD_START = "\u2581"
 
 
 def strip(col: Column) -> Column:
