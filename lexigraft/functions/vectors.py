@@ -50,22 +50,63 @@ def _mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
-def gaussian(key: Column, dim: int, scale: float, seed: int) -> Column:
-    """Standard normal vector times ``scale``, a pure function of (seed, key, dim).
+def normals(base: np.ndarray, lane: np.ndarray) -> np.ndarray:
+    """Box-Muller normals from a hash per row and a constant per dimension."""
+    with np.errstate(over="ignore"):
+        a = _mix(base + lane)
+        b = _mix(a ^ np.uint64(0xD1B54A32D192ED03))
+    u1 = ((a >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    u2 = (b >> np.uint64(11)).astype(np.float64) / 2.0**53
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
+
+
+def gaussian(key: Column, dim: int, seed: int) -> Column:
+    """Standard normal vector, a pure function of (seed, key, dim).
 
     The key is hashed on the JVM; the task only turns 64-bit hashes into normals.
     """
 
     @F.pandas_udf("array<double>")
     def draw(hashes: pd.Series) -> pd.Series:
-        base = hashes.to_numpy().astype(np.int64).view(np.uint64)[:, None]
         lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        with np.errstate(over="ignore"):
-            a = _mix(base + lane)
-            b = _mix(a ^ np.uint64(0xD1B54A32D192ED03))
-        u1 = ((a >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
-        u2 = (b >> np.uint64(11)).astype(np.float64) / 2.0**53
-        z = np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2) * scale
-        return pd.Series(list(z))
+        base = hashes.to_numpy().astype(np.int64).view(np.uint64)[:, None]
+        return pd.Series(list(normals(base, lane)), index=hashes.index)
 
     return draw(F.xxhash64(F.lit(seed), key))
+
+
+def gaussian_ngram_mean(ngrams: Column, dim: int, scale: float, seed: int) -> Column:
+    """Mean of the Gaussian vectors of an n-gram array, without joining a vector table.
+
+    Every n-gram vector is a pure function of (seed, n-gram, dim), so drawing it where
+    it is needed replaces a shuffle of vectors. Null or empty input gives null.
+    """
+
+    @F.pandas_udf("array<double>")
+    def mean(hashes: pd.Series) -> pd.Series:
+        lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+
+        def one(keys) -> np.ndarray | None:
+            if keys is None or len(keys) == 0:
+                return None
+            base = np.asarray(keys, dtype=np.int64).view(np.uint64)[:, None]
+            return normals(base, lane).mean(axis=0) * scale
+
+        return hashes.map(one)
+
+    return mean(F.transform(ngrams, lambda g: F.xxhash64(F.lit(seed), g)))
+
+
+def apply_matrix(vec: Column, matrix: np.ndarray) -> Column:
+    """``matrix @ vec`` per row in Arrow batches; null vectors stay null."""
+
+    @F.pandas_udf("array<double>")
+    def multiply(batch: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
+        known = batch.notna()
+        if known.any():
+            rows = np.stack(batch[known].to_numpy()).astype(np.float64)
+            out[known] = list(rows @ matrix.T)
+        return out
+
+    return multiply(vec)
