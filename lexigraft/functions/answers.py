@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import let
 from .text import strip, tokens
@@ -90,14 +91,20 @@ def exact_match(prediction: Column, gold: Column) -> Column:
     return (strip(prediction) == strip(gold)).cast("double")
 
 
-@F.pandas_udf("array<struct<start:int,end:int>>")
-def token_offsets(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Code-point offsets of the whitespace tokens of each text."""
+def token_offsets(text: Column) -> Column:
+    """``array<struct<start,end>>``: code-point offsets of the whitespace tokens of a text."""
     word = re.compile(r"\S+")
-    for texts in batches:
-        yield texts.map(
-            lambda s: [{"start": m.start(), "end": m.end()} for m in word.finditer(s or "")]
-        )
+
+    @F.pandas_udf(T.ArrayType(T.IntegerType()))
+    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda s: [m.start() for m in word.finditer(s or "")])
+
+    return F.zip_with(
+        starts(text),
+        tokens(text),
+        lambda at, t: F.struct(at.alias("start"), (at + F.length(t)).alias("end")),
+    )
 
 
 def window_starts(n: Column, capacity: Column, stride: int) -> Column:

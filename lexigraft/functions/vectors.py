@@ -6,9 +6,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .arrays import positions
 
+DOUBLES = T.ArrayType(T.DoubleType())
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(
@@ -66,7 +69,7 @@ def gaussian(key: Column, dim: int, seed: int) -> Column:
     The key is hashed on the JVM; the task only turns 64-bit hashes into normals.
     """
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def draw(hashes: pd.Series) -> pd.Series:
         lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
         base = hashes.to_numpy().astype(np.int64).view(np.uint64)[:, None]
@@ -82,7 +85,7 @@ def gaussian_ngram_mean(ngrams: Column, dim: int, scale: float, seed: int) -> Co
     it is needed replaces a shuffle of vectors. Null or empty input gives null.
     """
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def mean(hashes: pd.Series) -> pd.Series:
         lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,7 +103,7 @@ def gaussian_ngram_mean(ngrams: Column, dim: int, scale: float, seed: int) -> Co
 def apply_matrix(vec: Column, matrix: np.ndarray) -> Column:
     """``matrix @ vec`` per row in Arrow batches; null vectors stay null."""
 
-    @F.pandas_udf("array<double>")
+    @F.pandas_udf(DOUBLES)
     def multiply(batch: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
         known = batch.notna()
