@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import run_name, short_hash
@@ -328,6 +328,11 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
             F.lit("| "), "label", F.lit(" | "), "score", F.lit(" | "), F.col("seeds").cast("string"), F.lit(" | "), "fidelity", F.lit(" |")
         ).alias("line"),
     )
+    env = (
+        runs.filter("provenance is not null")
+        .agg(F.min_by("provenance", "experiment").alias("p"))
+        .filter("p is not null")
+    )
     prov = provenance_summary(runs).filter("commit is not null").select(
         F.lit("3").alias("section"),
         F.posexplode(
@@ -340,16 +345,36 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
             )
         ).alias("ord", "line"),
     )
-    by_pair = Window.orderBy("language", "task")  # one row per (language, task) pair
+    first = env.select(
+        F.lit("3").alias("section"),
+        F.lit(5).alias("ord"),
+        F.concat(
+            F.lit("| Environment | python "),
+            F.coalesce("p.python", F.lit("?")),
+            F.array_join(
+                F.transform(F.map_entries("p.packages"), lambda e: F.concat(F.lit(", "), e["key"], F.lit(" "), e["value"])), ""
+            ),
+            F.lit(" |"),
+        ).alias("line"),
+    )
+    spaces = env.select(F.explode("p.vectors").alias("lang", "v")).select(
+        F.concat(F.lit("3|"), "lang").alias("section"),
+        F.lit(0).alias("ord"),
+        F.concat(
+            F.lit("| Vectors ("), "lang", F.lit(") | dim "), F.col("v.dimension").cast("string"),
+            F.lit(", vocab "), F.format_number("v.vocab_size", 0),
+            F.lit(", sha256 `"), short_hash(F.col("v.sha256")), F.lit("` |"),
+        ).alias("line"),
+    )
     data = dataset_status(runs).select(
-        F.lit("4").alias("section"),
-        F.row_number().over(by_pair).alias("ord"),
+        F.concat(F.lit("4|"), "language", F.lit("|"), "task").alias("section"),
+        F.lit(0).alias("ord"),
         F.concat(F.lit("| Dataset ("), "language", F.lit(" "), F.upper("task"), F.lit(") | "), "detail", F.lit(" |")).alias("line"),
     )
-    by_warning = Window.orderBy("warning", "detail")
     warn = warnings(runs).select(
-        F.lit("5").alias("section"),
-        F.row_number().over(by_warning).alias("ord"),
+        F.concat(F.lit("5|"), "warning", F.lit("|"), "detail").alias("section"),
+        F.lit(0).alias("ord"),
         F.concat(F.lit("> **"), "warning", F.lit("** "), "detail").alias("line"),
     )
-    return reduce(DataFrame.unionByName, [head, marks, notice, titles, body, prov, data, warn])
+    parts = [head, marks, notice, titles, body, prov, first, spaces, data, warn]
+    return reduce(DataFrame.unionByName, parts)
