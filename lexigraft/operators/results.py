@@ -179,8 +179,8 @@ def provenance_values(runs: DataFrame) -> DataFrame:
     with_p = runs.filter("provenance is not null")
     fields = F.array(
         F.struct(F.lit("commit").alias("field"), short_hash(F.col("provenance.commit")).alias("value")),
-        F.struct(F.lit("config"), short_hash(F.col("provenance.config_sha256"))),
-        F.struct(F.lit("seed"), F.col("seed").cast("string")),
+        F.struct(F.lit("config").alias("field"), short_hash(F.col("provenance.config_sha256")).alias("value")),
+        F.struct(F.lit("seed").alias("field"), F.col("seed").cast("string").alias("value")),
     )
     return (
         with_p.select(F.explode(fields).alias("x"))
@@ -241,7 +241,7 @@ def warnings(runs: DataFrame) -> DataFrame:
     )
     general = F.array(
         F.when(F.col("n") > 1, F.struct(F.lit("more_than_one_commit").alias("warning"), F.col("n").cast("string").alias("detail"))),
-        F.when(F.col("dirty"), F.struct(F.lit("uncommitted_changes"), F.lit(""))),
+        F.when(F.col("dirty"), F.struct(F.lit("uncommitted_changes").alias("warning"), F.lit("").alias("detail"))),
     )
     first = commits.select(F.explode(F.array_compact(general)).alias("w")).select("w.warning", "w.detail")
     bare = dataset_status(runs).filter("status = 'none'").select(
