@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import let
+from .arrays import let, once
 from .text import strip, tokens
 
 
@@ -101,7 +101,7 @@ def token_offsets(text: Column) -> Column:
             yield texts.map(lambda s: [m.start() for m in word.finditer(s or "")])
 
     return F.zip_with(
-        starts(text),
+        once(starts)(text),
         tokens(text),
         lambda at, t: F.struct(at.alias("start"), (at + F.length(t)).alias("end")),
     )

@@ -23,11 +23,11 @@ def positions(arr: Column) -> Column:
     return F.when(F.size(arr) > 0, F.sequence(F.lit(0), F.size(arr) - F.lit(1))).otherwise(empty)
 
 
-def is_sorted_below(arr: Column, test: Callable[[Column], Column]) -> Column:
-    """Number of leading elements passing ``test`` when the test is monotone along the array."""
-    return F.size(F.filter(arr, test))
-
-
 def md5_bucket(text: Column) -> Column:
     """First 28 bits of md5 as a bigint; any engine with md5 can reproduce it."""
     return F.conv(F.substring(F.md5(text), 1, 7), 16, 10).cast("bigint")
+
+
+def once(udf):
+    """Keep the optimizer from copying or moving a Python function: it then runs once per row."""
+    return udf.asNondeterministic()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -40,18 +41,17 @@ def text_lines(col: Column) -> Column:
 def digit_class() -> str:
     """Java character class body of all characters whose Unicode type is a digit.
 
-    This covers superscripts and Ethiopic digits, which ``\\d`` does not match.
+    Besides decimal digits these are superscripts, Ethiopic and circled digits and the
+    like, which neither ``\\d`` nor ``\\p{Nd}`` matches.
     """
     ranges: list[list[int]] = []
     for code in range(0x110000):
-        if chr(code).isdigit():
+        if chr(code).isdigit() and unicodedata.category(chr(code)) != "Nd":
             if ranges and ranges[-1][1] == code - 1:
                 ranges[-1][1] = code
             else:
                 ranges.append([code, code])
-    return "".join(
-        f"\\x{{{lo:X}}}" if lo == hi else f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges
-    )
+    return r"\p{Nd}" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges)
 
 
 def all_digits(col: Column) -> Column:

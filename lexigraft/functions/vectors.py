@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .arrays import positions
+from .arrays import once, positions
 
 DOUBLES = T.ArrayType(T.DoubleType())
 
@@ -75,11 +75,13 @@ def gaussian(key: Column, dim: int, seed: int) -> Column:
         base = hashes.to_numpy().astype(np.int64).view(np.uint64)[:, None]
         return pd.Series(list(normals(base, lane)), index=hashes.index)
 
-    return draw(F.xxhash64(F.lit(seed), key))
+    return once(draw)(F.xxhash64(F.lit(seed), key))
 
 
-def gaussian_ngram_mean(ngrams: Column, dim: int, scale: float, seed: int) -> Column:
-    """Mean of the Gaussian vectors of an n-gram array, without joining a vector table.
+def with_gaussian_ngram_mean(
+    df: DataFrame, ngrams: Column, name: str, dim: int, scale: float, seed: int
+) -> DataFrame:
+    """Add the mean of the Gaussian vectors of an n-gram array, without joining a vector table.
 
     Every n-gram vector is a pure function of (seed, n-gram, dim), so drawing it where
     it is needed replaces a shuffle of vectors. Null or empty input gives null.
@@ -97,7 +99,13 @@ def gaussian_ngram_mean(ngrams: Column, dim: int, scale: float, seed: int) -> Co
 
         return hashes.map(one)
 
-    return mean(F.transform(ngrams, lambda g: F.xxhash64(F.lit(seed), g)))
+    # the one-element explode keeps the lambda out of the Python function's argument
+    hashes = F.transform(ngrams, lambda g: F.xxhash64(F.lit(seed), g))
+    return (
+        df.select("*", F.explode(F.array(hashes)).alias("__hashes"))
+        .withColumn(name, once(mean)("__hashes"))
+        .drop("__hashes")
+    )
 
 
 def apply_matrix(vec: Column, matrix: np.ndarray) -> Column:
@@ -105,11 +113,13 @@ def apply_matrix(vec: Column, matrix: np.ndarray) -> Column:
 
     @F.pandas_udf(DOUBLES)
     def multiply(batch: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-        known = batch.notna()
-        if known.any():
-            rows = np.stack(batch[known].to_numpy()).astype(np.float64)
-            out[known] = list(rows @ matrix.T)
-        return out
-
-    return multiply(vec)
+        values = batch.to_numpy()
+        known = [i for i, v in enumerate(values) if v is not None]
+        out = np.full(len(values), None, dtype=object)
+        if known:
+            rows = np.stack(values[known]).astype(np.float64) @ matrix.T
+            for i, row in zip(known, rows):
+                out[i] = row
+        return pd.Series(out, index=batch.index)
+
+    return once(multiply)(vec)

@@ -103,6 +103,7 @@ def mean_vectors(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec") -
 
 def morpheme_means(segmented: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(token, n, vec): mean over the covered morphemes; tokens without one are absent."""
+    segmented = stable(segmented.select("token", "morphemes"))  # read by the sketch and the join
     probe = segmented.select("token", F.explode("morphemes").alias("word"))
     hits = lookup_join(probe, vectors, "word", "vec", spread_by="token")
     return mean_vectors(hits, ["token"], dim)
@@ -126,7 +127,7 @@ def ngram_means(
 
 def lexical_vectors(tokens: DataFrame, lexicon: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(token, vec, origin) from morphemes, else from the whole token, else null."""
-    seg = segment(tokens.select("token"), lexicon)
+    seg = segment(tokens.select("token"), stable(lexicon))  # looked up twice per token
     morph = morpheme_means(seg, vectors, dim).select("token", F.col("vec").alias("__m"))
     whole = vectors.select(F.col("word").alias("token"), F.col("vec").cast("array<double>").alias("__w"))
     return (
@@ -164,10 +165,10 @@ def initial_vectors(
     uncovered = F.col("origin") == "char_ngram"
     if ngram_vectors is None:
         grams = F.when(uncovered, char_ngrams(F.col("token"), n_min, n_max))
-        drawn = V.gaussian_ngram_mean(grams, dim, NGRAM_SCALE, seed)
         if matrix is not None:
             base = base.withColumn("vec", V.apply_matrix(F.col("vec"), matrix))
-        return base.select("token", "origin", F.coalesce("vec", drawn).alias("vec"))
+        drawn = V.with_gaussian_ngram_mean(base, grams, "__drawn", dim, NGRAM_SCALE, seed)
+        return drawn.select("token", "origin", F.coalesce("vec", "__drawn").alias("vec"))
     base = stable(base)
     rest = base.filter(uncovered)
     covered = base.filter(~uncovered)

@@ -14,14 +14,17 @@ def parse_lexicon(lines: DataFrame, order: list[Column]) -> DataFrame:
     ``order`` says which line of a word is later. Entries without morphemes never
     overwrite. Per word only the current best entry is kept, on the map side too.
     """
-    entry = (
-        lines.withColumn("__line", strip(F.col("value")))
-        .filter(lexicon_line_is_data(F.col("__line")))
-        .withColumn("__entry", lexicon_entry(F.col("__line")))
-        .filter((F.size("__entry.morphemes") > 0) & F.col("__entry.word").isNotNull())
+    entry = lines.filter(lexicon_line_is_data(strip(F.col("value")))).withColumn(
+        "__entry", lexicon_entry(strip(F.col("value")))
     )
-    return entry.groupBy(F.col("__entry.word").alias("word")).agg(
-        F.max_by(F.col("__entry.morphemes"), F.struct(*order)).alias("morphemes")
+    # validity is tested inside the aggregate: a filter on the parsed entry would be pushed
+    # below the parse and repeat it
+    counts = F.size("__entry.morphemes") > 0
+    best = F.max_by(F.when(counts, F.col("__entry.morphemes")), F.when(counts, F.struct(*order)))
+    return (
+        entry.groupBy(F.col("__entry.word").alias("word"))
+        .agg(best.alias("morphemes"))
+        .filter("morphemes is not null")
     )
 
 

@@ -128,19 +128,19 @@ def best_spans(
     best = features.withColumn(
         "__best",
         A.best_window_span(F.col("s_scores"), F.col("e_scores"), is_context, n_best, max_answer_len),
-    ).filter("__best is not null")
+    )
     candidate = best.select(
         key,
-        F.struct(
+        F.when(F.col("__best").isNotNull(), F.struct(
             F.col("__best.score").alias("score"),
             (-F.col("window")).alias("neg_window"),
             F.col("__best.neg_s_rank").alias("s"),
             F.col("__best.neg_e_rank").alias("e"),
             F.get("feature_offsets", F.col("__best.start"))["start"].alias("a_start"),
             F.get("feature_offsets", F.col("__best.end"))["end"].alias("a_end"),
-        ).alias("c"),
+        )).alias("c"),
     )
-    return candidate.groupBy(key).agg(F.max("c").alias("c")).select(
+    return candidate.groupBy(key).agg(F.max("c").alias("c")).filter("c is not null").select(
         key,
         F.col("c.score").alias("score"),
         (-F.col("c.neg_window")).alias("window"),

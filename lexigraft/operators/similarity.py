@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 _BLOCK_ROWS = 16384          # vectors per block on either side
 _BROADCAST_BYTES = 256 << 20  # checked size up to which the reference side is shipped whole
-_DECIMALS = 9
+_SCALE = 1e9                 # scores are compared at nine decimals
+_TASK_SCORES = 250_000_000   # dot products per task when queries are spread
 _NEIGHBOURS = "query_id bigint, ref_id bigint, score double"
 
 
@@ -19,36 +20,28 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
 
 
-def _block_top_k(queries: np.ndarray, refs: np.ndarray, ref_ids: np.ndarray, k: int):
-    """Exact k best references per query; ``ref_ids`` ascend, so ties resolve by smaller id.
+def _block_top_k(query_ids: np.ndarray, queries: np.ndarray, refs: np.ndarray, ref_ids: np.ndarray, k: int):
+    """Exact k best references per query as a frame; ``ref_ids`` ascend, so ties take the smaller id.
 
     Scores are rounded before ranking: equal vectors then tie whatever block and
-    summation order they met in, and the result does not depend on the layout.
+    summation order they met in, and the result does not depend on the layout. A rounded
+    score and the complement of the reference position share one integer, so a single
+    partial selection settles values and ties together.
     """
-    scores = np.round(queries @ refs.T, _DECIMALS)
-    k = min(k, scores.shape[1])
-    if k < scores.shape[1]:
-        kth = -np.partition(-scores, k - 1, axis=1)[:, k - 1]
-    else:
-        kth = scores.min(axis=1)
-    for i in range(len(scores)):
-        above = np.flatnonzero(scores[i] > kth[i])
-        tied = np.flatnonzero(scores[i] == kth[i])[: k - len(above)]
-        chosen = np.concatenate([above, tied])
-        yield i, ref_ids[chosen], scores[i, chosen]
-
-
-def _emit(query_ids: np.ndarray, queries: np.ndarray, refs: np.ndarray, ref_ids: np.ndarray, k: int):
-    ids, found, scores = [], [], []
-    for i, r, s in _block_top_k(queries, refs, ref_ids, k):
-        ids.append(np.full(len(r), query_ids[i]))
-        found.append(r)
-        scores.append(s)
+    k = min(k, len(ref_ids))
+    if k == 0 or len(query_ids) == 0:
+        return pd.DataFrame({"query_id": query_ids[:0], "ref_id": ref_ids[:0], "score": np.zeros(0)})
+    keys = np.rint((queries @ refs.T) * _SCALE).astype(np.int64)
+    keys <<= 32
+    keys += np.arange(len(ref_ids) - 1, -1, -1, dtype=np.int64)[None, :]
+    if k < len(ref_ids):
+        keys.partition(len(ref_ids) - k, axis=1)
+    best = keys[:, -k:].ravel()
     return pd.DataFrame(
         {
-            "query_id": np.concatenate(ids) if ids else np.array([], dtype=np.int64),
-            "ref_id": np.concatenate(found) if found else np.array([], dtype=np.int64),
-            "score": np.concatenate(scores) if scores else np.array([], dtype=np.float64),
+            "query_id": np.repeat(query_ids, k),
+            "ref_id": ref_ids[len(ref_ids) - 1 - (best & 0xFFFFFFFF)],
+            "score": (best >> 32) / _SCALE,
         }
     )
 
@@ -63,11 +56,14 @@ def top_k_similar(
     is finished where it lies. A larger one is cut into a grid: every (query block,
     reference block) pair is one bounded task that passes on k rows per query.
     """
-    n_refs = refs.count()
+    n_refs, n_queries = refs.count(), queries.count()
     if n_refs * dim * 8 <= broadcast_bytes:
-        local = _against_broadcast(queries, refs, k, dim)
+        # the work per query byte is large: partition by work, not by size
+        cores = queries.sparkSession.sparkContext.defaultParallelism
+        tasks = max(cores, -(-n_queries * n_refs // _TASK_SCORES))
+        local = _against_broadcast(queries.repartition(tasks, "query_id"), refs, k, dim)
     else:
-        local = _against_grid(queries, refs, n_refs, k)
+        local = _against_grid(queries, refs, n_queries, n_refs, k)
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")
     return local.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
@@ -84,13 +80,12 @@ def _against_broadcast(queries: DataFrame, refs: DataFrame, k: int, dim: int) ->
             for at in range(0, len(batch), step):
                 part = batch.iloc[at : at + step]
                 unit = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))
-                yield _emit(part["query_id"].to_numpy(), unit, rows, ref_ids, k)
+                yield _block_top_k(part["query_id"].to_numpy(), unit, rows, ref_ids, k)
 
     return queries.select("query_id", "vec").mapInPandas(score, _NEIGHBOURS)
 
 
-def _against_grid(queries: DataFrame, refs: DataFrame, n_refs: int, k: int) -> DataFrame:
-    n_queries = queries.count()
+def _against_grid(queries: DataFrame, refs: DataFrame, n_queries: int, n_refs: int, k: int) -> DataFrame:
     q_blocks = max(1, -(-n_queries // _BLOCK_ROWS))
     r_blocks = max(1, -(-n_refs // _BLOCK_ROWS))
     left = queries.select(
@@ -115,7 +110,7 @@ def _against_grid(queries: DataFrame, refs: DataFrame, n_refs: int, k: int) -> D
         for at in range(0, len(q), 512):
             part = q.iloc[at : at + 512]
             unit = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))
-            parts.append(_emit(part["query_id"].to_numpy(), unit, rows, r["id"].to_numpy(), k))
+            parts.append(_block_top_k(part["query_id"].to_numpy(), unit, rows, r["id"].to_numpy(), k))
         return pd.concat(parts, ignore_index=True)
 
     return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(score, _NEIGHBOURS)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import md5_bucket, positions
 from ..functions.text import run_name, tokens
 from ..operators import qa, vocab
-from ..session import spread
+from ..session import spread, stable
 from ..sources.text import corpus_lines
 
 DIM = 64        # fixed value: width of the embeddings table
@@ -44,8 +44,8 @@ def doc_words(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def words(spark: SparkSession, sf: str) -> DataFrame:
-    """(word, n) over all documents."""
-    return doc_words(spark, sf).groupBy("word").agg(F.count("*").alias("n"))
+    """(word, n) over all documents, written once: tokens, lexicon and vectors all start here."""
+    return stable(doc_words(spark, sf).groupBy("word").agg(F.count("*").alias("n")))
 
 
 def lines(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,9 +82,9 @@ def at_slot(rows: DataFrame, spark: SparkSession, sf: str, bucket: Column) -> Da
     return rows.withColumn("vec_id", bucket % F.lit(n)).join(emb, "vec_id").drop("vec_id")
 
 
-def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
+def word_vectors(all_words: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     """(word, vec): the auxiliary space; about one word in ten is not covered."""
-    known = words(spark, sf).select("word").filter(h("c", F.col("word")) % 10 != 0)
+    known = all_words.select("word").filter(h("c", F.col("word")) % 10 != 0)
     return at_slot(known, spark, sf, h(F.col("word")))
 
 
@@ -119,7 +119,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
 
 # ---------------------------------------------------------------- lexicon
 
-def lexicon_lines(spark: SparkSession, sf: str) -> DataFrame:
+def lexicon_lines(all_words: DataFrame, spark: SparkSession, sf: str) -> DataFrame:
     """(line_no, value): every row shape, comments, markers, headers and later duplicates."""
     w = F.col("word")
     n = (h("n", w) % 1000).cast("string")
@@ -138,8 +138,7 @@ def lexicon_lines(spark: SparkSession, sf: str) -> DataFrame:
     row = lambda k, v: F.struct(k.alias("line_no"), v.alias("value"))
     later = F.when(h("d", w) % 20 == 0, row(at + 5, F.concat(w, sp, root, sp, suf)))
     entries = (
-        words(spark, sf)
-        .filter(F.length(w) >= 6)
+        all_words.filter(F.length(w) >= 6)
         .select(F.explode(F.array_compact(F.array(row(at, first), later))).alias("r"))
         .select("r.line_no", "r.value")
     )

@@ -81,8 +81,8 @@ CTES: dict[str, str] = {
     "stage": """select s.w, m.w is not null as has_m, v.slot,
           case when m.w is not null then 'morpheme' when v.w is not null then 'whole_token' else 'char_ngram' end as origin
         from words s left join (select distinct w from mhit) m on m.w = s.w left join wvec v on v.w = s.w""",
-    "gram": """select w, substr(b, i, n) as g from (select w, '<'||w||'>' as b, n, unnest(range(1, length(w)+4-n)) as i
-        from words, range(3,6) r(n))""",
+    "gram": """select w, substr(b, i, k) as g from (select w, '<'||w||'>' as b, k, unnest(range(1, length(w)+4-k)) as i
+        from words, range(3,6) r(k))""",
     "gramv": f"""select w, d, avg(x) as x from (select g.w, {h("'g'||g")} % {N} as slot
         from gram g join stage s on s.w = g.w where s.origin = 'char_ngram') join vecd on vec_id = slot group by w, d""",
     "initv": """select w, 'morpheme' as origin, d, x from mmean

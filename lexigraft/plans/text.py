@@ -10,7 +10,7 @@ from ..functions.tags import normalize_tag
 from ..functions.text import tokens
 from ..operators import lexicon, ner, vocab
 from ..operators.keys import dense_index
-from ..session import scratch_path
+from ..session import scratch_path, stable
 from ..sources import text as src
 from . import inputs as I
 from .registry import query
@@ -36,7 +36,7 @@ def _(spark, sf):
 
 @query("A3_lexicon_scan", sql("select word, array_to_string(morphemes,'+') as morphemes, len(morphemes)::bigint as n from lex"))
 def _(spark, sf):
-    lex = lexicon.parse_lexicon(I.lexicon_lines(spark, sf), [F.col("line_no")])
+    lex = lexicon.parse_lexicon(I.lexicon_lines(I.words(spark, sf), spark, sf), [F.col("line_no")])
     return lex.select("word", joined("morphemes", "+").alias("morphemes"), F.size("morphemes").cast("bigint").alias("n"))
 
 
@@ -91,7 +91,7 @@ def _(spark, sf):
 def _(spark, sf):
     line = X.strip(F.col("value"))
     return (
-        I.lexicon_lines(spark, sf)
+        I.lexicon_lines(I.words(spark, sf), spark, sf)
         .filter(X.lexicon_line_is_data(line))
         .withColumn("e", X.lexicon_entry(line))
         .filter("e.word is not null")
@@ -105,20 +105,22 @@ def _(spark, sf):
 )
 def _(spark, sf):
     line = X.strip(F.col("value"))
+    lines = I.lexicon_lines(I.words(spark, sf), spark, sf)
     entries = (
-        I.lexicon_lines(spark, sf).filter(X.lexicon_line_is_data(line)).withColumn("e", X.lexicon_entry(line))
+        lines.filter(X.lexicon_line_is_data(line)).withColumn("e", X.lexicon_entry(line))
         .filter("e.word is not null and size(e.morphemes) > 0")
         .groupBy("e.word").agg(F.count("*").alias("n_lines"))
     )
-    lex = lexicon.parse_lexicon(I.lexicon_lines(spark, sf), [F.col("line_no")])
+    lex = lexicon.parse_lexicon(lines, [F.col("line_no")])
     return lex.join(entries, "word").agg(
         F.count("*").alias("words"), F.sum("n_lines").alias("lines"), F.count_if(F.col("n_lines") > 1).alias("overwritten")
     )
 
 
 def segmented(spark, sf):
-    lex = lexicon.parse_lexicon(I.lexicon_lines(spark, sf), [F.col("line_no")])
-    return lexicon.segment(I.words(spark, sf).select(F.col("word").alias("token")), lex)
+    w = I.words(spark, sf)
+    lex = stable(lexicon.parse_lexicon(I.lexicon_lines(w, spark, sf), [F.col("line_no")]))
+    return lexicon.segment(w.select(F.col("word").alias("token")), lex)
 
 
 @query("B3_segment_lookup", sql("select w as token, array_to_string(morphemes,'+') as morphemes from seg"))
@@ -128,8 +130,9 @@ def _(spark, sf):
 
 @query("J1_lexicon_join_exact_then_lower", sql("select how, count(*) as n, sum(len(morphemes))::bigint as morphemes from seg group by how"))
 def _(spark, sf):
-    lex = lexicon.parse_lexicon(I.lexicon_lines(spark, sf), [F.col("line_no")])
-    seg = lexicon.segment(I.words(spark, sf).select(F.col("word").alias("token")), lex)
+    w = I.words(spark, sf)
+    lex = stable(lexicon.parse_lexicon(I.lexicon_lines(w, spark, sf), [F.col("line_no")]))
+    seg = lexicon.segment(w.select(F.col("word").alias("token")), lex)
     exact = seg.join(lex.select(F.col("word").alias("token"), F.lit(True).alias("hit")), "token", "left")
     how = F.when(F.col("hit"), "exact").when(F.size("morphemes") > 0, "lower").otherwise("none")
     return exact.groupBy(how.alias("how")).agg(F.count("*").alias("n"), F.sum(F.size("morphemes").cast("bigint")).alias("morphemes"))
@@ -250,12 +253,12 @@ def _(spark, sf):
 
 @query("C5_anchor_selection", sql("select a.id, a.token, a.w as surface from anchor a"))
 def _(spark, sf):
-    return vocab.anchors(I.old_vocab(spark, sf), I.word_vectors(spark, sf)).select("id", "token", "surface")
+    return vocab.anchors(I.old_vocab(spark, sf), I.word_vectors(I.words(spark, sf), spark, sf)).select("id", "token", "surface")
 
 
 @query("C6_minimum_anchor_guard", sql("select count(*) as anchors, true as enough from anchor"))
 def _(spark, sf):
-    rows = vocab.anchors(I.old_vocab(spark, sf).select("token"), I.word_vectors(spark, sf).select("word"))
+    rows = vocab.anchors(I.old_vocab(spark, sf).select("token"), I.word_vectors(I.words(spark, sf), spark, sf).select("word"))
     n = rows.agg(F.count("*").alias("anchors"))
     try:
         vocab.require_anchors(rows, minimum=50)
@@ -278,7 +281,7 @@ def _(spark, sf):
 
 @query("J4_vocabulary_join_vector_words", sql("select starts_with(a.token,'▁') as marked, count(*) as n from anchor a group by all"))
 def _(spark, sf):
-    rows = vocab.anchors(I.old_vocab(spark, sf).select("token"), I.word_vectors(spark, sf).select("word"))
+    rows = vocab.anchors(I.old_vocab(spark, sf).select("token"), I.word_vectors(I.words(spark, sf), spark, sf).select("word"))
     return rows.groupBy(F.startswith("token", F.lit(X.WORD_START)).alias("marked")).agg(F.count("*").alias("n"))
 
 

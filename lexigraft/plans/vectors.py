@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
@@ -28,20 +31,30 @@ def print_of(df, *keys):
     )
 
 
-def all_tokens(spark, sf):
-    return I.words(spark, sf).select(F.col("word").alias("token"))
+class Chain(NamedTuple):
+    """Inputs of the fallback chain, all derived from one written word table."""
+
+    words: DataFrame
+    tokens: DataFrame
+    lexicon: DataFrame
+    vectors: DataFrame
 
+    @classmethod
+    def of(cls, spark, sf):
+        w = I.words(spark, sf)
+        lex = parse_lexicon(I.lexicon_lines(w, spark, sf), [F.col("line_no")])
+        return cls(w, w.select(F.col("word").alias("token")), lex, I.word_vectors(w, spark, sf))
 
-def lexicon(spark, sf):
-    return parse_lexicon(I.lexicon_lines(spark, sf), [F.col("line_no")])
+    def segments(self):
+        return segment(self.tokens, stable(self.lexicon))
 
 
 def matrix(spark):
     return E.load_matrix(I.matrix_rows(spark), DIM)
 
 
-def ngram_vectors(spark, sf):
-    grams = I.words(spark, sf).select(F.explode(char_ngrams(F.col("word"))).alias("ngram"))
+def ngram_vectors(words, spark, sf):
+    grams = words.select(F.explode(char_ngrams(F.col("word"))).alias("ngram"))
     return I.ngram_table(grams, spark, sf)
 
 
@@ -60,7 +73,8 @@ def _(spark, sf):
 
 @query("D1_vector_lookup", sql(f"select w.w as token, {fingerprint()} from words w left join wvec v on v.w = w.w left join vecd on vec_id = v.slot group by w.w"))
 def _(spark, sf):
-    return print_of(E.whole_token_vectors(all_tokens(spark, sf), I.word_vectors(spark, sf)), "token")
+    c = Chain.of(spark, sf)
+    return print_of(E.whole_token_vectors(c.tokens, c.vectors), "token")
 
 
 @query(
@@ -74,14 +88,14 @@ def _(spark, sf):
 
 @query("D3_morpheme_average", sql(f"select w as token, {fingerprint()} from mmean group by w"))
 def _(spark, sf):
-    seg = segment(all_tokens(spark, sf), lexicon(spark, sf))
-    return print_of(E.morpheme_means(seg, I.word_vectors(spark, sf), DIM), "token")
+    c = Chain.of(spark, sf)
+    return print_of(E.morpheme_means(c.segments(), c.vectors, DIM), "token")
 
 
 @query("J2_morpheme_vector_join", sql("select w as token, count(*) as hits from mhit group by w"))
 def _(spark, sf):
-    seg = segment(all_tokens(spark, sf), lexicon(spark, sf))
-    return E.morpheme_means(seg, I.word_vectors(spark, sf), DIM).select("token", F.col("n").alias("hits"))
+    c = Chain.of(spark, sf)
+    return E.morpheme_means(c.segments(), c.vectors, DIM).select("token", F.col("n").alias("hits"))
 
 
 @query(
@@ -89,7 +103,8 @@ def _(spark, sf):
     sql(f"select w as token, origin, {fingerprint()} from initv where origin <> 'char_ngram' group by w, origin"),
 )
 def _(spark, sf):
-    rows = E.lexical_vectors(all_tokens(spark, sf), lexicon(spark, sf), I.word_vectors(spark, sf), DIM)
+    c = Chain.of(spark, sf)
+    rows = E.lexical_vectors(c.tokens, c.lexicon, c.vectors, DIM)
     return print_of(rows.filter("vec is not null"), "token", "origin")
 
 
@@ -99,7 +114,9 @@ def _(spark, sf):
         join vecd on vec_id = slot group by w, d) group by w"""),
 )
 def _(spark, sf):
-    return print_of(E.ngram_means(all_tokens(spark, sf), ngram_vectors(spark, sf), DIM), "token")
+    w = I.words(spark, sf)
+    tokens = w.select(F.col("word").alias("token"))
+    return print_of(E.ngram_means(tokens, ngram_vectors(w, spark, sf), DIM), "token")
 
 
 @query(
@@ -108,8 +125,10 @@ def _(spark, sf):
 )
 def _(spark, sf):
     grams = char_ngrams(F.col("word"))
-    draw = lambda name: V.gaussian_ngram_mean(grams, DIM, E.NGRAM_SCALE, I.SEED).alias(name)
-    rows = I.words(spark, sf).select(F.size(grams).alias("k"), draw("a"), draw("b")).filter("a is not null")
+    rows = I.words(spark, sf).select("word", F.size(grams).alias("k"))
+    for name in ("a", "b"):
+        rows = V.with_gaussian_ngram_mean(rows, grams, name, DIM, E.NGRAM_SCALE, I.SEED)
+    rows = rows.filter("a is not null")
     # the mean of k vectors has standard deviation 0.02 / sqrt(k) unless n-grams repeat
     cells = rows.select(
         F.col("a").eqNullSafe(F.col("b")).alias("same"),
@@ -129,9 +148,9 @@ def _(spark, sf):
 
 @query("D6_fallback_chain", sql(f"select w as token, origin, {fingerprint()} from initv group by w, origin"))
 def _(spark, sf):
-    rows = E.initial_vectors(
-        all_tokens(spark, sf), lexicon(spark, sf), I.word_vectors(spark, sf), DIM, ngram_vectors=ngram_vectors(spark, sf)
-    )
+    c = Chain.of(spark, sf)
+    grams = ngram_vectors(c.words, spark, sf)
+    rows = E.initial_vectors(c.tokens, c.lexicon, c.vectors, DIM, ngram_vectors=grams)
     return print_of(rows, "token", "origin")
 
 
@@ -143,7 +162,8 @@ def _(spark, sf):
         union all select w, origin, null, null from stage where origin = 'char_ngram'"""),
 )
 def _(spark, sf):
-    rows = E.initial_vectors(all_tokens(spark, sf), lexicon(spark, sf), I.word_vectors(spark, sf), DIM, matrix(spark))
+    c = Chain.of(spark, sf)
+    rows = E.initial_vectors(c.tokens, c.lexicon, c.vectors, DIM, matrix(spark))
     v, drawn = F.col("vec"), F.col("origin") == "char_ngram"  # drawn vectors have no SQL form
     return rows.select(
         "token", "origin",
@@ -153,7 +173,8 @@ def _(spark, sf):
 
 @query("C7_lexicon_coverage", sql("select origin, count(*) as n from stage group by origin"))
 def _(spark, sf):
-    rows = E.lexical_vectors(all_tokens(spark, sf), lexicon(spark, sf), I.word_vectors(spark, sf), DIM)
+    c = Chain.of(spark, sf)
+    rows = E.lexical_vectors(c.tokens, c.lexicon, c.vectors, DIM)
     return rows.groupBy("origin").agg(F.count("*").alias("n"))
 
 
@@ -172,9 +193,9 @@ def resized_rows(old, new, spark, sf):
     )
 
 
-def _inputs(spark, sf, **kw):
+def _inputs(spark, sf, vectors=None, **kw):
     old, new = _vocab_and_new(spark, sf)
-    vectors = I.word_vectors(spark, sf)
+    vectors = vectors or I.word_vectors(I.words(spark, sf), spark, sf)
     aux = similarity.normalise(old.select("id", "word").join(vectors, "word").select("id", "vec"))
     return E.InitInputs(
         tokens=new, old_rows=I.model_rows(old, spark, sf), current_rows=resized_rows(old, new, spark, sf),
@@ -299,7 +320,8 @@ def _(spark, sf):
         union all select 'lexical', count(*), null, null from fresh union all select 'random', count(*), null, null from fresh"""),
 )
 def _(spark, sf):
-    x = _inputs(spark, sf, lexicon=lexicon(spark, sf), matrix=I.matrix_rows(spark))
+    c = Chain.of(spark, sf)
+    x = _inputs(spark, sf, c.vectors, lexicon=c.lexicon, matrix=I.matrix_rows(spark))
     rows = E.compare_initializers(["default", "random", "focus", "lexical"], x)
     start = x.current_rows.select("id", F.col("vec").alias("start"))
     per_row = rows.join(start, "id").select(
@@ -317,7 +339,7 @@ def _(spark, sf):
 
 def _anchor_pairs(spark, sf):
     old = stable(I.old_vocab(spark, sf))
-    found = vocab.anchors(old, I.word_vectors(spark, sf)).select("id", F.col("vec").alias("x"))
+    found = vocab.anchors(old, I.word_vectors(I.words(spark, sf), spark, sf)).select("id", F.col("vec").alias("x"))
     return found.join(I.model_rows(old, spark, sf).withColumnRenamed("vec", "y"), "id").select("id", "x", "y")
 
 
@@ -359,7 +381,7 @@ def _(spark, sf):
 def _(spark, sf):
     pairs = stable(_anchor_pairs(spark, sf))
     w = alignment.procrustes(pairs, DIM, DIM)
-    rec = alignment.alignment_record(pairs, w, I.OLD_LANG, I.word_vectors(spark, sf).select("word"))
+    rec = alignment.alignment_record(pairs, w, I.OLD_LANG, I.word_vectors(I.words(spark, sf), spark, sf).select("word"))
     return rec.select(
         "language", "anchor_tokens", "vector_dimension", "model_dimension", "vector_vocab_size",
         (F.col("residual_frobenius") <= F.col("unaligned_frobenius")).alias("aligned"),
@@ -414,7 +436,7 @@ def _(spark, sf):
 def _(spark, sf):
     # equal words are counted first, so a frequent word is looked up once per language
     counted = I.doc_words(spark, sf).groupBy("lang", "word").agg(F.count("*").alias("c"))
-    rows = E.lookup_join(counted, I.word_vectors(spark, sf), "word", "vec", spread_by="lang")
+    rows = E.lookup_join(counted, I.word_vectors(I.words(spark, sf), spark, sf), "word", "vec", spread_by="lang")
     sums = E.sum_vectors(rows, ["lang"], DIM, weight=F.col("c"))
     total = rows.groupBy("lang").agg(F.sum("c").alias("c"))
     mean = sums.join(total, "lang").select("lang", F.transform("sums", lambda s: s / F.col("c")).alias("vec"))
