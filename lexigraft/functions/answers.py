@@ -109,11 +109,15 @@ def token_offsets(text: Column) -> Column:
 
 def window_starts(n: Column, capacity: Column, stride: int) -> Column:
     """Start positions of overlapping windows; none begins after one reached the end."""
-    step = capacity - F.lit(stride)
-    count = F.when(n <= capacity, F.lit(1)).otherwise(
-        F.lit(1) + F.ceil((n - capacity) / step).cast("int")
-    )
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda k: k * step)
+
+    def starts(x: Column) -> Column:
+        step = x["capacity"] - F.lit(stride)
+        count = F.when(x["n"] <= x["capacity"], F.lit(1)).otherwise(
+            F.lit(1) + F.ceil((x["n"] - x["capacity"]) / step).cast("int")
+        )
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: k * step)
+
+    return let(F.struct(n.alias("n"), capacity.alias("capacity")), starts)
 
 
 def window_label(offsets: Column, start_char: Column, end_char: Column, shift: Column) -> Column:
@@ -154,17 +158,19 @@ def best_window_span(
     """
 
     def pick(best: Column) -> Column:
+        in_context = best["c"]
+
         def for_start(s: Column, rank: Column) -> Column:
             fits = F.filter(
                 F.transform(best["e"], lambda e, r: F.struct(e["score"], e["pos"], r.alias("rank"))),
                 lambda e: (e["pos"] >= s["pos"])
                 & (e["pos"] - s["pos"] + 1 <= max_len)
-                & F.coalesce(F.get(is_context, e["pos"]), F.lit(False)),
+                & F.coalesce(F.get(in_context, e["pos"]), F.lit(False)),
             )
             return let(
                 F.get(fits, F.lit(0)),
                 lambda e: F.when(
-                    F.coalesce(F.get(is_context, s["pos"]), F.lit(False)) & e.isNotNull(),
+                    F.coalesce(F.get(in_context, s["pos"]), F.lit(False)) & e.isNotNull(),
                     F.struct(
                         (s["score"] + e["score"]).alias("score"),
                         (-rank).alias("neg_s_rank"),
@@ -177,4 +183,5 @@ def best_window_span(
 
         return F.array_max(F.transform(best["s"], for_start))
 
-    return let(F.struct(n_best(starts, n).alias("s"), n_best(ends, n).alias("e")), pick)
+    ranked = F.struct(n_best(starts, n).alias("s"), n_best(ends, n).alias("e"), is_context.alias("c"))
+    return let(ranked, pick)

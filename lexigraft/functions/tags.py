@@ -37,10 +37,12 @@ def entity_spans(tags: Column) -> Column:
     runs to the next boundary, so one pass over the boundaries yields all spans.
     """
 
-    def with_types(types: Column) -> Column:
+    def of_sentence(x: Column) -> Column:
+        tag, types = x["tags"], x["types"]
+
         def continues(i: Column) -> Column:
             same = F.get(types, i - F.lit(1)) == F.get(types, i)
-            return F.startswith(F.get(tags, i), F.lit("I-")) & (i > 0) & F.coalesce(same, F.lit(False))
+            return F.startswith(F.get(tag, i), F.lit("I-")) & (i > 0) & F.coalesce(same, F.lit(False))
 
         def from_bounds(bounds: Column) -> Column:
             spans = F.transform(
@@ -55,7 +57,9 @@ def entity_spans(tags: Column) -> Column:
 
         return let(F.filter(positions(types), lambda i: ~continues(i)), from_bounds)
 
-    return let(F.transform(tags, tag_type), with_types)
+    return let(
+        tags, lambda t: let(F.struct(t.alias("tags"), F.transform(t, tag_type).alias("types")), of_sentence)
+    )
 
 
 def span_keys(spans: Column) -> Column:

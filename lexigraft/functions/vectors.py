@@ -91,13 +91,18 @@ def with_gaussian_ngram_mean(
     def mean(hashes: pd.Series) -> pd.Series:
         lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
-        def one(keys) -> np.ndarray | None:
-            if keys is None or len(keys) == 0:
-                return None
-            base = np.asarray(keys, dtype=np.int64).view(np.uint64)[:, None]
-            return normals(base, lane).mean(axis=0) * scale
-
-        return hashes.map(one)
+        keys = [np.asarray(k, dtype=np.int64) if k is not None else None for k in hashes]
+        filled = [i for i, k in enumerate(keys) if k is not None and len(k)]
+        out = np.full(len(keys), None, dtype=object)
+        for at in range(0, len(filled), 1024):  # bounds the n-gram rows held at once
+            part = filled[at : at + 1024]
+            sizes = np.array([len(keys[i]) for i in part])
+            base = np.concatenate([keys[i] for i in part]).view(np.uint64)[:, None]
+            ends = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sums = np.add.reduceat(normals(base, lane), ends, axis=0)
+            for i, row in zip(part, sums * (scale / sizes[:, None])):
+                out[i] = row
+        return pd.Series(out, index=hashes.index)
 
     # the one-element explode keeps the lambda out of the Python function's argument
     hashes = F.transform(ngrams, lambda g: F.xxhash64(F.lit(seed), g))

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrays import md5_bucket, positions
+from ..functions.arrays import md5_bucket
 from ..functions.text import tokens
 from .keys import lookup_join, seeded_rank
 
@@ -89,8 +89,7 @@ def masked_copy(
     def draw(name: str, i: Column) -> Column:
         return md5_bucket(F.concat_ws("-", F.lit(name), row_key, i.cast("string"))) % 10000
 
-    def cell(i: Column) -> Column:
-        current = F.get("ids", i)
+    def cell(current: Column, i: Column) -> Column:
         chosen = (current >= special_below) & (draw("pick", i) < int(probability * 10000))
         fate = draw("fate", i)
         token = (
@@ -104,7 +103,7 @@ def masked_copy(
         )
 
     return (
-        encoded.withColumn("__cells", F.transform(positions(F.col("ids")), cell))
+        encoded.withColumn("__cells", F.transform("ids", cell))
         .withColumn("input_ids", F.transform("__cells", lambda c: c["token"]))
         .withColumn("labels", F.transform("__cells", lambda c: c["label"]))
         .drop("__cells")

@@ -73,12 +73,15 @@ def first_piece_labels(word_ids: Column, label_ids: Column) -> Column:
 
     ``word_ids`` is null for special pieces. Both arrays are already truncated together.
     """
-    def label(word: Column, i: Column) -> Column:
-        previous = F.get(word_ids, i - F.lit(1))
-        opens = word.isNotNull() & ((i == 0) | ~word.eqNullSafe(previous))
-        return F.when(opens, F.get(label_ids, word)).otherwise(F.lit(IGNORED))
+    def of_sentence(x: Column) -> Column:
+        def label(word: Column, i: Column) -> Column:
+            previous = F.get(x["words"], i - F.lit(1))
+            opens = word.isNotNull() & ((i == 0) | ~word.eqNullSafe(previous))
+            return F.when(opens, F.get(x["labels"], word)).otherwise(F.lit(IGNORED))
 
-    return F.transform(word_ids, label)
+        return F.transform(x["words"], label)
+
+    return let(F.struct(word_ids.alias("words"), label_ids.alias("labels")), of_sentence)
 
 
 def piece_word_ids(words: Column, width: int, max_length: int) -> Column:

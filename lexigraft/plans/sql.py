@@ -22,7 +22,7 @@ def words_of(expr: str) -> str:
 
 def fingerprint(x: str = "x", d: str = "d") -> str:
     return (
-        f"round(sum({x}),6) as v_sum, round(sum({x}*({d}+1)),5) as v_wsum, "
+        f"round(sum({x}),6) + 0.0::double as v_sum, round(sum({x}*({d}+1)),5) + 0.0::double as v_wsum, "
         f"round(sqrt(sum({x}*{x})),6) as v_norm"
     )
 

@@ -25,8 +25,8 @@ def print_of(df, *keys):
     v = F.col("vec")
     return df.select(
         *keys,
-        F.round(V.total(v), 6).alias("v_sum"),
-        F.round(V.weighted_total(v), 5).alias("v_wsum"),
+        (F.round(V.total(v), 6) + F.lit(0.0)).alias("v_sum"),  # + 0.0 turns -0.0 into 0.0
+        (F.round(V.weighted_total(v), 5) + F.lit(0.0)).alias("v_wsum"),
         F.round(V.norm(v), 6).alias("v_norm"),
     )
 
@@ -156,7 +156,7 @@ def _(spark, sf):
 
 @query(
     "D6_fallback_chain_projected",
-    sql("""select w as token, origin, round(sum(x*cs), 5) as v_sum, round(sum(x*cw), 4) as v_wsum from initv
+    sql("""select w as token, origin, round(sum(x*cs), 5) + 0.0::double as v_sum, round(sum(x*cw), 4) + 0.0::double as v_wsum from initv
         join (select j, sum(x) as cs, sum(x*(i+1)) as cw from wmat group by j) on j = d
         where origin <> 'char_ngram' group by w, origin
         union all select w, origin, null, null from stage where origin = 'char_ngram'"""),
@@ -167,7 +167,8 @@ def _(spark, sf):
     v, drawn = F.col("vec"), F.col("origin") == "char_ngram"  # drawn vectors have no SQL form
     return rows.select(
         "token", "origin",
-        F.when(~drawn, F.round(V.total(v), 5)).alias("v_sum"), F.when(~drawn, F.round(V.weighted_total(v), 4)).alias("v_wsum"),
+        F.when(~drawn, F.round(V.total(v), 5) + F.lit(0.0)).alias("v_sum"),
+        F.when(~drawn, F.round(V.weighted_total(v), 4) + F.lit(0.0)).alias("v_wsum"),
     )
 
 
