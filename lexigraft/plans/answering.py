@@ -136,24 +136,6 @@ def _(spark, sf):
     return rows.select("id", F.array_join(squad.gold_texts(F.col("answers")), "|").alias("golds"))
 
 
-@query("Q1_benchmark_in_documents", sql("select b.item_id, d.doc_id, strpos(d.text, b.text) - 1 as answer_start from documents d join benchmark b on contains(d.text, b.text)"))
-def _(spark, sf):
-    # a passage can only lie in a document that holds its rarest word: join on that word first
-    bench = I.table(spark, sf, "benchmark").select("item_id", F.col("text").alias("answer"))
-    docs = I.documents(spark, sf, "text")
-    doc_words = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("word"))
-    inner = F.slice(tokens(F.col("answer")), 2, F.greatest(F.size(tokens(F.col("answer"))) - 2, F.lit(1)))
-    item_words = bench.select("item_id", F.explode(F.array_distinct(inner)).alias("word"))
-    df = doc_words.join(item_words.select("word").distinct(), "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    key = item_words.join(df, "word").groupBy("item_id").agg(F.min_by("word", F.struct("df", "word")).alias("word"))
-    pairs = doc_words.join(key, "word").select("doc_id", "item_id")
-    return (
-        pairs.join(docs, "doc_id").join(bench, "item_id")
-        .select("item_id", "doc_id", A.locate(F.col("text"), F.col("answer")).cast("bigint").alias("answer_start"))
-        .filter("answer_start >= 0")
-    )
-
-
 # ---------------------------------------------------------------- windows
 
 @query("Q5_context_windows", sql("select id, win as \"window\", ql::bigint as q_len, f::bigint as first, count(*) as n, min(s)::bigint as start_char, max(e)::bigint as end_char from wtok group by all"))

@@ -142,7 +142,7 @@ CTES: dict[str, str] = {
         where q.ss[i] <> '' and a.ss[i] <> '' and q.reply <> ''""",
     # windows
     "off": r"""select doc_id, pos, s, s + length(w) as e from (select doc_id, pos, w,
-          sum(length(w) + length(g)) over (partition by doc_id order by pos) - length(w) as s
+          cast(sum(length(w) + length(g)) over (partition by doc_id order by pos) - length(w) as bigint) as s
         from (select doc_id, unnest(ws) as w, unnest(gs[:len(ws)]) as g, unnest(range(len(ws))) as pos from
           (select doc_id, list_filter(string_split_regex(text,'\s+'), lambda x: x <> '') as ws, string_split_regex(text,'[^\s]+') as gs from documents)))""",
     "cap": f"""select id, doc_id, ql, 384 - 4 - ql as c, n, case when n <= 384 - 4 - ql then 1
@@ -151,10 +151,9 @@ CTES: dict[str, str] = {
     "win": """select id, doc_id, ql, c, w as win, w*(c-128) as f, least(c, n - w*(c-128)) as wl
         from (select *, unnest(range(k)) as w from cap)""",
     "wtok": "select w.id, w.doc_id, w.win, w.ql, w.f, o.pos - w.f as k, o.s, o.e from win w join off o on o.doc_id = w.doc_id and o.pos >= w.f and o.pos < w.f + w.wl",
-    "wlabel": """select t.id, t.win, t.ql, q.a_start as a0, q.a_start + length(q.a_text) as a1,
-          min(t.s) <= q.a_start and max(t.e) >= q.a_start + length(q.a_text) as inside,
-          max(case when t.s <= q.a_start then t.k end) as sk, min(case when t.e >= q.a_start + length(q.a_text) then t.k end) as ek
-        from wtok t join q on q.id = t.id group by all""",
+    "wlabel": """select id, win, ql, min(s) <= min(a0) and max(e) >= min(a1) as inside,
+          max(case when s <= a0 then k end) as sk, min(case when e >= a1 then k end) as ek
+        from (select t.*, q.a_start as a0, q.a_start + length(q.a_text) as a1 from wtok t join q on q.id = t.id) group by id, win, ql""",
     "score": f"""select id, doc_id, win, ql, wl, p,
           {h("'s'||"+s('doc_id')+"||'-'||"+s('win')+"||'-'||"+s('p'))} % 1000 / 10.0::double as ss,
           {h("'e'||"+s('doc_id')+"||'-'||"+s('win')+"||'-'||"+s('p'))} % 1000 / 10.0::double as es
