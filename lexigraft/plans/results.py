@@ -9,7 +9,7 @@ from ..session import scratch_path
 from ..sources import records
 from . import inputs as I
 from .registry import query
-from .sql import h, s, sql
+from .sql import sql
 
 SYSTEM_ROWS = ", ".join(
     f"({i}, '{row[0]}', {str(row[2]).lower()}, {str(row[3]).lower()}, "
@@ -142,8 +142,7 @@ def requests(spark, sf):
 
 @query(
     "R3_run_guards",
-    sql(f"""with req3 as (select event_id as run_id, system, ord, {h("'req'||" + s('event_id'))} % 12 as b from run)
-        select run_id, 'unknown_system' as rule from req3 where b = 0
+    sql("""select run_id, 'unknown_system' as rule from req3 where b = 0
         union all select run_id, 'missing_penalty' from req3 where b in (1, 3)
         union all select run_id, 'negative_penalty' from req3 where b = 2
         union all select run_id, 'missing_matrix' from req3 where b <> 0 and ord >= 3 and b % 2 = 1
@@ -241,13 +240,15 @@ def _(spark, sf):
     return R.vector_manifest(emb, 768)
 
 
-@query("D20_projection_status", sql("select experiment, system, has_proj as present, case when has_proj and supplied then 'W' end as source, case when has_proj then false end as is_identity, case when has_proj then false end as trainable from named"))
+@query("D20_projection_status", sql("select experiment, system, has_proj as present, case when has_proj and supplied then 'W' end as source, case when has_proj then 'false' else 'absent' end as is_identity, case when has_proj then 'false' else 'absent' end as trainable from named"))
 def _(spark, sf):
     from ..operators.alignment import is_identity
 
     runs = I.runs(spark, sf)
     one = is_identity(I.matrix_rows(spark))
-    return R.projection_status(runs.crossJoin(F.broadcast(one)), F.col("is_identity"))
+    status = R.projection_status(runs.crossJoin(F.broadcast(one)), F.col("is_identity"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("absent")).alias(c)
+    return status.select("experiment", "system", "present", "source", text("is_identity"), text("trainable"))
 
 
 _TITLE = "'## '||upper(language[1])||lower(language[2:])||' -- '||upper(task)"

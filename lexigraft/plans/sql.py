@@ -185,6 +185,7 @@ CTES: dict[str, str] = {
           user_id % 5 >= 3 as has_proj, {h("'a'||"+s('event_id'))} % 3 <> 0 as supplied, event_id % 10 <> 0 as has_prov,
           md5('commit'||(user_id % 3)) as commit, md5('cfg'||(event_id % 2)) as config, {h("'d'||"+s('event_id'))} % 97 = 0 as dirty,
           {h("'m'||"+s('event_id'))} % 4 as dm, event_id % 4 as unavailable from events""",
+    "req3": f"""select event_id as run_id, system, ord, {h("'req'||" + s('event_id'))} % 12 as b from run""",
     "named": "select *, system||'__'||task||'__'||language||'__seed'||seed as run_name, system||'__'||task||'__'||language||'__seed'||seed||'__run'||lpad(event_id::varchar, 12, '0') as experiment from run",
     "fid": """select language, task, system, case when count(*) filter (has_proj) = 0 then 'n/a -- no alignment matrix required'
           when bool_and(supplied) filter (has_proj) then 'author-supplied W' when bool_or(supplied) filter (has_proj) then '**MIXED -- some runs had no author-supplied W**'
