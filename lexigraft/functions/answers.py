@@ -127,7 +127,7 @@ def window_label(offsets: Column, start_char: Column, end_char: Column, shift: C
     ending at or after it follow from two counts.
     """
     inside = (F.get(offsets, F.lit(0))["start"] <= start_char) & (
-        F.element_at(offsets, -1)["end"] >= end_char
+        F.get(offsets, F.size(offsets) - 1)["end"] >= end_char
     )
     first = F.size(F.filter(offsets, lambda o: o["start"] <= start_char)) - 1
     last = F.size(F.filter(offsets, lambda o: o["end"] < end_char))

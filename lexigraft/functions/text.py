@@ -27,14 +27,32 @@ def strip(col: Column) -> Column:
     return F.btrim(col, F.lit(WHITESPACE))
 
 
+_NOT_SPACE = WHITESPACE.replace(" ", "")
+
+
+def plain_spaces(col: Column, keep: str = "") -> Column:
+    """Every whitespace character as a plain space, except those in ``keep``."""
+    chars = "".join(c for c in _NOT_SPACE if c not in keep)
+    return F.translate(col, chars, " " * len(chars))
+
+
 def tokens(col: Column) -> Column:
-    """Whitespace tokens; no lower-casing, no punctuation stripping."""
-    return F.array_remove(F.split(col, f"[{WS_CLASS}]+"), "")
+    """Whitespace tokens; no lower-casing, no punctuation stripping.
+
+    Splitting at one plain character needs no regular expression, which would be
+    compiled again for every row.
+    """
+    return F.array_remove(F.split(plain_spaces(col), " "), "")
 
 
 def text_lines(col: Column) -> Column:
     """Lines of a text held in one cell, with universal newlines."""
-    return F.split(F.regexp_replace(col, r"\r\n?", "\n"), "\n")
+    return F.split(unix_newlines(col), "\n")
+
+
+def unix_newlines(col: Column) -> Column:
+    has_cr = F.contains(col, F.lit("\r"))
+    return F.when(has_cr, F.regexp_replace(col, r"\r\n?", "\n")).otherwise(col)
 
 
 @lru_cache(maxsize=1)

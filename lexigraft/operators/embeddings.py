@@ -145,6 +145,25 @@ def lexical_vectors(tokens: DataFrame, lexicon: DataFrame, vectors: DataFrame, d
     )
 
 
+def origins(tokens: DataFrame, lexicon: DataFrame, vector_words: DataFrame) -> DataFrame:
+    """(token, origin) of the fallback chain from the covered words alone, without any vector."""
+    seg = stable(segment(tokens.select("token"), stable(lexicon)))
+    known = vector_words.select("word", F.lit(True).alias("known"))
+    probe = seg.select("token", F.explode("morphemes").alias("word"))
+    hits = lookup_join(probe, known, "word", "known", spread_by="token")
+    by_morpheme = hits.groupBy("token").agg(F.bool_or("known").alias("__m"))
+    whole = vector_words.select(F.col("word").alias("token"), F.lit(True).alias("__w"))
+    return (
+        tokens.select("token")
+        .join(by_morpheme, "token", "left")
+        .join(whole, "token", "left")
+        .select(
+            "token",
+            F.when(F.col("__m"), "morpheme").when(F.col("__w"), "whole_token").otherwise("char_ngram").alias("origin"),
+        )
+    )
+
+
 def initial_vectors(
     tokens: DataFrame,
     lexicon: DataFrame,

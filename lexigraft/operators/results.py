@@ -45,8 +45,8 @@ def systems(spark: SparkSession) -> DataFrame:
 def experiment_grid(system_rows: DataFrame, pairs: DataFrame, seeds: DataFrame) -> DataFrame:
     """Every (system, task, language, seed) cell with its name. All three inputs are small registries."""
     return (
-        pairs.join(F.broadcast(system_rows.select("system", "ord")))
-        .join(F.broadcast(seeds))
+        pairs.crossJoin(system_rows.select("system", "ord"))
+        .crossJoin(seeds)
         .withColumn("experiment", run_name(F.col("system"), F.col("task"), F.col("language"), F.col("seed")))
     )
 
@@ -155,7 +155,7 @@ def results_table(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
     stats = metric_stats(runs, RUN_KEY, {"f1": F.col("test.f1")})
     return (
         stats.join(fidelity(RUN_KEY, runs), RUN_KEY)
-        .join(F.broadcast(system_rows.select("system", "ord", "label")), "system")
+        .join(system_rows.select("system", "ord", "label"), "system")
         .select(
             "language",
             "task",

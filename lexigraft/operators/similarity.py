@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stable
+
 _BLOCK_ROWS = 16384          # vectors per block on either side
 _BROADCAST_BYTES = 256 << 20  # checked size up to which the reference side is shipped whole
 _SCALE = 1e9                 # scores are compared at nine decimals
 _TASK_SCORES = 250_000_000   # dot products per task when queries are spread
-_NEIGHBOURS = "query_id bigint, ref_id bigint, score double"
+_NEIGHBOURS = "query_id bigint, ref_id bigint, score double, rank bigint"
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -30,18 +32,19 @@ def _block_top_k(query_ids: np.ndarray, queries: np.ndarray, refs: np.ndarray, r
     """
     k = min(k, len(ref_ids))
     if k == 0 or len(query_ids) == 0:
-        return pd.DataFrame({"query_id": query_ids[:0], "ref_id": ref_ids[:0], "score": np.zeros(0)})
+        return pd.DataFrame({"query_id": [], "ref_id": [], "score": [], "rank": []})
     keys = np.rint((queries @ refs.T) * _SCALE).astype(np.int64)
     keys <<= 32
     keys += np.arange(len(ref_ids) - 1, -1, -1, dtype=np.int64)[None, :]
     if k < len(ref_ids):
         keys.partition(len(ref_ids) - k, axis=1)
-    best = keys[:, -k:].ravel()
+    best = np.sort(keys[:, -k:], axis=1)[:, ::-1].ravel()
     return pd.DataFrame(
         {
             "query_id": np.repeat(query_ids, k),
             "ref_id": ref_ids[len(ref_ids) - 1 - (best & 0xFFFFFFFF)],
             "score": (best >> 32) / _SCALE,
+            "rank": np.tile(np.arange(1, k + 1), len(query_ids)),
         }
     )
 
@@ -61,11 +64,11 @@ def top_k_similar(
         # the work per query byte is large: partition by work, not by size
         cores = queries.sparkSession.sparkContext.defaultParallelism
         tasks = max(cores, -(-n_queries * n_refs // _TASK_SCORES))
-        local = _against_broadcast(queries.repartition(tasks, "query_id"), refs, k, dim)
-    else:
-        local = _against_grid(queries, refs, n_queries, n_refs, k)
+        return _against_broadcast(queries.repartition(tasks, "query_id"), refs, k, dim)
+    local = _against_grid(queries, refs, n_queries, n_refs, k)
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")
-    return local.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    ranked = local.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
+    return ranked.filter(F.col("rank") <= k)
 
 
 def _against_broadcast(queries: DataFrame, refs: DataFrame, k: int, dim: int) -> DataFrame:
@@ -92,18 +95,18 @@ def _against_grid(queries: DataFrame, refs: DataFrame, n_queries: int, n_refs: i
         "query_id",
         "vec",
         F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0), F.lit(r_blocks - 1))).cast("bigint").alias("rb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r_blocks - 1).cast("bigint"))).alias("rb"),
     )
     right = refs.select(
         "id",
         F.col("vec").cast("array<double>").alias("vec"),
         F.pmod(F.xxhash64("id"), F.lit(r_blocks)).alias("rb"),
-        F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).cast("bigint").alias("qb"),
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"),
     )
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({"query_id": [], "ref_id": [], "score": []})
+            return pd.DataFrame({"query_id": [], "ref_id": [], "score": [], "rank": []})
         r = r.sort_values("id")
         rows = np.stack(r["vec"].to_numpy())
         parts = []
@@ -127,8 +130,12 @@ def normalise(rows: DataFrame, vec: str = "vec") -> DataFrame:
 
 
 def weighted_neighbours(queries: DataFrame, refs: DataFrame, k: int, dim: int, **kw) -> DataFrame:
-    """(query_id, ref_id, score, rank, weight): softmax over the k scores of a query."""
-    top = top_k_similar(queries, refs, k, dim, **kw)
+    """(query_id, ref_id, score, rank, weight): softmax over the k scores of a query.
+
+    The neighbours are written once: they cost far more to find than to store, and
+    everything that follows reads them more than once.
+    """
+    top = stable(top_k_similar(queries, refs, k, dim, **kw))
     per_query = Window.partitionBy("query_id")
     e = F.exp(F.col("score") - F.max("score").over(per_query))
     return top.withColumn("__e", e).withColumn(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import md5_bucket, positions
+from ..functions.arrays import let, md5_bucket, positions
 from ..functions.text import run_name, tokens
 from ..operators import qa, vocab
 from ..session import spread, stable
@@ -159,11 +159,13 @@ def lexicon_lines(all_words: DataFrame, spark: SparkSession, sf: str) -> DataFra
 # ---------------------------------------------------------------- tagged sentences
 
 def gold_tag(w: Column) -> Column:
-    b = h(w) % 10
-    return (
-        F.when(b == 0, "B-PER").when(b == 1, "I-PER").when(b == 2, "I-LOC").when(b == 3, "BO")
-        .when(b == 4, "B-DATe").otherwise("O")
-    )
+    def tag(b: Column) -> Column:
+        return (
+            F.when(b == 0, "B-PER").when(b == 1, "I-PER").when(b == 2, "I-LOC").when(b == 3, "BO")
+            .when(b == 4, "B-DATe").otherwise("O")
+        )
+
+    return let(h(w) % 10, tag)
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:

@@ -175,7 +175,7 @@ def _(spark, sf):
 @query("C7_lexicon_coverage", sql("select origin, count(*) as n from stage group by origin"))
 def _(spark, sf):
     c = Chain.of(spark, sf)
-    rows = E.lexical_vectors(c.tokens, c.lexicon, c.vectors, DIM)
+    rows = E.origins(c.tokens, c.lexicon, c.vectors.select("word"))
     return rows.groupBy("origin").agg(F.count("*").alias("n"))
 
 

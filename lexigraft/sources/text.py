@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.tags import normalize_tag
-from ..functions.text import WS_CLASS, strip, text_lines, tokens
+from ..functions.text import WS_CLASS, strip, tokens, unix_newlines
 from ..operators.lexicon import parse_lexicon
 
 BLOCK = ["file", "block"]
@@ -63,21 +64,24 @@ def conll_fields(line: Column, variant: str = "evaluation") -> Column:
     """
     if variant == "evaluation":
         fields = F.when(F.contains(line, F.lit("\t")), F.split(line, "\t")).otherwise(tokens(line))
-        tag = F.element_at(fields, -1)
+        repair = lambda tag: tag
     elif variant == "preparation":
-        fields = tokens(line)
-        tag = normalize_tag(F.element_at(fields, -1))
+        fields, repair = tokens(line), normalize_tag
     else:
         raise ValueError(f"unknown CoNLL variant {variant!r}")
-    return F.when(
-        F.size(fields) >= 2, F.struct(F.get(fields, F.lit(0)).alias("token"), tag.alias("tag"))
-    )
+
+    def pick(f: Column) -> Column:
+        return F.when(
+            F.size(f) >= 2,
+            F.struct(F.get(f, F.lit(0)).alias("token"), let(F.element_at(f, -1), repair).alias("tag")),
+        )
+
+    return let(fields, pick)
 
 
 def conll_sentences(text: Column, variant: str = "evaluation") -> Column:
     """``array<array<struct<token,tag>>>`` of a CoNLL text held in one cell, no empty sentences."""
-    normal = F.array_join(text_lines(text), "\n")
-    blocks = F.split(normal, rf"\n[{WS_CLASS}]*\n")
+    blocks = F.split(unix_newlines(text), rf"\n[{WS_CLASS}]*\n")
     sentences = F.transform(
         blocks,
         lambda b: F.filter(
