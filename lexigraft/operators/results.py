@@ -199,7 +199,8 @@ def provenance_summary(runs: DataFrame) -> DataFrame:
         F.coalesce(F.bool_or("provenance.dirty"), F.lit(False)).alias("dirty"),
         F.coalesce(F.max("unavailable_hyperparameters"), F.lit(0)).alias("unavailable"),
     )
-    return parts.crossJoin(flags).withColumn("config", F.coalesce("config", F.lit("unavailable")))
+    named = F.coalesce(F.nullif("config", F.lit("")), F.lit("unavailable"))
+    return parts.crossJoin(flags).withColumn("config", named)
 
 
 def dataset_status(runs: DataFrame) -> DataFrame:
@@ -333,7 +334,7 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
         .agg(F.min_by("provenance", "experiment").alias("p"))
         .filter("p is not null")
     )
-    prov = provenance_summary(runs).filter("commit is not null").select(
+    prov = provenance_summary(runs).filter("commit <> ''").select(
         F.lit("3").alias("section"),
         F.posexplode(
             F.array(
