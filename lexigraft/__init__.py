@@ -1 +1,8 @@
 """Spark-native lexical embedding initialisation and NLP-evaluation data engine."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run inside tasks travel with the plan: executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

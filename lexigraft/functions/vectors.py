@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,17 +64,29 @@ def normals(base: np.ndarray, lane: np.ndarray) -> np.ndarray:
     return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * np.pi * u2)
 
 
+def lanes(dim: int) -> np.ndarray:
+    """One constant per dimension, so that equal hashes differ by dimension."""
+    return np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+
+
+def as_lists(known: np.ndarray, rows: np.ndarray) -> pa.Array:
+    """Arrow lists with ``rows`` at the known positions and null elsewhere."""
+    ends = np.concatenate([[0], np.cumsum(np.where(known, rows.shape[1], 0))])
+    return pa.ListArray.from_arrays(
+        pa.array(ends, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel()), mask=pa.array(~known)
+    )
+
+
 def gaussian(key: Column, dim: int, seed: int) -> Column:
     """Standard normal vector, a pure function of (seed, key, dim).
 
     The key is hashed on the JVM; the task only turns 64-bit hashes into normals.
     """
 
-    @F.pandas_udf(DOUBLES)
-    def draw(hashes: pd.Series) -> pd.Series:
-        lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-        base = hashes.to_numpy().astype(np.int64).view(np.uint64)[:, None]
-        return pd.Series(list(normals(base, lane)), index=hashes.index)
+    @F.arrow_udf(DOUBLES)
+    def draw(hashes: pa.Array) -> pa.Array:
+        base = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
+        return as_lists(np.ones(len(base), dtype=bool), normals(base, lanes(dim)))
 
     return once(draw)(F.xxhash64(F.lit(seed), key))
 
@@ -87,22 +100,20 @@ def with_gaussian_ngram_mean(
     it is needed replaces a shuffle of vectors. Null or empty input gives null.
     """
 
-    @F.pandas_udf(DOUBLES)
-    def mean(hashes: pd.Series) -> pd.Series:
-        lane = np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
-
-        keys = [np.asarray(k, dtype=np.int64) if k is not None else None for k in hashes]
-        filled = [i for i, k in enumerate(keys) if k is not None and len(k)]
-        out = np.full(len(keys), None, dtype=object)
-        for at in range(0, len(filled), 1024):  # bounds the n-gram rows held at once
-            part = filled[at : at + 1024]
-            sizes = np.array([len(keys[i]) for i in part])
-            base = np.concatenate([keys[i] for i in part]).view(np.uint64)[:, None]
-            ends = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            sums = np.add.reduceat(normals(base, lane), ends, axis=0)
-            for i, row in zip(part, sums * (scale / sizes[:, None])):
-                out[i] = row
-        return pd.Series(out, index=hashes.index)
+    @F.arrow_udf(DOUBLES)
+    def mean(hashes: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(hashes), 0).to_numpy(zero_copy_only=False)
+        flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        filled = sizes > 0
+        counts = sizes[filled]
+        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        out = np.empty((len(counts), dim))
+        for at in range(0, len(counts), 1024):  # bounds the n-gram rows held at once
+            first = starts[at : at + 1024]
+            last = first[-1] + counts[at : at + 1024][-1]
+            sums = np.add.reduceat(normals(flat[first[0] : last, None], lanes(dim)), first - first[0], axis=0)
+            out[at : at + 1024] = sums * (scale / counts[at : at + 1024, None])
+        return as_lists(filled, out)
 
     # the one-element explode keeps the lambda out of the Python function's argument
     hashes = F.transform(ngrams, lambda g: F.xxhash64(F.lit(seed), g))
@@ -116,15 +127,10 @@ def with_gaussian_ngram_mean(
 def apply_matrix(vec: Column, matrix: np.ndarray) -> Column:
     """``matrix @ vec`` per row in Arrow batches; null vectors stay null."""
 
-    @F.pandas_udf(DOUBLES)
-    def multiply(batch: pd.Series) -> pd.Series:
-        values = batch.to_numpy()
-        known = [i for i, v in enumerate(values) if v is not None]
-        out = np.full(len(values), None, dtype=object)
-        if known:
-            rows = np.stack(values[known]).astype(np.float64) @ matrix.T
-            for i, row in zip(known, rows):
-                out[i] = row
-        return pd.Series(out, index=batch.index)
+    @F.arrow_udf(DOUBLES)
+    def multiply(batch: pa.Array) -> pa.Array:
+        known = batch.is_valid().to_numpy(zero_copy_only=False)
+        flat = batch.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return as_lists(known, flat.reshape(known.sum(), matrix.shape[1]) @ matrix.T)
 
     return once(multiply)(vec)

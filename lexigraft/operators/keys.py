@@ -131,7 +131,7 @@ def lookup_join(
     as hot affects speed only, never the result.
     """
     sketch = probe.agg(
-        F.expr(f"approx_top_k({key}, {hot_share}, {hot_share * 50})").alias("top"),
+        F.expr(f"approx_top_k(`{key}`, {hot_share}, {hot_share * 50})").alias("top"),
         F.count(F.col(key)).alias("n"),
     ).first()
     floor = max(sketch["n"] / hot_share, 1000)

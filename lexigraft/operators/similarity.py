@@ -59,6 +59,8 @@ def top_k_similar(
     is finished where it lies. A larger one is cut into a grid: every (query block,
     reference block) pair is one bounded task that passes on k rows per query.
     """
+    # both sides are counted, then read again; their lineage runs once
+    queries, refs = stable(queries.select("query_id", "vec")), stable(refs.select("id", "vec"))
     n_refs, n_queries = refs.count(), queries.count()
     if n_refs * dim * 8 <= broadcast_bytes:
         # the work per query byte is large: partition by work, not by size
