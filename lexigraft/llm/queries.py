@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, secrets, spans, token_counts
+from . import bpe, langid, media, mixing, near_dedup, secrets, spans, token_counts
 from .common import QUERIES, SQL, documents, query  # noqa: F401
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -78,3 +78,51 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(spans.joined(spans.base_only(F.col("found")), secrets.KINDS), 256).alias("base_sha256"),
         spans.joined(F.col("found"), secrets.KINDS).alias("spans"),
     )
+
+
+@query("op5_near_duplicates")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir), shingle_words=2, percent=80)
+
+
+MIX_SHARDS = 64
+
+
+@query(
+    "op9_mixing",
+    r"""
+    with sized as (
+      select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
+             md5('17|' || coalesce(cast(doc_id as varchar), '')) as k
+      from documents),
+    by_source as (
+      select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as sid
+      from sized group by source),
+    weighed as (select *, case sid % 3 when 0 then 5 when 1 then 2 else 1 end as weight, 3 * source_size as cap from by_source),
+    risen as (
+      select *, cap::double / weight as full_at,
+             (sum(source_size) over () - coalesce(sum(cap) over (order by cap::double / weight, sid rows between unbounded preceding and 1 preceding), 0))::double
+               / sum(weight) over (order by cap::double / weight, sid rows between current row and unbounded following) as lvl
+      from weighed),
+    target as (
+      select source, source_size,
+             least(cap::double, coalesce((select lvl from risen where lvl <= full_at order by full_at, sid limit 1), 0) * weight) as target
+      from risen),
+    placed as (
+      select doc_id, size, source_size, target,
+             coalesce(sum(size) over (partition by s.source order by k rows between unbounded preceding and 1 preceding), 0) as start
+      from sized s join target t on s.source is not distinct from t.source)
+    select doc_id, size, source_size, target,
+           case when size = 0 then 0 else size * greatest(0, least(3, floor((target - start - size / 2) / source_size)::bigint + 1)) end as taken
+    from placed
+    """,
+)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # the report needs the id only, so no text is carried along
+    mixed = mixing.mix(documents(spark, sf_dir), MIX_SHARDS, carry=["doc_id"])
+    per_copy = mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "start", "shard")
+    return (
+        per_copy.groupBy("doc_id", "size", "source_size", "target", "start")
+        .agg(F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).alias("taken"))
+        .drop("start")
+    )
