@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lexigraft.llm import bpe, langid
+from lexigraft.llm import bpe, langid, mixing, near_dedup, pii
 from lexigraft.llm.queries import BPE_FILE, held_out
 from lexigraft.session import scratch_path
 
@@ -21,15 +21,43 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return scored.filter(sure).select(*docs.columns)
 
 
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each near-duplicate group, and of rows with equal ids one.
+
+    Groups are by five-word shingles and a similarity of 0.8. Rows without an id are kept. Of equal ids
+    with different contents the row with the smallest hash stays.
+    """
+    kept = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle_words=5, percent=80).filter("kept and doc_id is not null")
+    named = docs.filter(F.col("doc_id").isNotNull()).join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    one = named.withColumn("__row", F.row_number().over(first)).filter("__row = 1").select(*docs.columns)
+    return one.union(docs.filter(F.col("doc_id").isNull()))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row, with personal data in its text replaced by marks and ``n_chars`` counted anew."""
+    clean = docs.withColumn("text", pii.redact(spark, F.col("text"), pii.train(docs)))
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, dealt out to as many shards as the session shuffles to."""
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return mixing.materialize(mixing.mix(docs, shards), shards)
+
+
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and token ids of each row, whose decoding has been compared with the text."""
+    """doc_id, token ids, their number, and the digest of the bytes they decode to, of each row."""
     path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    encoded = bpe.encode(docs, path, pattern)
-    return encoded.withColumn("n_tokens", F.size("ids").cast("long"))
+    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
+    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [
     ("language_id", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", redact_personal_data),
+    ("mixing", mix_sources),
     ("byte_bpe", encode_tokens),
 ]
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, near_dedup, secrets, spans, token_counts
+from . import bpe, langid, media, mixing, near_dedup, pii, secrets, spans, token_counts
 from .common import QUERIES, SQL, documents, query  # noqa: F401
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -32,6 +32,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+@query("op2_personal_data")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = docs.select("doc_id", pii.find_personal_data(spark, F.col("text"), pii.train(docs)).alias("found"))
+    return found.select(
+        "doc_id",
+        *[spans.count_of(F.col("found"), k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(spans.joined(spans.base_only(F.col("found")), pii.KINDS), 256).alias("base_sha256"),
+        spans.joined(F.col("found"), pii.KINDS).alias("spans"),
+    )
+
+
 @query("op3_language_id")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
