@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, mixing, near_dedup, pii, secrets, spans, token_counts
+from . import bpe, langid, licenses, media, mixing, near_dedup, oracle, pii, quality, secrets, spans, token_counts
 from .common import QUERIES, SQL, documents, query  # noqa: F401
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
@@ -138,3 +138,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).alias("taken"))
         .drop("start")
     )
+
+
+@query("op7_quality_rules", oracle.QUALITY)
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    counted = quality.measure(docs.select("doc_id", "text"))
+    kept = F.when(quality.base_failed(), False).otherwise(quality.cascade(counted, quality.order_rules(docs)))
+    return counted.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        quality.base_failed().alias("base_failed"), kept.alias("kept"),
+    )
+
+
+@query("op10_licenses", oracle.LICENSES)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.find_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
