@@ -15,7 +15,7 @@ from ..functions.text import tokens
 from .keys import lookup_join, seeded_rank
 
 IGNORED = -100
-MAX_SHIPPED_VOCABULARY = 2_000_000  # checked row bound up to which a vocabulary goes to every task
+MAX_SHIPPED_BYTES = 64 << 20  # checked size up to which a vocabulary goes to every task
 
 
 def encode(
@@ -25,18 +25,21 @@ def encode(
     max_length: int,
     keys: list[str],
     text: str = "text",
-    shipped_rows: int = MAX_SHIPPED_VOCABULARY,
+    shipped_bytes: int = MAX_SHIPPED_BYTES,
 ) -> DataFrame:
     """(keys, ids): ids of the first ``max_length`` whitespace tokens of each line.
 
-    A vocabulary within ``shipped_rows`` is sent to the tasks and looked up in Arrow
-    batches: lines stay where they are. A larger one is joined token by token.
+    A token listed twice has its smallest id. A vocabulary of up to ``shipped_bytes`` is sent to the
+    tasks and looked up in Arrow batches: lines stay where they are. A larger one is joined token by
+    token, with the same result.
     """
     words = lines.select(*keys, F.slice(tokens(F.col(text)), 1, max_length).alias("words"))
-    if vocab.count() > shipped_rows:
+    vocab = vocab.filter("token is not null and id is not null").groupBy("token").agg(F.min("id").alias("id"))
+    size = vocab.agg(F.sum(F.octet_length("token") + 16)).first()[0] or 0
+    if size > shipped_bytes:
         return _encode_by_join(words, vocab, unk_id, keys)
 
-    known = vocab.select("token", "id").toArrow()
+    known = vocab.toArrow()
     shipped = lines.sparkSession.sparkContext.broadcast(
         (known["token"].combine_chunks(), known["id"].to_numpy().astype(np.int64))
     )
@@ -44,13 +47,12 @@ def encode(
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, ids = shipped.value
+        index = dict(zip(names.to_pylist(), ids.tolist(), strict=True))  # once a task
         for batch in batches:
             col = batch.column(batch.schema.get_field_index("words"))
-            flat = col.flatten()
-            at = pc.index_in(flat, value_set=names.cast(flat.type))
-            found = at.is_valid().to_numpy(zero_copy_only=False)
-            coded = np.full(len(flat), unk_id, dtype=np.int64)
-            coded[found] = ids[at.drop_null().to_numpy()]
+            flat = col.flatten().dictionary_encode()  # each different word of a batch is looked up once
+            coded = np.array([index.get(w, unk_id) for w in flat.dictionary.to_pylist()] or [unk_id], dtype=np.int64)
+            coded = coded[flat.indices.fill_null(0).to_numpy(zero_copy_only=False)]
             ends = np.concatenate([[0], np.cumsum(pc.list_value_length(col).fill_null(0).to_numpy())])
             out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded))
             cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
@@ -61,7 +63,7 @@ def encode(
 
 def _encode_by_join(words: DataFrame, vocab: DataFrame, unk_id: int, keys: list[str]) -> DataFrame:
     probe = words.select(*keys, F.posexplode_outer("words").alias("pos", "token"))
-    coded = lookup_join(probe, vocab, "token", "id", "left", spread_by="pos")
+    coded = lookup_join(probe, vocab, "token", "id", "left")
     value = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
     return coded.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v")).select(
         *keys, F.transform("v", lambda x: x["id"].cast("bigint")).alias("ids")

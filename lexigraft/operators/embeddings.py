@@ -16,8 +16,7 @@ from ..session import stable
 from .keys import lookup_join
 from .lexicon import segment
 
-_MAX_SUM_COLUMNS = 128   # above this width sums go through one vector-typed aggregate
-_MAX_MATRIX_ROWS = 8192  # an alignment matrix is d x d; its rows are checked before collecting
+_MAX_MATRIX_ROWS = 8192  # an alignment matrix is d x d; the driver holds it
 NGRAM_SCALE = 0.02       # fixed value: scale of n-gram vectors
 
 
@@ -64,8 +63,10 @@ def load_matrix(matrix: DataFrame | None, dim: int) -> np.ndarray:
     """Collect a (row, vec) table as a dim x dim float32 matrix after checking its shape."""
     if matrix is None:
         raise MissingAlignmentMatrix("no alignment matrix was supplied; the identity is not assumed")
+    if dim > _MAX_MATRIX_ROWS:
+        raise IncompatibleDimension(f"a {dim} x {dim} matrix exceeds the {_MAX_MATRIX_ROWS} rows that the driver holds")
     n = matrix.count()
-    if n != dim or dim > _MAX_MATRIX_ROWS:
+    if n != dim:
         raise IncompatibleDimension(f"matrix has {n} rows, expected {dim}")
     check_dimensions(vector_width(matrix), dim)
     rows = sorted(matrix.select("row", "vec").collect(), key=lambda r: r["row"])
@@ -79,23 +80,32 @@ def load_matrix(matrix: DataFrame | None, dim: int) -> np.ndarray:
 def sum_vectors(
     rows: DataFrame, keys: list[str], dim: int, vec: str = "vec", weight: Column | None = None
 ) -> DataFrame:
-    """(keys, n, sums): elementwise (weighted) sum with map-side partial sums."""
-    if dim <= _MAX_SUM_COLUMNS:
-        w = F.lit(1.0) if weight is None else weight
-        cols = [F.sum(F.get(vec, F.lit(i)).cast("double") * w).alias(f"__s{i}") for i in range(dim)]
-        out = rows.groupBy(*keys).agg(F.count("*").alias("n"), *cols)
-        return out.select(*keys, "n", F.array(*[f"__s{i}" for i in range(dim)]).alias("sums"))
+    """(keys, n, weight, sums): elementwise (weighted) sum with map-side partial sums, the same for every width.
+
+    Rows without a vector or a weight are not counted; a group of such rows has n = 0 and zero sums.
+    A missing cell adds nothing; weights may be zero or negative.
+    """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
-    packed = array_to_vector(F.col(vec).cast("array<double>"))
-    sums = Summarizer.sum(packed) if weight is None else Summarizer.sum(packed, weight)
-    return rows.groupBy(*keys).agg(F.count("*").alias("n"), vector_to_array(sums).alias("sums"))
+    w = F.lit(1.0) if weight is None else weight.cast("double")
+    known = F.col(vec).isNotNull() & w.isNotNull()
+    cells = F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
+    if weight is not None:
+        rows = rows.withColumn("__w", w)
+        cells = F.transform(vec, lambda x: F.coalesce(x.cast("double") * F.col("__w"), F.lit(0.0)))
+    # the mean times the count is the sum; a row that does not count is a zero vector beside it
+    packed = array_to_vector(F.when(known, cells).otherwise(F.array_repeat(F.lit(0.0), dim)))
+    return rows.groupBy(*keys).agg(
+        F.count(F.when(known, 1)).alias("n"),
+        F.sum(F.when(known, w)).alias("weight"),
+        vector_to_array(Summarizer.sum(packed)).alias("sums"),
+    )
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec") -> DataFrame:
-    """(keys, n, vec): elementwise mean per key."""
-    sums = sum_vectors(rows, keys, dim, vec)
+    """(keys, n, vec): elementwise mean per key over the rows that have a vector; keys without one are absent."""
+    sums = sum_vectors(rows, keys, dim, vec).filter("n > 0")
     return sums.select(*keys, "n", F.transform("sums", lambda s: s / F.col("n")).alias("vec"))
 
 
@@ -103,9 +113,8 @@ def mean_vectors(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec") -
 
 def morpheme_means(segmented: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(token, n, vec): mean over the covered morphemes; tokens without one are absent."""
-    segmented = stable(segmented.select("token", "morphemes"))  # read by the sketch and the join
     probe = segmented.select("token", F.explode("morphemes").alias("word"))
-    hits = lookup_join(probe, vectors, "word", "vec", spread_by="token")
+    hits = lookup_join(probe, vectors.filter(F.col("vec").isNotNull()), "word", "vec")
     return mean_vectors(hits, ["token"], dim)
 
 
@@ -121,13 +130,13 @@ def ngram_means(
 ) -> DataFrame:
     """(token, n, vec): mean over the token's n-grams found in ``ngram_vectors(ngram, vec)``."""
     probe = tokens.select("token", F.explode(char_ngrams(F.col("token"), n_min, n_max)).alias("ngram"))
-    hits = lookup_join(probe, ngram_vectors, "ngram", "vec", spread_by="token")
+    hits = lookup_join(probe, ngram_vectors.filter(F.col("vec").isNotNull()), "ngram", "vec")
     return mean_vectors(hits, ["token"], dim)
 
 
 def lexical_vectors(tokens: DataFrame, lexicon: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
     """(token, vec, origin) from morphemes, else from the whole token, else null."""
-    seg = segment(tokens.select("token"), stable(lexicon))  # looked up twice per token
+    seg = segment(tokens.select("token"), lexicon)
     morph = morpheme_means(seg, vectors, dim).select("token", F.col("vec").alias("__m"))
     whole = vectors.select(F.col("word").alias("token"), F.col("vec").cast("array<double>").alias("__w"))
     return (
@@ -147,10 +156,10 @@ def lexical_vectors(tokens: DataFrame, lexicon: DataFrame, vectors: DataFrame, d
 
 def origins(tokens: DataFrame, lexicon: DataFrame, vector_words: DataFrame) -> DataFrame:
     """(token, origin) of the fallback chain from the covered words alone, without any vector."""
-    seg = stable(segment(tokens.select("token"), stable(lexicon)))
+    seg = segment(tokens.select("token"), lexicon)
     known = vector_words.select("word", F.lit(True).alias("known"))
     probe = seg.select("token", F.explode("morphemes").alias("word"))
-    hits = lookup_join(probe, known, "word", "known", spread_by="token")
+    hits = lookup_join(probe, known, "word", "known")
     by_morpheme = hits.groupBy("token").agg(F.bool_or("known").alias("__m"))
     whole = vector_words.select(F.col("word").alias("token"), F.lit(True).alias("__w"))
     return (
@@ -188,7 +197,6 @@ def initial_vectors(
             base = base.withColumn("vec", V.apply_matrix(F.col("vec"), matrix))
         drawn = V.with_gaussian_ngram_mean(base, grams, "__drawn", dim, NGRAM_SCALE, seed)
         return drawn.select("token", "origin", F.coalesce("vec", "__drawn").alias("vec"))
-    base = stable(base)
     rest = base.filter(uncovered)
     covered = base.filter(~uncovered)
     if matrix is not None:
@@ -209,9 +217,13 @@ def upsert_rows(matrix_rows: DataFrame, new_rows: DataFrame) -> DataFrame:
 
 def cell_std(rows: DataFrame) -> DataFrame:
     """Sample standard deviation over all cells."""
-    return rows.select(F.explode("vec").alias("x")).agg(
-        F.count("x").alias("n_cells"), F.stddev_samp("x").alias("std")
-    )
+    known = F.filter("vec", lambda x: x.isNotNull())
+    total = F.aggregate(known, F.lit(0.0), lambda a, x: a + x.cast("double"))
+    squares = F.aggregate(known, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double"))
+    sums = rows.agg(F.sum(F.size(known)).cast("bigint").alias("n_cells"), F.sum(total).alias("s"), F.sum(squares).alias("q"))
+    n = F.coalesce("n_cells", F.lit(0).cast("bigint"))
+    variance = (F.col("q") - F.col("s") * F.col("s") / n) / (n - 1)
+    return sums.select(n.alias("n_cells"), F.when(n > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"))
 
 
 @dataclass(frozen=True)
@@ -253,16 +265,14 @@ def similarity_init(x: InitInputs) -> DataFrame:
     aux = x.tokens.join(x.vectors.withColumnRenamed("word", "token"), "token", "left")
     known = aux.filter("vec is not null").select(F.col("id").alias("query_id"), "vec")
     near = weighted_neighbours(known, x.aux_rows, x.top_k, x.dim)
-    rows = lookup_join(
-        near.withColumnRenamed("ref_id", "id"), x.old_rows, "id", "vec", spread_by="query_id"
-    )
+    rows = lookup_join(near.withColumnRenamed("ref_id", "id"), x.old_rows, "id", "vec")
     mixed = sum_vectors(rows, ["query_id"], x.dim, weight=F.col("weight")).select(
         F.col("query_id").alias("id"), F.col("sums").alias("__mix")
     )
     mean = mean_row(x.old_rows, x.dim).select(F.col("vec").alias("__mean"))
     return (
         x.tokens.join(mixed, "id", "left")
-        .crossJoin(F.broadcast(mean))
+        .join(F.broadcast(mean), F.lit(True), "left")
         .select("token", "id", F.coalesce("__mix", "__mean").alias("vec"))
     )
 

@@ -113,46 +113,11 @@ def split_80_10_10(df: DataFrame, seed: int, cols: list[str]) -> DataFrame:
     )
 
 
-def lookup_join(
-    probe: DataFrame,
-    table: DataFrame,
-    key: str,
-    value: str,
-    how: str = "inner",
-    hot_share: int = 200,
-    spread_by: str | None = None,
-) -> DataFrame:
-    """Join ``probe`` with ``table(key, value)``, unique by ``key``, whatever the skew of ``probe``.
-
-    A one-pass frequency sketch names the keys that carry more than 1/``hot_share`` of
-    the probe rows; there are at most ``hot_share`` such keys, so their table rows are
-    broadcast. In the shuffled join the rows of hot keys travel under spread stand-in
-    keys that match nothing, so no task receives more than its share. Which keys count
-    as hot affects speed only, never the result.
+def lookup_join(probe: DataFrame, table: DataFrame, key: str, value: str, how: str = "inner") -> DataFrame:
+    """Join ``probe`` with ``table(key, value)``, unique by ``key``.
+
+    ``inner`` keeps the rows whose key the table has, also where its value is null; ``left`` keeps all.
+    Keys that many probe rows share are left to the adaptive skew join, which splits their rows over
+    tasks; it needs no look at the data beforehand and cannot change a result.
     """
-    sketch = probe.agg(
-        F.expr(f"approx_top_k(`{key}`, {hot_share}, {hot_share * 50})").alias("top"),
-        F.count(F.col(key)).alias("n"),
-    ).first()
-    floor = max(sketch["n"] / hot_share, 1000)
-    hot = [r["item"] for r in sketch["top"] or [] if r["count"] > floor and r["item"] is not None]
-    table = table.select(key, value)
-    if not hot:
-        return probe.join(table, key, how)
-
-    by = spread_by or next(c for c in probe.columns if c != key)
-    is_hot = F.col(key).isin(hot)
-    hot_rows = table.filter(is_hot).select(F.col(key), F.col(value).alias("__hot"))
-    stand_in = F.concat(F.lit("\u0000hot"), F.pmod(F.xxhash64(F.col(by)), F.lit(4096)).cast("string"))
-    joined = (
-        probe.join(F.broadcast(hot_rows), key, "left")
-        .withColumn("__join", F.when(is_hot, stand_in).otherwise(F.col(key).cast("string")))
-        .join(
-            table.select(F.col(key).cast("string").alias("__join"), F.col(value).alias("__cold")),
-            "__join",
-            "left",
-        )
-        .withColumn(value, F.coalesce("__hot", "__cold"))
-        .drop("__join", "__hot", "__cold")
-    )
-    return joined if how == "left" else joined.filter(F.col(value).isNotNull())
+    return probe.join(table.select(key, value), key, how)

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from ..session import stable
 
-_BLOCK_ROWS = 16384          # vectors per block on either side
+_BLOCK_BYTES = 128 << 20     # vectors of a block on either side
 _BROADCAST_BYTES = 256 << 20  # checked size up to which the reference side is shipped whole
-_SCALE = 1e9                 # scores are compared at nine decimals
+_DECIMALS = 9                # scores are compared at nine decimals
 _TASK_SCORES = 250_000_000   # dot products per task when queries are spread
 _NEIGHBOURS = "query_id bigint, ref_id bigint, score double, rank bigint"
 
@@ -26,35 +26,36 @@ def _block_top_k(query_ids: np.ndarray, queries: np.ndarray, refs: np.ndarray, r
     """Exact k best references per query as a frame; ``ref_ids`` ascend, so ties take the smaller id.
 
     Scores are rounded before ranking: equal vectors then tie whatever block and
-    summation order they met in, and the result does not depend on the layout. A rounded
-    score and the complement of the reference position share one integer, so a single
-    partial selection settles values and ties together.
+    summation order they met in, and the result does not depend on the layout. The k-th best score of
+    each row is found by a partial selection; only what reaches it is sorted.
     """
     k = min(k, len(ref_ids))
     if k == 0 or len(query_ids) == 0:
         return pd.DataFrame({"query_id": [], "ref_id": [], "score": [], "rank": []})
-    keys = np.rint((queries @ refs.T) * _SCALE).astype(np.int64)
-    keys <<= 32
-    keys += np.arange(len(ref_ids) - 1, -1, -1, dtype=np.int64)[None, :]
-    if k < len(ref_ids):
-        keys.partition(len(ref_ids) - k, axis=1)
-    best = np.sort(keys[:, -k:], axis=1)[:, ::-1].ravel()
+    scores = np.round(queries @ refs.T, _DECIMALS)
+    floor = np.partition(scores, len(ref_ids) - k, axis=1)[:, len(ref_ids) - k]
+    at, column = np.nonzero(scores >= floor[:, None])
+    best = np.lexsort((column, -scores[at, column], at))
+    at, column = at[best], column[best]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    at, column = at[place < k], column[place < k]
     return pd.DataFrame(
         {
-            "query_id": np.repeat(query_ids, k),
-            "ref_id": ref_ids[len(ref_ids) - 1 - (best & 0xFFFFFFFF)],
-            "score": (best >> 32) / _SCALE,
+            "query_id": query_ids[at],
+            "ref_id": ref_ids[column],
+            "score": scores[at, column],
             "rank": np.tile(np.arange(1, k + 1), len(query_ids)),
         }
     )
 
 
 def top_k_similar(
-    queries: DataFrame, refs: DataFrame, k: int, dim: int, broadcast_bytes: int = _BROADCAST_BYTES
+    queries: DataFrame, refs: DataFrame, k: int, dim: int, broadcast_bytes: int = _BROADCAST_BYTES, block_bytes: int = _BLOCK_BYTES
 ) -> DataFrame:
     """(query_id, ref_id, score, rank) of the k references with the largest dot product.
 
-    ``queries(query_id, vec)`` are normalised here, ``refs(id, vec)`` must be already.
+    ``queries(query_id, vec)`` are normalised here, ``refs(id, vec)`` are taken as they are: the
+    score is the cosine only where their length is 1.
     A reference side within ``broadcast_bytes`` is shipped to every task and each query
     is finished where it lies. A larger one is cut into a grid: every (query block,
     reference block) pair is one bounded task that passes on k rows per query.
@@ -67,7 +68,7 @@ def top_k_similar(
         cores = queries.sparkSession.sparkContext.defaultParallelism
         tasks = max(cores, -(-n_queries * n_refs // _TASK_SCORES))
         return _against_broadcast(queries.repartition(tasks, "query_id"), refs, k, dim)
-    local = _against_grid(queries, refs, n_queries, n_refs, k)
+    local = _against_grid(queries, refs, n_queries, n_refs, k, max(1, block_bytes // (8 * dim)))
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")
     ranked = local.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
     return ranked.filter(F.col("rank") <= k)
@@ -90,9 +91,10 @@ def _against_broadcast(queries: DataFrame, refs: DataFrame, k: int, dim: int) ->
     return queries.select("query_id", "vec").mapInPandas(score, _NEIGHBOURS)
 
 
-def _against_grid(queries: DataFrame, refs: DataFrame, n_queries: int, n_refs: int, k: int) -> DataFrame:
-    q_blocks = max(1, -(-n_queries // _BLOCK_ROWS))
-    r_blocks = max(1, -(-n_refs // _BLOCK_ROWS))
+def _against_grid(queries: DataFrame, refs: DataFrame, n_queries: int, n_refs: int, k: int, block_rows: int) -> DataFrame:
+    """Each vector travels once for each block of the other side, so blocks are as large as a task can hold."""
+    q_blocks = max(1, -(-n_queries // block_rows))
+    r_blocks = max(1, -(-n_refs // block_rows))
     left = queries.select(
         "query_id",
         "vec",

@@ -243,7 +243,7 @@ def _(spark, sf):
 @query("L1_encode_lines_by_join", sql(f"select doc_id, line_no, count(*) as n, sum(id*(pos+1))::bigint as key from ({_ENC}) group by all"))
 def _(spark, sf):
     v = stable(I.old_vocab(spark, sf).select("token", (F.col("id") + 10).alias("id")))
-    rows = corpus.encode(I.lines(spark, sf), v, UNK, MAX_LEN, KEYS, "line", shipped_rows=0)
+    rows = corpus.encode(I.lines(spark, sf), v, UNK, MAX_LEN, KEYS, "line", shipped_bytes=0)
     key = F.aggregate(F.transform("ids", lambda x, i: x * (i + 1)), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return rows.select(*KEYS, F.size("ids").cast("bigint").alias("n"), key.alias("key"))
 

@@ -46,7 +46,7 @@ class Chain(NamedTuple):
         return cls(w, w.select(F.col("word").alias("token")), lex, I.word_vectors(w, spark, sf))
 
     def segments(self):
-        return segment(self.tokens, stable(self.lexicon))
+        return segment(self.tokens, self.lexicon)
 
 
 def matrix(spark):
@@ -437,10 +437,9 @@ def _(spark, sf):
 def _(spark, sf):
     # equal words are counted first, so a frequent word is looked up once per language
     counted = I.doc_words(spark, sf).groupBy("lang", "word").agg(F.count("*").alias("c"))
-    rows = E.lookup_join(counted, I.word_vectors(I.words(spark, sf), spark, sf), "word", "vec", spread_by="lang")
+    rows = E.lookup_join(counted, I.word_vectors(I.words(spark, sf), spark, sf), "word", "vec")
     sums = E.sum_vectors(rows, ["lang"], DIM, weight=F.col("c"))
-    total = rows.groupBy("lang").agg(F.sum("c").alias("c"))
-    mean = sums.join(total, "lang").select("lang", F.transform("sums", lambda s: s / F.col("c")).alias("vec"))
+    mean = sums.select("lang", F.transform("sums", lambda s: s / F.col("weight")).alias("vec"))
     return print_of(mean, "lang", F.size("vec").cast("bigint").alias("dims"))
 
 

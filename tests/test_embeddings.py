@@ -122,8 +122,7 @@ def test_procrustes_recovers_a_rotation_and_beats_other_rotations(spark):
 
 
 @pytest.mark.parametrize("k", [3, 10, 500])
-def test_top_k_equals_brute_force_in_both_layouts(spark, k, monkeypatch):
-    monkeypatch.setattr(similarity, "_BLOCK_ROWS", 40)
+def test_top_k_equals_brute_force_in_both_layouts(spark, k):
     rng = np.random.default_rng(2)
     refs = rng.normal(size=(130, 8))
     refs[100:] = refs[:30]  # equal vectors must tie by id
@@ -135,7 +134,7 @@ def test_top_k_equals_brute_force_in_both_layouts(spark, k, monkeypatch):
     scores = np.round(unit @ refs.T, 9)
     want = {(i, j + 1000, n + 1) for i, row in enumerate(scores) for n, j in enumerate(np.lexsort((np.arange(130), -row))[:k])}
     for limit in (1 << 30, 0):
-        top = similarity.top_k_similar(q, r, k, 8, broadcast_bytes=limit)
+        top = similarity.top_k_similar(q, r, k, 8, broadcast_bytes=limit, block_bytes=40 * 8 * 8)
         assert {(x["query_id"], x["ref_id"], x["rank"]) for x in top.collect()} == want
     w = similarity.weighted_neighbours(q, r, k, 8).groupBy("query_id").agg(F.sum("weight").alias("w")).collect()
     assert np.allclose([x["w"] for x in w], 1.0)

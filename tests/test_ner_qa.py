@@ -183,7 +183,7 @@ def test_encode_mask_and_pad(spark):
     lines = spark.createDataFrame([(i, " ".join(f"w{(i * j) % 11}" for j in range(i))) for i in range(40)], "k int, text string")
     vocab = spark.createDataFrame([(f"w{j}", j + 5) for j in range(9)], "token string, id long")
     ship = corpus.encode(lines, vocab, 3, 12, ["k"])
-    join = corpus.encode(lines, vocab, 3, 12, ["k"], shipped_rows=0)
+    join = corpus.encode(lines, vocab, 3, 12, ["k"], shipped_bytes=0)
     want = {i: [(lambda t: t + 5 if t < 9 else 3)((i * j) % 11) for j in range(min(i, 12))] for i in range(40)}
     assert {r["k"]: r["ids"] for r in ship.collect()} == want
     assert {r["k"]: r["ids"] for r in join.collect()} == want
