@@ -80,13 +80,26 @@ def orthogonality_error(w: np.ndarray) -> float:
 
 
 def alignment_record(
-    pairs: DataFrame, w: np.ndarray, language: str, vector_words: DataFrame
+    pairs: DataFrame,
+    w: np.ndarray,
+    language: str,
+    vector_words: DataFrame,
+    path: str | None = None,
+    vector_model: str | None = None,
+    backbone: str | None = None,
+    seed: int = 42,
 ) -> DataFrame:
-    """One-row record of an alignment: anchors, widths, residuals, objective."""
+    """One-row record of an alignment: where W and its models lie, anchors, widths, residuals, objective."""
     d = len(w)
     words = vector_words.agg(F.count("*").alias("vector_vocab_size"))
     return residuals(pairs, w).crossJoin(words).select(
         F.lit(language).alias("language"),
+        F.lit(path).cast("string").alias("path"),
+        F.lit(vector_model).cast("string").alias("vector_model"),
+        F.lit(backbone).cast("string").alias("backbone"),
+        F.lit(seed).cast("bigint").alias("seed"),
+        F.array(F.lit(w.shape[0]), F.lit(w.shape[1])).cast("array<bigint>").alias("shape"),
+        F.lit("orthogonal map found before training and kept frozen").alias("source"),
         F.col("anchors").alias("anchor_tokens"),
         F.lit(d).cast("bigint").alias("vector_dimension"),
         F.lit(d).cast("bigint").alias("model_dimension"),

@@ -13,20 +13,28 @@ SPECIALS = 4       # fixed value: special pieces of a question/context pair
 CONTEXT_SHIFT = 3  # fixed value: specials that precede the context, next to the question
 
 
+def locate_answers(triples: DataFrame) -> DataFrame:
+    """Add answer_start, the first place of the answer in its context (-1 = not found)."""
+    return triples.withColumn("answer_start", A.locate(F.col("context"), F.col("answer")))
+
+
 def to_squad(triples: DataFrame, order: list[Column], title: str, id_prefix: str) -> DataFrame:
     """Locate each answer; id carries the input position, so dropped rows leave gaps.
 
+    ``order`` must identify a row: only these keys are sorted and numbered, the texts stay out of it.
     Columns: idx, id, title, context, question, answer, answer_start (-1 = not found).
     """
-    numbered = dense_index(triples, order, "idx")
-    return numbered.select(
+    names = [f"__o{i}" for i in range(len(order))]
+    keyed = triples.select(*[c.alias(n) for c, n in zip(order, names, strict=True)], "context", "question", "answer")
+    numbers = dense_index(keyed.select(*names), [F.col(n) for n in names], "idx")
+    return locate_answers(keyed.join(numbers, names)).select(
         "idx",
         F.concat(F.lit(f"{id_prefix}-"), F.col("idx").cast("string")).alias("id"),
         F.lit(title).alias("title"),
         "context",
         "question",
         "answer",
-        A.locate(F.col("context"), F.col("answer")).alias("answer_start"),
+        "answer_start",
     )
 
 
@@ -44,11 +52,16 @@ def squad_items(located: DataFrame) -> DataFrame:
     return located.filter("answer_start >= 0").select("id", "title", "context", F.array(question).alias("qas"))
 
 
+def question_classes(paragraphs: DataFrame, *keys: str) -> DataFrame:
+    """(keys, cls): the class of every question."""
+    return paragraphs.select(*keys, "context", F.explode("qas").alias("qa")).select(
+        *keys, A.question_class(F.col("context"), F.col("qa.answers")).alias("cls")
+    )
+
+
 def classify(paragraphs: DataFrame) -> DataFrame:
     """(extractive, abstractive, unanswerable) question counts over all paragraphs."""
-    cls = paragraphs.select("context", F.explode("qas").alias("qa")).select(
-        A.question_class(F.col("context"), F.col("qa.answers")).alias("cls")
-    )
+    cls = question_classes(paragraphs)
     return cls.agg(
         *[F.count_if(F.col("cls") == c).alias(c) for c in ("extractive", "abstractive", "unanswerable")]
     )
@@ -72,13 +85,16 @@ def split_counts(items: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- windows
 
 def context_windows(
-    examples: DataFrame, max_length: int = 384, stride: int = 128, keys: tuple[str, ...] = ("id",)
+    examples: DataFrame, max_length: int = 384, stride: int = 128, keys: tuple[str, ...] = ("id",), long_questions: str = "raise"
 ) -> DataFrame:
     """(keys, window, q_len, first, offsets): overlapping windows over the context tokens.
 
     ``examples`` has question and context. Only the context is cut; consecutive windows
-    share ``stride`` tokens. Windows are built inside the row.
+    share ``stride`` tokens. Windows are built inside the row. A question that leaves no room for a
+    window fails the job, or with ``long_questions="skip"`` has no windows (``too_long`` finds it).
     """
+    if long_questions not in ("raise", "skip"):
+        raise ValueError(f"long_questions is 'raise' or 'skip', not {long_questions!r}")
     sized = (
         examples.withColumn("offsets", A.token_offsets(F.col("context")))
         .withColumn("q_len", F.size(A.tokens(F.col("question"))))
@@ -90,7 +106,9 @@ def context_windows(
         sized.withColumn(
             "__starts",
             F.when(step_ok, starts).otherwise(
-                F.raise_error(F.lit("question too long: no room for a context window"))
+                F.array().cast("array<int>")
+                if long_questions == "skip"
+                else F.raise_error(F.lit("question too long: no room for a context window"))
             ),
         )
         .select("*", F.posexplode("__starts").alias("window", "first"))
@@ -99,6 +117,11 @@ def context_windows(
     )
 
 
+def too_long(examples: DataFrame, max_length: int = 384, stride: int = 128) -> DataFrame:
+    """The examples whose question leaves no room for a window."""
+    return examples.filter(F.lit(max_length - SPECIALS) - F.size(A.tokens(F.col("question"))) <= stride)
+
+
 def label_windows(windows: DataFrame) -> DataFrame:
     """Add ``label.start`` and ``label.end`` for the first answer (``a_start``, ``a_text``)."""
     end_char = F.col("a_start") + F.length("a_text")
@@ -118,8 +141,10 @@ def masked_offsets(windows: DataFrame) -> DataFrame:
 def best_spans(
     features: DataFrame, n_best: int = 20, max_answer_len: int = 64, key: str = "id"
 ) -> DataFrame:
-    """(key, score, window, a_start, a_end) of the best span over all windows of an example.
+    """(key, score, window, a_start, a_end, a_text) of the best span over all windows of an example.
 
+    ``a_text`` is there if the features carry their context: it is cut where the context lies, so that
+    no context is moved.
     ``features`` has feature_offsets and the score arrays s_scores, e_scores. Equal
     scores resolve by window, start rank and end rank. Each window yields one candidate
     and candidates are combined on the map side, however many windows an example has.
@@ -129,6 +154,9 @@ def best_spans(
         "__best",
         A.best_window_span(F.col("s_scores"), F.col("e_scores"), is_context, n_best, max_answer_len),
     )
+    a_start = F.get("feature_offsets", F.col("__best.start"))["start"]
+    a_end = F.get("feature_offsets", F.col("__best.end"))["end"]
+    text = [F.substr("context", a_start + 1, a_end - a_start).alias("a_text")] if "context" in features.columns else []
     candidate = best.select(
         key,
         F.when(F.col("__best").isNotNull(), F.struct(
@@ -136,8 +164,9 @@ def best_spans(
             (-F.col("window")).alias("neg_window"),
             F.col("__best.neg_s_rank").alias("s"),
             F.col("__best.neg_e_rank").alias("e"),
-            F.get("feature_offsets", F.col("__best.start"))["start"].alias("a_start"),
-            F.get("feature_offsets", F.col("__best.end"))["end"].alias("a_end"),
+            a_start.alias("a_start"),
+            a_end.alias("a_end"),
+            *text,
         )).alias("c"),
     )
     return candidate.groupBy(key).agg(F.max("c").alias("c")).filter("c is not null").select(
@@ -146,11 +175,18 @@ def best_spans(
         (-F.col("c.neg_window")).alias("window"),
         F.col("c.a_start").alias("a_start"),
         F.col("c.a_end").alias("a_end"),
+        *[F.col("c.a_text").alias("a_text") for _ in text],
     )
 
 
 def predicted_texts(examples: DataFrame, best: DataFrame, key: str = "id") -> DataFrame:
-    """(key, prediction): context slice of the best span, empty without one."""
+    """(key, prediction): text of the best span, empty without one.
+
+    The span's text is taken from ``best`` where it has one, else cut from the examples' context.
+    """
+    if "a_text" in best.columns:
+        found = examples.select(key).join(best.select(key, "a_text"), key, "left")
+        return found.select(key, F.coalesce("a_text", F.lit("")).alias("prediction"))
     text = F.substr("context", F.col("a_start") + 1, F.col("a_end") - F.col("a_start"))
     return examples.select(key, "context").join(best, key, "left").select(
         key, F.coalesce(text, F.lit("")).alias("prediction")

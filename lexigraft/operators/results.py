@@ -190,15 +190,28 @@ def provenance_values(runs: DataFrame) -> DataFrame:
     )
 
 
+#: A report lists this many values of a field; how many more there are is said in a last entry.
+LISTED_VALUES = 1000
+
+
+def _listed(values: DataFrame, field: str) -> DataFrame:
+    """One row: the sorted values of a field, joined; a bounded number of them is brought together."""
+    own = values.filter(F.col("field") == field)
+    first = own.select("value").orderBy("value").limit(LISTED_VALUES)
+    n = own.agg(F.count("*").alias("n"))
+    joined = first.agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("v"))
+    more = F.when(F.col("n") > LISTED_VALUES, F.concat(F.lit(", and "), (F.col("n") - LISTED_VALUES).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
+    return joined.crossJoin(n).select(F.concat("v", more).alias(field), F.col("n").alias(f"n_{field}"))
+
+
 def provenance_summary(runs: DataFrame) -> DataFrame:
     """One row: joined commits, configs and seeds, any dirty, largest unavailable count."""
-    parts = provenance_values(runs).groupBy().pivot("field", ["commit", "config", "seed"]).agg(
-        F.array_join(F.array_sort(F.collect_list("value")), ", ")
-    )
+    values = provenance_values(runs)
     flags = runs.filter("provenance is not null").agg(
         F.coalesce(F.bool_or("provenance.dirty"), F.lit(False)).alias("dirty"),
         F.coalesce(F.max("unavailable_hyperparameters"), F.lit(0)).alias("unavailable"),
     )
+    parts = _listed(values, "commit").crossJoin(_listed(values, "config")).crossJoin(_listed(values, "seed"))
     named = F.coalesce(F.nullif("config", F.lit("")), F.lit("unavailable"))
     return parts.crossJoin(flags).withColumn("config", named)
 
@@ -302,26 +315,26 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
     def text(sec: str, start: int, *rows: str) -> DataFrame:
         return spark.createDataFrame([(sec, start + i, r) for i, r in enumerate(rows)], "section string, ord int, line string")
 
+    def block(sec: str, *lines: Column) -> list[Column]:
+        """A section name and its numbered lines, ended by a blank one."""
+        return [F.lit(sec).alias("section"), F.posexplode(F.array(*lines, F.lit(""))).alias("ord", "line")]
+
+    def cell_row(name: Column, value: Column) -> Column:
+        return F.concat(F.lit("| "), name, F.lit(" | "), value, F.lit(" |"))
+
     head = text("0", 0, "# Results", "", "Mean ± standard deviation of test F1 across seeds.", "")
     notice = unfaithful_systems(runs).filter("systems <> ''").select(
-        F.lit("1").alias("section"),
-        F.lit(0).alias("ord"),
-        F.concat(
-            F.lit("> **Not faithful to the published method.** No author-provided alignment matrix W: "),
-            "systems",
-        ).alias("line"),
+        *block("1|b", F.concat(F.lit("> **Not faithful to the published method.** No author-provided alignment matrix W: "), "systems", F.lit(".")))
     )
     marks = runs.agg(F.max("unavailable_hyperparameters").alias("n")).filter("n > 0").select(
-        F.lit("0").alias("section"),
-        F.lit(10).alias("ord"),
-        F.concat(F.lit("> **Not a replication.** "), F.col("n").cast("string"), F.lit(" hyperparameter(s) are marked unavailable.")).alias("line"),
+        *block("1|a", F.concat(F.lit("> **Not a replication.** "), F.col("n").cast("string"), F.lit(" hyperparameter(s) are marked unavailable.")))
     )
     titles = pairs.select(
         section.alias("section"),
         F.posexplode(
             F.array(pair_title, F.lit(""), F.lit("| System | F1 | seeds | Alignment matrix W |"), F.lit("|---|---|---|---|"))
         ).alias("ord", "line"),
-    )
+    ).unionByName(pairs.select(section.alias("section"), F.lit(1_000_000).alias("ord"), F.lit("").alias("line")))
     body = table.select(
         section.alias("section"),
         (F.col("ord") + 10).alias("ord"),
@@ -334,48 +347,60 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
         .agg(F.min_by("provenance", "experiment").alias("p"))
         .filter("p is not null")
     )
-    prov = provenance_summary(runs).filter("commit <> ''").select(
+    summary = provenance_summary(runs).filter("commit <> ''")
+    quoted = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
+    prov = summary.select(
         F.lit("3").alias("section"),
         F.posexplode(
             F.array(
                 F.lit("## Provenance"),
-                F.concat(F.lit("| Commit | `"), "commit", F.lit("` |")),
-                F.concat(F.lit("| Config sha256 | `"), "config", F.lit("` |")),
-                F.concat(F.lit("| Seeds | "), "seed", F.lit(" |")),
-                F.concat(F.lit("| Unavailable hyperparameters | "), F.col("unavailable").cast("string"), F.lit(" |")),
+                F.lit(""),
+                F.lit("| Field | Value |"),
+                F.lit("|---|---|"),
+                cell_row(F.lit("Commit"), quoted(F.col("commit"))),
+                cell_row(F.lit("Config sha256"), quoted(F.col("config"))),
+                cell_row(F.lit("Seeds"), F.concat("seed", F.lit(" ("), F.col("n_seed").cast("string"), F.lit(" runs per system)"))),
             )
         ).alias("ord", "line"),
     )
     first = env.select(
         F.lit("3").alias("section"),
-        F.lit(5).alias("ord"),
-        F.concat(
-            F.lit("| Environment | python "),
-            F.coalesce("p.python", F.lit("?")),
-            F.array_join(
-                F.transform(F.map_entries("p.packages"), lambda e: F.concat(F.lit(", "), e["key"], F.lit(" "), e["value"])), ""
+        F.lit(10).alias("ord"),
+        cell_row(
+            F.lit("Environment"),
+            F.concat(
+                F.lit("python "),
+                F.coalesce("p.python", F.lit("?")),
+                F.array_join(F.transform(F.map_entries("p.packages"), lambda e: F.concat(F.lit(", "), e["key"], F.lit(" "), e["value"])), ""),
             ),
-            F.lit(" |"),
         ).alias("line"),
     )
     spaces = env.select(F.explode("p.vectors").alias("lang", "v")).select(
         F.concat(F.lit("3|"), "lang").alias("section"),
         F.lit(0).alias("ord"),
-        F.concat(
-            F.lit("| Vectors ("), "lang", F.lit(") | dim "), F.col("v.dimension").cast("string"),
-            F.lit(", vocab "), F.format_number("v.vocab_size", 0),
-            F.lit(", sha256 `"), short_hash(F.col("v.sha256")), F.lit("` |"),
+        cell_row(
+            F.concat(F.lit("Vectors ("), "lang", F.lit(")")),
+            F.concat(
+                F.lit("dim "), F.col("v.dimension").cast("string"), F.lit(", vocab "), F.format_number("v.vocab_size", 0),
+                F.lit(", sha256 "), quoted(short_hash(F.col("v.sha256"))),
+            ),
         ).alias("line"),
-    )
+    )
     data = dataset_status(runs).select(
         F.concat(F.lit("4|"), "language", F.lit("|"), "task").alias("section"),
         F.lit(0).alias("ord"),
-        F.concat(F.lit("| Dataset ("), "language", F.lit(" "), F.upper("task"), F.lit(") | "), "detail", F.lit(" |")).alias("line"),
+        cell_row(F.concat(F.lit("Dataset ("), "language", F.lit(" "), F.upper("task"), F.lit(")")), F.col("detail")).alias("line"),
     )
-    warn = warnings(runs).select(
-        F.concat(F.lit("5|"), "warning", F.lit("|"), "detail").alias("section"),
-        F.lit(0).alias("ord"),
-        F.concat(F.lit("> **"), "warning", F.lit("** "), "detail").alias("line"),
+    last = summary.select(*block("5", cell_row(F.lit("Unavailable hyperparameters"), F.col("unavailable").cast("string"))))
+    found = warnings(runs).groupBy("warning").agg(F.array_join(F.array_sort(F.collect_list("detail")), ", ").alias("detail"))
+    said = (
+        F.when(F.col("warning") == "more_than_one_commit", F.lit("> **More than one commit.** Results of different code stand in one table."))
+        .when(F.col("warning") == "uncommitted_changes", F.lit("> **Uncommitted changes.** The code of some runs is not the code of their commit."))
+        .otherwise(F.concat(F.lit("> **No dataset manifest for: "), "detail", F.lit(".** These splits cannot be traced to a source, a checksum or a seed.")))
+    )
+    order = F.array_position(F.array(*map(F.lit, ("more_than_one_commit", "uncommitted_changes", "undocumented_dataset"))), F.col("warning"))
+    warn = found.select(
+        F.concat(F.lit("6|"), order.cast("string")).alias("section"), F.posexplode(F.array(said, F.lit(""))).alias("ord", "line")
     )
-    parts = [head, marks, notice, titles, body, prov, first, spaces, data, warn]
+    parts = [head, marks, notice, titles, body, prov, first, spaces, data, last, warn]
     return reduce(DataFrame.unionByName, parts)

@@ -58,6 +58,12 @@ def _(spark, sf):
     return t.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.md5("context").alias("context"), "question", "answer")
 
 
+@query("A9_table_rows_with_header", sql("select conv_id, turn, pos, md5(context) as context, question, answer from triple where turn > 0"))
+def _(spark, sf):
+    t = squad.table_row_triples(I.packed_rows(spark, sf), "cells", "conv_id", "turn", row_no="turn")
+    return t.select("conv_id", "turn", F.col("pos").cast("bigint").alias("pos"), F.md5("context").alias("context"), "question", "answer")
+
+
 @query("J10_positional_zip", sql("select q.conv_id, q.turn, least(len(q.ss), len(a.ss))::bigint as pairs from stripped q join stripped a on a.conv_id = q.conv_id and a.turn = q.turn and q.kind = 'q' and a.kind = 'a' where least(len(q.ss), len(a.ss)) > 0"))
 def _(spark, sf):
     from ..functions.text import split_packed
@@ -103,7 +109,7 @@ def _(spark, sf):
 @query("G7_conditional_counters", sql("select count(*) filter (strpos(context, answer) > 0) as kept, count(*) filter (strpos(context, answer) = 0) as dropped from triple"))
 def _(spark, sf):
     t = squad.table_row_triples(I.packed_rows(spark, sf), "cells", "conv_id", "turn")
-    return qa.located_counts(qa.to_squad(t, [F.col("conv_id"), F.col("turn"), F.col("pos")], "conversations", "conv"))
+    return qa.located_counts(qa.locate_answers(t))
 
 
 @query("Q2_offset_validation", sql("select id, ans_no - 1 as ans_no, ok from qvalid"))
@@ -118,6 +124,11 @@ def _(spark, sf):
     return qa.classify(paragraphs(spark, sf))
 
 
+@query("A13_question_manifest", sql("select count(*) filter (class = 'extractive') as extractive_qa_pairs, count(*) filter (class = 'abstractive') as abstractive_dropped, count(*) filter (class = 'unanswerable') as unanswerable_dropped from qclass"))
+def _(spark, sf):
+    return squad.question_manifest(qa.question_classes(paragraphs(spark, sf)), kind="cls")
+
+
 @query("Q3_kept_paragraphs", sql(f"select c.doc_id, c.title, v.n_ok as answers from qclass c join {_VALID_N} v on v.id = c.id where c.class = 'extractive'"))
 def _(spark, sf):
     kept = qa.keep_valid(paragraphs(spark, sf))

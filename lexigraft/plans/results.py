@@ -180,7 +180,8 @@ _PROV = """select string_agg(distinct substr(commit,1,12), ', ' order by substr(
 
 @query("R7_provenance_summary", sql(_PROV))
 def _(spark, sf):
-    return R.provenance_summary(I.runs(spark, sf)).withColumn("unavailable", F.col("unavailable").cast("bigint"))
+    summary = R.provenance_summary(I.runs(spark, sf))
+    return summary.select("commit", "config", "seed", "dirty", F.col("unavailable").cast("bigint").alias("unavailable"))
 
 
 @query("R8_dataset_documentation", sql("select language, task, n_runs, n_documented, status, detail from dstatus"))
@@ -222,14 +223,11 @@ def _kept_fields(spark, sf, keys):
     return I.runs(spark, sf).filter("provenance is not null").select("event_id", text.alias("kept"))
 
 
-@query("R11_missing_manifest_record", sql("select event_id, case when dm >= 2 then 'available' else 'unavailable' end as status, case when dm >= 2 then null when dm = 1 then 'no manifest' else 'no manifest in the data directory' end as reason from run where has_prov"))
+@query("R11_missing_manifest_record", sql("select event_id, case when dm >= 2 then 'available' else 'unavailable' end as status, case when dm >= 2 then null when dm = 1 then 'no manifest' else 'no manifest in data/'||language end as reason from run where has_prov"))
 def _(spark, sf):
-    m = F.col("provenance.dataset_manifest")
-    missing = F.struct(
-        F.lit(None).cast("string").alias("source"), F.lit(None).cast("string").alias("split"), F.lit(None).cast("int").alias("seed"),
-        F.lit("unavailable").alias("status"), F.lit("no manifest in the data directory").alias("reason"),
-    )
-    rows = I.runs(spark, sf).filter("provenance is not null").select("event_id", F.coalesce(m, missing).alias("m"))
+    runs = I.runs(spark, sf).filter("provenance is not null")
+    m = records.with_manifest(runs, F.col("provenance.dataset_manifest"), F.concat(F.lit("data/"), F.col("language")))
+    rows = runs.select("event_id", m.alias("m"))
     return rows.select("event_id", F.coalesce("m.status", F.lit("available")).alias("status"), F.col("m.reason").alias("reason"))
 
 
@@ -253,15 +251,18 @@ def _(spark, sf):
 
 _TITLE = "'## '||upper(language[1])||lower(language[2:])||' -- '||upper(task)"
 _REPORT = f"""select '0' as section, unnest(range(4)) as ord, unnest(['# Results', '', 'Mean ± standard deviation of test F1 across seeds.', '']) as line
-    union all select '0', 10, '> **Not a replication.** '||max(unavailable)||' hyperparameter(s) are marked unavailable.' from run having max(unavailable) > 0
-    union all select '1', 0, '> **Not faithful to the published method.** No author-provided alignment matrix W: '||string_agg(distinct system, ', ' order by system) from run where has_proj and not supplied having count(*) > 0
-    union all select '2|'||language||'|'||task, unnest(range(4)), unnest([{_TITLE}, '', '| System | F1 | seeds | Alignment matrix W |', '|---|---|---|---|']) from (select distinct language, task from rtable)
+    union all select '1|a', unnest(range(2)), unnest(['> **Not a replication.** '||max(unavailable)||' hyperparameter(s) are marked unavailable.', '']) from run having max(unavailable) > 0
+    union all select '1|b', unnest(range(2)), unnest(['> **Not faithful to the published method.** No author-provided alignment matrix W: '||string_agg(distinct system, ', ' order by system)||'.', '']) from run where has_proj and not supplied having count(*) > 0
+    union all select '2|'||language||'|'||task, unnest([0, 1, 2, 3, 1000000]), unnest([{_TITLE}, '', '| System | F1 | seeds | Alignment matrix W |', '|---|---|---|---|', '']) from (select distinct language, task from rtable)
     union all select '2|'||language||'|'||task, ord + 10, '| '||label||' | '||score||' | '||seeds||' | '||fidelity||' |' from rtable
-    union all select '3', unnest(range(5)), unnest(['## Provenance', '| Commit | `'||commit||'` |', '| Config sha256 | `'||config||'` |', '| Seeds | '||seed||' |', '| Unavailable hyperparameters | '||unavailable||' |']) from ({_PROV})
-    union all select '3', 5, '| Environment | python 3.13, numpy 2.0 |'
+    union all select '3', unnest(range(7)), unnest(['## Provenance', '', '| Field | Value |', '|---|---|', '| Commit | `'||commit||'` |', '| Config sha256 | `'||config||'` |', '| Seeds | '||seed||' ('||(select count(distinct seed) from run where has_prov)||' runs per system) |']) from ({_PROV})
+    union all select '3', 10, '| Environment | python 3.13, numpy 2.0 |'
     union all select '3|'||arg_min(language, experiment), 0, '| Vectors ('||arg_min(language, experiment)||') | dim 64, vocab '||format('{{:,}}', arg_min(user_id, experiment) + 1000)||', sha256 `'||substr(sha256(arg_min(language, experiment)),1,12)||'` |' from named where has_prov
     union all select '4|'||language||'|'||task, 0, '| Dataset ('||language||' '||upper(task)||') | '||detail||' |' from dstatus
-    union all select '5|'||warning||'|'||detail, 0, '> **'||warning||'** '||detail from ({_WARN})"""
+    union all select '5', unnest(range(2)), unnest(['| Unavailable hyperparameters | '||unavailable||' |', '']) from ({_PROV})
+    union all select '6|1', unnest(range(2)), unnest(['> **More than one commit.** Results of different code stand in one table.', '']) from ({_WARN}) where warning = 'more_than_one_commit'
+    union all select '6|2', unnest(range(2)), unnest(['> **Uncommitted changes.** The code of some runs is not the code of their commit.', '']) from ({_WARN}) where warning = 'uncommitted_changes'
+    union all select '6|3', unnest(range(2)), unnest(['> **No dataset manifest for: '||string_agg(detail, ', ' order by detail)||'.** These splits cannot be traced to a source, a checksum or a seed.', '']) from ({_WARN}) where warning = 'undocumented_dataset' having count(*) > 0"""
 
 
 @query("A17_results_report", sql(f"select section, ord::bigint as ord, line from ({_REPORT})"))

@@ -174,6 +174,22 @@ def _(spark, sf):
     return spark.read.schema(manifest.schema).json(path)
 
 
+@query(
+    "A13_split_manifest",
+    sql("""select lang as language, split, sum(n)::bigint as sentences, sum(t)::bigint as tokens, sha256(string_agg(d, '' order by g)) as sha256, 42::bigint as seed
+        from (select lang, split, h[1:4] as g, sha256(string_agg(h, '' order by h)) as d, count(*) as n, sum(n_tok) as t
+          from (select lang, split, sha256(line) as h, n_tok from lsplit join (select doc_id, line_no, count(*) as n_tok from ltok group by all) k using (doc_id, line_no))
+          group by all) group by lang, split"""),
+)
+def _(spark, sf):
+    from ..sources.records import split_manifest
+
+    rows = split_80_10_10(I.lines(spark, sf), I.SEED, KEYS).withColumnRenamed("lang", "language")
+    made = split_manifest(rows, ["language"], "line", F.size(tokens(F.col("line"))), seed=I.SEED)
+    parts = made.select("language", "seed", F.explode("files").alias("split", "f"))
+    return parts.select("language", "split", "f.sentences", "f.tokens", "f.sha256", "seed")
+
+
 @query("Q4_seeded_split", sql("select doc_id, line_no, split from lsplit"))
 def _(spark, sf):
     return split_80_10_10(I.lines(spark, sf).select(*KEYS), I.SEED, KEYS)

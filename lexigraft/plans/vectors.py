@@ -378,13 +378,13 @@ def _(spark, sf):
     return r.select("anchors", F.round("residual", 4).alias("residual"), F.round("unaligned", 4).alias("unaligned"))
 
 
-@query("R13_alignment_record", sql("select 'en' as language, count(*) as anchor_tokens, 64::bigint as vector_dimension, 64::bigint as model_dimension, (select count(*) from wvec) as vector_vocab_size, true as aligned, true as orthogonal from anchor"))
+@query("R13_alignment_record", sql("select 'en' as language, 'W_en' as path, 42::bigint as seed, '64x64' as shape, count(*) as anchor_tokens, 64::bigint as vector_dimension, 64::bigint as model_dimension, (select count(*) from wvec) as vector_vocab_size, true as aligned, true as orthogonal from anchor"))
 def _(spark, sf):
     pairs = stable(_anchor_pairs(spark, sf))
     w = alignment.procrustes(pairs, DIM, DIM)
-    rec = alignment.alignment_record(pairs, w, I.OLD_LANG, I.word_vectors(I.words(spark, sf), spark, sf).select("word"))
+    rec = alignment.alignment_record(pairs, w, I.OLD_LANG, I.word_vectors(I.words(spark, sf), spark, sf).select("word"), path="W_en", seed=I.SEED)
     return rec.select(
-        "language", "anchor_tokens", "vector_dimension", "model_dimension", "vector_vocab_size",
+        "language", "path", "seed", F.concat_ws("x", F.col("shape").cast("array<string>")).alias("shape"), "anchor_tokens", "vector_dimension", "model_dimension", "vector_vocab_size",
         (F.col("residual_frobenius") <= F.col("unaligned_frobenius")).alias("aligned"),
         (F.col("orthogonality_max_abs_error") < 1e-8).alias("orthogonal"),
     )

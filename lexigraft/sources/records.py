@@ -10,11 +10,11 @@ PROJECTION = (
     "struct<kind:string,source:string,author_supplied:boolean,training_status:string,"
     "trained_during_this_run:boolean>"
 )
-DATASET = "struct<source:string,split:string,seed:int,status:string,reason:string>"
+DATASET = "struct<source:string,split:string,seed:int,status:string,reason:string,note:string>"
 VECTORS = "struct<source:string,dimension:int,vocab_size:bigint,sha256:string>"
 PROVENANCE = (
     "struct<commit:string,branch:string,dirty:boolean,config_sha256:string,"
-    f"dataset_manifest:{DATASET},vectors:map<string,{VECTORS}>,python:string,"
+    f"dataset_manifest:{DATASET},fasttext:map<string,{VECTORS}>,python:string,"
     "packages:map<string,string>>"
 )
 RUN_RECORD = (
@@ -26,10 +26,20 @@ PARTITIONS = ["language", "task", "system"]
 
 
 def read_runs(
-    spark: SparkSession, path: str, task: str | None = None, language: str | None = None
+    spark: SparkSession, path: str, task: str | None = None, language: str | None = None, multiline: bool = False
 ) -> DataFrame:
-    """Run records of a folder; task and language prune partitions when stored by them."""
-    runs = spark.read.schema(RUN_RECORD).option("recursiveFileLookup", False).json(path)
+    """Run records of a folder; task and language prune partitions when stored by them.
+
+    One record per line, or with ``multiline`` one indented record (or list of records) per file, in
+    any depth of folders. A record that does not parse fails the job instead of reading as nulls.
+    The vector map of a record's provenance, stored as ``fasttext``, is ``provenance.vectors`` here.
+    """
+    reader = spark.read.schema(RUN_RECORD).option("mode", "FAILFAST")
+    if multiline:
+        reader = reader.option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json")
+    runs = reader.json(path)
+    p = F.col("provenance")
+    runs = runs.withColumn("provenance", p.withField("vectors", p["fasttext"]).dropFields("fasttext"))
     if task:
         runs = runs.filter(F.col("task") == task)
     if language:
@@ -38,7 +48,44 @@ def read_runs(
 
 
 def write_runs(runs: DataFrame, path: str) -> None:
-    runs.write.partitionBy(*PARTITIONS).json(path)
+    p = F.col("provenance")
+    stored = runs.withColumn("provenance", p.withField("fasttext", p["vectors"]).dropFields("vectors"))
+    stored.write.partitionBy(*PARTITIONS).json(path)
+
+
+def with_manifest(runs: DataFrame, manifest: Column, folder: Column) -> Column:
+    """The dataset manifest of a run, or a record that says that there is none in ``folder``."""
+    kind = runs.select(manifest.alias("m")).schema["m"].dataType
+    missing = {"status": F.lit("unavailable"), "reason": F.concat(F.lit("no manifest in "), folder), "note": F.lit("the splits cannot be traced to a source")}
+    fields = [missing.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields]
+    return F.coalesce(manifest, F.struct(*fields))
+
+
+def split_manifest(rows: DataFrame, keys: list[str], text: str, n_tokens: Column, split: str = "split", seed: int | None = None) -> DataFrame:
+    """(keys, sentences, tokens, counts, checksums, seed): what a prepared data set consists of.
+
+    ``counts`` has rows and tokens per split; a split's checksum is the sha256 of its rows' own sha256
+    values in order, so it does not depend on how the rows are stored and no split is gathered: the
+    digests are first brought together in 65,536 groups by their leading digits.
+    """
+    digest = F.sha2(F.col(text).cast("string"), 256)
+    grouped = (
+        rows.select(*keys, split, digest.alias("d"), n_tokens.cast("bigint").alias("t"))
+        .groupBy(*keys, split, F.substring("d", 1, 4).alias("g"))
+        .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"), F.sum("t").alias("t"))
+    )
+    per_split = grouped.groupBy(*keys, split).agg(
+        F.sum("n").alias("n"),
+        F.sum("t").alias("t"),
+        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("sha256"),
+    )
+    entry = F.struct(F.col("n").alias("sentences"), F.col("t").alias("tokens"), "sha256")
+    return per_split.groupBy(*keys).agg(
+        F.sum("n").alias("sentences"),
+        F.sum("t").alias("tokens"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col(split).alias("key"), entry.alias("value"))))).alias("files"),
+        F.lit(seed).cast("bigint").alias("seed"),
+    )
 
 
 def upsert_manifest(existing: DataFrame, new: DataFrame, key: str = "language") -> DataFrame:

@@ -17,7 +17,6 @@ DOCUMENT = (
 )
 LOOSE_DOCUMENT = "version string, data array<struct<title:string,paragraphs:array<string>>>"
 
-MAX_SINGLE_FILE_ROWS = 100_000  # above this a split is never gathered into one JSON document
 
 
 def read_documents(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
@@ -75,17 +74,21 @@ def lenient_paragraphs(raw: DataFrame, json: str, default_title: str, *keys: str
     )
 
 
-def table_row_triples(rows: DataFrame, cells: str, *keys: str, compat: bool = False) -> DataFrame:
+def table_row_triples(rows: DataFrame, cells: str, *keys: str, compat: bool = False, row_no: str | None = None) -> DataFrame:
     """(keys, pos, context, question, answer) from table rows with packed cells.
 
+    ``row_no`` names the column that numbers the rows of a table from 0; row 0 is its header and is
+    skipped. Without it every row is data.
+
     Needs six cells: context, questions and answers are the fourth to sixth. Questions
     and answers pair by position, the shorter list ends the pairing.
     """
     def unpack(i: int) -> Column:
         return F.transform(split_packed(F.get(cells, F.lit(i)), compat), strip_numbering)
 
+    data = rows if row_no is None else rows.filter(F.col(row_no) > 0)
     return (
-        rows.filter(F.size(cells) >= 6)
+        data.filter(F.size(cells) >= 6)
         .select(*keys, F.get(cells, F.lit(3)).alias("context"), unpack(4).alias("qs"), unpack(5).alias("ans"))
         .withColumn("n", F.least(F.size("qs"), F.size("ans")))
         .select(
@@ -98,20 +101,20 @@ def table_row_triples(rows: DataFrame, cells: str, *keys: str, compat: bool = Fa
     )
 
 
-def write_squad(items: DataFrame, path: str, version: str = "1.0", single_file: bool = False) -> None:
+def question_manifest(classed: DataFrame, *keys: str, kind: str = "class") -> DataFrame:
+    """(keys, extractive_qa_pairs, abstractive_dropped, unanswerable_dropped) from questions with their class."""
+    of = lambda name: F.count_if(F.col(kind) == name)
+    return classed.groupBy(*keys).agg(
+        of("extractive").alias("extractive_qa_pairs"), of("abstractive").alias("abstractive_dropped"), of("unanswerable").alias("unanswerable_dropped")
+    )
+
+
+def write_squad(items: DataFrame, path: str, version: str = "1.0") -> None:
     """``items(split, title, context, qas)`` as SQuAD JSON below one folder per split.
 
-    By default each line is a complete document holding one article: no split is ever
-    gathered. ``single_file`` writes one document per split and refuses large splits.
+    Each line is a complete document holding one article: no split is ever gathered.
     """
-    article = F.struct("title", "context", "qas")
-    if single_file:
-        largest = items.groupBy("split").count().agg(F.max("count")).first()[0] or 0
-        if largest > MAX_SINGLE_FILE_ROWS:
-            raise ValueError(f"a split has {largest} articles; write it as lines instead")
-        docs = items.groupBy("split").agg(F.collect_list(article).alias("data"))
-    else:
-        docs = items.select("split", F.array(article).alias("data"))
+    docs = items.select("split", F.array(F.struct("title", "context", "qas")).alias("data"))
     docs.select(
         "split", F.to_json(F.struct(F.lit(version).alias("version"), "data")).alias("value")
     ).write.partitionBy("split").text(path)

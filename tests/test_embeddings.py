@@ -143,3 +143,40 @@ def test_top_k_equals_brute_force_in_both_layouts(spark, k):
 def test_unknown_initializer_is_an_error(spark):
     with pytest.raises(ValueError, match="unknown initializer"):
         E.initialize("nope", E.InitInputs(tokens=None, old_rows=None))
+
+
+@pytest.mark.parametrize("dim", [2, 64, 127, 129, 768])
+def test_vector_sums_treat_nulls_and_weights_alike_at_every_width(spark, dim):
+    ones, holed = [1.0] * dim, [None] + [3.0] * (dim - 1)
+    rows = spark.createDataFrame(
+        [("a", ones, 2.0), ("a", holed, -1.0), ("a", None, 5.0), ("a", ones, None), ("z", ones, 0.0), ("n", None, 1.0)],
+        "k string, vec array<double>, w double",
+    )
+    got = {r["k"]: r for r in E.sum_vectors(rows, ["k"], dim, weight=F.col("w")).collect()}
+    assert got["a"]["n"] == 2 and np.allclose(got["a"]["sums"], [2.0] + [-1.0] * (dim - 1))
+    assert got["z"]["n"] == 1 and np.allclose(got["z"]["sums"], np.zeros(dim)) and got["n"]["n"] == 0
+    means = {r["k"]: r for r in E.mean_vectors(rows, ["k"], dim).collect()}
+    assert set(means) == {"a", "z"} and means["a"]["n"] == 3 and np.allclose(means["a"]["vec"], [2 / 3] + [5 / 3] * (dim - 1))
+
+
+@pytest.mark.parametrize("copies", [1, 1500])
+def test_uncovered_morphemes_do_not_count_however_often_they_occur(spark, copies):
+    tokens = spark.createDataFrame([(f"t{i}", ["known", "bare", "absent"]) for i in range(copies)], "token string, morphemes array<string>")
+    vectors = spark.createDataFrame([("known", [2.0, 4.0]), ("bare", None)], "word string, vec array<double>")
+    got = E.morpheme_means(tokens, vectors, 2).select("n", "vec").distinct().collect()
+    assert [(r["n"], r["vec"]) for r in got] == [(1, [2.0, 4.0])]
+
+
+def test_top_k_takes_references_of_any_length(spark):
+    refs = spark.createDataFrame([(1, [3.0, 0.0]), (2, [1.0, 0.0]), (3, [-9.0, 0.0])], "id long, vec array<double>")
+    queries = spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vec array<double>")
+    for limit in (1 << 30, 0):
+        assert [r["ref_id"] for r in similarity.top_k_similar(queries, refs, 2, 2, broadcast_bytes=limit).orderBy("rank").collect()] == [1, 2]
+
+
+def test_cell_std_equals_numpy(spark):
+    rows = np.random.default_rng(4).normal(size=(30, 5))
+    table = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "id long, vec array<double>")
+    got = E.cell_std(table).first()
+    assert got["n_cells"] == 150 and np.isclose(got["std"], rows.std(ddof=1))
+    assert E.cell_std(table.limit(0)).first()["std"] is None

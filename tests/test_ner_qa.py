@@ -92,11 +92,10 @@ def test_squad_forms_and_round_trip(spark, tmp_path):
         assert (c["extractive"], c["abstractive"], c["unanswerable"]) == (2, 1, 1)
     kept = qa.keep_valid(squad.paragraphs(squad.read_documents(spark, str(tmp_path / "a.json"))).filter("context <> ''"))
     items = kept.withColumn("split", F.lit("train"))
-    for single in (False, True):
-        path = str(tmp_path / f"out{single}")
-        squad.write_squad(items, path, single_file=single)
-        back = squad.flatten_squad(squad.read_documents(spark, path, lines=True))
-        assert sorted(r["id"] for r in back.collect()) == ["1", "five"]
+    path = str(tmp_path / "out")
+    squad.write_squad(items, path)
+    back = squad.flatten_squad(squad.read_documents(spark, path, lines=True))
+    assert sorted(r["id"] for r in back.collect()) == ["1", "five"]
 
 
 def test_to_squad_leaves_gaps(spark):
@@ -197,3 +196,19 @@ def test_encode_mask_and_pad(spark):
     for r in rows:
         assert len(r["ids"]) == len(r["attention_mask"]) == max(len(want[x["k"]]) for x in rows if x["batch"] == r["batch"])
         assert r["ids"][: sum(r["attention_mask"])] == want[r["k"]]
+
+
+@pytest.mark.parametrize("shipped", [1 << 20, 0])
+def test_a_token_listed_twice_has_its_smallest_id(spark, shipped):
+    vocab = spark.createDataFrame([("a", 5), ("a", 1), ("b", 2)], "token string, id long")
+    lines = spark.createDataFrame([(0, "a b c a"), (1, None)], "k int, line string")
+    got = corpus.encode(lines, vocab, 0, 9, ["k"], "line", shipped_bytes=shipped)
+    assert {r["k"]: r["ids"] for r in got.collect()}[0] == [1, 2, 0, 1]
+
+
+def test_a_question_without_room_is_reported_or_fails(spark):
+    rows = spark.createDataFrame([("a", "q " * 50, "c d e"), ("b", "q", "c d e")], "id string, question string, context string")
+    assert {r["id"] for r in qa.context_windows(rows, 40, 8, long_questions="skip").collect()} == {"b"}
+    assert [r["id"] for r in qa.too_long(rows, 40, 8).collect()] == ["a"]
+    with pytest.raises(Exception, match="no room"):
+        qa.context_windows(rows, 40, 8).collect()

@@ -66,7 +66,7 @@ def test_provenance_datasets_and_warnings(spark, tmp_path):
     p = lambda commit, manifest=None, dirty=False: {
         "commit": commit, "dirty": dirty, "config_sha256": "c" * 40, "dataset_manifest": manifest,
         "python": "3.13", "packages": {"numpy": "2.0"},
-        "vectors": {"tigrinya": {"dimension": 300, "vocab_size": 156687, "sha256": "f8b1f97f76dd5516"}},
+        "fasttext": {"tigrinya": {"dimension": 300, "vocab_size": 156687, "sha256": "f8b1f97f76dd5516"}},
     }
     good = {"source": "s", "split": "random", "seed": 42}
     runs = load(
@@ -149,3 +149,46 @@ def test_metric_stats_use_the_population_formula(spark):
     rows = spark.createDataFrame([("g", 1.0, None), ("g", 2.0, 4.0), ("g", 6.0, None)], "k string, a double, b double")
     got = {r["metric"]: (r["n"], r["mean"], r["std"]) for r in R.metric_stats(rows, ["k"], {"a": F.col("a"), "b": F.col("b")}).collect()}
     assert got["a"] == (3, 3.0, pytest.approx((14 / 3) ** 0.5)) and got["b"] == (1, 4.0, 0.0)
+
+
+def run_record(**more):
+    record = {
+        "experiment": "e", "system": "s", "task": "ner", "language": "am", "seed": 42, "test": {"f1": 50.0},
+        "projection": None, "unavailable_hyperparameters": 2,
+        "provenance": {"commit": "c" * 40, "dirty": False, "fasttext": {"am": {"source": "x", "dimension": 300, "vocab_size": 7, "sha256": "d"}},
+                       "packages": {"numpy": "2"}, "python": "3.13"},
+    }
+    return record | more
+
+
+def test_indented_records_are_read_and_never_become_nulls(spark, tmp_path):
+    from pyspark.errors import PySparkException
+
+    for i in range(3):
+        (tmp_path / f"r{i}").mkdir()
+        (tmp_path / f"r{i}" / "experiment.json").write_text(json.dumps(run_record(seed=i), indent=2))
+    runs = records.read_runs(spark, str(tmp_path), multiline=True)
+    got = runs.select("seed", "provenance.commit", F.col("provenance.vectors")["am"]["dimension"].alias("d"), "test.f1").collect()
+    assert sorted(tuple(r) for r in got) == [(i, "c" * 40, 300, 50.0) for i in range(3)]
+    with pytest.raises(PySparkException):  # an indented record is no line of JSON
+        records.read_runs(spark, str(tmp_path / "r0")).collect()
+    (tmp_path / "r0" / "broken.json").write_text('{"experiment": "e", "seed": ')
+    with pytest.raises(PySparkException):
+        records.read_runs(spark, str(tmp_path), multiline=True).collect()
+
+
+def test_runs_without_a_manifest_say_so(spark, tmp_path):
+    (tmp_path / "r.json").write_text(json.dumps(run_record()))
+    runs = records.read_runs(spark, str(tmp_path))
+    m = runs.select(records.with_manifest(runs, F.col("provenance.dataset_manifest"), F.lit("data/am")).alias("m")).first()["m"]
+    assert m["status"] == "unavailable" and "data/am" in m["reason"] and m["source"] is None
+
+
+def test_a_split_checksum_does_not_depend_on_the_layout(spark):
+    rows = spark.createDataFrame([("am", "train", f"line {i}") for i in range(50)] + [("am", "dev", "x")], "language string, split string, line string")
+    made = [records.split_manifest(rows.repartition(n), ["language"], "line", F.lit(2), seed=1).collect() for n in (1, 5)]
+    assert made[0] == made[1]
+    files = made[0][0]["files"]
+    assert files["train"]["sentences"] == 50 and files["train"]["tokens"] == 100 and files["dev"]["sha256"] != files["train"]["sha256"]
+    other = records.split_manifest(rows.filter("line <> 'line 3'"), ["language"], "line", F.lit(2)).first()["files"]
+    assert other["train"]["sha256"] != files["train"]["sha256"] and other["dev"] == files["dev"]
