@@ -83,17 +83,16 @@ def sum_vectors(
     """(keys, n, weight, sums): elementwise (weighted) sum with map-side partial sums, the same for every width.
 
     Rows without a vector or a weight are not counted; a group of such rows has n = 0 and zero sums.
-    A missing cell adds nothing; weights may be zero or negative.
+    The first ``dim`` cells count and a missing one adds nothing; weights may be zero or negative.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
 
     w = F.lit(1.0) if weight is None else weight.cast("double")
     known = F.col(vec).isNotNull() & w.isNotNull()
-    cells = F.transform(vec, lambda x: F.coalesce(x.cast("double"), F.lit(0.0)))
-    if weight is not None:
-        rows = rows.withColumn("__w", w)
-        cells = F.transform(vec, lambda x: F.coalesce(x.cast("double") * F.col("__w"), F.lit(0.0)))
+    rows = rows.withColumn("__w", w)
+    places = F.sequence(F.lit(0), F.lit(dim - 1))
+    cells = F.transform(places, lambda i: F.coalesce(F.get(vec, i).cast("double") * F.col("__w"), F.lit(0.0)))
     # the mean times the count is the sum; a row that does not count is a zero vector beside it
     packed = array_to_vector(F.when(known, cells).otherwise(F.array_repeat(F.lit(0.0), dim)))
     return rows.groupBy(*keys).agg(
