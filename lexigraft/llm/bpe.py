@@ -24,10 +24,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_by_bytes
+from .common import release, text_parts
 
-CACHE_WORDS = 400_000
-BATCH_BYTES = 1 << 21
+CACHE_WORDS = 200_000
+BATCH_BYTES = 1 << 20
 _NONE = np.int64(1) << 62
 _WIDEST = 64
 #: A blank after white space, or at the start.
@@ -245,13 +245,12 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
         for batch in batches:
-            sizes = [0 if n is None else n for n in pc.binary_length(batch.column(1)).to_pylist()]
-            for a, b in spans_by_bytes(sizes, BATCH_BYTES):
-                texts = ["" if t is None else t for t in batch.column(1).slice(a, b - a).to_pylist()]
+            for a, texts in text_parts(batch.column(1), BATCH_BYTES):
                 ids = bpe.encode(texts)
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 column = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), column], [id_col, "ids"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(texts)), column], [id_col, "ids"])
+        release()
 
     some = docs.select(id_col, F.col(text_col).cast("string"))
     return some.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, ids array<int>")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Words are runs of anything but ASCII white space.
@@ -32,11 +33,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def text_of(column: pa.Array) -> list[str]:
-    """The strings of a column; null reads as empty."""
-    return ["" if x is None else x for x in column.to_pylist()]
-
-
 def spans_by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Cut rows 0..n into consecutive ranges of about ``limit`` bytes; a larger row stands alone."""
     start = total = 0
@@ -47,3 +43,18 @@ def spans_by_bytes(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         total += size
     if start < len(sizes):
         yield start, len(sizes)
+
+
+def text_parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
+    """(first row, strings) of consecutive rows of about ``limit`` bytes; null reads as empty.
+
+    Only one part at a time becomes Python strings, whatever the size of the batch.
+    """
+    sizes = [n or 0 for n in pc.binary_length(column).to_pylist()]
+    for a, b in spans_by_bytes(sizes, limit):
+        yield a, ["" if x is None else x for x in column.slice(a, b - a).to_pylist()]
+
+
+def release() -> None:
+    """Give unused Arrow memory back at the end of a task: Python workers live on."""
+    pa.default_memory_pool().release_unused()

@@ -19,12 +19,12 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import spans_by_bytes, text_of
+from .common import release, text_parts
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 SMOOTHING = 0.1
-BATCH_CHARS = 1 << 19
+BATCH_BYTES = 1 << 18
 UNKNOWN = "und"
 _MULTIPLIERS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
@@ -83,12 +83,6 @@ class Model:
         return [self.languages[b] if h else UNKNOWN for b, h in zip(best.tolist(), has.tolist(), strict=True)], score
 
 
-def _parts(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    texts = text_of(column)
-    for a, b in spans_by_bytes(list(map(len, texts)), BATCH_CHARS):
-        yield a, texts[a:b]
-
-
 def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> Model:
     """Count the n-grams of every row that has a text and a label.
 
@@ -101,7 +95,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> M
         rows: dict[str, int] = {}
         for batch in batches:
             labels = batch.column(1).to_pylist()
-            for a, texts in _parts(batch.column(0)):
+            for a, texts in text_parts(batch.column(0), BATCH_BYTES):
                 own = labels[a : a + len(texts)]
                 names = sorted(set(own))
                 at = np.array([names.index(x) for x in own], np.int64)
@@ -115,6 +109,7 @@ def train(docs: DataFrame, text_col: str = "text", label_col: str = "lang") -> M
             bucket = pa.array(np.append(full, -1).astype(np.int32))
             n = pa.array(np.append(counts[full], rows[name]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), bucket, n], ["label", "bucket", "n"])
+        release()
 
     labelled = docs.select(F.col(text_col).cast("string"), F.col(label_col).cast("string")).filter(
         F.col(text_col).isNotNull() & F.col(label_col).isNotNull()
@@ -140,7 +135,7 @@ def predict(spark: SparkSession, text: Column, model: Model) -> Column:
     def score(texts: pa.Array) -> pa.Array:
         langs: list[str] = []
         scores = [np.zeros(0)]
-        for _, part in _parts(texts):
+        for _, part in text_parts(texts, BATCH_BYTES):
             lang, posterior = shared.value.score(part)
             langs += lang
             scores.append(posterior)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from .common import spans_by_bytes, text_of
+from .common import release, text_parts
 from .components import connected_components
 from .shingles import MinHash, digest, fingerprints, shingle_set
 
@@ -37,8 +37,8 @@ BANDS, ROWS = 32, 5
 BATCH = 32
 MISS = 1e-6
 PIVOT_ROUNDS = 3
-BLOCK = 256
-BATCH_BYTES = 1 << 20
+BLOCK = 1024
+BATCH_BYTES = 1 << 18
 #: Ids of candidates up to this number are sent to all tasks; beyond, they are joined by a shuffle.
 BROADCAST_IDS = 1 << 20
 
@@ -76,16 +76,16 @@ def linked(a: set, b: set, percent: int) -> bool:
 
 
 class _Sets:
-    """The last few shingle sets that a task has made."""
+    """The last few shingle sets that a task has made, by their signatures."""
 
     def __init__(self, k: int, room: int = 64):
         self.k, self.room, self.kept = k, room, OrderedDict()
 
-    def of(self, key: object, text: str) -> set:
+    def of(self, key: object, text: pa.Scalar) -> set:
         if key in self.kept:
             self.kept.move_to_end(key)
         else:
-            self.kept[key] = shingle_set(text, self.k)
+            self.kept[key] = shingle_set(text.as_py(), self.k)
             if len(self.kept) > self.room:
                 self.kept.popitem(last=False)
         return self.kept[key]
@@ -102,16 +102,16 @@ def fingerprint_table(docs: DataFrame, k: int, id_col: str, text_col: str) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minhash = MinHash(BANDS, ROWS)
         for batch in batches:
-            texts, ids = text_of(batch.column(1)), batch.column(0)
-            for a, b in spans_by_bytes(list(map(len, texts)), BATCH_BYTES):
-                prints = fingerprints(texts[a:b], k)
-                own = ids.slice(a, b - a)
+            for a, texts in text_parts(batch.column(1), BATCH_BYTES):
+                prints = fingerprints(texts, k)
+                own = batch.column(0).slice(a, len(texts))
                 digests = [digest(p) if p.size else f"empty {i}".encode() for p, i in zip(prints, own.to_pylist(), strict=True)]
                 signatures = [minhash.signature(p).tobytes() if p.size else None for p in prints]
                 yield pa.RecordBatch.from_arrays(
                     [own, pa.array(map(len, prints), pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())],
                     ["id", "n", "digest", "signature"],
                 )
+        release()
 
     some = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return some.mapInArrow(run, f"id {dict(docs.dtypes)[id_col]}, n bigint, digest binary, signature binary")
@@ -127,6 +127,7 @@ def band_table(nodes: DataFrame) -> DataFrame:
                 keys = minhash.keys(_signed(batch.column(2))).ravel()
                 at = pa.array(np.repeat(np.arange(batch.num_rows), BANDS))
                 yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(0).take(at), batch.column(1).take(at)], ["key", "id", "n"])
+        release()
 
     kind = dict(nodes.dtypes)["id"]
     return nodes.select("id", "n", "signature").mapInArrow(run, f"key bigint, id {kind}, n bigint")
@@ -147,9 +148,9 @@ def verify_pairs(pairs: DataFrame, nodes: DataFrame, k: int, percent: int) -> Da
                 continue
             kept = may_link(_signed(batch.column(2)), _signed(batch.column(4)), percent)
             some = batch.take(pa.array(kept))
-            a, b, at, bt = (some.column(i).to_pylist() for i in (0, 1, 3, 5))
-            ok = [linked(sets.of((x, 0), s), shingle_set(t, k), percent) for x, s, t in zip(a, at, bt, strict=True)]
+            ok = [linked(sets.of(own.as_py(), left), shingle_set(right.as_py(), k), percent) for own, left, right in zip(some.column(2), some.column(3), some.column(5), strict=True)]
             yield pa.RecordBatch.from_arrays([some.column(0), some.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
+        release()
 
     kind = dict(pairs.dtypes)["a"]
     full = pairs.join(nodes.select(F.col("id").alias("b"), F.col("signature").alias("sb"), F.col("text").alias("tb")), "b").join(
@@ -174,9 +175,16 @@ def verify_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
         left = np.nonzero(own == i)[0]
         right = left if i == j else np.nonzero(own == j)[0]
         ids, texts = table.column("id").to_pylist(), table.column("text")
-        sets: dict[int, set] = {}
+        numbers: dict[tuple, int] = {}
+        sets: dict[int, np.ndarray] = {}
         group = {c: c for c in comp.tolist()}
 
+        def numbered(z: int) -> np.ndarray:
+            """The full shingle set as numbers that stand for this block's different shingles."""
+            if z not in sets:
+                sets[z] = np.array([numbers.setdefault(s, len(numbers)) for s in shingle_set(texts[z].as_py(), k)], np.int32)
+            return sets[z]
+
         def root(c: object) -> object:
             while group[c] != c:
                 c = group[c]
@@ -192,14 +200,17 @@ def verify_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
             if not others.size:
                 continue
             kept = may_link(np.broadcast_to(signatures[x], (others.size, signatures.shape[1])), signatures[others], percent)
+            own_set, mark = numbered(x) if kept.size else None, None
             for y in others[kept].tolist():
                 one, other = root(comp[x]), root(comp[y])
                 if one == other:
                     continue
-                for z in (x, y):
-                    if z not in sets:
-                        sets[z] = shingle_set(texts[z].as_py(), k)
-                if linked(sets[x], sets[y], percent):
+                right_set = numbered(y)
+                if mark is None or mark.size < len(numbers):
+                    mark = np.zeros(2 * len(numbers), np.bool_)
+                    mark[own_set] = True
+                both = int(np.count_nonzero(mark[right_set]))
+                if both and 100 * both >= percent * (own_set.size + right_set.size - both):
                     group[max(one, other)] = min(one, other)
                     found.append((ids[x], ids[y]))
         return found
@@ -230,6 +241,7 @@ def verify_blocks(rows: DataFrame, k: int, percent: int) -> DataFrame:
                 last = now
                 held.append(batch.slice(a, b - a))
         yield from flush()
+        release()
 
     kind = dict(rows.dtypes)["id"]
     id_type = pa.string() if kind == "string" else pa.int64()
@@ -297,14 +309,21 @@ def near_duplicates(
         tested = both if tested is None else tested.union(both)
         comps = written(_merged(comps, links), f"groups-{turn}")
 
-    # what pivots have not joined: members of different groups that share a bucket
+    # what pivots have not joined: members of different groups that share a bucket. The members of a
+    # bucket's largest group need not be compared with each other, so their blocks meet the others' only
     own = members.filter("m > 2").join(comps, "id")
-    open_keys = own.groupBy("key").agg(F.count("*").alias("size"), F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low != high")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sizes = own.groupBy("key", "comp").agg(F.count("*").alias("size"))
+    shape = sizes.groupBy("key").agg(
+        F.sum("size").alias("all"), F.max(F.struct("size", F.col("comp").alias("main"))).alias("top"), F.count("*").alias("groups")
+    )
+    major = F.ceil(F.col("top.size") / BLOCK).cast("int")
+    minor = F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int")
+    open_keys = shape.filter("groups > 1").select("key", F.col("top.main").alias("main"), major.alias("major"), minor.alias("minor"))
+    in_main = F.col("comp") == F.col("main")
     spread = (
-        own.join(open_keys.select("key", blocks.alias("blocks")), "key")
-        .withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        own.join(open_keys, "key")
+        .withColumn("block", F.when(in_main, F.col("minor") + F.pmod(F.xxhash64("id"), F.col("major"))).otherwise(F.pmod(F.xxhash64("id"), F.col("minor"))).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(in_main, F.col("minor")).otherwise(F.col("minor") + F.col("major")) - 1)))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "comp", "n")
     )
     links = written(verify_blocks(spread.join(full, "id"), shingle_words, percent), "links-rest")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_parts
 from .spans import SPAN_TYPE, by_start
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -39,12 +39,12 @@ _SKIP_MEAN, _CHAIN_MEAN, _RIDGE = 4.0, 0.0, 0.02
 # The base patterns. An address is matched from its @ to the right, see _emails.
 _AT_HOST = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _USER = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PLUS = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _CARD_DIGITS, _PHONE_DIGITS = (14, 19), (10, 15)
 
-_NUMBER = re.compile(r"\(?[0-9][\x20().0-9-]*[0-9]")
+_NUMBER = re.compile(r"\(?[0-9](?:[\x20().-]{0,3}[0-9])*")
 _WORD = re.compile(r"[^\x20\x09-\x0D]*")
 _ANY = re.compile(r"[0-9@]")
 # Words whose company suggests a kind.
@@ -254,7 +254,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Weights:
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in text_of(batch.column(0)):
+            for text in (t for _, part in text_parts(batch.column(0)) for t in part):
                 if not _ANY.search(text):
                     continue
                 base = base_spans(text)
@@ -285,7 +285,7 @@ def find_personal_data(spark: SparkSession, text: Column, weights: Weights) -> C
 
     @F.arrow_udf(SPAN_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in scan_text(t, shared.value)] for t in text_of(texts)]
+        rows = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in scan_text(t, shared.value)] for _, part in text_parts(texts) for t in part]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])))
 
     return scan(text.cast("string"))
@@ -305,6 +305,7 @@ def redact(spark: SparkSession, text: Column, weights: Weights) -> Column:
 
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else clean(t) for t in texts.to_pylist()], pa.string())
+        cleaned = [clean(t) for _, part in text_parts(texts) for t in part]
+        return pa.array(cleaned, pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
     return run(text.cast("string"))

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import text_parts
 from .spans import SPAN_TYPE, by_start
 
 LEAST_CHARS = 16
@@ -92,7 +92,7 @@ def find_secrets(text: Column, path: str, pattern: str) -> Column:
 
     @F.arrow_udf(SPAN_TYPE)
     def scan(texts: pa.Array) -> pa.Array:
-        rows = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in scan_text(t, path, pattern)] for t in text_of(texts)]
+        rows = [[dict(zip(("kind", "start", "end", "base"), s, strict=True)) for s in scan_text(t, path, pattern)] for _, part in text_parts(texts) for t in part]
         return pa.array(rows, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())])))
 
     return scan(text.cast("string"))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .common import spans_by_bytes, text_of
+from .common import spans_by_bytes, text_parts
 
 CHUNK_BYTES = 64
 CALL_BYTES = 1 << 18
@@ -103,6 +103,6 @@ def token_count(text: Column, path: str) -> Column:
 
     @F.arrow_udf("bigint")
     def counted(texts: pa.Array) -> pa.Array:
-        return pa.array(count_texts(text_of(texts), path), pa.int64())
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *(count_texts(part, path) for _, part in text_parts(texts))]))
 
     return counted(text.cast("string"))
