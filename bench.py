@@ -24,9 +24,12 @@ HEADLINE = [
     "D1_vector_lookup",
     "D3_morpheme_average",
     "D6_fallback_chain_projected",
+    "D12_similarity_initializer",
+    "D14_initializer_comparison",
     "D15_gram_matrix",
     "D17_drift_penalty",
     "G1_mean_and_population_std",
+    "J9_similarity_top_k",
     "L1_encode_lines",
     "L2_mlm_masking",
     "L3_shuffled_batches",
