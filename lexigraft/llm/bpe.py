@@ -267,6 +267,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
         bpe = vocabulary(path, pattern)
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False), [0 if n is None else n for n in pc.list_value_length(ids).to_pylist()]
         cuts = np.cumsum([0, *ends])
+        release()
         return pa.array([None if null else bpe.decode(flat[a:b]) for a, b, null in zip(cuts, cuts[1:], ids.is_null().to_pylist(), strict=False)], pa.binary())
 
     return encoded.withColumn(out_col, read(F.col(ids_col)))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -55,6 +57,13 @@ def text_parts(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, li
         yield a, ["" if x is None else x for x in column.slice(a, b - a).to_pylist()]
 
 
+@lru_cache(maxsize=1)
+def _trim() -> Callable[[int], int]:
+    """Where the C library can give free memory back to the system, its function for that."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
 def release() -> None:
-    """Give unused Arrow memory back at the end of a task: Python workers live on."""
+    """Give unused memory back after a batch or task: Python workers live on between tasks and stages."""
     pa.default_memory_pool().release_unused()
+    _trim()(0)

@@ -139,6 +139,7 @@ def predict(spark: SparkSession, text: Column, model: Model) -> Column:
             lang, posterior = shared.value.score(part)
             langs += lang
             scores.append(posterior)
+        release()
         return pa.StructArray.from_arrays([pa.array(langs, pa.string()), pa.array(np.concatenate(scores))], ["lang", "score"])
 
     return score(text.cast("string"))

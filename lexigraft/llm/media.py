@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import spans_by_bytes
+from .common import release, spans_by_bytes
 
 WIDTH = 64
 BATCH_BYTES = 1 << 20
@@ -157,6 +157,7 @@ def store(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                     [batch.column(0).slice(a, len(data)), pa.array(map(len, data), pa.int64()), pa.array(map(write_png, data), pa.binary())],
                     [id_col, "n_bytes", "media"],
                 )
+            release()
 
     some = docs.select(id_col, F.col(text_col).cast("string").cast("binary"))
     return some.mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_bytes bigint, media binary")
@@ -173,6 +174,7 @@ def read(media: Column) -> Column:
                 rows = None if image is None else read_png(image)
                 payload.append(None if rows is None else rows.tobytes())
                 hashes.append(None if rows is None else frequency_hash(rows))
+        release()
         return pa.StructArray.from_arrays([pa.array(payload, pa.binary()), pa.array(hashes, pa.binary())], ["payload", "hash"])
 
     return back(media)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_parts
+from .common import release, text_parts
 from .spans import SPAN_TYPE, by_start
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -306,6 +306,7 @@ def redact(spark: SparkSession, text: Column, weights: Weights) -> Column:
     @F.arrow_udf("string")
     def run(texts: pa.Array) -> pa.Array:
         cleaned = [clean(t) for _, part in text_parts(texts) for t in part]
+        release()
         return pa.array(cleaned, pa.string(), mask=texts.is_null().to_numpy(zero_copy_only=False))
 
     return run(text.cast("string"))
