@@ -7,14 +7,16 @@ next one with the same key (the address, or the last ``KEY_DIGITS`` digits), how
 joined by an edge share a Potts potential, and loopy belief propagation carries the evidence of one
 mention to the others of its document. A candidate gets a label if its belief reaches ``BELIEF``.
 
-Weights are fitted by pseudo-likelihood, with base spans as labels, on the nodes of about
-``SAMPLE_DOCS`` documents, ``SAMPLE_NODES`` nodes at most; only this fitted sample is bounded.
+Weights are fitted by pseudo-likelihood, with base spans as labels, on the nodes of all documents.
+Equal nodes are counted first and fitted once with their count; a node has at most two neighbours
+of each kind, so the distinct nodes are bounded whatever the number of documents.
 """
 
 from __future__ import annotations
 
 import bisect
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,8 +34,6 @@ KEY_DIGITS = 9
 NEAR_CHARS = 24
 BELIEF = 0.8
 ROUNDS = 12
-SAMPLE_DOCS = 20_000
-SAMPLE_NODES = 20_000
 _SKIP_MEAN, _CHAIN_MEAN, _RIDGE = 4.0, 0.0, 0.02
 
 # The base patterns. An address is matched from its @ to the right, see _emails.
@@ -233,15 +233,19 @@ def scan_text(text: str, weights: Weights) -> list[Span]:
     return by_start(base, KINDS)
 
 
-def fit(unary: np.ndarray, near: np.ndarray, same: np.ndarray, label: np.ndarray, steps: int = 400, rate: float = 0.5) -> Weights:
-    """Pseudo-likelihood: each node given its neighbours' labels (counts by label along both kinds of edge)."""
+def fit(unary: np.ndarray, near: np.ndarray, same: np.ndarray, label: np.ndarray, steps: int = 400, rate: float = 0.5, count: np.ndarray | None = None) -> Weights:
+    """Pseudo-likelihood: each node given its neighbours' labels (counts by label along both kinds of edge).
+
+    A row stands for ``count`` equal nodes, for one by default.
+    """
     labels = len(KINDS) + 1
     weights, chain, skip = np.zeros((unary.shape[1], labels)), _CHAIN_MEAN, _SKIP_MEAN
     truth = np.eye(labels)[label]
-    n = max(1, len(label))
+    count = np.ones(len(label)) if count is None else count
+    share = count[:, None] / max(1, count.sum())
     for _ in range(steps if len(label) else 0):
         score = unary @ weights + chain * near + skip * same
-        off = (np.exp(score - _log_sum(score)) - truth) / n
+        off = (np.exp(score - _log_sum(score)) - truth) * share
         weights -= rate * (unary.T @ off + _RIDGE / 10 * weights)
         chain -= rate * ((near * off).sum() + _RIDGE * (chain - _CHAIN_MEAN))
         skip -= rate * ((same * off).sum() + _RIDGE * (skip - _SKIP_MEAN))
@@ -249,11 +253,11 @@ def fit(unary: np.ndarray, near: np.ndarray, same: np.ndarray, label: np.ndarray
 
 
 def train(docs: DataFrame, text_col: str = "text") -> Weights:
-    """Weights from a sample chosen by the hash of the text; without any node all weights are their priors'."""
+    """Weights from the nodes of all documents; without any node all weights are their priors'."""
 
     def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter[tuple[float, ...]] = Counter()
         for batch in batches:
-            rows = []
             for text in (t for _, part in text_parts(batch.column(0)) for t in part):
                 if not _ANY.search(text):
                     continue
@@ -266,17 +270,21 @@ def train(docs: DataFrame, text_col: str = "text") -> Weights:
                     np.add.at(total, edges[:, 0], eye[edges[:, 1]])
                     np.add.at(total, edges[:, 1], eye[edges[:, 0]])
                     sums.append(total)
-                rows += np.concatenate([field.features, *sums, field.label[:, None]], axis=1).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], ["node"])
-
-    text = F.col(text_col).cast("string")
-    n = docs.count()
-    picked = docs.select(text.alias("text")).filter(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < F.lit(min(1 << 20, (SAMPLE_DOCS << 20) // max(1, n))))
-    found = picked.mapInArrow(nodes, "node array<double>").orderBy(F.xxhash64("node"), "node").limit(SAMPLE_NODES).toArrow()
+                counts.update(map(tuple, np.concatenate([field.features, *sums, field.label[:, None]], axis=1).tolist()))
+            release()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(counts), pa.list_(pa.float64())), pa.array(list(counts.values()), pa.int64())], ["node", "count"]
+        )
+
+    picked = docs.select(F.col(text_col).cast("string").alias("text"))
+    found = picked.mapInArrow(nodes, "node array<double>, count bigint").groupBy("node").agg(F.sum("count").alias("count")).toArrow()
+    # in one order, so that sums of doubles do not depend on the layout
+    rows = sorted(zip(found.column("node").to_pylist(), found.column("count").to_pylist(), strict=True))
     width = len(FEATURES) + 2 * (len(KINDS) + 1) + 1
-    table = np.array(found.column("node").to_pylist(), np.float64).reshape(-1, width)
+    table = np.array([node for node, _ in rows], np.float64).reshape(-1, width)
     a, b = len(FEATURES), len(FEATURES) + len(KINDS) + 1
-    return fit(table[:, :a], table[:, a:b], table[:, b:-1], table[:, -1].astype(np.int64))
+    count = np.array([n for _, n in rows], np.float64)
+    return fit(table[:, :a], table[:, a:b], table[:, b:-1], table[:, -1].astype(np.int64), count=count)
 
 
 def find_personal_data(spark: SparkSession, text: Column, weights: Weights) -> Column:

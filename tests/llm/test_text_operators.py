@@ -198,6 +198,23 @@ def test_consistency_adds_spans_and_keeps_base_ones(spark):
     assert not any("2390" in part for _, part, _ in got)
 
 
+def test_weights_come_from_all_nodes(spark):
+    """More nodes than any sample would hold, most of them equal: as if each had been fitted by itself."""
+    many = " and then there is something else ".join(["12345678"] * 100)
+    texts = [f"{many} number {i}" for i in range(250)] + [f"mail joe{i}@example.com or call +44 20 7946 0{i:03d}" for i in range(40)]
+    parts = []
+    for text in texts:
+        base = pii.base_spans(text)
+        field = pii.field_of(text, base, pii.candidates(text, base))
+        eye = np.eye(len(pii.KINDS) + 1)[field.label]
+        sides = [sum((np.eye(len(field.label))[e[:, i]].T @ eye[e[:, 1 - i]] for i in (0, 1))) for e in (field.chain, field.skip)]
+        parts.append((field.features, *sides, field.label))
+    assert sum(len(p[3]) for p in parts) > 20_000
+    whole = pii.fit(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+    got = pii.train(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    assert np.allclose(got.unary, whole.unary) and np.allclose([got.chain, got.skip], [whole.chain, whole.skip])
+
+
 def test_personal_data_of_edge_cases(spark, edge, empty):
     weights = pii.train(edge)
     rows = edge.select("text", pii.find_personal_data(spark, F.col("text"), weights).alias("s"), pii.redact(spark, F.col("text"), weights).alias("clean")).collect()
