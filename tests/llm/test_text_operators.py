@@ -215,6 +215,21 @@ def test_weights_come_from_all_nodes(spark):
     assert np.allclose(got.unary, whole.unary) and np.allclose([got.chain, got.skip], [whole.chain, whole.skip])
 
 
+def test_candidates_beside_a_base_span_are_scored():
+    """A base span, an adjacent candidate and no repeated key: the candidate has its evidence."""
+    weights = pii.Weights(np.zeros((len(pii.FEATURES), 5)), 0.0, 4.0)
+    phone = pii.KINDS.index("phone") + 1
+    weights.unary[pii.FEATURES.index("cue_phone"), phone] = 6.0
+    text = "write joe@example.com or call 555 771 3302"
+    base = pii.base_spans(text)
+    field = pii.field_of(text, base, pii.candidates(text, base))
+    assert len(field.chain) and not len(field.skip)
+    assert [(k, text[a:b], f) for k, a, b, f in pii.scan_text(text, weights)] == [("email", "joe@example.com", True), ("phone", "555 771 3302", False)]
+    # the chain edge alone: what resembles the mail beside it
+    beside = pii.Weights(np.zeros((len(pii.FEATURES), 5)), 6.0, 4.0)
+    assert [k for k, *_ in pii.scan_text(text, beside)] == ["email", "email"]
+
+
 def test_personal_data_of_edge_cases(spark, edge, empty):
     weights = pii.train(edge)
     rows = edge.select("text", pii.find_personal_data(spark, F.col("text"), weights).alias("s"), pii.redact(spark, F.col("text"), weights).alias("clean")).collect()
