@@ -5,15 +5,17 @@ a run of at least ``LEAST_CHARS`` key characters outside every base span; it cou
 has fewer than ``CHARS_PER_TOKEN`` characters for each token. Left out before that test are
 
 * known digests and identifiers: hexadecimal strings of an md5, sha1, sha2 or git length, UUIDs,
-  numbers, dates, and identifiers made of words of three letters or more and short numbers
-  (``snake_case``, ``camelCase``, paths);
-* words: runs of letters that do not mix cases inside.
+  numbers and dates;
+* words and identifiers: runs of letters that do not mix cases inside, and such runs of three
+  letters or more with short numbers (``snake_case``, ``camelCase``, paths), if their letters
+  compress like words themselves, to ``WORD_CHARS_PER_TOKEN`` or more.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 import pyarrow as pa
@@ -25,6 +27,7 @@ from .spans import SPAN_TYPE, by_start
 
 LEAST_CHARS = 16
 CHARS_PER_TOKEN = 2.2
+WORD_CHARS_PER_TOKEN = 2.0
 
 KINDS = ["assign", "access", "hex", "random"]
 
@@ -40,6 +43,7 @@ _DIGESTS = {32, 40, 56, 64, 96, 128}
 _HEXADECIMAL = re.compile(r"[0-9a-fA-F]+")
 _UUID = re.compile(r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PART = re.compile(r"[A-Z]?[a-z]+[0-9]{0,4}|[A-Z]+[0-9]{0,4}|[0-9]{1,4}")
+_LETTERS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _NUMBER = re.compile(r"[0-9+/_=-]+")
 
 
@@ -50,15 +54,19 @@ def base_spans(text: str) -> list[tuple[str, int, int, bool]]:
     return found
 
 
-def known(run: str) -> bool:
+def known(run: str, encode: Callable[[str], list[int]]) -> bool:
     """A digest, an identifier or a word: not a secret whatever its tokens."""
     if _HEXADECIMAL.fullmatch(run) and len(run) in _DIGESTS or _UUID.fullmatch(run) or _NUMBER.fullmatch(run):
         return True
+    letters = []
     for part in re.split(r"[+/_=-]+", run):
         cut = _PART.findall(part)
         if "".join(cut) != part or len(part) > 4 and any(len(c) < 3 and not c.isdigit() for c in cut):
             return False
-    return True
+        # a name of one or two letters says nothing
+        if len(part) > 2 or not part.isalpha():
+            letters += _LETTERS.findall(part)
+    return sum(map(len, letters)) >= WORD_CHARS_PER_TOKEN * sum(len(encode(x)) for x in letters)
 
 
 @lru_cache(maxsize=2)
@@ -76,10 +84,11 @@ def scan_text(text: str, path: str, pattern: str) -> list[tuple[str, int, int, b
     runs = [m.span() for m in _CANDIDATE.finditer(text)]
     if runs:
         taken = sorted((a, b) for _, a, b, _ in found)
+        encode = _encoding(path, pattern).encode_ordinary
         for a, b in runs:
-            if any(x < b and a < y for x, y in taken) or known(run := text[a:b]):
+            if any(x < b and a < y for x, y in taken) or known(run := text[a:b], encode):
                 continue
-            if len(run) < CHARS_PER_TOKEN * len(_encoding(path, pattern).encode_ordinary(run)):
+            if len(run) < CHARS_PER_TOKEN * len(encode(run)):
                 found.append(("random", a, b, False))
     return by_start(found, KINDS)
 

@@ -259,6 +259,21 @@ def test_secrets(spark, edge, empty):
     assert empty.select(secrets.find_secrets(F.col("text"), path, P.PATTERN)).count() == 0
 
 
+@pytest.mark.parametrize("alphabet", ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789"])
+def test_random_strings_of_one_case_are_secrets(alphabet):
+    path, rng = P.path("byte_bpe_50k.tiktoken"), random.Random(5)
+    runs = ["".join(rng.choice(alphabet) for _ in range(n)) for n in (16, 20, 24, 32) for _ in range(200)]
+    found = sum(bool(secrets.scan_text(f"the key {run} is", path, P.PATTERN)) for run in runs)
+    assert found >= 0.85 * len(runs)
+    assert secrets.scan_text("jxqz-vkwp-ghtr-bnfy and k3f9-x2m1-q8b7-p0z4", path, P.PATTERN) == [("random", 0, 19, False), ("random", 24, 43, False)]
+
+
+def test_words_and_identifiers_are_no_secrets():
+    text = """snake_case_identifier_name InternationalizationService2024 CONFIGURATION_SETTINGS_FILE MAX_RETRY_COUNT_2 src/main/java/com/example/App
+        donaudampfschifffahrtsgesellschaft antidisestablishmentarianism AUTHENTICATION-REQUIRED x86_64-unknown-linux-gnu report_2024-01-15_final a/b/c/d/e/f/g/h/i/j"""
+    assert secrets.scan_text(text, P.path("byte_bpe_50k.tiktoken"), P.PATTERN) == []
+
+
 # ---------------------------------------------------------------- media
 
 def test_images_round_trip_and_damage_is_noticed(texts):
