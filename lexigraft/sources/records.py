@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 SCORES = "struct<precision:double,recall:double,f1:double,exact_match:double>"
 PROJECTION = (
@@ -61,18 +65,39 @@ def with_manifest(runs: DataFrame, manifest: Column, folder: Column) -> Column:
     return F.coalesce(manifest, F.struct(*fields))
 
 
+@F.arrow_udf(StringType())
+def _repeated_sha256(groups: pa.Array) -> pa.Array:
+    """The sha256 of each group's digests in order, each as often as it occurs, without making that string."""
+    out = []
+    for group in groups:
+        total = hashlib.sha256()
+        for digest, count in ((x["d"], x["n"]) for x in group.as_py()):
+            if digest is not None:
+                piece = digest.encode()
+                whole, rest = divmod(count, 1 << 14)
+                block = piece * (1 << 14) if whole else b""
+                for _ in range(whole):
+                    total.update(block)
+                total.update(piece * rest)
+        out.append(total.hexdigest())
+    return pa.array(out, pa.string())
+
+
 def split_manifest(rows: DataFrame, keys: list[str], text: str, n_tokens: Column, split: str = "split", seed: int | None = None) -> DataFrame:
     """(keys, sentences, tokens, counts, checksums, seed): what a prepared data set consists of.
 
     ``counts`` has rows and tokens per split; a split's checksum is the sha256 of its rows' own sha256
-    values in order, so it does not depend on how the rows are stored and no split is gathered: the
-    digests are first brought together in 65,536 groups by their leading digits.
+    values in order, so it does not depend on how the rows are stored and no split is gathered: equal
+    digests are counted, and the distinct ones brought together in 65,536 groups by their leading digits.
     """
     digest = F.sha2(F.col(text).cast("string"), 256)
     grouped = (
         rows.select(*keys, split, digest.alias("d"), n_tokens.cast("bigint").alias("t"))
+        .groupBy(*keys, split, "d")
+        .agg(F.count("*").alias("n"), F.sum("t").alias("t"))
         .groupBy(*keys, split, F.substring("d", 1, 4).alias("g"))
-        .agg(F.sha2(F.array_join(F.array_sort(F.collect_list("d")), ""), 256).alias("d"), F.count("*").alias("n"), F.sum("t").alias("t"))
+        .agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("counted"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+        .withColumn("d", _repeated_sha256("counted"))
     )
     per_split = grouped.groupBy(*keys, split).agg(
         F.sum("n").alias("n"),

@@ -1,3 +1,4 @@
+import hashlib
 import json
 
 import pytest
@@ -190,3 +191,27 @@ def test_a_split_checksum_does_not_depend_on_the_layout(spark):
     assert files["train"]["sentences"] == 50 and files["train"]["tokens"] == 100 and files["dev"]["sha256"] != files["train"]["sha256"]
     other = records.split_manifest(rows.filter("line <> 'line 3'"), ["language"], "line", F.lit(2)).first()["files"]
     assert other["train"]["sha256"] != files["train"]["sha256"] and other["dev"] == files["dev"]
+
+
+def test_split_manifest_of_one_line_many_times(spark):
+    """Copies of a line whose digests, joined, pass the limit of a cell."""
+    n = 34_000_000
+    rows = spark.range(n).select(F.lit("en").alias("language"), F.lit("train").alias("split"), F.lit("same").alias("line"))
+    made = records.split_manifest(rows, ["language"], "line", F.lit(2)).first()
+    group, block = hashlib.sha256(), hashlib.sha256(b"same").hexdigest().encode() * 10_000
+    for _ in range(n // 10_000):
+        group.update(block)
+    assert (made["sentences"], made["tokens"]) == (n, 2 * n)
+    assert made["files"]["train"]["sha256"] == hashlib.sha256(group.hexdigest().encode()).hexdigest()
+
+
+def test_split_manifest_is_that_of_the_rows_joined(spark):
+    lines = ["a", "b", "a", None, "c", "a", None]
+    rows = spark.createDataFrame([("en", "dev", x) for x in lines], "language string, split string, line string")
+    found = records.split_manifest(rows, ["language"], "line", F.lit(1)).first()["files"]["dev"]
+    groups = {}
+    for x in lines:
+        digest = hashlib.sha256(x.encode()).hexdigest() if x is not None else ""
+        groups.setdefault(digest[:4], []).append(digest)
+    joined = "".join(hashlib.sha256("".join(sorted(groups[g])).encode()).hexdigest() for g in sorted(groups))
+    assert found["sha256"] == hashlib.sha256(joined.encode()).hexdigest() and found["sentences"] == len(lines)
