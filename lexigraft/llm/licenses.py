@@ -25,7 +25,8 @@ SHINGLE = 2
 #: (fewest, most shingles of a template, shingles of a window)
 CLASSES = ((3, 8, 16), (9, 24, 48), (25, 64, 128))
 
-# Short forms of public license notices.
+# Short forms of public license notices, parts of the usual file headers that are
+# all the same in any version of the notice, and SPDX lines with or without -only and -or-later.
 TEMPLATES = (
     ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -45,6 +46,24 @@ TEMPLATES = (
     ("MIT-Permission", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("AGPL-Notice", "GNU Affero General Public License as"),
+    ("GPL-Notice", "GNU General Public License as"),
+    ("LGPL-Notice", "GNU Lesser General Public License as"),
+    ("GNU-Version-2-Notice", "Software Foundation; either version 2 of the License"),
+    ("GNU-Version-3-Notice", "Software Foundation, either version 3 of the License"),
+    ("SPDX-AGPL-3.0", "SPDX-License-Identifier: AGPL-3.0"),
+    ("SPDX-Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
+    ("SPDX-BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
+    ("SPDX-BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"),
+    ("SPDX-GPL-2.0", "SPDX-License-Identifier: GPL-2.0"),
+    ("SPDX-GPL-3.0", "SPDX-License-Identifier: GPL-3.0"),
+    ("SPDX-ISC", "SPDX-License-Identifier: ISC"),
+    ("SPDX-LGPL-2.1", "SPDX-License-Identifier: LGPL-2.1"),
+    ("SPDX-LGPL-3.0", "SPDX-License-Identifier: LGPL-3.0"),
+    ("SPDX-MIT", "SPDX-License-Identifier: MIT"),
+    ("SPDX-MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
+    ("Warranty-As-Is", "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"),
+    ("Warranty-GNU", "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
 )
 
 

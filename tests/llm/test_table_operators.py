@@ -167,6 +167,30 @@ def test_licenses_are_found_in_long_texts_and_near_misses_are_not(spark, empty):
         licenses.find_licenses(docs, templates=[("short", "one two")])
 
 
+def test_usual_headers_and_spdx_lines_are_found(spark):
+    def header(kind, version):
+        return (
+            f"This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by "
+            f"the Free Software Foundation, either version {version} of the License, or (at your option) any later version. This program is "
+            "distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or "
+            f"FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} for more details."
+        )
+
+    rows = [
+        (header(kind, v), [f"{name}-Notice", f"GNU-Version-{v}-Notice", "Warranty-GNU"])
+        for name, kind in (("GPL", "General Public License"), ("LGPL", "Lesser General Public License"), ("AGPL", "Affero General Public License"))
+        for v in (2, 3)
+    ]
+    spdx = {"MIT": "MIT", "ISC": "ISC", "Apache-2.0": "Apache-2.0", "BSD-2-Clause": "BSD-2-Clause", "BSD-3-Clause": "BSD-3-Clause", "MPL-2.0": "MPL-2.0"}
+    spdx |= {f"{x}-{end}": x for x in ("GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0") for end in ("only", "or-later")}
+    rows += [(f"# SPDX-License-Identifier: {line}", [f"SPDX-{name}"]) for line, name in spdx.items()]
+    rows += [("# SPDX-License-Identifier: Zlib", []), ('THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING', ["Warranty-As-Is"])]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.find_licenses(docs).collect()}
+    for i, (text, names) in enumerate(rows):
+        assert got[i] == sorted(names), text
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_splitting_tree_uses_up_every_quota():
