@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import zlib
+
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, media, mixing, near_dedup, oracle, pii, quality, secrets, spans, token_counts
+from . import bpe, langid, licenses, media, mixing, near_dedup, oracle, packing, periodic_runs, pii, prefix_trie, quality, secrets, spans, token_counts
 from .common import QUERIES, SQL, documents, query  # noqa: F401
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 SECRETS_FILE = "byte_bpe_50k.tiktoken"
 COUNT_FILE = "piece_bpe_32k.model"
+PACK_FILE = "word_bpe_49k.json"
 TOKEN_LIMIT = 4096
 
 
@@ -155,3 +158,64 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.find_licenses(documents(spark, sf_dir))
     return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses", ",").alias("licenses"))
+
+
+def rebuilt(numbered: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(turns, members) with each conversation's first turns, up to 8, taken from the one whose id is the next lower multiple of five."""
+    by_hash = F.crc32(F.col("cid").cast("string").cast("binary")) % 9
+    sizes = numbered.groupBy("cid").agg(F.max("place").alias("n"))
+    heads = sizes.select(F.col("cid").alias("base"), F.col("n").alias("n_base"))
+    based = sizes.withColumn("base", F.col("cid") - F.col("cid") % 5).withColumn("h", by_hash).join(heads, "base", "left")
+    known = prefix_trie.written(based.withColumn("k", F.least("h", F.coalesce("n_base", F.lit(0)))), "rebuilt")
+    first = numbered.filter("place <= 8 and cid % 5 = 0").withColumnRenamed("cid", "base")
+    taken = known.filter("k > 0").select("cid", "base", "k").join(first, "base").filter("place <= k")
+    own = numbered.filter(F.col("place") > by_hash).join(known.select("cid", "h", "k"), "cid").withColumn("place", F.col("place") - F.col("h") + F.col("k"))
+    columns = ["cid", "place", "letter", "bytes"]
+    length = F.col("k") + F.greatest(F.col("n") - F.col("h"), F.lit(0))
+    return taken.select(*columns).unionByName(own.select(*columns)), known.select("cid", length.alias("length"))
+
+
+@query("op11_prefix_trie")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbered = prefix_trie.written(prefix_trie.number_turns(spark.read.parquet(f"{sf_dir}/conversations.parquet")), "numbered")
+    return prefix_trie.prefix_nodes(*rebuilt(numbered)).drop("key")
+
+
+@query("op12_packing")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.encode_pieces(documents(spark, sf_dir), public_tokenizers.path(PACK_FILE))
+    pieces = packing.with_piece_ids(cut.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return pieces.join(packing.pack(pieces), "piece_id").select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("place").alias("offset")
+    )
+
+
+def repeated_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by a checksum of its id, with all from some place on made periodic."""
+    if doc_id is None or not words:
+        return words
+    tenth, g = divmod(zlib.crc32(str(doc_id).encode()), 10)[::-1]
+    if tenth:
+        return words
+    n = len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * ((n - a) // p + 1))[: n - a]
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(documents(spark, sf_dir), rewrite=repeated_tail)
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", *[r[c].cast("string") for c in ("start", "length", "period")]))
+    best = found.withColumn("best", F.array_max(ranked)).withColumn("listed", F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")))
+    return best.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.back")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.short")).alias("period"),
+        F.expr("(1000 * best.length) div (-best.short)").alias("exponent_milli"),
+        F.sha2("listed", 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
