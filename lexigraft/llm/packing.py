@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import os
-from collections.abc import Iterator
+import re
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -39,8 +41,8 @@ GROUP = 1 << 17
 #: Groups that meet on the next level, at least.
 FAN_IN = 8
 CHUNK = 1 << 15
-#: Matches that a Python worker remembers, of up to ``MEMO_LENGTH`` characters: about 16 MB.
-MEMO = 80_000
+#: Matches that a Python worker remembers, of up to ``MEMO_LENGTH`` characters: about 32 MB.
+MEMO = 160_000
 MEMO_LENGTH = 32
 
 #: What a file has to say so that its matches may be looked up one by one.
@@ -67,7 +69,6 @@ class WordPieces:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
@@ -87,34 +88,49 @@ class WordPieces:
             and said["post_processor"] is None
         )
         self.cut_at_blanks = self.by_match and not any(" " in s for s in self.special)
-        self.find = regex.compile(split["pattern"]["Regex"].replace(r"[^\s", f"[^{_LATIN_SPACE}")).findall if self.by_match else None
+        self.find = _latin_pattern(split["pattern"]["Regex"]).findall if self.by_match else None
         self.signs = byte_signs()
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self._match)
 
     def _match(self, found: str) -> bytes:
         signs = found if found.isascii() and found.isprintable() else "".join([self.signs[b] for b in found.encode()])
-        return np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(signs)]).tobytes()
 
     def _chunk(self, text: str) -> bytes:
         if not self.by_match or not _is_latin(text) or any(s in text for s in self.special):
-            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        found = self.find(text.lower())
-        known = self.memo
-        new = set(found).difference(known)
-        if len(known) + len(new) > MEMO:
-            known = self.memo = {}
-            new = set(found)
-        here = {w: self._match(w) for w in new}
-        known.update((w, ids) for w, ids in here.items() if len(w) <= MEMO_LENGTH)
-        if len(here) and max(map(len, here)) > MEMO_LENGTH:
-            known = known | here
-        return b"".join(map(known.__getitem__, found))
+            return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
+        if len(self.memo) > MEMO:
+            self.memo.clear()
+        return b"".join(map(self.memo.__getitem__, self.find(text.lower())))
 
     def encode(self, text: str) -> bytes:
         parts = chunks(text, CHUNK) if self.cut_at_blanks and len(text) > CHUNK else [text]
         return b"".join([self._chunk(p) for p in parts])
 
 
+class _Memo(dict):
+    """Ids by match; a match that is not known is made, and kept if it is short."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, found: str) -> bytes:
+        ids = self.make(found)
+        if len(found) <= MEMO_LENGTH:
+            self[found] = ids
+        return ids
+
+
+def _latin_pattern(pattern: str) -> re.Pattern[str]:
+    """``pattern`` for characters below 256: its classes of letters, numbers and white space are spelled out."""
+    import regex
+
+    signs = list(map(chr, range(256)))
+    for name in (r"\p{L}", r"\p{N}"):
+        pattern = pattern.replace(name, "".join(re.escape(c) for c in signs if regex.match(name, c)))
+    return re.compile(pattern.replace(r"\s", _LATIN_SPACE))
+
+
 def _is_latin(text: str) -> bool:
     if text.isascii():
         return True
