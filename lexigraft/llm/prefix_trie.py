@@ -37,7 +37,7 @@ from ..operators.keys import dense_index
 from ..session import scratch_path
 
 #: Each batch takes this many parts in 16 of the sequences, in the order of a hash.
-BATCHES = (1, 3, 12)
+BATCHES = (2, 14)
 #: Depths summed up in one window, and members' ids joined to one text.
 BLOCK = 4096
 EMPTY_SHA256 = hashlib.sha256(b"").hexdigest()
@@ -106,6 +106,7 @@ class Trie:
     def __init__(self, known: DataFrame):
         self.known = known.select("cid", "depth", "key")
         self.nodes = known.sparkSession.createDataFrame([], "via long, top long, depth long, handle binary, first binary, key binary")
+        self.empty = True
         self.rounds: list[int] = []
 
     def key_at(self, rows: DataFrame, cid: str, depth: str, name: str) -> DataFrame:
@@ -117,6 +118,9 @@ class Trie:
         """(cid, length, via, top, depth, low) of each of ``rows`` (cid, length): its exit edge and a depth on it
         that it shares. Where no edge goes on, ``depth`` is null and ``low`` is the depth of the exit.
         """
+        if self.empty:
+            nothing = [F.lit(None).cast("long").alias(c) for c in ("via", "top", "depth")]
+            return rows.select("cid", "length", *nothing, F.lit(0).cast("long").alias("low"))
         # the root has depth 0 and an empty key
         state = rows.select(
             "cid", "length", F.lit(0).cast("long").alias("a"), F.col("length").alias("b"),
@@ -129,7 +133,8 @@ class Trie:
             probed = self.key_at(state.withColumn("f", F.when(F.col("a") < F.col("b"), two_fattest("a", "b"))), "cid", "f", "probe")
             met = probed.join(by_handle, F.col("probe") == F.col("__handle"), "left")
             hit = F.col("__to").isNotNull()
-            state = met.select(
+            # each step is written: a plan of all steps would grow with the sequences
+            state = written(met.select(
                 "cid", "length",
                 F.when(hit, F.col("__to")).otherwise(F.col("a")).alias("a"),
                 F.when(~hit & F.col("f").isNotNull(), F.col("f") - 1).otherwise(F.col("b")).alias("b"),
@@ -137,7 +142,7 @@ class Trie:
                 F.when(hit, F.col("__top")).otherwise(F.col("top")).alias("top"),
                 F.when(hit, F.col("f")).otherwise(F.col("shared")).alias("shared"),
                 F.when(hit, F.col("__whole")).otherwise(F.col("whole")).alias("whole"),
-            )
+            ), "search")
         # a is the depth of the deepest node whose handle is a prefix; is the node itself one?
         ends = self.key_at(self.key_at(state, "cid", "a", "own"), "cid", "a + 1", "below")
         through = (F.col("a") == 0) | F.coalesce(F.col("own") == F.col("whole"), F.lit(False))
@@ -200,6 +205,7 @@ class Trie:
         keyed = self.key_at(self.key_at(self.key_at(fat, "via", "__fat", "handle"), "via", "top + 1", "first"), "via", "depth", "key").drop("__fat")
         same = self.nodes.join(cut.select("via", "depth").distinct(), ["via", "depth"], "left_anti")
         self.nodes = written(same.unionByName(keyed), "nodes")
+        self.empty = False
 
 
 def build(sequences: DataFrame, known: DataFrame, batches: tuple[int, ...] = BATCHES) -> Trie:
