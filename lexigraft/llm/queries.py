@@ -108,7 +108,7 @@ MIX_SHARDS = 64
     r"""
     with sized as (
       select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as size,
-             md5('17|' || coalesce(cast(doc_id as varchar), '')) as k
+             md5('17|' || coalesce(cast(doc_id as varchar), '') || '|' || md5(coalesce(text, ''))) as k
       from documents),
     by_source as (
       select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) - 1 as sid
@@ -128,19 +128,16 @@ MIX_SHARDS = 64
              coalesce(sum(size) over (partition by s.source order by k rows between unbounded preceding and 1 preceding), 0) as start
       from sized s join target t on s.source is not distinct from t.source)
     select doc_id, size, source_size, target,
-           case when size = 0 then 0 else size * greatest(0, least(3, floor((target - start - size / 2) / source_size)::bigint + 1)) end as taken
+           case when size = 0 then 0 else size * greatest(0, least(3, ceil((target - start - size / 2) / source_size)::bigint)) end as taken
     from placed
     """,
 )
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # the report needs the id only, so no text is carried along
     mixed = mixing.mix(documents(spark, sf_dir), MIX_SHARDS, carry=["doc_id"])
-    per_copy = mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", "start", "shard")
-    return (
-        per_copy.groupBy("doc_id", "size", "source_size", "target", "start")
-        .agg(F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).alias("taken"))
-        .drop("start")
+    found = mixed.groupBy("row_id").agg(
+        *[F.first(c).alias(c) for c in ("row", "size", "source_size", "target")], F.sum(F.when(F.col("shard").isNotNull(), F.col("size")).otherwise(0)).alias("taken")
     )
+    return found.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 @query("op7_quality_rules", oracle.QUALITY)

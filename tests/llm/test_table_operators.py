@@ -233,7 +233,7 @@ def test_targets_and_mix(spark):
             left -= z
     rows += [(len(rows), None, "é"), (len(rows) + 1, "", "a")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    mixed = mixing.mix(docs, 5).select("row.doc_id", "row.source", "size", "source_size", "target", "copy", "shard", "place")
+    mixed = mixing.mix(docs, 5, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "size", "source_size", "target", "copy", "shard", "place")
     got = mixed.collect()
     order = sorted((s for s in sizes if s is not None), key=lambda s: s) + [None]
     want = dict(zip(order, water_level([sizes[s] for s in order], [5, 2, 1, 5, 2, 1]), strict=True))
@@ -244,16 +244,64 @@ def test_targets_and_mix(spark):
         taken[r["source"]] += r["size"] if r["copy"] is not None else 0
     assert all(abs(taken[s] - want[s]) <= 9 for s in sizes)
     assert {r["doc_id"] for r in got} == {r[0] for r in rows} and len({r["shard"] for r in got} - {None}) == 5
-    again = mixing.mix(docs.repartition(7), 5).select("row.doc_id", "row.source", "size", "source_size", "target", "copy", "shard", "place").collect()
+    again = mixing.mix(docs.repartition(7), 5, carry=["doc_id", "source"]).select("row.doc_id", "row.source", "size", "source_size", "target", "copy", "shard", "place").collect()
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
 def test_mix_of_edge_cases_keeps_every_column(edge, empty):
     mixed = mixing.mix(edge, 3)
-    assert mixed.count() >= edge.count()
-    out = mixing.materialize(mixed, 3)
+    assert mixed.select("row_id").distinct().count() == edge.count()
+    out = mixing.materialize(edge, mixed, 3)
     assert out.columns == edge.columns and out.filter("text is null or text = ''").count() == 0
-    assert mixing.mix(empty, 3).count() == 0 and mixing.materialize(mixing.mix(empty, 3), 3).columns == edge.columns
+    assert mixing.mix(empty, 3).count() == 0 and mixing.materialize(empty, mixing.mix(empty, 3), 3).columns == edge.columns
+
+
+def test_tasks_split_as_the_whole_tree_does(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "TASK_SHARDS", 3)
+    quotas = np.array([500, 0, 3, 120, 1], np.int64)
+    got = sorted(map(tuple, mixing.deal(spark, quotas, 29).collect()))
+    assert got == sorted(mixing.splitting_tree(quotas, 29))
+
+
+def test_shards_hold_the_blocks_that_the_tree_deals(spark):
+    rng = random.Random(8)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 4)), rng.choice("aab")) for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    shards = 6
+    mixed = mixing.mix(docs, shards, carry=["source"]).select("row.source", "size", "target", "shard", "place", "key").collect()
+    target = {r["source"]: r["target"] for r in mixed}
+    block = int(sum(target.values())) // (mixing.BLOCKS_PER_SHARD * shards)
+    quotas = [-(-target[s] // block) for s in "ab"]
+    words = Counter()
+    for r in mixed:
+        if r["shard"] is not None:
+            words[r["source"], r["shard"]] += r["size"]
+    for colour, shard, n in mixing.splitting_tree(np.array(quotas, np.int64), shards):
+        # each block holds its words to within half a document at either end
+        size = target["ab"[colour]] / quotas[colour]
+        assert abs(words.pop(("ab"[colour], shard)) - n * size) <= 4 * n
+    assert not words
+    drawn = mixing.materialize(docs, mixing.mix(docs, shards), shards)
+    by_part = drawn.groupBy(F.spark_partition_id().alias("shard"), "source").agg(F.sum(F.regexp_count("text", F.lit("w"))).alias("n")).collect()
+    want = Counter((r["shard"], r["source"]) for r in mixed)
+    want = {k: sum(r["size"] for r in mixed if (r["shard"], r["source"]) == k) for k in want if k[0] is not None}
+    assert {(r["shard"], r["source"]): r["n"] for r in by_part} == want
+
+
+def test_mix_of_repeated_rows_equals_sql_in_any_order(spark, edge, tmp_path):
+    rng = random.Random(6)
+    odd = [(rng.choice([None, None, 1, 2, 3]), rng.choice([None, "", "a b", "c", "d e f g", "a b"]), rng.choice(["x", None, "y"])) for _ in range(300)]
+    rows = edge.select("doc_id", "text", "source").unionByName(spark.createDataFrame(odd, "doc_id long, text string, source string"))
+    found = []
+    for name, df in (("one", rows.coalesce(1)), ("many", rows.orderBy(F.rand(3)).repartition(7))):
+        df.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        con = duckdb.connect()
+        con.execute(f"create view documents as select * from '{tmp_path}/{name}/documents.parquet/*.parquet'")
+        named = lambda frame: frame.assign(doc_id=frame["doc_id"].fillna(-1).astype("int64"))
+        got = named(QUERIES["op9_mixing"](spark, f"{tmp_path}/{name}").toPandas())
+        same(got, named(con.execute(SQL["op9_mixing"]).df()))
+        found.append(Counter(map(str, got.values.tolist())))
+    assert found[0] == found[1] and sum(found[0].values()) == rows.count()
 
 
 # ---------------------------------------------------------------- pipeline
