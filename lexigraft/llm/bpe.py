@@ -7,13 +7,17 @@ and the leaf that goes) on their way to the root, which costs the logarithm of t
 also in a match of a million letters. Matches of up to 64 bytes are merged many at a time, one tree
 per row of a matrix; longer ones have a tree of their own.
 
-Words repeat, so each Python worker keeps what it has encoded, up to ``CACHE_WORDS`` words; the memo
-is emptied when full and never changes a result.
+Words repeat, so each Python worker keeps what it has encoded, up to ``CACHE_WORDS`` words or
+``CACHE_BYTES``; the memo is emptied when full and never changes a result.
+
+``round_trip`` encodes, decodes and digests in one Arrow function: one Python worker a core holds the
+vocabulary, and ids go to the JVM only if asked for.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -27,6 +31,9 @@ from pyspark.sql import functions as F
 from .common import release, text_parts
 
 CACHE_WORDS = 200_000
+CACHE_BYTES = 16 << 20
+#: What an entry of the memo takes besides its characters and ids.
+_ENTRY_BYTES = 160
 BATCH_BYTES = 1 << 20
 _NONE = np.int64(1) << 62
 _WIDEST = 64
@@ -56,6 +63,7 @@ class BytePairs:
         self.pair_keys = np.append(keys, _NONE)
         self.pair_ranks = np.append(np.array([pairs[k] for k in keys.tolist()], np.int64), _NONE)
         self.words: dict[str, bytes] = {}
+        self.held = 0
 
     @classmethod
     def load(cls, path: str, pattern: str) -> BytePairs:
@@ -207,8 +215,8 @@ class BytePairs:
         cut = [self._words(t) for t in texts]
         first, rest = [words[0] for words in cut], [words[1:] for words in cut]
         new = set().union(*rest).difference(self.words)
-        if len(self.words) + len(new) > CACHE_WORDS:
-            self.words = {}
+        if len(self.words) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
+            self.words, self.held = {}, 0
             new = set().union(*rest)
         # a word of ASCII letters is one match with its blank
         plain = [w for w in new if w.isascii() and w.isalpha()]
@@ -217,6 +225,7 @@ class BytePairs:
         merged = self._merge({" " + w for w in plain}.union(*mixed.values(), *starts.values()))
         self.words.update((w, merged[" " + w]) for w in plain)
         self.words.update((w, b"".join([merged[p] for p in found])) for w, found in mixed.items())
+        self.held += sum(map(len, new)) + sum(len(self.words[w]) for w in new) + _ENTRY_BYTES * len(new)
         get = self.words.__getitem__
         return [
             np.frombuffer(b"".join([*map(merged.__getitem__, starts[w]), *map(get, words)]), np.int32)
@@ -271,3 +280,35 @@ def decode(encoded: DataFrame, path: str, pattern: str, ids_col: str = "ids", ou
         return pa.array([None if null else bpe.decode(flat[a:b]) for a, b, null in zip(cuts, cuts[1:], ids.is_null().to_pylist(), strict=False)], pa.binary())
 
     return encoded.withColumn(out_col, read(F.col(ids_col)))
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256, and ``ids`` if asked for) of every row.
+
+    The digests are of the decimal ids joined by commas and of the bytes that they decode to, in lower-case
+    hexadecimal digits. A null or empty text has no ids and the digests of nothing. Otherwise as ``encode``
+    and ``decode``, in one pass.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path, pattern)
+        for batch in batches:
+            for a, texts in text_parts(batch.column(1), BATCH_BYTES):
+                ids = bpe.encode(texts)
+                lists = [x.tolist() for x in ids]
+                columns = [
+                    batch.column(0).slice(a, len(texts)),
+                    pa.array(list(map(len, ids)), pa.int64()),
+                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()),
+                    pa.array([hashlib.sha256(b"".join([bpe.tokens[i] for i in x])).hexdigest() for x in lists], pa.string()),
+                ]
+                if with_ids:
+                    ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids))))
+                del lists
+                yield pa.RecordBatch.from_arrays(columns, [id_col, *names])
+            release()
+
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
+    kinds = f"`{id_col}` {dict(docs.dtypes)[id_col]}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return docs.select(id_col, F.col(text_col).cast("string")).mapInArrow(run, kinds)

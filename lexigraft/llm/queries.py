@@ -20,14 +20,8 @@ TOKEN_LIMIT = 4096
 
 @query("op1_byte_bpe")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    encoded = bpe.encode(documents(spark, sf_dir), path, pattern)
-    return bpe.decode(encoded, path, pattern).select(
-        "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    found = bpe.round_trip(documents(spark, sf_dir), public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN, with_ids=False)
+    return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def held_out(doc_id: Column) -> Column:

@@ -315,3 +315,28 @@ def test_media_of_edge_cases(edge, empty):
     padded = [t + bytes(-len(t) % 64 if t else 64) for t in want]
     assert sorted(map(tuple, stored.collect())) == sorted((len(t), len(p), zlib.crc32(p)) for t, p in zip(want, padded, strict=True))
     assert media.store(empty).count() == 0
+
+
+# ---------------------------------------------------------------- queries of text operators, on the edge cases
+
+def test_one_pass_equals_encoding_and_decoding(spark, edge, empty):
+    import hashlib
+
+    both = {str(r["doc_id"]): r for r in bpe.decode(bpe.encode(edge, BPE, P.PATTERN), BPE, P.PATTERN).collect()}
+    for r in bpe.round_trip(edge, BPE, P.PATTERN).collect():
+        own = both[str(r["doc_id"])]
+        assert r["ids"] == own["ids"] and r["n_tokens"] == len(own["ids"])
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, own["ids"])).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(bytes(own["decoded"])).hexdigest()
+    assert bpe.round_trip(empty, BPE, P.PATTERN).count() == 0
+    assert "ids" not in bpe.round_trip(edge, BPE, P.PATTERN, with_ids=False).columns
+
+
+def test_memo_is_bounded_by_bytes(monkeypatch, texts):
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 20_000)
+    own = bpe.BytePairs.load(BPE, P.PATTERN)
+    most = 0
+    for t in texts:
+        own.encode([t])
+        most = max(most, own.held - sum(len(w) + bpe._ENTRY_BYTES + len(own.words[w]) for w in set(t.split(" ")) & set(own.words)))
+    assert 0 < most <= 20_000
