@@ -11,6 +11,7 @@ from lexigraft.llm.queries import BPE_FILE, held_out
 from lexigraft.session import scratch_path
 
 LEAST_SCORE = 0.5
+SHARD_BYTES = 256 << 20
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,16 +42,22 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows as often as the mix takes them, dealt out to as many shards as the session shuffles to."""
-    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return mixing.materialize(mixing.mix(docs, shards), shards)
+    """Rows as often as the mix takes them, dealt out to shards of about ``SHARD_BYTES`` of text, or to
+    one for each core if those are more; a shard is a partition. Which rows are taken does not depend on
+    the shards. A null or empty text is never taken; repeated rows, and rows without an id, are rows like any other.
+    """
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    return mixing.materialize(docs, mixing.mix(docs, shards), shards)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, token ids, their number, and the digest of the bytes they decode to, of each row."""
+    """doc_id, token ids, their number, and the digest of the bytes they decode to, of each row.
+
+    A null or empty text has no ids; repeated rows give repeated rows. A long text is cut for the merges only.
+    """
     path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
-    decoded = bpe.decode(bpe.encode(docs, path, pattern), path, pattern)
-    return decoded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, path, pattern).select("doc_id", "ids", "n_tokens", "decoded_sha256")
 
 
 STAGES = [
