@@ -10,29 +10,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.vector_sums import of_width
 from .embeddings import check_dimensions, sum_vectors
 
 IDENTITY_RTOL, IDENTITY_ATOL = 1e-5, 1e-8  # fixed values of the identity test
 
 
+_DIGITS = 20  # binary digits of a slice: products of two slices add up exactly over _ROWS rows
+_ROWS = 4096
+_FLUSH = 1 << 10  # sums of so many products stay below 2**63
+
+
+def _slices(m: np.ndarray) -> dict[int, np.ndarray]:
+    """``m`` as a sum of whole matrices times 2**(20 t); only slices that are not zero."""
+    if m.size and not np.abs(m).max() < 2.0**59:
+        raise ValueError("a cell is not finite or too large for an exact product")
+    out, rest = {}, m
+    for t in range(2, -6, -1):
+        unit = 2.0 ** (_DIGITS * t)
+        whole = np.rint(rest / unit)
+        rest = rest - whole * unit
+        if whole.any():
+            out[t] = whole
+    return out
+
+
 def gram_rows(pairs: DataFrame, dim: int) -> DataFrame:
-    """(row, vec): the d x d sum of y x^T over ``pairs(x, y)``.
+    """(row, vec): the d x d sum of y x^T over ``pairs(x, y)``, equal to the last bit however they are dealt out.
 
-    Each task adds up its own d x d partial and emits it row by row; the rows are then
+    Cells are cut into whole slices of 20 binary digits, so that each matrix product of slices is exact.
+    A task adds up products of equal unit as integers and emits them row by row; the rows are then
     summed by row index, so nothing larger than one matrix row is ever one record.
     """
 
     def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        acc = None
+        sums: dict[int, np.ndarray] = {}
+        products = 0
+
+        def rows() -> Iterator[pd.DataFrame]:
+            for unit, total in sums.items():
+                # an integer of more than 53 digits goes as two doubles
+                high = (total >> 32) << 32
+                for part in (high, total - high):
+                    if part.any():
+                        yield pd.DataFrame({"row": np.arange(len(part), dtype=np.int32), "vec": list(part * 2.0 ** (_DIGITS * unit))})
+
         for b in batches:
-            if len(b):
-                y = np.stack(b["y"].to_numpy()).astype(np.float64)
-                x = np.stack(b["x"].to_numpy()).astype(np.float64)
-                acc = y.T @ x if acc is None else acc + y.T @ x
-        if acc is not None:
-            yield pd.DataFrame({"row": np.arange(len(acc), dtype=np.int32), "vec": list(acc)})
-
-    parts = pairs.select("x", "y").mapInPandas(partial, "row int, vec array<double>")
+            for at in range(0, len(b), _ROWS):
+                some = b.iloc[at : at + _ROWS]
+                left, right = (_slices(np.stack(some[c].to_numpy()).astype(np.float64)) for c in ("y", "x"))
+                for t, y in left.items():
+                    for u, x in right.items():
+                        product = (y.T @ x).astype(np.int64)
+                        sums[t + u] = sums[t + u] + product if t + u in sums else product
+                products += 1
+                if products == _FLUSH:
+                    yield from rows()
+                    sums, products = {}, 0
+        yield from rows()
+
+    sized = pairs.select(of_width(F.col("x"), dim).alias("x"), of_width(F.col("y"), dim).alias("y"))
+    parts = sized.mapInPandas(partial, "row int, vec array<double>")
     return sum_vectors(parts, ["row"], dim).select("row", F.col("sums").alias("vec"))
 
 

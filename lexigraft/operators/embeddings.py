@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import char_ngrams
+from ..functions.vector_sums import exact_sums, of_width
 from ..session import stable
 from .keys import lookup_join
 from .lexicon import segment
@@ -80,26 +81,13 @@ def load_matrix(matrix: DataFrame | None, dim: int) -> np.ndarray:
 def sum_vectors(
     rows: DataFrame, keys: list[str], dim: int, vec: str = "vec", weight: Column | None = None
 ) -> DataFrame:
-    """(keys, n, weight, sums): elementwise (weighted) sum with map-side partial sums, the same for every width.
+    """(keys, n, weight, sums): elementwise (weighted) sum, equal to the last bit however the rows are dealt out.
 
     Rows without a vector or a weight are not counted; a group of such rows has n = 0 and zero sums.
-    The first ``dim`` cells count and a missing one adds nothing; weights may be zero or negative.
+    A vector of another width than ``dim`` fails the job: nothing is cut or padded. A null cell adds
+    nothing; weights may be zero or negative.
     """
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    w = F.lit(1.0) if weight is None else weight.cast("double")
-    known = F.col(vec).isNotNull() & w.isNotNull()
-    rows = rows.withColumn("__w", w)
-    places = F.sequence(F.lit(0), F.lit(dim - 1))
-    cells = F.transform(places, lambda i: F.coalesce(F.get(vec, i).cast("double") * F.col("__w"), F.lit(0.0)))
-    # the mean times the count is the sum; a row that does not count is a zero vector beside it
-    packed = array_to_vector(F.when(known, cells).otherwise(F.array_repeat(F.lit(0.0), dim)))
-    return rows.groupBy(*keys).agg(
-        F.count(F.when(known, 1)).alias("n"),
-        F.sum(F.when(known, w)).alias("weight"),
-        vector_to_array(Summarizer.sum(packed)).alias("sums"),
-    )
+    return exact_sums(rows, keys, dim, F.col(vec), F.lit(1.0) if weight is None else weight)
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec") -> DataFrame:
@@ -118,7 +106,7 @@ def morpheme_means(segmented: DataFrame, vectors: DataFrame, dim: int) -> DataFr
 
 
 def whole_token_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(token, vec): vec is null where the vector table has no such word."""
+    """(token, vec): vec is null where the vector table has no such word. Vectors are handed on as they are."""
     return tokens.select("token").join(
         vectors.select(F.col("word").alias("token"), "vec"), "token", "left"
     )
@@ -137,7 +125,7 @@ def lexical_vectors(tokens: DataFrame, lexicon: DataFrame, vectors: DataFrame, d
     """(token, vec, origin) from morphemes, else from the whole token, else null."""
     seg = segment(tokens.select("token"), lexicon)
     morph = morpheme_means(seg, vectors, dim).select("token", F.col("vec").alias("__m"))
-    whole = vectors.select(F.col("word").alias("token"), F.col("vec").cast("array<double>").alias("__w"))
+    whole = vectors.select(F.col("word").alias("token"), of_width(F.col("vec").cast("array<double>"), dim).alias("__w"))
     return (
         tokens.select("token")
         .join(morph, "token", "left")
@@ -259,15 +247,15 @@ def random_init(x: InitInputs) -> DataFrame:
 
 def similarity_init(x: InitInputs) -> DataFrame:
     """Softmax-weighted mix of the rows of the k most similar old tokens, else the mean row."""
-    from .similarity import weighted_neighbours
+    from .similarity import class_weights, neighbour_classes
 
     aux = x.tokens.join(x.vectors.withColumnRenamed("word", "token"), "token", "left")
     known = aux.filter("vec is not null").select(F.col("id").alias("query_id"), "vec")
-    near = weighted_neighbours(known, x.aux_rows, x.top_k, x.dim)
-    rows = lookup_join(near.withColumnRenamed("ref_id", "id"), x.old_rows, "id", "vec")
-    mixed = sum_vectors(rows, ["query_id"], x.dim, weight=F.col("weight")).select(
-        F.col("query_id").alias("id"), F.col("sums").alias("__mix")
-    )
+    # equal vectors have equal neighbours and one mix
+    members, near = neighbour_classes(known, x.aux_rows, x.top_k, x.dim)
+    rows = lookup_join(class_weights(near).withColumnRenamed("ref_id", "id"), x.old_rows, "id", "vec")
+    sums = sum_vectors(rows, ["cls"], x.dim, weight=F.col("weight")).select("cls", F.col("sums").alias("__mix"))
+    mixed = members.join(sums, "cls").select(F.col("query_id").alias("id"), "__mix")
     mean = mean_row(x.old_rows, x.dim).select(F.col("vec").alias("__mean"))
     return (
         x.tokens.join(mixed, "id", "left")

@@ -1,126 +1,344 @@
-"""Exact top-k similarity between two vector tables, blocked for the cluster."""
+"""Top-k similarity between two vector tables: exact with bounds, and approximate by hyperplane tables.
+
+Equal vectors are one class on either side: a class is searched once, whatever the number of its
+members, and a class of references stands for its k smallest ids.
+
+Exact search cuts the reference classes into blocks around pivots. A block has a centre c and a radius r,
+and for a query q of length 1 no reference of the block scores above q.c + r (Cauchy-Schwarz). A query
+first meets the blocks of the highest bounds, then only those whose bound reaches its k-th best score.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import stable
+from ..functions.vector_sums import of_width
+from ..session import scratch_path
 
-_BLOCK_BYTES = 128 << 20     # vectors of a block on either side
+_BLOCK_BYTES = 128 << 20      # vectors of a block on either side
 _BROADCAST_BYTES = 256 << 20  # checked size up to which the reference side is shipped whole
-_DECIMALS = 9                # scores are compared at nine decimals
-_TASK_SCORES = 250_000_000   # dot products per task when queries are spread
-_NEIGHBOURS = "query_id bigint, ref_id bigint, score double, rank bigint"
+_DECIMALS = 9                 # scores are compared at nine decimals
+_SLACK = 1e-8                 # what rounding may take from a bound
+_BLOCK_ROWS = 256             # references of a block, about
+_PIVOTS = 4096                # most pivots: they are shipped to every task
+_FIRST = 2                    # blocks that every query meets
+_SCORES = 8 << 20             # scores held at once
+_CLASS_NEIGHBOURS = "cls bigint, ref_id bigint, score double, rank bigint"
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
     return rows / (np.linalg.norm(rows, axis=1, keepdims=True) + 1e-8)
 
 
-def _block_top_k(query_ids: np.ndarray, queries: np.ndarray, refs: np.ndarray, ref_ids: np.ndarray, k: int):
-    """Exact k best references per query as a frame; ``ref_ids`` ascend, so ties take the smaller id.
+class Block(NamedTuple):
+    """Reference classes by least id: vectors, least ids, and all their ids with the ends of each class."""
 
-    Scores are rounded before ranking: equal vectors then tie whatever block and
-    summation order they met in, and the result does not depend on the layout. The k-th best score of
-    each row is found by a partial selection; only what reaches it is sorted.
-    """
-    k = min(k, len(ref_ids))
-    if k == 0 or len(query_ids) == 0:
-        return pd.DataFrame({"query_id": [], "ref_id": [], "score": [], "rank": []})
-    scores = np.round(queries @ refs.T, _DECIMALS)
-    floor = np.partition(scores, len(ref_ids) - k, axis=1)[:, len(ref_ids) - k]
+    rows: np.ndarray
+    least: np.ndarray
+    ids: np.ndarray
+    ends: np.ndarray
+
+
+class Index(NamedTuple):
+    """Blocks with their centres and radii."""
+
+    centres: np.ndarray
+    radii: np.ndarray
+    blocks: list[Block]
+
+
+def _block_of(vectors: np.ndarray, ids: list) -> Block:
+    least = np.array([i[0] for i in ids], np.int64)
+    order = np.argsort(least)
+    flat = [ids[i] for i in order.tolist()]
+    return Block(vectors[order], least[order], np.concatenate([np.asarray(i, np.int64) for i in flat]), np.cumsum([len(i) for i in flat]))
+
+
+def pivots_of(vectors: np.ndarray, block_rows: int) -> np.ndarray:
+    """Centres for blocks of about ``block_rows``: evenly spaced rows, moved to their own means twice."""
+    count = min(_PIVOTS, max(1, len(vectors) // block_rows))
+    centres = vectors[np.linspace(0, len(vectors) - 1, count).astype(np.int64)]
+    for _ in range(2):
+        home = _nearest(vectors, centres)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, home, vectors)
+        n = np.bincount(home, minlength=len(centres))[:, None]
+        centres = np.where(n > 0, sums / np.maximum(n, 1), centres)
+    return centres
+
+
+def _nearest(vectors: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The closest centre of each vector."""
+    half = (centres * centres).sum(axis=1) / 2
+    step = max(1, _SCORES // len(centres))
+    return np.concatenate([np.zeros(0, np.int64)] + [(vectors[i : i + step] @ centres.T - half).argmax(axis=1) for i in range(0, len(vectors), step)])
+
+
+def build_index(vectors: np.ndarray, ids: list, block_rows: int = _BLOCK_ROWS) -> Index:
+    if not len(vectors):
+        return Index(np.zeros((0, vectors.shape[1])), np.zeros(0), [])
+    centres = pivots_of(vectors, block_rows)
+    home = _nearest(vectors, centres)
+    used = np.unique(home)
+    blocks = [_block_of(vectors[home == j], [ids[i] for i in np.nonzero(home == j)[0].tolist()]) for j in used.tolist()]
+    radii = np.array([np.linalg.norm(b.rows - centres[j], axis=1).max() for b, j in zip(blocks, used.tolist(), strict=True)])
+    return Index(centres[used], radii, blocks)
+
+
+def _best_in(unit: np.ndarray, block: Block, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, class, score) of what may be among a query's k best classes: it reaches ``floor`` and the block's k-th score."""
+    scores = np.round(unit @ block.rows.T, _DECIMALS)
+    n = scores.shape[1]
+    if n > k:
+        floor = np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k])
     at, column = np.nonzero(scores >= floor[:, None])
-    best = np.lexsort((column, -scores[at, column], at))
-    at, column = at[best], column[best]
+    return at, column, scores[at, column]
+
+
+def search(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFrame, int]:
+    """(query row, ref_id, score, rank) of the k best references of each query, and the number of products made.
+
+    Equal scores go to the smaller id. Scores are rounded before they are compared, so the result does
+    not depend on the blocks.
+    """
+    unit = _unit(queries.astype(np.float64))
+    n, m = len(unit), len(index.blocks)
+    empty = pd.DataFrame({"query": [], "ref_id": [], "score": [], "rank": []}).astype({"query": "int64", "ref_id": "int64", "rank": "int64"})
+    if not n or not m or k < 1:
+        return empty, 0
+    bound = unit @ index.centres.T + index.radii + _SLACK
+    first = np.argsort(-bound, axis=1, kind="stable")[:, :_FIRST]
+    seen = np.zeros((n, m), np.bool_)
+    np.put_along_axis(seen, first, True, axis=1)
+    floor = np.full(n, -np.inf)
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    products = 0
+
+    def meet(j: int, rows: np.ndarray) -> None:
+        nonlocal products
+        block = index.blocks[j]
+        products += len(rows) * len(block.rows)
+        at, column, score = _best_in(unit[rows], block, k, floor[rows])
+        found.append((rows[at], np.full(len(at), j), column, score))
+
+    for j in range(m):
+        rows = np.nonzero(seen[:, j])[0]
+        if rows.size:
+            meet(j, rows)
+    at, score = np.concatenate([f[0] for f in found]), np.concatenate([f[3] for f in found])
+    order = np.lexsort((-score, at))
+    at, score = at[order], score[order]
+    place = np.arange(len(at)) - np.searchsorted(at, at)
+    floor[at[place == k - 1]] = score[place == k - 1]
+    todo = ~seen & (bound >= floor[:, None])
+    for j in range(m):
+        rows = np.nonzero(todo[:, j])[0]
+        if rows.size:
+            meet(j, rows)
+    at, home, column, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    least = np.concatenate([index.blocks[j].least[column[home == j]] for j in range(m)])
+    by_home = np.argsort(home, kind="stable")
+    at, home, column, score = at[by_home], home[by_home], column[by_home], score[by_home]
+    # the k best classes hold the k best ids: a class past them has k smaller ids before its own
+    order = np.lexsort((least, -score, at))
+    at, home, column, score = at[order], home[order], column[order], score[order]
+    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
+    at, home, column, score = at[kept], home[kept], column[kept], score[kept]
+    members = [index.blocks[j] for j in home.tolist()]
+    ids = [b.ids[(b.ends[c - 1] if c else 0) : b.ends[c]] for b, c in zip(members, column.tolist(), strict=True)]
+    sizes = np.array([len(i) for i in ids])
+    at, score, ref = np.repeat(at, sizes), np.repeat(score, sizes), np.concatenate(ids)
+    order = np.lexsort((ref, -score, at))
+    at, score, ref = at[order], score[order], ref[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
-    at, column = at[place < k], column[place < k]
-    return pd.DataFrame(
-        {
-            "query_id": query_ids[at],
-            "ref_id": ref_ids[column],
-            "score": scores[at, column],
-            "rank": np.tile(np.arange(1, k + 1), len(query_ids)),
-        }
-    )
+    kept = place < k
+    return pd.DataFrame({"query": at[kept], "ref_id": ref[kept], "score": score[kept], "rank": place[kept] + 1}), products
 
 
-def top_k_similar(
-    queries: DataFrame, refs: DataFrame, k: int, dim: int, broadcast_bytes: int = _BROADCAST_BYTES, block_bytes: int = _BLOCK_BYTES
-) -> DataFrame:
-    """(query_id, ref_id, score, rank) of the k references with the largest dot product.
+# ---------------------------------------------------------------- classes
 
-    ``queries(query_id, vec)`` are normalised here, ``refs(id, vec)`` are taken as they are: the
-    score is the cosine only where their length is 1.
-    A reference side within ``broadcast_bytes`` is shipped to every task and each query
-    is finished where it lies. A larger one is cut into a grid: every (query block,
-    reference block) pair is one bounded task that passes on k rows per query.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    at = scratch_path(df.sparkSession, f"similarity-{name}")
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
+def vector_classes(rows: DataFrame, id_col: str, dim: int) -> tuple[DataFrame, DataFrame]:
+    """(members, classes): (id, cls) of each row with a vector, and (cls, vec); cls is the smallest id of equal vectors.
+
+    Vectors are told apart by two 64-bit hashes. A vector of another width than ``dim`` fails the job.
     """
-    # both sides are counted, then read again; their lineage runs once
-    queries, refs = stable(queries.select("query_id", "vec")), stable(refs.select("id", "vec"))
-    n_refs, n_queries = refs.count(), queries.count()
-    if n_refs * dim * 8 <= broadcast_bytes:
-        # the work per query byte is large: partition by work, not by size
-        cores = queries.sparkSession.sparkContext.defaultParallelism
-        tasks = max(cores, -(-n_queries * n_refs // _TASK_SCORES))
-        return _against_broadcast(queries.repartition(tasks, "query_id"), refs, k, dim)
-    local = _against_grid(queries, refs, n_queries, n_refs, k, max(1, block_bytes // (8 * dim)))
-    best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ref_id")
-    ranked = local.withColumn("rank", F.row_number().over(best_first).cast("bigint"))
-    return ranked.filter(F.col("rank") <= k)
-
-
-def _against_broadcast(queries: DataFrame, refs: DataFrame, k: int, dim: int) -> DataFrame:
-    table = refs.select("id", F.col("vec").cast("array<double>").alias("vec")).toPandas().sort_values("id")
-    matrix = np.stack(table["vec"].to_numpy()) if len(table) else np.zeros((0, dim))
-    shipped = queries.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), matrix))
+    vec = of_width(F.col("vec").cast("array<double>"), dim)
+    keyed = rows.filter(F.col("vec").isNotNull()).select(F.col(id_col), vec.alias("vec"))
+    keyed = keyed.select(id_col, "vec", F.xxhash64("vec").alias("h1"), F.xxhash64(F.lit(7), "vec").alias("h2"))
+    keyed = _written(keyed, "keyed")
+    classes = _written(keyed.groupBy("h1", "h2").agg(F.min(id_col).alias("cls"), F.first("vec").alias("vec")), "classes")
+    members = keyed.select(id_col, "h1", "h2").join(classes.select("h1", "h2", "cls"), ["h1", "h2"]).select(id_col, "cls")
+    return members, classes.select("cls", "vec")
+
+
+def reference_classes(refs: DataFrame, k: int, dim: int) -> DataFrame:
+    """(cls, vec, ids): reference classes with their k smallest ids, ascending."""
+    members, classes = vector_classes(refs, "id", dim)
+    first = members.withColumn("__n", F.row_number().over(Window.partitionBy("cls").orderBy("id"))).filter(F.col("__n") <= k)
+    ids = first.groupBy("cls").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    return _written(classes.join(ids, "cls"), "references")
+
+
+def neighbour_classes(
+    queries: DataFrame, refs: DataFrame, k: int, dim: int, broadcast_bytes: int = _BROADCAST_BYTES, block_bytes: int = _BLOCK_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(members, near): (query_id, cls) of each query, and (cls, ref_id, score, rank) of each class of queries."""
+    members, classes = vector_classes(queries, "query_id", dim)
+    table = reference_classes(refs, k, dim)
+    n_refs, n_queries = table.count(), classes.count()
+    if n_refs * (dim + k) * 8 <= broadcast_bytes:
+        return members, _written(_against_broadcast(classes, table, n_queries, k, dim), "near")
+    rows = max(1, block_bytes // (8 * (dim + k)))
+    return members, _written(_against_grid(classes, table, n_queries, n_refs, k, dim, rows), "near")
+
+
+def _ship_index(table: DataFrame, dim: int):
+    frame = table.toPandas().sort_values("cls")
+    vectors = np.stack(frame["vec"].to_numpy()) if len(frame) else np.zeros((0, dim))
+    return table.sparkSession.sparkContext.broadcast(build_index(vectors, frame["ids"].tolist()))
+
+
+def _query_parts(classes: DataFrame, n_queries: int) -> DataFrame:
+    # the work per query byte is large: partition by work, not by size
+    tasks = max(classes.sparkSession.sparkContext.defaultParallelism, -(-n_queries // 4096))
+    return classes.select("cls", "vec").repartition(tasks, "cls")
+
+
+def _against_broadcast(classes: DataFrame, table: DataFrame, n_queries: int, k: int, dim: int) -> DataFrame:
+    shipped = _ship_index(table, dim)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ref_ids, rows = shipped.value
-        step = max(1, (64 << 20) // (8 * max(1, len(ref_ids))))
+        index = shipped.value
+        step = max(1, _SCORES // max(1, *(len(b.rows) for b in index.blocks), len(index.blocks))) if index.blocks else 1
         for batch in batches:
             for at in range(0, len(batch), step):
                 part = batch.iloc[at : at + step]
-                unit = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))
-                yield _block_top_k(part["query_id"].to_numpy(), unit, rows, ref_ids, k)
-
-    return queries.select("query_id", "vec").mapInPandas(score, _NEIGHBOURS)
-
-
-def _against_grid(queries: DataFrame, refs: DataFrame, n_queries: int, n_refs: int, k: int, block_rows: int) -> DataFrame:
-    """Each vector travels once for each block of the other side, so blocks are as large as a task can hold."""
-    q_blocks = max(1, -(-n_queries // block_rows))
-    r_blocks = max(1, -(-n_refs // block_rows))
-    left = queries.select(
-        "query_id",
-        "vec",
-        F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).alias("qb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(r_blocks - 1).cast("bigint"))).alias("rb"),
-    )
-    right = refs.select(
-        "id",
-        F.col("vec").cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64("id"), F.lit(r_blocks)).alias("rb"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))).alias("qb"),
-    )
+                near, _ = search(np.stack(part["vec"].to_numpy()), index, k)
+                yield pd.DataFrame({"cls": part["cls"].to_numpy()[near["query"].to_numpy()], **{c: near[c] for c in ("ref_id", "score", "rank")}})
+
+    return _query_parts(classes, n_queries).mapInPandas(score, _CLASS_NEIGHBOURS)
+
+
+def skipped_share(queries: DataFrame, refs: DataFrame, k: int, dim: int) -> DataFrame:
+    """One row: n_products that the exact search makes, n_pairs of classes, and the share it skips."""
+    _, classes = vector_classes(queries, "query_id", dim)
+    table = reference_classes(refs, k, dim)
+    shipped = _ship_index(table, dim)
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = shipped.value
+        for batch in batches:
+            if len(batch):
+                made = search(np.stack(batch["vec"].to_numpy()), index, k)[1]
+                yield pd.DataFrame({"made": [made], "pairs": [len(batch) * sum(len(b.rows) for b in index.blocks)]})
+
+    found = _query_parts(classes, classes.count()).mapInPandas(count, "made bigint, pairs bigint")
+    return found.agg(F.sum("made").alias("n_products"), F.sum("pairs").alias("n_pairs")).withColumn("skipped", 1 - F.col("n_products") / F.col("n_pairs"))
+
+
+def _against_grid(classes: DataFrame, table: DataFrame, n_queries: int, n_refs: int, k: int, dim: int, block_rows: int) -> DataFrame:
+    """Queries meet the blocks of their highest bounds, then those that may still hold a better one.
+
+    Pivots come from a bounded sample of references; every reference goes to its nearest pivot, and
+    a block larger than ``block_rows`` is cut by a hash. (query part, block) pairs are bounded tasks, and
+    a block travels only to the parts of which some query asks for it.
+    """
+    spark = classes.sparkSession
+    count = min(_PIVOTS, max(1, n_refs // block_rows))
+    sample = table.orderBy(F.xxhash64("cls")).limit(8 * count).select("vec").toPandas()["vec"]
+    pivots = spark.sparkContext.broadcast(pivots_of(np.stack(sample.to_numpy()), 8))
+
+    @F.pandas_udf("bigint")
+    def home(vec: pd.Series) -> pd.Series:
+        return pd.Series(_nearest(np.stack(vec.to_numpy()).astype(np.float64), pivots.value))
+
+    @F.pandas_udf("double")
+    def distance(vec: pd.Series, block: pd.Series) -> pd.Series:
+        return pd.Series(np.linalg.norm(np.stack(vec.to_numpy()) - pivots.value[block.to_numpy()], axis=1))
+
+    homed = _written(table.withColumn("pivot", home("vec")).withColumn("away", distance("vec", "pivot")), "homed")
+    sizes = homed.groupBy("pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()  # at most _PIVOTS rows
+    cuts = {r["pivot"]: -(-r["n"] // block_rows) for r in sizes}
+    first, names = {}, []
+    for r in sorted(sizes, key=lambda r: r["pivot"]):
+        first[r["pivot"]] = len(names)
+        names += [r["pivot"]] * cuts[r["pivot"]]
+    layout = spark.createDataFrame([(p, first[p], cuts[p]) for p in cuts], "pivot bigint, first bigint, cuts bigint")
+    blocks = homed.join(F.broadcast(layout), "pivot").withColumn("block", F.col("first") + F.pmod(F.xxhash64("cls"), F.col("cuts"))).select("block", "cls", "vec", "ids")
+    blocks = _written(blocks, "blocks")
+    radius = {r["pivot"]: r["radius"] for r in sizes}
+    near = spark.sparkContext.broadcast((pivots.value[names], np.array([radius[p] for p in names])))
+    parts = max(1, -(-n_queries // block_rows))
+    dealt = _written(classes.withColumn("part", F.pmod(F.xxhash64("cls"), F.lit(parts))), "queries")
+
+    @F.pandas_udf("array<bigint>")
+    def asked(vec: pd.Series, floor: pd.Series) -> pd.Series:
+        """The blocks of the highest bounds where the floor is unknown, else all others that reach it."""
+        centres, radii = near.value
+        out = []
+        step = max(1, _SCORES // len(centres))
+        for at in range(0, len(vec), step):
+            bound = _unit(np.stack(vec.iloc[at : at + step].to_numpy()).astype(np.float64)) @ centres.T + radii + _SLACK
+            first = np.argsort(-bound, axis=1, kind="stable")[:, :_FIRST]
+            for row, best, least in zip(bound, first, floor.iloc[at : at + step], strict=True):
+                out.append(best if np.isnan(least) else np.setdiff1d(np.nonzero(row >= least)[0], best))
+        return pd.Series(out)
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
-            return pd.DataFrame({"query_id": [], "ref_id": [], "score": [], "rank": []})
-        r = r.sort_values("id")
-        rows = np.stack(r["vec"].to_numpy())
-        parts = []
-        for at in range(0, len(q), 512):
-            part = q.iloc[at : at + 512]
-            unit = _unit(np.stack(part["vec"].to_numpy()).astype(np.float64))
-            parts.append(_block_top_k(part["query_id"].to_numpy(), unit, rows, r["id"].to_numpy(), k))
-        return pd.concat(parts, ignore_index=True)
+            return pd.DataFrame({"cls": [], "ref_id": [], "score": [], "rank": []})
+        vectors = np.stack(r["vec"].to_numpy())
+        index = Index(np.zeros((1, vectors.shape[1])), np.full(1, np.inf), [_block_of(vectors, r["ids"].tolist())])
+        out = []
+        step = max(1, _SCORES // len(r))
+        for at in range(0, len(q), step):
+            some = q.iloc[at : at + step]
+            found, _ = search(np.stack(some["vec"].to_numpy()), index, k)
+            out.append(pd.DataFrame({"cls": some["cls"].to_numpy()[found["query"].to_numpy()], **{c: found[c] for c in ("ref_id", "score", "rank")}}))
+        return pd.concat(out, ignore_index=True)
+
+    def meet(wanted: DataFrame) -> DataFrame:
+        pairs = wanted.withColumn("block", F.explode(asked("vec", "floor"))).select("part", "block", "cls", "vec")
+        pairs = _written(pairs, "pairs")
+        right = blocks.join(pairs.select("part", "block").distinct(), "block").select(*[F.col(c).alias(c) for c in ("part", "block")], "vec", "ids")
+        return pairs.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(score, _CLASS_NEIGHBOURS)
+
+    def best(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("cls").orderBy(F.col("score").desc(), "ref_id")
+        return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
+
+    early = _written(best(meet(dealt.withColumn("floor", F.lit(float("nan"))))), "early")
+    floors = early.groupBy("cls").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("floor"))
+    late = meet(dealt.join(floors, "cls", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf")))))
+    return best(early.unionByName(late))
+
 
-    return left.groupBy("qb", "rb").cogroup(right.groupBy("qb", "rb")).applyInPandas(score, _NEIGHBOURS)
+# ---------------------------------------------------------------- by query
+
+def top_k_similar(
+    queries: DataFrame, refs: DataFrame, k: int, dim: int, broadcast_bytes: int = _BROADCAST_BYTES, block_bytes: int = _BLOCK_BYTES
+) -> DataFrame:
+    """(query_id, ref_id, score, rank) of the k references with the largest dot product.
+
+    ``queries(query_id, vec)`` are normalised here, ``refs(id, vec)`` are taken as they are: the
+    score is the cosine only where their length is 1. Rows without a vector are left out.
+    A reference side within ``broadcast_bytes`` is shipped to every task and each class of queries
+    is finished where it lies. A larger one is cut into blocks that meet only the queries they matter to.
+    """
+    members, near = neighbour_classes(queries, refs, k, dim, broadcast_bytes, block_bytes)
+    return members.join(near, "cls").select("query_id", "ref_id", "score", "rank")
 
 
 def normalise(rows: DataFrame, vec: str = "vec") -> DataFrame:
@@ -133,15 +351,88 @@ def normalise(rows: DataFrame, vec: str = "vec") -> DataFrame:
     ).drop("__len")
 
 
+def class_weights(near: DataFrame) -> DataFrame:
+    """``near`` with ``weight``: softmax over the scores of a class."""
+    per_class = Window.partitionBy("cls")
+    e = F.exp(F.col("score") - F.max("score").over(per_class))
+    return near.withColumn("__e", e).withColumn("weight", F.col("__e") / F.sum("__e").over(per_class)).drop("__e")
+
+
 def weighted_neighbours(queries: DataFrame, refs: DataFrame, k: int, dim: int, **kw) -> DataFrame:
-    """(query_id, ref_id, score, rank, weight): softmax over the k scores of a query.
+    """(query_id, ref_id, score, rank, weight): softmax over the k scores of a query, made once a class."""
+    members, near = neighbour_classes(queries, refs, k, dim, **kw)
+    return members.join(class_weights(near), "cls").select("query_id", "ref_id", "score", "rank", "weight")
 
-    The neighbours are written once: they cost far more to find than to store, and
-    everything that follows reads them more than once.
+
+# ---------------------------------------------------------------- approximate
+
+def top_k_approximate(
+    queries: DataFrame, refs: DataFrame, k: int, dim: int, tables: int = 12, bits: int | None = None, probes: int | None = None,
+    bucket_rows: int = 4096, seed: int = 42,
+) -> DataFrame:
+    """(query_id, ref_id, score, rank): as ``top_k_similar`` but only among references that share a probed bucket.
+
+    Each of ``tables`` puts a vector into a bucket by the signs of ``bits`` random projections. A query
+    probes, in every table, the ``probes`` buckets that lie closest to it: those that differ in the signs
+    with the smallest margins in sum. All that meet are scored exactly. Recall is not guaranteed: it grows
+    with tables and probes, and falls with bits. By default a bucket holds about 64 classes of references
+    and half of the buckets are probed up to 8. A bucket of more than ``bucket_rows`` is cut into parts that the queries all meet.
     """
-    top = stable(top_k_similar(queries, refs, k, dim, **kw))
-    per_query = Window.partitionBy("query_id")
-    e = F.exp(F.col("score") - F.max("score").over(per_query))
-    return top.withColumn("__e", e).withColumn(
-        "weight", F.col("__e") / F.sum("__e").over(per_query)
-    ).drop("__e")
+    members, classes = vector_classes(queries, "query_id", dim)
+    table = reference_classes(refs, k, dim)
+    n_refs, n_queries = max(1, table.count()), classes.count()
+    bits = max(1, min(16, int(np.log2(n_refs / 64)) if n_refs > 64 else 1)) if bits is None else bits
+    probes = max(1, min(8, 1 << (bits - 1))) if probes is None else min(probes, 1 << bits)
+    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
+    powers = 1 << np.arange(bits)
+    # flips by ascending sum of margins are among the subsets of the few smallest ones
+    flips = np.array([[(s >> b) & 1 for b in range(bits)] for s in range(1 << min(bits, 8))], np.float64)
+
+    @F.pandas_udf("array<bigint>")
+    def buckets(vec: pd.Series) -> pd.Series:
+        """One bucket a table; the table is part of its number."""
+        signs = np.einsum("nd,tbd->ntb", np.stack(vec.to_numpy()).astype(np.float64), planes) > 0
+        return pd.Series(list((signs @ powers) + (np.arange(tables) << bits)))
+
+    @F.pandas_udf("array<bigint>")
+    def probed(vec: pd.Series) -> pd.Series:
+        margins = np.einsum("nd,tbd->ntb", np.stack(vec.to_numpy()).astype(np.float64), planes)
+        order = np.argsort(np.abs(margins), axis=2, kind="stable")
+        small = np.take_along_axis(np.abs(margins), order, axis=2)
+        cost = small @ flips.T
+        best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
+        # bit i of a flip stands for the i-th smallest margin
+        masks = (flips[best] * powers[order][:, :, None, :]).sum(axis=3).astype(np.int64)
+        own = ((margins > 0) @ powers)[:, :, None]
+        found = (own ^ masks) + (np.arange(tables) << bits)[None, :, None]
+        return pd.Series(list(found.reshape(len(margins), -1)))
+
+    dealt = _written(table.withColumn("bucket", F.explode(buckets("vec"))), "buckets")
+    parts = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(bucket_rows)).alias("parts"))
+    # a bucket of queries is cut as well: its parts meet every part of the references
+    chunks = max(1, -(-n_queries // bucket_rows))
+    asking = classes.withColumn("bucket", F.explode(probed("vec"))).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks)))
+    left = asking.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
+    left = _written(left.select("bucket", "chunk", "part", "cls", "vec"), "probes")
+    right = dealt.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
+    right = right.join(left.select("bucket", "chunk").distinct(), "bucket").select(*[F.col(c).alias(c) for c in ("bucket", "chunk", "part")], "vec", "ids")
+
+    def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or r.empty:
+            return pd.DataFrame({"cls": [], "ref_id": [], "score": []})
+        vectors = np.stack(r["vec"].to_numpy())
+        index = Index(np.zeros((1, dim)), np.full(1, np.inf), [_block_of(vectors, r["ids"].tolist())])
+        out = []
+        step = max(1, _SCORES // len(r))
+        for at in range(0, len(q), step):
+            some = q.iloc[at : at + step]
+            found, _ = search(np.stack(some["vec"].to_numpy()), index, k)
+            out.append(pd.DataFrame({"cls": some["cls"].to_numpy()[found["query"].to_numpy()], "ref_id": found["ref_id"], "score": found["score"]}))
+        return pd.concat(out, ignore_index=True)
+
+    keys = ["bucket", "chunk", "part"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "cls bigint, ref_id bigint, score double")
+    order = Window.partitionBy("cls").orderBy(F.col("score").desc(), "ref_id")
+    best = found.groupBy("cls", "ref_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    near = _written(best.filter(F.col("rank") <= k), "approximate")
+    return members.join(near, "cls").select("query_id", "ref_id", "score", "rank")

@@ -299,6 +299,14 @@ def _(spark, sf):
     return _top(spark, sf).select("query_id", "ref_id", "score", F.col("rank").cast("bigint").alias("rank"))
 
 
+@query("J9_similarity_approximate")
+def _(spark, sf):
+    # found by hyperplane tables: SQL has the exact form only, see J9_similarity_top_k
+    x = _inputs(spark, sf)
+    aux = x.tokens.join(x.vectors.withColumnRenamed("word", "token"), "token")
+    return similarity.top_k_approximate(aux.select(F.col("id").alias("query_id"), "vec"), x.aux_rows, 10, DIM)
+
+
 @query("W4_top_k_per_token", sql("select q.id as query_id, count(*) as k, round(max(score) - min(score), 8) as spread from newq q join near n on n.qslot = q.slot group by q.id"))
 def _(spark, sf):
     spread = F.round(F.max("score") - F.min("score"), 8)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -40,14 +42,57 @@ def test_chain_with_an_ngram_table_projects_only_lexical_vectors(spark, space):
     assert rows == {"aa": [0.0, 1.0, 0.0, 0.0], "x": [4.0] * 4, "yy": None}
 
 
-def test_wide_vectors_take_the_vector_typed_aggregate(spark):
-    rows = spark.createDataFrame([(k, [float(k + i) for i in range(130)]) for k in (0, 1, 2, 3)], "k int, vec array<double>")
-    rows = rows.withColumn("g", F.col("k") % 2)
-    for weight in (None, F.col("k").cast("double")):
-        wide = {r["g"]: (r["n"], r["sums"]) for r in E.sum_vectors(rows, ["g"], 130, weight=weight).collect()}
-        narrow = {r["g"]: (r["n"], r["sums"]) for r in E.sum_vectors(rows, ["g"], 64, weight=weight).collect()}
-        for g in (0, 1):
-            assert wide[g][0] == narrow[g][0] and np.allclose(wide[g][1][:64], narrow[g][1])
+@pytest.mark.parametrize("dim", [63, 64, 768])
+def test_vector_sums_have_equal_bits_however_rows_are_dealt_out(spark, dim):
+    rng = np.random.default_rng(dim)
+    values = rng.normal(size=(400, dim)) * 10.0 ** rng.integers(-12, 12, size=(400, 1))
+    rows = [(int(g), v.tolist(), float(w)) for g, v, w in zip(rng.integers(0, 5, 400), values, rng.normal(size=400), strict=True)]
+    df = spark.createDataFrame(rows, "g int, vec array<double>, w double")
+    for weight in (None, F.col("w")):
+        bits = []
+        for dealt in (df.coalesce(1), df.orderBy(F.rand(1)).repartition(7), df.orderBy("w").repartition(2)):
+            bits.append({r["g"]: (r["n"], np.array(r["sums"]).tobytes()) for r in E.sum_vectors(dealt, ["g"], dim, weight=weight).collect()})
+            bits[-1]["all"] = np.array(E.sum_vectors(dealt, [], dim, weight=weight).first()["sums"]).tobytes()
+        assert bits[0] == bits[1] == bits[2]
+        for g in range(5):
+            mine = [(v, w if weight is not None else 1.0) for k, v, w in rows if k == g]
+            exact = [math.fsum(w * v[i] for v, w in mine) for i in range(dim)]
+            assert bits[0][g][0] == len(mine) and np.allclose(np.frombuffer(bits[0][g][1]), exact, rtol=1e-15, atol=0)
+
+
+def test_sums_of_odd_values(spark):
+    rows = [("a", [1e17, 1.0, float("inf"), 2.0**-100]), ("a", [1.0, -1.0, 1.0, 2.0**-119]), ("a", [-1e17, 2.0, 1.0, 0.0])]
+    got = E.sum_vectors(spark.createDataFrame(rows, "k string, vec array<double>"), ["k"], 4).first()["sums"]
+    assert got[:2] == [1.0, 2.0] and np.isnan(got[2]) and got[3] == 2.0**-100 + 2.0**-119
+    none = spark.createDataFrame([], "k string, vec array<double>")
+    assert E.sum_vectors(none, ["k"], 4).count() == 0 and E.sum_vectors(none, [], 4).collect()[0]["sums"] == [0.0] * 4
+    assert E.mean_row(none, 4).count() == 0
+    two = spark.createDataFrame([(None, 1, [1.0]), (None, 1, [2.0]), ("x", None, [4.0])], "k string, j int, vec array<double>")
+    assert {(r["k"], r["j"], r["n"], r["sums"][0]) for r in E.sum_vectors(two, ["k", "j"], 1).collect()} == {(None, 1, 2, 3.0), ("x", None, 1, 4.0)}
+
+
+def test_a_second_width_is_refused_at_every_entry(spark, space):
+    ragged = space.unionByName(spark.createDataFrame([("rag", [1.0, 2.0])], VEC))
+    lex = spark.createDataFrame([("t", ["ሰላም", "rag"])], LEX)
+    rows = spark.createDataFrame([(0, [1.0] * 4), (1, [1.0] * 3)], "id long, vec array<double>")
+    pairs = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0]), ([1.0], [1.0])], "x array<double>, y array<double>")
+    grams = spark.createDataFrame([("<x>", [1.0])], "ngram string, vec array<double>")
+    refs, one = ids(spark, (1, [1.0, 0.0]), (2, [1.0])), spark.createDataFrame([(0, [1.0, 0.0])], "query_id long, vec array<double>")
+    entries = [
+        lambda: E.morpheme_means(spark.createDataFrame([("t", ["ሰላም", "rag"])], "token string, morphemes array<string>"), ragged, 4),
+        lambda: E.lexical_vectors(tokens(spark, "rag"), lex, ragged, 4),
+        lambda: E.initial_vectors(tokens(spark, "t"), lex, ragged, 4),
+        lambda: E.ngram_means(tokens(spark, "x"), grams, 4),
+        lambda: E.mean_row(rows, 4),
+        lambda: E.sum_vectors(rows, ["id"], 4),
+        lambda: alignment.gram_rows(pairs, 2),
+        lambda: similarity.top_k_similar(one, refs, 1, 2),
+        lambda: similarity.top_k_similar(one, refs, 1, 2, broadcast_bytes=0),
+        lambda: similarity.top_k_similar(refs.withColumnRenamed("id", "query_id"), refs.limit(1), 1, 2),
+    ]
+    for entry in entries:
+        with pytest.raises(Exception, match="IncompatibleDimension"):
+            entry().collect()
 
 
 def test_gaussian_rows_are_pure_functions(spark):
@@ -180,3 +225,73 @@ def test_cell_std_equals_numpy(spark):
     got = E.cell_std(table).first()
     assert got["n_cells"] == 150 and np.isclose(got["std"], rows.std(ddof=1))
     assert E.cell_std(table.limit(0)).first()["std"] is None
+
+
+def clustered(rng, n, dim, centres):
+    return centres[rng.integers(0, len(centres), n)] + 0.05 * rng.normal(size=(n, dim))
+
+
+def tables_of(spark, queries, refs):
+    q = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(queries)], "query_id long, vec array<double>")
+    return q, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(refs)], "id long, vec array<double>")
+
+
+def test_bounds_skip_blocks_and_change_nothing(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(30, 16))
+    refs, queries = similarity._unit(clustered(rng, 3000, 16, centres)), clustered(rng, 400, 16, centres)
+    index = similarity.build_index(refs, [[i] for i in range(3000)], 100)
+    near, made = similarity.search(queries, index, 5)
+    scores = np.round(similarity._unit(queries) @ refs.T, 9)
+    want = [j for row in scores for j in np.lexsort((np.arange(3000), -row))[:5].tolist()]
+    assert near["ref_id"].tolist() == want
+    assert made < 0.3 * scores.size
+    for unit, block in ((similarity._unit(queries), b) for b in index.blocks):
+        at = [b.rows is block.rows for b in index.blocks].index(True)
+        assert ((unit @ block.rows.T).max(axis=1) <= unit @ index.centres[at] + index.radii[at] + 1e-12).all()
+    q, r = tables_of(spark, queries, refs)
+    found = similarity.skipped_share(q, r, 5, 16).first()
+    assert found["n_pairs"] == 400 * 3000 and found["skipped"] > 0.5
+    for limit in (1 << 30, 0):
+        rows = similarity.top_k_similar(q, r, 5, 16, broadcast_bytes=limit, block_bytes=150 * 21 * 8).orderBy("query_id", "rank").collect()
+        assert [x["ref_id"] for x in rows] == want
+
+
+def test_equal_vectors_are_searched_once_and_come_out_for_all(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(20, 8))
+    refs, queries = base[rng.integers(0, 20, 500)], base[rng.integers(0, 20, 300)]
+    q, r = tables_of(spark, queries, refs)
+    q = q.unionByName(spark.createDataFrame([(9999, None)], q.schema))
+    _, classes = similarity.vector_classes(q, "query_id", 8)
+    assert classes.count() == 20
+    scores = np.round(similarity._unit(queries) @ refs.T, 9)
+    want = {(i, j, n + 1) for i, row in enumerate(scores) for n, j in enumerate(np.lexsort((np.arange(500), -row))[:30])}
+    for limit in (1 << 30, 0):
+        got = similarity.top_k_similar(q, r, 30, 8, broadcast_bytes=limit, block_bytes=7 * 38 * 8).collect()
+        assert {(x["query_id"], x["ref_id"], x["rank"]) for x in got} == want
+    assert similarity.top_k_similar(q.limit(0), r, 3, 8).count() == 0 and similarity.top_k_similar(q, r.limit(0), 3, 8).count() == 0
+
+
+@pytest.mark.parametrize("bucket_rows", [4096, 50])
+def test_approximate_neighbours_reach_the_recall(spark, bucket_rows):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 32))
+    refs, queries = similarity._unit(clustered(rng, 4000, 32, centres)), clustered(rng, 300, 32, centres)
+    q, r = tables_of(spark, queries, refs)
+    exact = {(x["query_id"], x["ref_id"]): x["score"] for x in similarity.top_k_similar(q, r, 10, 32).collect()}
+    found = {(x["query_id"], x["ref_id"]): x["score"] for x in similarity.top_k_approximate(q, r, 10, 32, bucket_rows=bucket_rows).collect()}
+    assert len(exact.keys() & found.keys()) >= 0.9 * len(exact)
+    assert all(found[k] == exact[k] for k in exact.keys() & found.keys())
+    whole = similarity.top_k_approximate(q, r, 10, 32, tables=1, bits=1, probes=2).collect()
+    assert {(x["query_id"], x["ref_id"]) for x in whole} == set(exact)
+
+
+def test_gram_has_equal_bits_however_rows_are_dealt_out(spark):
+    rng = np.random.default_rng(8)
+    rows = [((10.0**e * v).tolist(), w.tolist()) for v, w, e in zip(rng.normal(size=(500, 6)), rng.normal(size=(500, 6)), rng.integers(-6, 6, 500), strict=True)]
+    df = spark.createDataFrame(rows, "x array<double>, y array<double>")
+    bits = [[(r["row"], np.array(r["vec"]).tobytes()) for r in alignment.gram_rows(d, 6).orderBy("row").collect()] for d in (df.coalesce(1), df.orderBy(F.rand(2)).repartition(9))]
+    assert bits[0] == bits[1]
+    exact = [[math.fsum(b[i] * a[j] for a, b in rows) for j in range(6)] for i in range(6)]
+    assert np.allclose([np.frombuffer(b) for _, b in bits[0]], exact, rtol=1e-12)
