@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-import re
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .arrays import let, once
 from .text import strip, tokens
@@ -91,20 +89,41 @@ def exact_match(prediction: Column, gold: Column) -> Column:
     return (strip(prediction) == strip(gold)).cast("double")
 
 
+#: Code points that part tokens: what Unicode calls white space, and the four separators before the blank.
+_BLANKS = np.zeros(0x3001, np.bool_)
+_BLANKS[[c for c in range(0x3001) if chr(c).isspace()]] = True
+#: Code points that are scanned at a time, unless one text has more.
+_SCAN_POINTS = 4 << 20
+
+
+def offsets_of(texts: pa.Array) -> pa.Array:
+    """The starts and ends of the tokens of each text, by one scan over the batch's code points.
+
+    All texts lie one after the other as UTF-32; where blank turns to sign a token starts, where sign
+    turns to blank, or a text ends, it ends. Counts of starts by text are differences of a running sum.
+    """
+    texts = pc.fill_null(texts, "")
+    lengths = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+    if len(texts) > 1 and lengths.sum() > _SCAN_POINTS:
+        half = len(texts) // 2
+        return pa.concat_arrays([offsets_of(texts[:half]), offsets_of(texts[half:])])
+    points = np.frombuffer("".join(texts.to_pylist()).encode("utf-32-le"), np.uint32)
+    sign = ~_BLANKS[np.minimum(points, len(_BLANKS) - 1)] | (points >= len(_BLANKS))
+    ends_of = np.cumsum(lengths)
+    first = np.zeros(len(points) + 1, np.bool_)
+    first[np.concatenate([[0], ends_of])] = True
+    # a token never goes across the border of two texts
+    starts = np.nonzero(sign & (first[:-1] | ~np.append(False, sign[:-1])))[0]
+    ends = np.nonzero(sign & (first[1:] | ~np.append(sign[1:], False)))[0] + 1
+    cuts = np.searchsorted(starts, np.concatenate([[0], ends_of]))
+    base = np.repeat(np.concatenate([[0], ends_of[:-1]]) if len(ends_of) else ends_of, np.diff(cuts))
+    found = pa.StructArray.from_arrays([pa.array((starts - base).astype(np.int32)), pa.array((ends - base).astype(np.int32))], ["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), found)
+
+
 def token_offsets(text: Column) -> Column:
-    """``array<struct<start,end>>``: code-point offsets of the whitespace tokens of a text."""
-    word = re.compile(r"\S+")
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def starts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(lambda s: [m.start() for m in word.finditer(s or "")])
-
-    return F.zip_with(
-        once(starts)(text),
-        tokens(text),
-        lambda at, t: F.struct(at.alias("start"), (at + F.length(t)).alias("end")),
-    )
+    """``array<struct<start,end>>``: code-point offsets of the whitespace tokens of a text; null has none."""
+    return once(F.arrow_udf("array<struct<start:int,end:int>>")(offsets_of))(text)
 
 
 def window_starts(n: Column, capacity: Column, stride: int) -> Column:

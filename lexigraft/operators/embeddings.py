@@ -15,7 +15,7 @@ from ..functions.text import char_ngrams
 from ..functions.vector_sums import exact_sums, of_width
 from ..session import stable
 from .keys import lookup_join
-from .lexicon import segment
+from .lexicon import Segmenter, segment
 
 _MAX_MATRIX_ROWS = 8192  # an alignment matrix is d x d; the driver holds it
 NGRAM_SCALE = 0.02       # fixed value: scale of n-gram vectors
@@ -98,18 +98,28 @@ def mean_vectors(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec") -
 
 # ---------------------------------------------------------------- the fallback chain
 
-def morpheme_means(segmented: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
+#: An auxiliary vector space: a table (word, vec), or a function that makes the vector, or null, of a word column.
+Vectors = DataFrame | Callable[[Column], Column]
+
+
+def with_vectors(rows: DataFrame, word: str, vectors: Vectors, name: str = "vec", how: str = "left") -> DataFrame:
+    """``rows`` with the vector of column ``word``; null if there is none, or with ``how`` inner no row."""
+    if isinstance(vectors, DataFrame):
+        known = vectors.filter(F.col("vec").isNotNull()).select(F.col("word").alias(word), F.col("vec").alias(name))
+        return rows.join(known, word, how)
+    made = rows.withColumn(name, vectors(F.col(word)))
+    return made.filter(F.col(name).isNotNull()) if how == "inner" else made
+
+
+def morpheme_means(segmented: DataFrame, vectors: Vectors, dim: int) -> DataFrame:
     """(token, n, vec): mean over the covered morphemes; tokens without one are absent."""
     probe = segmented.select("token", F.explode("morphemes").alias("word"))
-    hits = lookup_join(probe, vectors.filter(F.col("vec").isNotNull()), "word", "vec")
-    return mean_vectors(hits, ["token"], dim)
+    return mean_vectors(with_vectors(probe, "word", vectors, how="inner"), ["token"], dim)
 
 
-def whole_token_vectors(tokens: DataFrame, vectors: DataFrame) -> DataFrame:
+def whole_token_vectors(tokens: DataFrame, vectors: Vectors) -> DataFrame:
     """(token, vec): vec is null where the vector table has no such word. Vectors are handed on as they are."""
-    return tokens.select("token").join(
-        vectors.select(F.col("word").alias("token"), "vec"), "token", "left"
-    )
+    return with_vectors(tokens.select("token"), "token", vectors)
 
 
 def ngram_means(
@@ -121,15 +131,16 @@ def ngram_means(
     return mean_vectors(hits, ["token"], dim)
 
 
-def lexical_vectors(tokens: DataFrame, lexicon: DataFrame, vectors: DataFrame, dim: int) -> DataFrame:
-    """(token, vec, origin) from morphemes, else from the whole token, else null."""
+def lexical_vectors(tokens: DataFrame, lexicon: DataFrame | Segmenter, vectors: Vectors, dim: int) -> DataFrame:
+    """(token, vec, origin) from morphemes, else from the whole token, else null.
+
+    The lexicon may be a segmenter function, the vectors a function of a word; the rows are the same.
+    """
     seg = segment(tokens.select("token"), lexicon)
     morph = morpheme_means(seg, vectors, dim).select("token", F.col("vec").alias("__m"))
-    whole = vectors.select(F.col("word").alias("token"), of_width(F.col("vec").cast("array<double>"), dim).alias("__w"))
     return (
-        tokens.select("token")
-        .join(morph, "token", "left")
-        .join(whole, "token", "left")
+        with_vectors(tokens.select("token").join(morph, "token", "left"), "token", vectors, "__w")
+        .withColumn("__w", of_width(F.col("__w").cast("array<double>"), dim))
         .select(
             "token",
             F.coalesce("__m", "__w").alias("vec"),
@@ -162,8 +173,8 @@ def origins(tokens: DataFrame, lexicon: DataFrame, vector_words: DataFrame) -> D
 
 def initial_vectors(
     tokens: DataFrame,
-    lexicon: DataFrame,
-    vectors: DataFrame,
+    lexicon: DataFrame | Segmenter,
+    vectors: Vectors,
     dim: int,
     matrix: np.ndarray | None = None,
     ngram_vectors: DataFrame | None = None,
@@ -220,8 +231,8 @@ class InitInputs:
     tokens: DataFrame                       # (token, id) of the new tokens
     old_rows: DataFrame                     # (id, vec) of the existing rows
     current_rows: DataFrame | None = None   # (id, vec) after resizing, for ``default``
-    lexicon: DataFrame | None = None
-    vectors: DataFrame | None = None        # auxiliary (word, vec)
+    lexicon: DataFrame | Segmenter | None = None
+    vectors: Vectors | None = None          # auxiliary (word, vec), or a function of a word
     aux_rows: DataFrame | None = None       # normalised auxiliary vectors (id, vec) of old tokens
     ngram_vectors: DataFrame | None = None
     matrix: DataFrame | None = None
@@ -249,8 +260,8 @@ def similarity_init(x: InitInputs) -> DataFrame:
     """Softmax-weighted mix of the rows of the k most similar old tokens, else the mean row."""
     from .similarity import class_weights, neighbour_classes
 
-    aux = x.tokens.join(x.vectors.withColumnRenamed("word", "token"), "token", "left")
-    known = aux.filter("vec is not null").select(F.col("id").alias("query_id"), "vec")
+    aux = with_vectors(x.tokens, "token", x.vectors, how="inner")
+    known = aux.select(F.col("id").alias("query_id"), "vec")
     # equal vectors have equal neighbours and one mix
     members, near = neighbour_classes(known, x.aux_rows, x.top_k, x.dim)
     rows = lookup_join(class_weights(near).withColumnRenamed("ref_id", "id"), x.old_rows, "id", "vec")

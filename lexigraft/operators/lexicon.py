@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +30,17 @@ def parse_lexicon(lines: DataFrame, order: list[Column]) -> DataFrame:
     )
 
 
-def segment(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
+Segmenter = Callable[[Column], Column]
+
+
+def segment(tokens: DataFrame, lexicon: DataFrame | Segmenter) -> DataFrame:
     """Add ``morphemes``: the token's own entry, else its lower-cased form's, else empty.
 
-    ``tokens`` should be distinct; both joins are then free of hot keys.
+    ``tokens`` should be distinct; both joins are then free of hot keys. In the place of a lexicon a
+    function may stand that makes ``array<string>`` of the token column; its nulls count as empty.
     """
+    if not isinstance(lexicon, DataFrame):
+        return tokens.withColumn("morphemes", F.coalesce(lexicon(F.col("token")), F.array().cast("array<string>")))
     exact = lexicon.select(F.col("word").alias("token"), F.col("morphemes").alias("__exact"))
     lower = lexicon.select(F.col("word").alias("__lower"), F.col("morphemes").alias("__low"))
     return (

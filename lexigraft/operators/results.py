@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import run_name, short_hash
 from .embeddings import MissingAlignmentMatrix, MissingParameter
+from .keys import dense_index
 
 # The compared systems in report order.
 SYSTEMS = [
@@ -190,30 +191,35 @@ def provenance_values(runs: DataFrame) -> DataFrame:
     )
 
 
-#: A report lists this many values of a field; how many more there are is said in a last entry.
-LISTED_VALUES = 1000
+#: Values that stand on one page of a list.
+PAGE = 100
 
 
-def _listed(values: DataFrame, field: str) -> DataFrame:
-    """One row: the sorted values of a field, joined; a bounded number of them is brought together."""
-    own = values.filter(F.col("field") == field)
-    first = own.select("value").orderBy("value").limit(LISTED_VALUES)
-    n = own.agg(F.count("*").alias("n"))
-    joined = first.agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("v"))
-    more = F.when(F.col("n") > LISTED_VALUES, F.concat(F.lit(", and "), (F.col("n") - LISTED_VALUES).cast("string"), F.lit(" more"))).otherwise(F.lit(""))
-    return joined.crossJoin(n).select(F.concat("v", more).alias(field), F.col("n").alias(f"n_{field}"))
+def value_pages(values: DataFrame) -> DataFrame:
+    """(field, page, listed, n_values): the sorted values of each field, joined page by page.
 
+    Values are numbered by a sort of all, so a field may have any number of them and a page is the
+    largest thing that is brought together.
+    """
+    numbered = dense_index(values.select("field", "value"), [F.col("field"), F.col("value")], "__row")
+    fields = numbered.groupBy("field").agg(F.min("__row").alias("__first"), F.count("*").alias("n_values"))
+    placed = numbered.join(F.broadcast(fields), "field").withColumn("page", F.floor((F.col("__row") - F.col("__first")) / PAGE))
+    return placed.groupBy("field", "page", "n_values").agg(F.array_join(F.array_sort(F.collect_list("value")), ", ").alias("listed")).select(
+        "field", "page", "listed", "n_values"
+    )
 
-def provenance_summary(runs: DataFrame) -> DataFrame:
-    """One row: joined commits, configs and seeds, any dirty, largest unavailable count."""
-    values = provenance_values(runs)
-    flags = runs.filter("provenance is not null").agg(
+
+def provenance_flags(runs: DataFrame) -> DataFrame:
+    """One row: any dirty, largest unavailable count, over runs with provenance."""
+    return runs.filter("provenance is not null").agg(
         F.coalesce(F.bool_or("provenance.dirty"), F.lit(False)).alias("dirty"),
         F.coalesce(F.max("unavailable_hyperparameters"), F.lit(0)).alias("unavailable"),
     )
-    parts = _listed(values, "commit").crossJoin(_listed(values, "config")).crossJoin(_listed(values, "seed"))
-    named = F.coalesce(F.nullif("config", F.lit("")), F.lit("unavailable"))
-    return parts.crossJoin(flags).withColumn("config", named)
+
+
+def provenance_summary(runs: DataFrame) -> DataFrame:
+    """(field, page, listed, n_values, dirty, unavailable): all commits, configurations and seeds, in pages of ``PAGE``."""
+    return value_pages(provenance_values(runs)).crossJoin(F.broadcast(provenance_flags(runs)))
 
 
 def dataset_status(runs: DataFrame) -> DataFrame:
@@ -347,25 +353,28 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
         .agg(F.min_by("provenance", "experiment").alias("p"))
         .filter("p is not null")
     )
-    summary = provenance_summary(runs).filter("commit <> ''")
+    pages = value_pages(provenance_values(runs))
+    # the section is there if any commit is known
+    known = pages.filter("field = 'commit'").agg(F.count("*").alias("n")).filter("n > 0").select("n")
     quoted = lambda c: F.concat(F.lit("`"), c, F.lit("`"))
-    prov = summary.select(
-        F.lit("3").alias("section"),
-        F.posexplode(
-            F.array(
-                F.lit("## Provenance"),
-                F.lit(""),
-                F.lit("| Field | Value |"),
-                F.lit("|---|---|"),
-                cell_row(F.lit("Commit"), quoted(F.col("commit"))),
-                cell_row(F.lit("Config sha256"), quoted(F.col("config"))),
-                cell_row(F.lit("Seeds"), F.concat("seed", F.lit(" ("), F.col("n_seed").cast("string"), F.lit(" runs per system)"))),
-            )
-        ).alias("ord", "line"),
+    names = {"commit": ("3a", "Commit"), "config": ("3b", "Config sha256"), "seed": ("3c", "Seeds")}
+    field = lambda i: F.element_at(F.create_map(*[F.lit(x) for k, v in names.items() for x in (k, v[i])]), F.col("field"))
+    last_page = F.col("page") == F.floor((F.col("n_values") - 1) / PAGE)
+    seeds = F.concat("listed", F.when(last_page, F.concat(F.lit(" ("), F.col("n_values").cast("string"), F.lit(" runs per system)"))).otherwise(F.lit("")))
+    shown = pages.select(
+        field(0).alias("section"),
+        F.col("page").cast("int").alias("ord"),
+        cell_row(F.when(F.col("page") == 0, field(1)).otherwise(F.lit("")), F.when(F.col("field") == "seed", seeds).otherwise(quoted(F.col("listed")))).alias("line"),
     )
+    unnamed = pages.agg(F.count_if(F.col("field") == "config").alias("n")).filter("n = 0").select(
+        F.lit("3b").alias("section"), F.lit(0).alias("ord"), F.lit("| Config sha256 | `unavailable` |").alias("line")
+    )
+    listed = shown.unionByName(unnamed).crossJoin(F.broadcast(known)).select("section", "ord", "line")
+    titles_3 = known.select(F.lit("3").alias("section"), F.posexplode(F.array(*map(F.lit, ("## Provenance", "", "| Field | Value |", "|---|---|")))).alias("ord", "line"))
+    prov = titles_3.unionByName(listed)
     first = env.select(
-        F.lit("3").alias("section"),
-        F.lit(10).alias("ord"),
+        F.lit("3d").alias("section"),
+        F.lit(0).alias("ord"),
         cell_row(
             F.lit("Environment"),
             F.concat(
@@ -391,7 +400,7 @@ def report_lines(runs: DataFrame, system_rows: DataFrame) -> DataFrame:
         F.lit(0).alias("ord"),
         cell_row(F.concat(F.lit("Dataset ("), "language", F.lit(" "), F.upper("task"), F.lit(")")), F.col("detail")).alias("line"),
     )
-    last = summary.select(*block("5", cell_row(F.lit("Unavailable hyperparameters"), F.col("unavailable").cast("string"))))
+    last = provenance_flags(runs).crossJoin(F.broadcast(known)).select(*block("5", cell_row(F.lit("Unavailable hyperparameters"), F.col("unavailable").cast("string"))))
     found = warnings(runs).groupBy("warning").agg(F.array_join(F.array_sort(F.collect_list("detail")), ", ").alias("detail"))
     said = (
         F.when(F.col("warning") == "more_than_one_commit", F.lit("> **More than one commit.** Results of different code stand in one table."))

@@ -22,14 +22,15 @@ def paragraphs(spark, sf):
     return squad.paragraphs(parsed, "doc_id")
 
 
-@query("A7_squad_flatten", sql("select doc_id, id, question, md5(context) as context, len(answers)::bigint as n, answers[1]['text'] as text, answers[1]['start']::bigint as start from q where answers is not null and length(context) > 0"))
+@query("A7_squad_flatten", sql("""select doc_id, id, question, md5(context) as context, len(answers)::bigint as n, (pos - 1)::bigint as pos, answers[pos]['text'] as text, answers[pos]['start']::bigint as start
+    from (select *, unnest(range(1, len(answers) + 1)) as pos from q where answers is not null and length(context) > 0)"""))
 def _(spark, sf):
     doc = F.from_json("json", squad.DOCUMENT).alias("d")
     parsed = I.squad_json(spark, sf).select("doc_id", doc).select("doc_id", "d.*")
-    first = F.get("answers", F.lit(0))
-    return squad.flatten_squad(parsed, "doc_id").select(
+    rows = squad.flatten_squad(parsed, "doc_id").select("*", F.posexplode("answers").alias("pos", "answer"))
+    return rows.select(
         "doc_id", "id", "question", F.md5("context").alias("context"), F.size("answers").cast("bigint").alias("n"),
-        first["text"].alias("text"), first["answer_start"].cast("bigint").alias("start"),
+        F.col("pos").cast("bigint").alias("pos"), F.col("answer.text").alias("text"), F.col("answer.answer_start").cast("bigint").alias("start"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import results as R
 from ..session import scratch_path
-from ..sources import records
+from ..sources import records, versions
 from . import inputs as I
 from .registry import query
 from .sql import sql
@@ -57,7 +57,10 @@ def _(spark, sf):
     docs = I.table(spark, sf, "documents").select("doc_id", F.concat_ws("-", "source", "lang").alias("language"))
     toxic = I.table(spark, sf, "labels").filter("toxic = 1").select("doc_id")
     profile = lambda d, o: d.groupBy("language").agg(F.count("*").alias("n"), F.lit(o).alias("origin"))
-    return records.upsert_manifest(profile(docs, "scan"), profile(docs.join(toxic, "doc_id"), "labels"))
+    path = scratch_path(spark, "manifest")
+    records.write_manifest_entries(profile(docs, "scan"), path)
+    records.write_manifest_entries(profile(docs.join(toxic, "doc_id"), "labels"), path)  # reads and replaces what it is written to
+    return versions.read_table(spark, path)
 
 
 @query("A15_content_checksum", sql("select doc_id, sha256(text) as sha256 from documents"))
@@ -174,14 +177,16 @@ def _(spark, sf):
     return t.groupBy("language", "task").agg(F.array_join(F.transform(order, lambda x: x["label"]), " < ").alias("shown"))
 
 
-_PROV = """select string_agg(distinct substr(commit,1,12), ', ' order by substr(commit,1,12)) as commit, string_agg(distinct substr(config,1,12), ', ' order by substr(config,1,12)) as config,
-    string_agg(distinct seed::varchar, ', ' order by seed::varchar) as seed, bool_or(dirty) as dirty, max(unavailable)::bigint as unavailable from run where has_prov"""
+_PAGES = f"""select field, page::bigint as page, string_agg(value, ', ' order by value) as listed, any_value(n) as n_values from (
+      select field, value, (row_number() over (partition by field order by value) - 1) // {R.PAGE} as page, count(*) over (partition by field) as n from (
+        select distinct field, value from (select unnest(['commit','config','seed']) as field, unnest([substr(commit,1,12), substr(config,1,12), seed::varchar]) as value
+          from run where has_prov) where value <> '')) group by field, page"""
+_FLAGS = "select bool_or(dirty) as dirty, max(unavailable)::bigint as unavailable from run where has_prov"
 
 
-@query("R7_provenance_summary", sql(_PROV))
+@query("R7_provenance_summary", sql(f"select field, page, listed, n_values, dirty, unavailable from ({_PAGES}) cross join ({_FLAGS})"))
 def _(spark, sf):
-    summary = R.provenance_summary(I.runs(spark, sf))
-    return summary.select("commit", "config", "seed", "dirty", F.col("unavailable").cast("bigint").alias("unavailable"))
+    return R.provenance_summary(I.runs(spark, sf)).withColumn("unavailable", F.col("unavailable").cast("bigint"))
 
 
 @query("R8_dataset_documentation", sql("select language, task, n_runs, n_documented, status, detail from dstatus"))
@@ -255,11 +260,13 @@ _REPORT = f"""select '0' as section, unnest(range(4)) as ord, unnest(['# Results
     union all select '1|b', unnest(range(2)), unnest(['> **Not faithful to the published method.** No author-provided alignment matrix W: '||string_agg(distinct system, ', ' order by system)||'.', '']) from run where has_proj and not supplied having count(*) > 0
     union all select '2|'||language||'|'||task, unnest([0, 1, 2, 3, 1000000]), unnest([{_TITLE}, '', '| System | F1 | seeds | Alignment matrix W |', '|---|---|---|---|', '']) from (select distinct language, task from rtable)
     union all select '2|'||language||'|'||task, ord + 10, '| '||label||' | '||score||' | '||seeds||' | '||fidelity||' |' from rtable
-    union all select '3', unnest(range(7)), unnest(['## Provenance', '', '| Field | Value |', '|---|---|', '| Commit | `'||commit||'` |', '| Config sha256 | `'||config||'` |', '| Seeds | '||seed||' ('||(select count(distinct seed) from run where has_prov)||' runs per system) |']) from ({_PROV})
-    union all select '3', 10, '| Environment | python 3.13, numpy 2.0 |'
+    union all select '3', unnest(range(4)), unnest(['## Provenance', '', '| Field | Value |', '|---|---|'])
+    union all select case field when 'commit' then '3a' when 'config' then '3b' else '3c' end, page, '| '||case when page > 0 then '' when field = 'commit' then 'Commit' when field = 'config' then 'Config sha256' else 'Seeds' end||' | '
+        ||case when field = 'seed' then listed||case when page = (n_values - 1) // {R.PAGE} then ' ('||n_values||' runs per system)' else '' end else '`'||listed||'`' end||' |' from ({_PAGES})
+    union all select '3d', 0, '| Environment | python 3.13, numpy 2.0 |'
     union all select '3|'||arg_min(language, experiment), 0, '| Vectors ('||arg_min(language, experiment)||') | dim 64, vocab '||format('{{:,}}', arg_min(user_id, experiment) + 1000)||', sha256 `'||substr(sha256(arg_min(language, experiment)),1,12)||'` |' from named where has_prov
     union all select '4|'||language||'|'||task, 0, '| Dataset ('||language||' '||upper(task)||') | '||detail||' |' from dstatus
-    union all select '5', unnest(range(2)), unnest(['| Unavailable hyperparameters | '||unavailable||' |', '']) from ({_PROV})
+    union all select '5', unnest(range(2)), unnest(['| Unavailable hyperparameters | '||unavailable||' |', '']) from ({_FLAGS})
     union all select '6|1', unnest(range(2)), unnest(['> **More than one commit.** Results of different code stand in one table.', '']) from ({_WARN}) where warning = 'more_than_one_commit'
     union all select '6|2', unnest(range(2)), unnest(['> **Uncommitted changes.** The code of some runs is not the code of their commit.', '']) from ({_WARN}) where warning = 'uncommitted_changes'
     union all select '6|3', unnest(range(2)), unnest(['> **No dataset manifest for: '||string_agg(detail, ', ' order by detail)||'.** These splits cannot be traced to a source, a checksum or a seed.', '']) from ({_WARN}) where warning = 'undocumented_dataset' having count(*) > 0"""

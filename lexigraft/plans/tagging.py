@@ -176,10 +176,13 @@ def _(spark, sf):
 
 @query(
     "A13_split_manifest",
-    sql("""select lang as language, split, sum(n)::bigint as sentences, sum(t)::bigint as tokens, sha256(string_agg(d, '' order by g)) as sha256, 42::bigint as seed
-        from (select lang, split, h[1:4] as g, sha256(string_agg(h, '' order by h)) as d, count(*) as n, sum(n_tok) as t
-          from (select lang, split, sha256(line) as h, n_tok from lsplit join (select doc_id, line_no, count(*) as n_tok from ltok group by all) k using (doc_id, line_no))
-          group by all) group by lang, split"""),
+    sql("""select * from (with r as (select lang, split, sha256(line) as h, n_tok from lsplit join (select doc_id, line_no, count(*) as n_tok from ltok group by all) k using (doc_id, line_no)),
+        size as (select lang, split, count(*) as n, sum(n_tok) as t, 4 * (1 + (count(distinct h) > 4096 * 65536::bigint)::int + (count(distinct h) > 4096::hugeint * 65536 * 65536)::int) as depth from r group by all),
+        leaf as (select lang, split, depth, h[1:depth] as g, sha256(string_agg(h, '' order by h)) as d from r join size using (lang, split) group by all),
+        eight as (select lang, split, g, d from leaf where depth = 8 union all select lang, split, g[1:8], sha256(string_agg(d, '' order by g)) from leaf where depth = 12 group by all),
+        four as (select lang, split, g, d from leaf where depth = 4 union all select lang, split, g[1:4], sha256(string_agg(d, '' order by g)) from eight group by all)
+        select lang as language, split, any_value(n)::bigint as sentences, any_value(t)::bigint as tokens, sha256(string_agg(d, '' order by g)) as sha256, 42::bigint as seed
+        from four join size using (lang, split) group by lang, split)"""),
 )
 def _(spark, sf):
     from ..sources.records import split_manifest
@@ -289,14 +292,18 @@ def _(spark, sf):
 
 @query(
     "L4_pad_batches",
-    sql(f"""select doc_id, line_no, batch, max(n) over (partition by batch) as width, n as real from (select l.doc_id, l.line_no, (r // {BATCH})::bigint as batch,
-        (select count(*) from ltok t where t.doc_id = l.doc_id and t.line_no = l.line_no and t.pos < {MAX_LEN}) as n from lrank l)"""),
+    sql(f"""select doc_id, line_no, batch, width, n as real, ids||repeat(' {PAD}', (width - n)::int) as ids from (
+        select doc_id, line_no, batch, n, ids, max(n) over (partition by batch) as width from (select l.doc_id, l.line_no, (r // {BATCH})::bigint as batch, e.n, e.ids
+          from lrank l join (select doc_id, line_no, count(*) as n, string_agg(id::varchar, ' ' order by pos) as ids from ({_ENC}) group by all) e on e.doc_id = l.doc_id and e.line_no = l.line_no))"""),
 )
 def _(spark, sf):
     rows, _v = _encoded(spark, sf)
     padded = corpus.pad_batches(corpus.batches(rows, KEYS, BATCH, I.SEED), PAD)
     real = F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x)
-    return padded.select(*KEYS, "batch", F.size("ids").cast("bigint").alias("width"), real.cast("bigint").alias("real"))
+    return padded.select(
+        *KEYS, "batch", F.size("ids").cast("bigint").alias("width"), real.cast("bigint").alias("real"),
+        F.array_join(F.transform("ids", lambda i: i.cast("string")), " ").alias("ids"),
+    )
 
 
 @query("L5_epoch_losses", sql("""select strftime(ts, '%Y-%m-%d') as epoch, count(*) as n_batches, round(avg(value), 6) as avg_loss,

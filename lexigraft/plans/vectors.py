@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -374,6 +375,59 @@ def _(spark, sf):
     )
 
 
+#: A planted rotation: a product of plane rotations by exact fractions, (i, j, cosine, sine) each.
+GIVENS = [(k, (k + 7) % DIM, 0.6, 0.8) if k % 2 else (k, (k + 21) % DIM, 5 / 13, -12 / 13) for k in range(0, DIM, 3)]
+_STEPS = [f"r0 as (select a.i, b.j, (a.i = b.j)::int::double as x from range({DIM}) a(i), range({DIM}) b(j))"]
+for _n, (_i, _j, _c, _s) in enumerate(GIVENS):
+    _STEPS.append(
+        f"r{_n + 1} as materialized (select t.i, t.j, case t.i when {_i} then {_c!r}::double * t.x - {_s!r}::double * o.x when {_j} then {_s!r}::double * o.x + {_c!r}::double * t.x else t.x end as x "
+        f"from r{_n} t left join r{_n} o on o.j = t.j and o.i = case t.i when {_i} then {_j} when {_j} then {_i} end)"
+    )
+PLANTED = f"with {', '.join(_STEPS)} select i, j, x from r{len(GIVENS)}"
+
+
+def planted_rotation():
+    w = np.eye(DIM)
+    for i, j, c, s in GIVENS:
+        w[[i, j]] = np.array([[c, -s], [s, c]]) @ w[[i, j]]
+    return w
+
+
+def _planted_pairs(spark, sf, shift=0.0):
+    """Every embedding, and where the planted rotation (and a shift of its first cell) takes it."""
+    x = F.col("vec").cast("array<double>")
+    rows = I.embeddings(spark, sf).select(F.col("vec_id").alias("id"), x.alias("x"), V.apply_matrix(x, planted_rotation()).alias("y"))
+    return rows.withColumn("y", F.transform("y", lambda v, i: v + F.when(i == 0, F.lit(shift)).otherwise(0.0)))
+
+
+@query("D15_planted_rotation", sql(f"select i::bigint as row, j::bigint as col, round(x, 6) + 0.0::double as x from ({PLANTED})"))
+def _(spark, sf):
+    w = alignment.procrustes(_planted_pairs(spark, sf), DIM, DIM)
+    cells = alignment.matrix_table(spark, w).select(F.col("row").cast("bigint").alias("row"), F.posexplode("vec").alias("col", "x"))
+    return cells.select("row", F.col("col").cast("bigint").alias("col"), (F.round("x", 6) + F.lit(0.0)).alias("x"))
+
+
+_SHIFT = 0.25
+_PLANTED_RECORD = f"""select 'en' as language, n as anchor_tokens, 64::bigint as vector_dimension, 64::bigint as model_dimension,
+    round(sqrt(n * {_SHIFT * _SHIFT}::double), 4) as residual, round(sqrt(unaligned), 4) as unaligned, round(trace, 6) as trace from
+    (select count(*) as n from embeddings),
+    (select sum((y.x - v.x) * (y.x - v.x)) as unaligned from vecd v join (select e.vec_id, m.i as d, sum(m.x * e.x) + case m.i when 0 then {_SHIFT}::double else 0 end as x
+      from vecd e join ({PLANTED}) m on m.j = e.d group by e.vec_id, m.i) y on y.vec_id = v.vec_id and y.d = v.d),
+    (select sum(x) as trace from ({PLANTED}) where i = j)"""
+
+
+@query("R13_planted_record", sql(_PLANTED_RECORD))
+def _(spark, sf):
+    # W is that of the exact pairs; the record is of pairs that lie beside it by a known shift
+    w = alignment.procrustes(_planted_pairs(spark, sf), DIM, DIM)
+    words = I.embeddings(spark, sf).select(F.col("vec_id").cast("string").alias("word"))
+    rec = alignment.alignment_record(_planted_pairs(spark, sf, _SHIFT), w, "en", words, path="W_en", seed=I.SEED)
+    return rec.select(
+        "language", "anchor_tokens", "vector_dimension", "model_dimension", F.round("residual_frobenius", 4).alias("residual"),
+        F.round("unaligned_frobenius", 4).alias("unaligned"), F.round(F.lit(float(np.trace(w))), 6).alias("trace"),
+    )
+
+
 _RESIDUALS = """select count(*) as anchors, round(sqrt(sum(r)), 4) as residual, round(sqrt(sum(u)), 4) as unaligned from (
     select id, sum((p.x - y.x)*(p.x - y.x)) as r, sum((x.x - y.x)*(x.x - y.x)) as u from anchor a
     join (select v.vec_id, m.i as d, sum(m.x*v.x) as x from vecd v join wmat m on m.j = v.d group by all) p on p.vec_id = a.xs

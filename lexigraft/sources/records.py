@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterator
+from typing import Any
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from . import versions
+
 SCORES = "struct<precision:double,recall:double,f1:double,exact_match:double>"
 PROJECTION = (
     "struct<kind:string,source:string,author_supplied:boolean,training_status:string,"
@@ -83,27 +88,47 @@ def _repeated_sha256(groups: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+#: Hexadecimal digits that a level of the checksum tree adds: a node has at most 65,536 children, 4 MB of text.
+_TREE_DIGITS = 4
+#: Different digests under a leaf, on average at most: some 400 kB.
+_LEAF_DIGESTS = 4096
+_TREE_LEVELS = 4
+
+
 def split_manifest(rows: DataFrame, keys: list[str], text: str, n_tokens: Column, split: str = "split", seed: int | None = None) -> DataFrame:
     """(keys, sentences, tokens, counts, checksums, seed): what a prepared data set consists of.
 
-    ``counts`` has rows and tokens per split; a split's checksum is the sha256 of its rows' own sha256
-    values in order, so it does not depend on how the rows are stored and no split is gathered: equal
-    digests are counted, and the distinct ones brought together in 65,536 groups by their leading digits.
+    ``counts`` has rows and tokens per split; a split's checksum is the root of a tree over its rows' own
+    sha256 values, so it does not depend on how the rows are stored and no split is gathered. A leaf is
+    the sha256 of the values that begin with the same digits, in order, each as often as it occurs;
+    any other node is the sha256 of its children's, in order. The tree has one level of four digits up to
+    65,536 x 4,096 different rows, and one more for each further factor of 65,536. Equal rows are
+    counted before they meet.
     """
-    digest = F.sha2(F.col(text).cast("string"), 256)
-    grouped = (
-        rows.select(*keys, split, digest.alias("d"), n_tokens.cast("bigint").alias("t"))
-        .groupBy(*keys, split, "d")
-        .agg(F.count("*").alias("n"), F.sum("t").alias("t"))
-        .groupBy(*keys, split, F.substring("d", 1, 4).alias("g"))
-        .agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("counted"), F.sum("n").alias("n"), F.sum("t").alias("t"))
-        .withColumn("d", _repeated_sha256("counted"))
-    )
-    per_split = grouped.groupBy(*keys, split).agg(
-        F.sum("n").alias("n"),
-        F.sum("t").alias("t"),
-        F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("sha256"),
+    digest = F.coalesce(F.sha2(F.col(text).cast("string"), 256), F.lit(""))  # a null row counts, without a digest
+    by = [*keys, split]
+    counted = rows.select(*by, digest.alias("d"), n_tokens.cast("bigint").alias("t")).groupBy(*by, "d").agg(F.count("*").alias("n"), F.sum("t").alias("t"))
+    fan = 16**_TREE_DIGITS
+    deeper = [F.when(F.col("m") > _LEAF_DIGESTS * fan**level, 1).otherwise(0) for level in range(1, _TREE_LEVELS)]
+    sizes = counted.groupBy(*by).agg(F.count("*").alias("m"), F.sum("n").alias("n"), F.sum("t").alias("t"))
+    sizes = sizes.select(*by, "n", "t", (F.lit(_TREE_DIGITS) * sum(deeper, F.lit(1))).alias("depth"))
+    depths = sizes.select(*[F.col(c).alias(f"__{c}") for c in by], "depth")
+    placed = counted.join(depths, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).drop(*[f"__{c}" for c in by])
+    leaves = (
+        placed.groupBy(*by, "depth", F.expr("substring(d, 1, depth)").alias("g"))
+        .agg(F.array_sort(F.collect_list(F.struct("d", "n"))).alias("counted"))
+        .withColumn("h", _repeated_sha256("counted"))
+        .drop("counted")
     )
+    node = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "h"))), lambda x: x["h"]), ""), 256)
+    nodes = None
+    for level in range(_TREE_LEVELS, 0, -1):
+        own = leaves.filter(F.col("depth") == level * _TREE_DIGITS).drop("depth")
+        nodes = own if nodes is None else own.unionByName(nodes)
+        # what begins with the same digits of the level above; at the root, all
+        nodes = nodes.groupBy(*by, F.substring("g", 1, (level - 1) * _TREE_DIGITS).alias("g")).agg(node.alias("h"))
+    roots = nodes.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("h").alias("sha256"))
+    per_split = sizes.join(roots, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]).drop(*[f"__{c}" for c in by])
     entry = F.struct(F.col("n").alias("sentences"), F.col("t").alias("tokens"), "sha256")
     return per_split.groupBy(*keys).agg(
         F.sum("n").alias("sentences"),
@@ -119,15 +144,68 @@ def upsert_manifest(existing: DataFrame, new: DataFrame, key: str = "language")
     return kept.unionByName(new, allowMissingColumns=True)
 
 
+def write_manifest_entries(new: DataFrame, path: str, key: str = "language") -> int:
+    """Bring ``new`` into the manifest at ``path`` (see ``versions``): the same keys are replaced, all others stay.
+
+    The manifest that is read stays readable while and if the write fails; a new folder starts empty.
+    """
+    spark = new.sparkSession
+    try:
+        entries = upsert_manifest(versions.read_table(spark, path), new, key)
+    except versions.NoVersion:
+        entries = new
+    return versions.write_table(entries, path)
+
+
 def content_checksum(content: Column) -> Column:
     return F.sha2(content, 256)
 
 
-def file_checksums(spark: SparkSession, path: str) -> DataFrame:
-    """(path, length, sha256) per file; files must be below the 2 GB cell limit."""
-    return spark.read.format("binaryFile").load(path).select(
-        "path", "length", F.sha2("content", 256).alias("sha256")
-    )
+#: Bytes of a file that a task holds at a time.
+RANGE_BYTES = 8 << 20
+
+
+def open_path(path: str) -> Any:
+    """A file by the path that Spark gives it (its names are not escaped), on any store that pyarrow reaches."""
+    from pyarrow import fs
+
+    scheme, _, rest = path.partition(":")
+    if path.startswith("/") or scheme == "file":
+        return open("/" + (path if path.startswith("/") else rest).lstrip("/"), "rb")
+    store, inner = fs.FileSystem.from_uri(quote(path, safe=":/@"))
+    return store.open_input_stream(inner)
+
+
+def stream_sha256(file: Any, range_bytes: int = RANGE_BYTES) -> tuple[int, str]:
+    """(length, sha256): ranges are read in order and one after the other, the state of the hash is carried on."""
+    state, length = hashlib.sha256(), 0
+    while piece := file.read(range_bytes):
+        state.update(piece)
+        length += len(piece)
+    return length, state.hexdigest()
+
+
+def file_checksums(spark: SparkSession, path: str, open_file: Callable[[str], Any] = open_path, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """(path, length, sha256) per file, of any size: a file is one task, which holds ``range_bytes`` of it.
+
+    Spark lists the files and deals them out; ``open_file`` opens one by its path, for stores
+    that pyarrow does not know. A file whose length is not the listed one fails the job. Spark does not
+    list empty files, so they have no row.
+    """
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                with open_file(name) as file:
+                    length, found = stream_sha256(file, range_bytes)
+                if length != listed:
+                    raise OSError(f"{name} has {length} bytes, {listed} were listed")
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([length], pa.int64()), pa.array([found])], ["path", "length", "sha256"])
+
+    # the content column is not selected, so no file is read here
+    files = spark.read.format("binaryFile").load(path).select("path", "length")
+    tasks = max(spark.sparkContext.defaultParallelism, files.rdd.getNumPartitions())
+    return files.repartition(tasks, "path").mapInArrow(digest, "path string, length bigint, sha256 string")
 
 
 def read_vectors(spark: SparkSession, path: str, dim: int) -> DataFrame:

@@ -295,3 +295,40 @@ def test_gram_has_equal_bits_however_rows_are_dealt_out(spark):
     assert bits[0] == bits[1]
     exact = [[math.fsum(b[i] * a[j] for a, b in rows) for j in range(6)] for i in range(6)]
     assert np.allclose([np.frombuffer(b) for _, b in bits[0]], exact, rtol=1e-12)
+
+
+def test_functions_may_stand_for_lexicon_and_vector_table(spark):
+    """D4, D6 and D12 give equal rows from tables and from functions that say the same."""
+    words = {"ab": [1.0, 2.0], "c": [0.5, -1.0], "abc": [3.0, 3.0], "zz": [0.25, 8.0]}
+    table = spark.createDataFrame(list(words.items()), VEC)
+    lex = spark.createDataFrame([("abc", ["ab", "c"]), ("cab", ["c", "none"]), ("abab", ["ab", "ab"])], LEX)
+    toks = tokens(spark, "abc", "cab", "abab", "zz", "none", "x")
+    look = F.create_map(*[F.lit(x) for w, v in words.items() for x in (w, v)])
+    parts = F.create_map(*[F.lit(x) for w, v in (("abc", ["ab", "c"]), ("cab", ["c", "none"]), ("abab", ["ab", "ab"])) for x in (w, v)])
+
+    def vector(word):
+        return F.try_element_at(look, word)
+
+    def segmenter(token):
+        return F.try_element_at(parts, token)
+
+    rows = lambda df: sorted(map(str, df.collect()))
+    w = np.array([[0.0, 1.0], [2.0, 0.0]])
+    want = rows(E.lexical_vectors(toks, lex, table, 2).select("token", "vec", "origin"))
+    full = rows(E.initial_vectors(toks, lex, table, 2, w).select("token", "origin", "vec"))
+    ids_ = toks.withColumn("id", F.xxhash64("token"))
+    old = ids(spark, (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]))
+    focus = lambda v: rows(E.initialize("focus", E.InitInputs(tokens=ids_, old_rows=old, aux_rows=old, vectors=v, dim=2, top_k=2)).select("token", "vec"))
+    near = focus(table)
+    for lexicon, vectors in ((segmenter, table), (lex, vector), (segmenter, vector)):
+        assert rows(E.lexical_vectors(toks, lexicon, vectors, 2).select("token", "vec", "origin")) == want
+        assert rows(E.initial_vectors(toks, lexicon, vectors, 2, w).select("token", "origin", "vec")) == full
+    assert focus(vector) == near
+    assert rows(E.whole_token_vectors(toks, vector)) == rows(E.whole_token_vectors(toks, table))
+
+    @F.pandas_udf("array<string>")
+    def halves(token):
+        return token.map(lambda t: [t[: len(t) // 2], t[len(t) // 2 :]])
+
+    got = {r["token"]: (r["origin"], r["vec"]) for r in E.lexical_vectors(toks, halves, vector, 2).collect()}
+    assert got["abab"] == ("morpheme", [1.0, 2.0]) and got["zz"] == ("whole_token", [0.25, 8.0]) and got["x"][0] == "char_ngram"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lexigraft.operators import results as R
 from lexigraft.operators.embeddings import MissingAlignmentMatrix, MissingParameter
-from lexigraft.sources import records
+from lexigraft.sources import records, versions
 
 
 def run(name, system, seed, f1=0.5, supplied=None, provenance=None, task="ner", **extra):
@@ -80,8 +80,9 @@ def test_provenance_datasets_and_warnings(spark, tmp_path):
     status = {r["task"]: (r["status"], r["detail"]) for r in R.dataset_status(runs).collect()}
     assert status["ner"] == ("some", "s -- random (split seed 42) -- **1 of 2 runs had no manifest**")
     assert status["qa"] == ("none", R.NO_MANIFEST)
-    s = R.provenance_summary(runs).first()
-    assert (s["commit"], s["seed"], s["dirty"], s["unavailable"]) == ("111111111111, 222222222222", "42, 43", True, 3)
+    rows = {r["field"]: r for r in R.provenance_summary(runs).collect()}
+    assert [rows[f]["listed"] for f in ("commit", "seed")] == ["111111111111, 222222222222", "42, 43"]
+    assert {(r["dirty"], r["unavailable"], r["page"]) for r in rows.values()} == {(True, 3, 0)}
     assert {r["warning"]: r["detail"] for r in R.warnings(runs).collect()} == {
         "more_than_one_commit": "2", "uncommitted_changes": "", "undocumented_dataset": "tigrinya QA"}
     text = report(spark, runs)
@@ -215,3 +216,112 @@ def test_split_manifest_is_that_of_the_rows_joined(spark):
         groups.setdefault(digest[:4], []).append(digest)
     joined = "".join(hashlib.sha256("".join(sorted(groups[g])).encode()).hexdigest() for g in sorted(groups))
     assert found["sha256"] == hashlib.sha256(joined.encode()).hexdigest() and found["sentences"] == len(lines)
+
+
+def test_lists_of_any_length_are_complete(spark):
+    """100,000 commits, two configurations and five seeds: every one is in the report, page by page."""
+    p = F.struct(F.lpad(F.hex("id"), 12, "0").alias("commit"), F.lit(False).alias("dirty"), F.concat(F.lit("c"), (F.col("id") % 2).cast("string")).alias("config_sha256"))
+    kind = spark.createDataFrame([], records.RUN_RECORD)
+    kind = kind.withColumn("provenance", F.col("provenance").withField("vectors", F.col("provenance.fasttext")).dropFields("fasttext"))
+    made = spark.range(100_000).select(
+        F.to_json(F.struct(F.concat(F.lit("e"), F.col("id").cast("string")).alias("experiment"), F.lit("xlmr").alias("system"), F.lit("ner").alias("task"), F.lit("am").alias("language"),
+                           (F.col("id") % 5).alias("seed"), F.struct(F.lit(1.0).alias("f1")).alias("test"), p.alias("provenance"))).alias("j"))
+    runs = made.select(F.from_json("j", kind.schema).alias("r")).select("r.*")
+    lines = [r["line"] for r in R.report_lines(runs, R.systems(spark)).orderBy("section", "ord").collect()]
+    at = lines.index("|---|---|", lines.index("## Provenance"))
+    pages = lines[at + 1 : at + 1001]
+    assert pages[0].startswith("| Commit | `") and all(x.startswith("|  | `") for x in pages[1:])
+    assert [c for x in pages for c in x.split("`")[1].split(", ")] == [f"{i:012X}" for i in range(100_000)]
+    assert lines[at + 1001 : at + 1003] == ["| Config sha256 | `c0, c1` |", "| Seeds | 0, 1, 2, 3, 4 (5 runs per system) |"]
+    rows = R.provenance_summary(runs).filter("field = 'commit'").collect()
+    assert len(rows) == 1000 and max(len(r["listed"]) for r in rows) == 100 * 14 - 2
+
+
+def test_checksum_of_a_file_beyond_a_cell(spark, tmp_path):
+    path = tmp_path / "large.bin"
+    size = 3 * (1 << 30) + 5
+    with open(path, "wb") as f:  # sparse: it takes no room
+        f.write(b"head")
+        f.truncate(size)
+    want, zeros = hashlib.sha256(b"head"), bytes(1 << 20)
+    for _ in range((size - 4) >> 20):
+        want.update(zeros)
+    want.update(zeros[: (size - 4) & ((1 << 20) - 1)])
+    row = records.file_checksums(spark, str(path)).first()
+    assert (row["length"], row["sha256"]) == (size, want.hexdigest())
+
+
+def test_a_task_holds_one_range_of_a_file(tmp_path):
+    import tracemalloc
+
+    path = tmp_path / "x.bin"
+    with open(path, "wb") as f:
+        f.truncate(300 << 20)
+    tracemalloc.start()
+    with records.open_path(f"file:{path}") as file:
+        length, _ = records.stream_sha256(file)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert length == 300 << 20 and most < 64 << 20
+
+
+def test_checksums_of_many_files(spark, tmp_path):
+    for i in range(1, 20):
+        (tmp_path / f"a file {i}%20é.bin").write_bytes(b"x" * i)
+    got = {r["length"]: r["sha256"] for r in records.file_checksums(spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(b"x" * i).hexdigest() for i in range(1, 20)}
+    assert {r["length"] for r in records.file_checksums(spark, str(tmp_path), range_bytes=3).collect()} == set(range(1, 20))
+
+
+@pytest.mark.parametrize("most", [1, 0.001])
+def test_checksum_tree_of_several_levels(spark, monkeypatch, most):
+    monkeypatch.setattr(records, "_LEAF_DIGESTS", most)
+    monkeypatch.setattr(records, "_TREE_DIGITS", 1)
+    lines = [f"line {i % 400}" for i in range(700)]
+    rows = spark.createDataFrame([("en", "dev", x) for x in lines] + [(None, "dev", "alone")], "language string, split string, line string")
+    found = {r["language"]: r["files"]["dev"]["sha256"] for r in records.split_manifest(rows, ["language"], "line", F.lit(1)).collect()}
+
+    def root(values):
+        different = len(set(values))
+        depth = 1 + sum(different > most * 16**level for level in range(1, 4))
+
+        def node(prefix):
+            some = [v for v in values if v.startswith(prefix)]
+            if len(prefix) == depth:
+                return hashlib.sha256("".join(sorted(some)).encode()).hexdigest()
+            return hashlib.sha256("".join(node(prefix + c) for c in "0123456789abcdef" if any(v.startswith(prefix + c) for v in some)).encode()).hexdigest()
+
+        return node("")
+
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    assert found == {"en": root([digest(x) for x in lines]), None: root([digest("alone")])}
+
+
+def test_a_failed_write_leaves_the_old_version(spark, tmp_path):
+    path = str(tmp_path / "m")
+    with pytest.raises(versions.NoVersion):
+        versions.read_table(spark, path)
+    entries = lambda *rows: spark.createDataFrame(list(rows), "language string, dimension int")
+    assert records.write_manifest_entries(entries(("am", 300), ("ti", 300)), path) == 0
+    assert records.write_manifest_entries(entries(("ti", 768), ("xx", 1)), path) == 1
+    now = lambda: {r["language"]: r["dimension"] for r in versions.read_table(spark, path).collect()}
+    assert now() == {"am": 300, "ti": 768, "xx": 1}
+    # half of the tasks fail after others have written
+    bad = spark.range(0, 8, 1, 8).select(F.col("id").cast("string").alias("language"), F.when(F.col("id") % 2 == 0, 1).otherwise(F.raise_error(F.lit("torn"))).cast("int").alias("dimension"))
+    with pytest.raises(Exception, match="torn"):
+        records.write_manifest_entries(bad, path)
+    assert now() == {"am": 300, "ti": 768, "xx": 1} and versions.commits(spark, path).count() == 2
+    assert {r["language"] for r in versions.read_table(spark, path, 0).collect()} == {"am", "ti"}
+    # any sink takes part
+    lines = spark.createDataFrame([("0", 0, "a")], "section string, ord int, line string")
+    assert versions.commit(spark, str(tmp_path / "r"), lambda at: records.write_report(lines, at)) == 0
+    assert [r[0] for r in spark.read.text(versions.folder(spark, str(tmp_path / "r"))).collect()] == ["a"]
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    path = str(tmp_path / "m")
+    df = spark.range(1)
+    versions.write_table(df, path)
+    with pytest.raises(versions.ConcurrentCommit):
+        versions.commit(spark, path, lambda at: (df.write.parquet(at), versions.write_table(spark.range(5), path)))
+    assert versions.read_table(spark, path).count() == 5 and versions.commits(spark, path).count() == 2
