@@ -274,8 +274,11 @@ def near_duplicates(
     reps = classes.select(F.col("rep").alias("id")).distinct()
     nodes = prints.filter(F.col("n") > 0).join(reps, "id", "left_semi")
     bands = band_table(nodes)
-    buckets = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"))
-    members = written(bands.join(buckets.filter("m > 1 and low != high").select("key", "m"), "key"), "members")
+    # what is known of a bucket is written before its members meet it: a join of two tables can be split
+    # by the adaptive skew join, one with an aggregate of the same key in the same stage can't
+    sizes = bands.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("low"), F.max("id").alias("high"))
+    buckets = written(sizes.filter("m > 1 and low != high").select("key", "m"), "buckets")
+    members = written(bands.join(buckets, "key"), "members")
 
     ids = members.select("id").distinct()
     small = ids.count() <= BROADCAST_IDS
@@ -290,9 +293,8 @@ def near_duplicates(
     tested = None
     for turn in range(PIVOT_ROUNDS):
         own = members.join(comps, "id")
-        pivots = own.groupBy("key").agg(
-            F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca"))).alias("p"),
-        )
+        first = F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), F.col("id").alias("a"), F.col("n").alias("na"), F.col("comp").alias("ca")))
+        pivots = written(own.groupBy("key").agg(first.alias("p")), f"pivots-{turn}")
         pairs = (
             own.join(pivots, "key")
             .filter((F.col("p.ca") != F.col("comp")) & _close(F.col("n"), F.col("p.na"), percent))
@@ -318,7 +320,7 @@ def near_duplicates(
     )
     major = F.ceil(F.col("top.size") / BLOCK).cast("int")
     minor = F.ceil((F.col("all") - F.col("top.size")) / BLOCK).cast("int")
-    open_keys = shape.filter("groups > 1").select("key", F.col("top.main").alias("main"), major.alias("major"), minor.alias("minor"))
+    open_keys = written(shape.filter("groups > 1").select("key", F.col("top.main").alias("main"), major.alias("major"), minor.alias("minor")), "open")
     in_main = F.col("comp") == F.col("main")
     spread = (
         own.join(open_keys, "key")
