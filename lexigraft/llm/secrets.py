@@ -14,9 +14,11 @@ has fewer than ``CHARS_PER_TOKEN`` characters for each token. Left out before th
 from __future__ import annotations
 
 import base64
+import bisect
 import re
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column
@@ -84,9 +86,12 @@ def scan_text(text: str, path: str, pattern: str) -> list[tuple[str, int, int, b
     runs = [m.span() for m in _CANDIDATE.finditer(text)]
     if runs:
         taken = sorted((a, b) for _, a, b, _ in found)
+        # the furthest end of the base spans up to each
+        reach = list(accumulate((b for _, b in taken), max))
         encode = _encoding(path, pattern).encode_ordinary
         for a, b in runs:
-            if any(x < b and a < y for x, y in taken) or known(run := text[a:b], encode):
+            before = bisect.bisect_left(taken, (b, -1))
+            if before and reach[before - 1] > a or known(run := text[a:b], encode):
                 continue
             if len(run) < CHARS_PER_TOKEN * len(encode(run)):
                 found.append(("random", a, b, False))
@@ -94,9 +99,9 @@ def scan_text(text: str, path: str, pattern: str) -> list[tuple[str, int, int, b
 
 
 def find_secrets(text: Column, path: str, pattern: str) -> Column:
-    """Spans of ``text`` in code points; null and empty texts have none.
+    """Spans of ``text`` in code points; null and empty texts have none, repeated rows have the same.
 
-    ``path`` is a tiktoken vocabulary. Kinds: assign, access and hex (``base`` true), random (false).
+    A text takes time in proportion to its length, and a long one is worked off alone. ``path`` is a tiktoken vocabulary. Kinds: assign, access and hex (``base`` true), random (false).
     """
 
     @F.arrow_udf(SPAN_TYPE)
