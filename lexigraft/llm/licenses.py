@@ -5,10 +5,12 @@ length into classes whose windows, ``width`` shingles with a step of half as man
 place a template can stand lies whole in one. A template of at least ``least`` shingles that a window
 contains to ``CONTAINMENT`` has a similarity to the window of at least CONTAINMENT * least / width; the
 number of bands, of one minimum each, makes the chance that no band agrees at most ``MISS``. A
-retrieved template is verified by counting its shingles in the window.
+retrieved template is verified by counting its shingles in the window. Where another template contains
+nearly all of it, such as that of another version, the shingles that tell it from the other have to be
+there, every one: a notice has one name.
 
-All is built-in expressions inside the row, so nothing is shuffled. Rows without any template's shingle
-have no windows to look at: their containment is zero.
+All is built-in expressions inside the row, so nothing is shuffled. A window that has fewer of the
+templates' shingles than the shortest template asks for contains none and is not looked at.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ CONTAINMENT = 0.8
 MISS = 1e-6
 SHINGLE = 2
 #: (fewest, most shingles of a template, shingles of a window)
-CLASSES = ((3, 8, 16), (9, 24, 48), (25, 64, 128))
+CLASSES = ((3, 8, 16), (9, 24, 48), (25, 64, 128), (65, 256, 512), (257, 1024, 2048), (1025, 4096, 8192))
 
 # Short forms of public license notices, parts of the usual file headers that are
 # all the same in any version of the notice, and SPDX lines with or without -only and -or-later.
@@ -73,6 +75,15 @@ def bands_for(least: int, width: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - similarity))
 
 
+def telling_shingles(shingles: list[int], others: Iterable[list[int]]) -> list[int]:
+    """The shingles that tell a template from ``others`` that contain it to ``CONTAINMENT``."""
+    own, must = set(shingles), set()
+    for other in map(set, others):
+        if len(own & other) >= math.ceil(CONTAINMENT * len(own) - 1e-9):
+            must |= own - other
+    return sorted(must)
+
+
 def shingle_hashes(text: Column) -> Column:
     """A hash for each pair of consecutive words, in order."""
     hashes = F.transform(F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
@@ -104,6 +115,7 @@ def scan_licenses(spark: SparkSession, text: Column, templates: Iterable[tuple[s
     for name, shingles in table:
         if not any(low <= len(shingles) <= high for low, high, _ in CLASSES):
             raise ValueError(f"template {name} has {len(shingles)} shingles")
+    must = {name: telling_shingles(s, [o for n, o in table if n != name]) for name, s in table}
     found = []
     for low, high, width in CLASSES:
         some = [(name, s) for name, s in table if low <= len(s) <= high]
@@ -112,7 +124,10 @@ def scan_licenses(spark: SparkSession, text: Column, templates: Iterable[tuple[s
             minima = rows.filter(F.col("name").isin([n for n, _ in some])).select(
                 "name", band_minima(F.array_distinct(shingle_hashes(F.col("body"))), bands).alias("m")
             )
-            found.append((width, bands, [(n, s, m) for (n, s), m in zip(some, [r["m"] for r in minima.orderBy("name").collect()], strict=True)]))
+            found.append((low, width, bands, [(n, s, m) for (n, s), m in zip(some, [r["m"] for r in minima.orderBy("name").collect()], strict=True)]))
+
+    def complete(window: Column, shingles: list[int]) -> Column:
+        return F.size(F.array_intersect(window, _array(shingles))) == len(shingles) if shingles else F.lit(True)
 
     def retriever(bands: int, some: list) -> Callable[[Column], Column]:
         """Window -> names of the templates that it retrieves and contains."""
@@ -121,7 +136,7 @@ def scan_licenses(spark: SparkSession, text: Column, templates: Iterable[tuple[s
             def verified(minima: Column) -> Column:
                 hits = [
                     F.when(
-                        F.arrays_overlap(minima, _array(m)) & (F.size(F.array_intersect(window, _array(s))) >= math.ceil(CONTAINMENT * len(s) - 1e-9)),
+                        F.arrays_overlap(minima, _array(m)) & (F.size(F.array_intersect(window, _array(s))) >= math.ceil(CONTAINMENT * len(s) - 1e-9)) & complete(window, must[name]),
                         F.lit(name),
                     )
                     for name, s, m in some
@@ -134,20 +149,20 @@ def scan_licenses(spark: SparkSession, text: Column, templates: Iterable[tuple[s
 
     def look(h: Column) -> Column:
         names = []
-        for width, bands, some in found:
+        for low, width, bands, some in found:
             step = width // 2
             any_of = _array(sorted({x for _, s, _ in some for x in s}))
             starts = F.sequence(F.lit(1), F.greatest(F.size(h) - step, F.lit(1)), F.lit(step))
             windows = F.transform(starts, slicer(h, width))
-            touched = F.filter(windows, overlapper(any_of))
+            touched = F.filter(windows, sharing(any_of, math.ceil(CONTAINMENT * min(len(s) for _, s, _ in some) - 1e-9)))
             names.append(F.flatten(F.transform(touched, retriever(bands, some))))
         return F.sort_array(F.array_distinct(F.flatten(F.array(*names))))
 
     def slicer(h: Column, width: int) -> Callable[[Column], Column]:
         return lambda start: F.array_distinct(F.slice(h, start, width))
 
-    def overlapper(any_of: Column) -> Callable[[Column], Column]:
-        return lambda window: F.arrays_overlap(window, any_of)
+    def sharing(any_of: Column, least: int) -> Callable[[Column], Column]:
+        return lambda window: F.size(F.array_intersect(window, any_of)) >= least
 
     every = _array(sorted({x for _, s in table for x in s}))
     hashes = shingle_hashes(F.coalesce(text.cast("string"), F.lit("")))
@@ -160,5 +175,9 @@ def scan_licenses(spark: SparkSession, text: Column, templates: Iterable[tuple[s
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: Iterable[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """(id, licenses array<string>) of every row; other columns are not read."""
+    """(id, licenses array<string>) of every row; other columns are not read.
+
+    Null and empty texts have none, repeated rows have the same, the id may be null. A long text is cut
+    into windows inside its row.
+    """
     return docs.select(id_col, scan_licenses(docs.sparkSession, F.col(text_col), templates).alias("licenses"))

@@ -29,6 +29,9 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             or n_symbols > {quality.SYMBOL_SHARE} * n_words
             or not (word_chars between {quality.WORD_LENGTHS[0]} * n_words and {quality.WORD_LENGTHS[1]} * n_words)
             or n_dup_lines > {quality.LINE_SHARE} * len(regexp_extract_all(t, '\n[^\n]'))
+            or len(regexp_extract_all(t, '{quality.BULLET}')) > {quality.BULLET_SHARE} * len(regexp_extract_all(t, '{quality.LINE}'))
+            or len(regexp_extract_all(t, '{quality.ELLIPSIS}')) > {quality.ELLIPSIS_SHARE} * len(regexp_extract_all(t, '{quality.LINE}'))
+            or len(regexp_extract_all(t, '{quality.LETTERED}')) < {quality.LETTER_SHARE} * n_words
             or len(regexp_extract_all(t, '\p{{Lu}}')) > {quality.UPPER_SHARE} * len(regexp_extract_all(t, '\p{{L}}'))) as kept
 from f
 """
@@ -42,6 +45,10 @@ def _licenses() -> str:
 with t as (
   select name, list_distinct({shingles}) as s
   from (select name, regexp_extract_all(lower(body), '[\p{{L}}\p{{N}}]+') as w from (values {bodies}) v(name, body))),
+-- a template asks for the shingles that tell it from any other that contains nearly all of it
+telling as (
+  select t.name, list_distinct(flatten(list(list_filter(t.s, lambda x: not list_contains(u.s, x))))) as must
+  from t join t u on u.name <> t.name and len(list_intersect(t.s, u.s)) >= ceil({licenses.CONTAINMENT} * len(t.s) - 1e-9) group by t.name),
 classes as (select * from (values {classes}) v(low, high, width)),
 d as (
   select doc_id, {shingles} as s
@@ -52,8 +59,8 @@ windows as (
   select doc_id, low, high, list_slice(s, i, i + width - 1) as part
   from (select doc_id, s, low, high, width, unnest(range(1, greatest(len(s) - width // 2, 1) + 1, width // 2)) as i from near, classes)),
 hits as (
-  select distinct doc_id, name from windows w join t on len(t.s) between low and high
-  where len(list_intersect(list_distinct(part), t.s)) >= ceil({licenses.CONTAINMENT} * len(t.s) - 1e-9)),
+  select distinct doc_id, t.name from windows w join t on len(t.s) between low and high left join telling k on k.name = t.name
+  where coalesce(list_has_all(part, k.must), true) and len(list_intersect(list_distinct(part), t.s)) >= ceil({licenses.CONTAINMENT} * len(t.s) - 1e-9)),
 named as (select doc_id, count(*) as n, string_agg(name, ',' order by name) as names from hits group by doc_id)
 select d.doc_id, coalesce(n, 0)::bigint as n_licenses, coalesce(names, '') as licenses from d left join named using (doc_id)
 """

@@ -9,9 +9,11 @@ order changes the time only: a row is kept if no rule fails.
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +21,20 @@ from .common import SPACE, WORD
 
 WINDOW = 5
 SAMPLE_ROWS = 1000
+SAMPLE_FILES = 8
 SYMBOL_SHARE = 0.1
 UPPER_SHARE = 0.5
 LINE_SHARE = 0.5
 WORD_LENGTHS = (2, 20)
+BULLET_SHARE = 0.9
+ELLIPSIS_SHARE = 0.3
+LETTER_SHARE = 0.5
+
+LINE = r"[^\n]+"
+BULLET = r"(\A|\n)[ \t]*[-*•]"
+ELLIPSIS = r"(\.\.\.|…)[ \t]*(\n|\z)"
+#: From a word's first letter to its end.
+LETTERED = r"\p{L}[^\x20\x09-\x0D]*"
 
 _BLANKS = " \t\n\x0b\f\r"
 
@@ -101,16 +113,38 @@ RULES: dict[str, Callable[[Column], Column]] = {
     "symbols": lambda text: F.col("n_symbols") > F.lit(SYMBOL_SHARE) * F.col("n_words"),
     "word_length": lambda text: ~F.col("word_chars").between(F.lit(WORD_LENGTHS[0]) * F.col("n_words"), F.lit(WORD_LENGTHS[1]) * F.col("n_words")),
     "lines": lambda text: F.col("n_dup_lines") > F.lit(LINE_SHARE) * _count(text, r"\n(?=[^\n])"),
+    "bullets": lambda text: _count(text, BULLET) > F.lit(BULLET_SHARE) * _count(text, LINE),
+    "ellipses": lambda text: _count(text, ELLIPSIS) > F.lit(ELLIPSIS_SHARE) * _count(text, LINE),
+    "letters": lambda text: _count(text, LETTERED) < F.lit(LETTER_SHARE) * F.col("n_words"),
     "upper_case": lambda text: _count(text, r"\p{Lu}") > F.lit(UPPER_SHARE) * _count(text, r"\p{L}"),
 }
 
 
+def sample_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(text) of ``SAMPLE_ROWS`` rows or fewer, in the order of a hash of the text.
+
+    Of a table of files the rows come from ``SAMPLE_FILES`` files that a hash of the name picks, so no
+    more is read or sent than these hold, whatever the size of the table. Null texts count as rows.
+    """
+    picked = docs
+    files = sorted(docs.inputFiles(), key=lambda f: hashlib.md5(f.encode()).hexdigest())
+    if len(files) > SAMPLE_FILES:
+        try:
+            picked = docs.filter(F.col("_metadata.file_path").isin(files[:SAMPLE_FILES]))
+            picked.schema  # noqa: B018  only a plain table of files knows where its rows are
+        except AnalysisException:
+            picked = docs
+    text = picked.select(F.col(text_col).cast("string").alias("text"))
+    return text.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
+
+
 def order_rules(docs: DataFrame, rules: dict[str, Callable[[Column], Column]] = RULES, text_col: str = "text") -> list[str]:
-    """Rule names, most rejections per second first, from at most ``SAMPLE_ROWS`` measured rows.
+    """Rule names, most rejections per second first, on the rows of ``sample_rows``.
 
-    Ties, and rules that reject nothing, go by cost. An empty table keeps the given order.
+    Ties, and rules that reject nothing, go by cost. An empty table keeps the given order. A null text
+    counts as an empty one.
     """
-    sample = measure(docs.select(F.col(text_col).cast("string").alias("text")).limit(SAMPLE_ROWS)).persist()
+    sample = measure(sample_rows(docs, text_col)).persist()
 
     def run(column: Column) -> tuple[float, int]:
         start = time.perf_counter()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, langid, licenses, media, mixing, near_dedup, oracle, packing, periodic_runs, pii, prefix_trie, quality, secrets, spans, token_counts
-from .common import QUERIES, SQL, documents, query  # noqa: F401
+from .common import QUERIES, SQL, documents, query, small_batches  # noqa: F401
 
 BPE_FILE = "byte_bpe_multi_50k.tiktoken"
 SECRETS_FILE = "byte_bpe_50k.tiktoken"

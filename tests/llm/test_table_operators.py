@@ -191,6 +191,51 @@ def test_usual_headers_and_spdx_lines_are_found(spark):
         assert got[i] == sorted(names), text
 
 
+def test_a_notice_has_the_name_of_its_own_version(spark):
+    rows = [
+        ("x This work is licensed under the GNU General Public License, version 3 or later y", ["GPL-3.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("Licensed under CC BY-NC 4.0", ["CC-BY-NC-4.0"]), ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]), ("Licensed under CC BY 4.0", ["CC-BY-4.0"]),
+        ("Licensed under the BSD 2-Clause License", ["BSD-2-Clause"]), ("Licensed under the BSD 3-Clause License", ["BSD-3-Clause"]),
+        ("licensed under the GNU Lesser General Public License, version 3", ["LGPL-3.0"]),
+        ("licensed under the GNU Affero General Public License, version 3", ["AGPL-3.0"]),
+    ]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.find_licenses(docs).collect()}
+    assert got == {i: names for i, (_, names) in enumerate(rows)}
+    assert licenses.telling_shingles([1, 2, 3, 4, 5], [[1, 2, 3, 4, 9], [1, 2, 7]]) == [5]
+
+
+def test_bodies_of_many_shingles_are_found(spark):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(400)]
+    bodies = [(f"L{n}", " ".join(rng.choice(words) for _ in range(n))) for n in (120, 500, 1500)]
+    cut = lambda body, share: " ".join(w for i, w in enumerate(body.split()) if i < share * len(body.split()))
+    noise = " ".join(rng.choice(words) for _ in range(3000))
+    rows = [(f"{noise} {body} {noise}", name) for name, body in bodies] + [(f"{noise} {cut(body, 0.9)}", name) for name, body in bodies] + [(f"{noise} {cut(body, 0.5)}", "") for _, body in bodies]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licenses"] for r in licenses.find_licenses(docs, templates=bodies).collect()}
+    assert got == {i: [name] if name else [] for i, (_, name) in enumerate(rows)}
+
+
+def test_rules_come_in_the_order_of_rejections_per_cost(spark, tmp_path):
+    texts = ["- a\n- b\n* c"] * 60 + ["one thing ... \ntwo things…\nthree"] * 30 + ["12 34 56 78 x"] * 30 + ["plain words of some length"] * 100
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    verdict = {r[0] for r in quality.measure(docs).select("text", quality.cascade(docs, list(quality.RULES)).alias("ok")).filter("not ok").distinct().select("text").collect()}
+    assert verdict == {texts[0], texts[60], texts[90]}
+    order = quality.order_rules(docs)
+    counted = quality.measure(docs)
+    rejects = {name: counted.filter(rule(F.col("text"))).count() for name, rule in quality.RULES.items()}
+    useful = {name for name, n in rejects.items() if n}
+    assert {"bullets", "ellipses", "letters"} <= useful < set(quality.RULES) and set(order[: len(useful)]) == useful
+    for i in range(20):
+        spark.createDataFrame([(f"file {i} row {j}",) for j in range(30)], "text string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/t")
+    table = spark.read.parquet(f"{tmp_path}/t")
+    rows = [r[0] for r in quality.sample_rows(table).collect()]
+    assert len(rows) == 30 * quality.SAMPLE_FILES and len({r.split()[1] for r in rows}) == quality.SAMPLE_FILES
+    assert quality.sample_rows(table.union(table)).count() == 1000
+
+
 # ---------------------------------------------------------------- mixing
 
 def test_splitting_tree_uses_up_every_quota():

@@ -340,3 +340,76 @@ def test_memo_is_bounded_by_bytes(monkeypatch, texts):
         own.encode([t])
         most = max(most, own.held - sum(len(w) + bpe._ENTRY_BYTES + len(own.words[w]) for w in set(t.split(" ")) & set(own.words)))
     assert 0 < most <= 20_000
+
+
+def planted_mentions(seed, n):
+    """Documents with a full number or address, other forms of it (entities), and numbers of other kinds (none)."""
+    rng = random.Random(seed)
+    digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
+    docs = []
+    for _ in range(n):
+        area, first, last = rng.randint(100, 999), rng.randint(200, 999), digits(4)
+        full = f"+1 ({area}) {first}-{last}"
+        forms = [f"{first}-{last}", f"{first} {last}", f"{area} {first} {last}", f"{area}{first}{last}", f"{area}.{first}.{last}", f"({area}) {first}-{last}", f"0{area} {first} {last} 10 times", f"room 12 {first}-{last}"]
+        form = rng.choice(forms)
+        others = [f"order {rng.randint(10**7, 10**8)}", f"{rng.randint(1000, 2000)}-{digits(2)}-{digits(2)} {digits(2)}", f"item {digits(3)} {digits(4)} {digits(3)}", f"{digits(9)} rows"]
+        other = rng.choice(others)
+        words = lambda k: " ".join(rng.choice("lorem ipsum dolor sit amet and then more".split()) for _ in range(k))
+        text, places = "", []
+        for part, entity in rng.sample([(f"phone {full}", None), (form, True), (other, False)], 3):
+            text += words(rng.randint(1, 30)) + " "
+            places.append((len(text), len(text) + len(part), entity, part))
+            text += part + " "
+        docs.append((text + words(5), places, f"{first}{last}"))
+    return docs
+
+
+def test_other_forms_of_a_number_are_found_and_other_numbers_are_not(spark):
+    docs = planted_mentions(1, 400)
+    weights = pii.train(spark.createDataFrame([(t,) for t, _, _ in docs], "text string"))
+    hits = wanted = wrong = 0
+    for text, places, number in planted_mentions(2, 400):
+        added = [(a, b) for k, a, b, base in pii.scan_text(text, weights) if not base]
+        for a, b, entity, part in places:
+            inside = [text[x:y] for x, y in added if a <= x and y <= b]
+            if entity:
+                wanted += 1
+                hits += any("".join(filter(str.isdigit, t)).endswith(number) for t in inside)
+            elif entity is False:
+                wrong += bool(inside)
+    assert hits >= 0.9 * wanted and wrong <= 0.1 * hits, (hits, wanted, wrong)
+
+
+def test_numbers_are_cut_at_known_ones():
+    text = "call 555-7713 or +1 (017) 555-7713, then 017 555 7713 10 times, 12 34 555 7713 and 99 12345678"
+    base = pii.base_spans(text)
+    got = [text[a:b] for a, b in pii.candidates(text, base)]
+    assert got == ["555-7713", "017 555 7713", "555 7713", "99 12345678"]
+    edges = pii.field_of(text, base, pii.candidates(text, base))
+    assert len(edges.skip) and len(edges.like)
+
+
+def plain_secrets(text):
+    found = [("assign", *m.span()) for m in re.finditer(r"(?ai)(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text) if len(m[2]) >= 12]
+    found += [("access", *m.span()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    return sorted(found + [("hex", *m.span()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16])
+
+
+def test_base_secrets_equal_plain_patterns(texts):
+    vocabulary = P.path("byte_bpe_50k.tiktoken")
+    odd = noise(["token", " ", "=", ":", "\"", "'", "AKIA", "0123456789abcdef", "XYZ0", "api_key", "Secret", "ſecret", "a", "-", "ſ", "K", "é", "\n"], 3000, 25, 9)
+    for text in [*texts, *odd]:
+        spans_ = [s for s in secrets.scan_text(text, vocabulary, P.PATTERN)]
+        assert sorted((k, a, b) for k, a, b, base in spans_ if base) == plain_secrets(text)
+        base = [(a, b) for _, a, b, is_base in spans_ if is_base]
+        assert not any(a < y and x < b for k, a, b, is_base in spans_ if not is_base for x, y in base)
+
+
+def test_a_long_text_of_secrets_takes_linear_time():
+    import time
+
+    rng = random.Random(3)
+    text = " ".join(f"{rng.getrandbits(64):016x} x{rng.getrandbits(100):025X}" for _ in range(110_000))
+    start = time.perf_counter()
+    found = secrets.scan_text(text, P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    assert len(text) > 4_500_000 and sum(k == "hex" for k, *_ in found) >= 110_000 and time.perf_counter() - start < 60
