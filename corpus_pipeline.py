@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexigraft.llm import bpe, langid, mixing, near_dedup, pii
+from lexigraft.llm.common import small_batches
 from lexigraft.llm.queries import BPE_FILE, held_out
 from lexigraft.session import scratch_path
 
@@ -16,6 +17,7 @@ SHARD_BYTES = 256 << 20
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep rows whose language is found with a posterior of at least ``LEAST_SCORE``."""
+    small_batches(spark)
     model = langid.train(docs.filter(~held_out(F.col("doc_id"))))
     scored = docs.withColumn("__found", langid.predict(spark, F.col("text"), model))
     sure = (F.col("__found.lang") != langid.UNKNOWN) & (F.col("__found.score") >= LEAST_SCORE)
@@ -28,6 +30,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Groups are by five-word shingles and a similarity of 0.8. Rows without an id are kept. Of equal ids
     with different contents the row with the smallest hash stays.
     """
+    small_batches(spark)
     kept = near_dedup.near_duplicates(docs.select("doc_id", "text"), shingle_words=5, percent=80).filter("kept and doc_id is not null")
     named = docs.filter(F.col("doc_id").isNotNull()).join(kept.select("doc_id").distinct(), "doc_id", "left_semi")
     first = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
@@ -37,6 +40,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row, with personal data in its text replaced by marks and ``n_chars`` counted anew."""
+    small_batches(spark)
     clean = docs.withColumn("text", pii.redact(spark, F.col("text"), pii.train(docs)))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
@@ -46,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     one for each core if those are more; a shard is a partition. Which rows are taken does not depend on
     the shards. A null or empty text is never taken; repeated rows, and rows without an id, are rows like any other.
     """
+    small_batches(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(spark.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
     return mixing.materialize(docs, mixing.mix(docs, shards), shards)
@@ -56,6 +61,7 @@ def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null or empty text has no ids; repeated rows give repeated rows. A long text is cut for the merges only.
     """
+    small_batches(spark)
     path, pattern = public_tokenizers.path(BPE_FILE), public_tokenizers.PATTERN
     return bpe.round_trip(docs, path, pattern).select("doc_id", "ids", "n_tokens", "decoded_sha256")
 
