@@ -32,7 +32,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Plan], Plan]:
 
 
 #: Rows of a batch that goes to a Python worker: whole texts, some 2 kB each.
-TEXT_ROWS = 1000
+TEXT_ROWS = 500
 _ROWS_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import time
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
@@ -130,7 +131,7 @@ def sample_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
     files = sorted(docs.inputFiles(), key=lambda f: hashlib.md5(f.encode()).hexdigest())
     if len(files) > SAMPLE_FILES:
         try:
-            picked = docs.filter(F.col("_metadata.file_path").isin(files[:SAMPLE_FILES]))
+            picked = docs.filter(F.col("_metadata.file_name").isin([unquote(f.rpartition("/")[2]) for f in files[:SAMPLE_FILES]]))
             picked.schema  # noqa: B018  only a plain table of files knows where its rows are
         except AnalysisException:
             picked = docs
