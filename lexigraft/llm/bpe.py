@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import release, text_parts
 
 CACHE_WORDS = 200_000
-CACHE_BYTES = 16 << 20
+CACHE_BYTES = 40 << 20
 #: What an entry of the memo takes besides its characters and ids.
 _ENTRY_BYTES = 160
 BATCH_BYTES = 1 << 20
@@ -52,6 +52,8 @@ class BytePairs:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
+        #: each id as the digest of ids has it: decimal, with a comma behind
+        self.decimals = [b"%d," % i for i in range(len(self.tokens))]
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
         pairs = {}
         for token, rank in ranks.items():
@@ -292,6 +294,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = vocabulary(path, pattern)
+        decimal, token = bpe.decimals.__getitem__, bpe.tokens.__getitem__
         for batch in batches:
             for a, texts in text_parts(batch.column(1), BATCH_BYTES):
                 ids = bpe.encode(texts)
@@ -299,8 +302,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
                 columns = [
                     batch.column(0).slice(a, len(texts)),
                     pa.array(list(map(len, ids)), pa.int64()),
-                    pa.array([hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in lists], pa.string()),
-                    pa.array([hashlib.sha256(b"".join([bpe.tokens[i] for i in x])).hexdigest() for x in lists], pa.string()),
+                    pa.array([hashlib.sha256(b"".join(map(decimal, x))[:-1]).hexdigest() for x in lists], pa.string()),
+                    pa.array([hashlib.sha256(b"".join(map(token, x))).hexdigest() for x in lists], pa.string()),
                 ]
                 if with_ids:
                     ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)

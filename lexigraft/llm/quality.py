@@ -122,7 +122,7 @@ RULES: dict[str, Callable[[Column], Column]] = {
 
 
 def sample_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(text) of ``SAMPLE_ROWS`` rows or fewer, in the order of a hash of the text.
+    """(text) of ``SAMPLE_ROWS`` rows or fewer.
 
     Of a table of files the rows come from ``SAMPLE_FILES`` files that a hash of the name picks, so no
     more is read or sent than these hold, whatever the size of the table. Null texts count as rows.
@@ -135,8 +135,7 @@ def sample_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
             picked.schema  # noqa: B018  only a plain table of files knows where its rows are
         except AnalysisException:
             picked = docs
-    text = picked.select(F.col(text_col).cast("string").alias("text"))
-    return text.orderBy(F.xxhash64("text"), "text").limit(SAMPLE_ROWS)
+    return picked.select(F.col(text_col).cast("string").alias("text")).limit(SAMPLE_ROWS)
 
 
 def order_rules(docs: DataFrame, rules: dict[str, Callable[[Column], Column]] = RULES, text_col: str = "text") -> list[str]:
