@@ -24,7 +24,9 @@ CROSS_SECTION = [
 ]
 QUERIES = entry_point.queries()
 SQL = entry_point.oracle_sql()
-CHOSEN = sorted(REGISTRY) if os.environ.get("LEXIGRAFT_ALL_QUERIES") else CROSS_SECTION
+#: Found by random hyperplanes; its recall is tested against the exact form, which has SQL.
+WITHOUT_SQL = {"J9_similarity_approximate"}
+CHOSEN = sorted(set(REGISTRY) - WITHOUT_SQL) if os.environ.get("LEXIGRAFT_ALL_QUERIES") else CROSS_SECTION
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables not present")
 
@@ -54,7 +56,7 @@ def test_query_equals_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_and_survey_coverage():
-    assert set(REGISTRY) <= set(SQL)
+    assert set(REGISTRY) - set(SQL) == WITHOUT_SQL
     wanted = {f"{g}{i}" for g, n in [("A", 17), ("B", 13), ("C", 8), ("J", 12), ("D", 20), ("N", 7), ("Q", 12), ("L", 5), ("G", 8), ("W", 11), ("R", 13), ("S", 9)] for i in range(1, n + 1)}
     assert wanted <= {q.split("_")[0] for q in QUERIES}
 
