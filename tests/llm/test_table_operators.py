@@ -80,6 +80,18 @@ def test_signatures_estimate_similarity_and_prints_are_exact():
     assert all((shingles.fingerprints([t], 3)[0] == p).all() for t, p in zip(some, shingles.fingerprints(some, 3), strict=True))
 
 
+def test_sets_differ_though_a_half_of_their_prints_is_equal(monkeypatch):
+    monkeypatch.setattr(shingles, "_BYTE_VALUES", [np.ones(256, np.uint64), shingles._BYTE_VALUES[1]])
+    texts = ["aa bb cc aa bb", "bb cc dd", "aa", "bb", "aa bb cc bb", "", "aa bb cc aa bb"]
+    for k in (2, 5):
+        prints = shingles.fingerprints(texts, k)
+        sets = [shingles.shingle_set(t, k) for t in texts]
+        assert [len(p) for p in prints] == list(map(len, sets))
+        alike = [[shingles.digest(p) == shingles.digest(q) for q in prints] for p in prints]
+        assert alike == [[a == b for b in sets] for a in sets]
+        assert all((shingles.fingerprints([t], k)[0] == p).all() for t, p in zip(texts, prints, strict=True))
+
+
 def test_least_matches_follow_the_posterior():
     rng = np.random.default_rng(3)
     for n in (32, 160):
