@@ -36,9 +36,15 @@ CACHE_BYTES = 40 << 20
 _ENTRY_BYTES = 160
 BATCH_BYTES = 1 << 20
 _NONE = np.int64(1) << 62
+#: An empty leaf of the trees in a matrix, whose others are rank << 8 | position.
+_NO_LEAF = np.int32(2**31 - 1)
 _WIDEST = 64
+_ROWS = 4096
 #: A blank after white space, or at the start.
 _DOUBLE = re.compile(r"(?:^|\s) ")
+#: Marks that make one match where they end a word, and the first letter beyond those taken without the pattern.
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
+_BEYOND = "\u0250"
 
 
 class BytePairs:
@@ -64,6 +70,11 @@ class BytePairs:
         keys = np.array(sorted(pairs), np.int64)
         self.pair_keys = np.append(keys, _NONE)
         self.pair_ranks = np.append(np.array([pairs[k] for k in keys.tolist()], np.int64), _NONE)
+        if len(self.tokens) >= 1 << 23:
+            raise ValueError("a vocabulary has fewer than 8,388,608 ids")
+        every = np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)
+        #: leaf value, without its position, of each pair of bytes
+        self.byte_leaves = self._leaves(*every)
         self.words: dict[str, bytes] = {}
         self.held = 0
 
@@ -77,6 +88,10 @@ class BytePairs:
         at = np.searchsorted(self.pair_keys, key)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], _NONE)
 
+    def _leaves(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        rank = self._pair_rank(left.astype(np.int64), right)
+        return np.where(rank < _NONE, rank << 8, _NO_LEAF).astype(np.int32)
+
     def merge_long(self, piece: bytes) -> list[int]:
         """One match of any length: a segment tree in a list."""
         ranks, tokens = self.ranks, self.tokens
@@ -128,57 +143,61 @@ class BytePairs:
         Gives the ids as little-endian 32-bit integers.
         """
         rows = len(pieces)
-        lengths = np.fromiter(map(len, pieces), np.int64, rows)
-        ids = np.zeros((rows, width + 1), np.int64)
-        inside = np.arange(width + 1) < lengths[:, None]
-        ids[inside] = self.byte_ids[np.frombuffer(b"".join(pieces), np.uint8)]
-        tree = np.full((rows, 2 * width), _NONE)
-        at = np.arange(width)
-        has_pair = at[None, :] < lengths[:, None] - 1
-        first = self._pair_rank(ids[:, :-1][has_pair], ids[:, 1:][has_pair])
-        tree[:, width:][has_pair] = np.where(first < _NONE, first << 8 | np.nonzero(has_pair)[1], _NONE)
+        lengths = np.fromiter(map(len, pieces), np.int32, rows)
+        raw = np.frombuffer(b"".join(pieces), np.uint8)
+        ids = np.zeros((rows, width + 1), np.int32)
+        inside = np.arange(width + 1, dtype=np.int32) < lengths[:, None]
+        ids[inside] = self.byte_ids[raw]
+        tree = np.full((rows, 2 * width), _NO_LEAF)
+        at = np.arange(width, dtype=np.int32)
+        has_pair = at < lengths[:, None] - 1
+        both = raw[:-1].astype(np.int32) << 8 | raw[1:]
+        within = np.ones(raw.size, np.bool_)
+        within[np.cumsum(lengths) - 1] = False
+        tree[:, width:][has_pair] = self.byte_leaves[both[within[:-1]]]
+        tree[:, width:] |= np.where(tree[:, width:] < _NO_LEAF, at, 0)
         for low in (1 << k for k in range(width.bit_length() - 2, -1, -1)):
-            both = tree[:, 2 * low : 4 * low]
-            tree[:, low : 2 * low] = np.minimum(both[:, ::2], both[:, 1::2])
-        after = np.broadcast_to(np.arange(1, width + 2), (rows, width + 1)).copy()
-        before = np.broadcast_to(np.arange(-1, width), (rows, width + 1)).copy()
+            np.minimum(tree[:, 2 * low : 4 * low : 2], tree[:, 2 * low + 1 : 4 * low : 2], out=tree[:, low : 2 * low])
+        after = np.broadcast_to(np.arange(1, width + 2, dtype=np.int32), (rows, width + 1)).copy()
+        before = np.broadcast_to(np.arange(-1, width, dtype=np.int32), (rows, width + 1)).copy()
         live = inside.copy()
-        flat, size = tree.ravel(), 2 * width
-
-        def put(row: np.ndarray, leaf: np.ndarray, value: np.ndarray) -> None:
-            node = width + leaf
-            base = row * size
-            flat[base + node] = value
-            while True:
-                node = node >> 1
-                if not node[0]:
-                    break
-                flat[base + node] = np.minimum(flat[base + 2 * node], flat[base + 2 * node + 1])
-
-        active = np.nonzero(tree[:, 1] < _NONE)[0]
+        leaves, cells = 2 * width, width + 1
+        flat, flat_ids, flat_after, flat_before = tree.ravel(), ids.ravel(), after.ravel(), before.ravel()
+        active = np.nonzero(tree[:, 1] < _NO_LEAF)[0]
         while active.size:
             top = tree[active, 1]
-            i = top & 255
-            gone = after[active, i]
-            ids[active, i] = top >> 8
+            i, start = top & 255, active * cells
+            here = start + i
+            gone = flat_after[here]
+            flat_ids[here] = top >> 8
             live[active, gone] = False
-            follows = after[active, gone]
-            after[active, i] = follows
-            before[active, np.minimum(follows, width)] = i
-            n = lengths[active]
-            put(active, gone, np.full(active.size, _NONE))
-            rank = np.where(follows < n, self._pair_rank(ids[active, i], ids[active, np.minimum(follows, width)]), _NONE)
-            put(active, i, np.where(rank < _NONE, rank << 8 | i, _NONE))
-            has = before[active, i] >= 0
-            row, cell = active[has], i[has]
-            if row.size:
-                ahead = before[row, cell]
-                rank = self._pair_rank(ids[row, ahead], ids[row, cell])
-                put(row, ahead, np.where(rank < _NONE, rank << 8 | ahead, _NONE))
-            active = active[tree[active, 1] < _NONE]
+            follows = flat_after[start + gone]
+            flat_after[here] = follows
+            flat_before[start + np.minimum(follows, width)] = i
+            # the pair that starts here, if a part follows, and the one that ends here, if a part precedes
+            on, back = np.nonzero(follows < lengths[active])[0], np.nonzero(flat_before[here] >= 0)[0]
+            ahead = flat_before[here[back]]
+            pair = self._leaves(
+                flat_ids[np.concatenate([here[on], start[back] + ahead])], flat_ids[np.concatenate([start[on] + follows[on], here[back]])]
+            )
+            value = np.full(active.size, _NO_LEAF)
+            value[on] = pair[: on.size]
+            # three leaves and their ways to the root, level by level
+            base = active * leaves + width
+            flat[base + gone] = _NO_LEAF
+            flat[base + i] = np.where(value < _NO_LEAF, value | i, _NO_LEAF)
+            value = pair[on.size :]
+            flat[base[back] + ahead] = np.where(value < _NO_LEAF, value | ahead, _NO_LEAF)
+            root = np.concatenate([active, active, active[back]]) * leaves
+            node = np.concatenate([gone, i, ahead]) + width
+            for _ in range(width.bit_length() - 1):
+                child = root + (node & ~1)
+                node >>= 1
+                flat[root + node] = np.minimum(flat[child], flat[child + 1])
+            active = active[tree[active, 1] < _NO_LEAF]
         ends = np.cumsum(live.sum(axis=1) * 4).tolist()
-        flat_ids = ids[live].astype(np.int32).tobytes()
-        return [flat_ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        kept = ids[live].tobytes()
+        return [kept[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def _merge(self, pieces: Iterable[str]) -> dict[str, bytes]:
         by_width: dict[int, list[str]] = {}
@@ -190,8 +209,8 @@ class BytePairs:
             else:
                 by_width.setdefault((n - 1).bit_length(), []).append(p)
         for power, some in by_width.items():
-            for start in range(0, len(some), 16384):
-                part = some[start : start + 16384]
+            for start in range(0, len(some), _ROWS):
+                part = some[start : start + _ROWS]
                 done.update(zip(part, self.merge_many([p.encode() for p in part], 1 << power), strict=True))
         return done
 
@@ -220,18 +239,36 @@ class BytePairs:
         if len(self.words) + len(new) > CACHE_WORDS or self.held > CACHE_BYTES:
             self.words, self.held = {}, 0
             new = set().union(*rest)
-        # a word of ASCII letters is one match with its blank
-        plain = [w for w in new if w.isascii() and w.isalpha()]
-        mixed = {w: self.find(" " + w) for w in new.difference(plain)}
+        # letters are one match with their blank, and marks behind them another
+        ahead: dict[str, str] = {}
+        mixed: dict[str, list[str]] = {}
+        for w in new:
+            letters = w.rstrip(_MARKS)
+            if letters.isalpha() and (letters.isascii() or max(letters) < _BEYOND):
+                ahead[w] = letters
+            else:
+                mixed[w] = self.find(" " + w)
         starts = {w: self.find(w) for w in first}
-        merged = self._merge({" " + w for w in plain}.union(*mixed.values(), *starts.values()))
-        self.words.update((w, merged[" " + w]) for w in plain)
-        self.words.update((w, b"".join([merged[p] for p in found])) for w, found in mixed.items())
-        self.held += sum(map(len, new)) + sum(len(self.words[w]) for w in new) + _ENTRY_BYTES * len(new)
-        get = self.words.__getitem__
+        words = self.words
+        cores = list(set(ahead.values()).difference(words))
+        spaced = [" " + w for w in cores]
+        tails = {w: w[len(letters) :] for w, letters in ahead.items() if len(letters) < len(w)}
+        merged = self._merge({*spaced, *tails.values()}.union(*mixed.values(), *starts.values()))
+        fresh = dict(zip(cores, map(merged.__getitem__, spaced), strict=True))
+        words.update(fresh)
+        marked = {w: words[ahead[w]] + merged[tail] for w, tail in tails.items()}
+        other = {w: b"".join([merged[p] for p in found]) for w, found in mixed.items()}
+        words.update(marked)
+        words.update(other)
+        for some in (fresh, marked, other):
+            self.held += sum(map(len, some)) + sum(map(len, some.values())) + _ENTRY_BYTES * len(some)
+        if self.held > CACHE_BYTES:  # letters that are no word of these texts need not stay
+            for w in fresh.keys() - new:
+                self.held -= len(w) + len(words.pop(w)) + _ENTRY_BYTES
+        get = words.__getitem__
         return [
-            np.frombuffer(b"".join([*map(merged.__getitem__, starts[w]), *map(get, words)]), np.int32)
-            for w, words in zip(first, rest, strict=True)
+            np.frombuffer(b"".join([*map(merged.__getitem__, starts[w]), *map(get, some)]), np.int32)
+            for w, some in zip(first, rest, strict=True)
         ]
 
     def decode(self, ids: np.ndarray) -> bytes:
