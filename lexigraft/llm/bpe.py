@@ -48,7 +48,11 @@ _BEYOND = "\u0250"
 
 
 class BytePairs:
-    """Ranks of a byte-level BPE vocabulary; a token's rank is its id."""
+    """Ranks of a byte-level BPE vocabulary, fewer than 2**23; a token's rank is its id.
+
+    The pattern has to match letters with the blank before them as one, and marks (no apostrophe) that
+    end a word as another; then words of both need not go through it.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         import regex

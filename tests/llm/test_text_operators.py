@@ -43,6 +43,16 @@ def test_bpe_equals_the_library(texts):
         assert [i.tolist() for i in own.encode(some)] == [want.encode_ordinary(t) for t in some]
 
 
+def test_letters_and_marks_are_cut_as_the_pattern_does():
+    own = bpe.BytePairs.load(BPE, P.PATTERN)
+    want = library(own.ranks)
+    # marks of every kind, and letters on both sides of the last one that is cut without the pattern
+    some = noise("  ab Zé\u00aa\u00ba\u02b0\u024f\u0250\u0251\u0416\u65871\u00b2" + bpe._MARKS + "'", 6000, 40, 8)
+    some += [f"a {w}{m}" for m in [*bpe._MARKS, "'", "'s", ".'", "!?", "_"] for w in ("word", "caf\u00e9", "\u0250x", "x1", "")]
+    for part in (some[:3000], some):  # letters of the first part are in the memo in the second
+        assert [i.tolist() for i in own.encode(part)] == [want.encode_ordinary(t) for t in part]
+
+
 def test_both_trees_merge_alike():
     own = bpe.BytePairs.load(BPE, P.PATTERN)
     some = [t.encode() for t in noise("abcdeintr ", 300, 60, 2) if t.encode()[:64]]
