@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .arrays import let, positions
+from .arrays import let, once, positions
 
 # Tag repairs of the released annotation and the accepted prefixes.
 TAG_FIXES = {"B-DATe": "B-DATE"}
@@ -62,11 +65,39 @@ def entity_spans(tags: Column) -> Column:
     )
 
 
-def span_keys(spans: Column) -> Column:
-    """Spans as strings, so that array set operations hash instead of comparing all pairs."""
-    return F.transform(
-        spans,
-        lambda s: F.concat_ws(
-            "\u0001", s["etype"], s["start"].cast("string"), s["end"].cast("string")
-        ),
-    )
+def spans_of(sentences: pa.Array, types: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, end, type) of the spans of a batch of tag arrays, as ``entity_spans`` has them; ``types`` numbers the types."""
+    sizes = pc.fill_null(pc.list_value_length(sentences), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    tags = sentences.flatten().dictionary_encode()
+    names = tags.dictionary.to_pylist()
+    typed = [types.setdefault(t[2:], len(types)) if t[:2] in VALID_PREFIXES else -1 for t in names]
+    code = tags.indices.fill_null(len(names)).to_numpy(zero_copy_only=False)
+    kind = np.array([*typed, -1], np.int64)[code]
+    inner = np.array([*[t.startswith("I-") for t in names], False], np.bool_)[code]
+    ends = np.cumsum(sizes)
+    first = np.repeat(ends - sizes, sizes)
+    at = np.arange(len(kind))
+    goes_on = inner & (at > first) & (kind == np.roll(kind, 1))
+    bounds = np.nonzero(~goes_on)[0]
+    until = np.minimum(np.append(bounds[1:], len(kind)), np.repeat(ends, sizes)[bounds])
+    spans = kind[bounds] >= 0
+    bounds, until = bounds[spans], until[spans]
+    row = np.repeat(np.arange(len(sizes)), sizes)[bounds]
+    return row, bounds - first[bounds], until - first[bounds], kind[bounds]
+
+
+def span_overlap(predicted: Column, gold: Column) -> Column:
+    """``struct<tp,fp,fn>`` of two tag arrays: spans that both have, or only one; a null array has none."""
+
+    @F.arrow_udf("struct<tp:bigint,fp:bigint,fn:bigint>")
+    def count(p: pa.Array, g: pa.Array) -> pa.Array:
+        types: dict[str, int] = {}
+        ours, theirs = spans_of(p, types), spans_of(g, types)
+        width = 1 + max(int(x[1].max(initial=0)) for x in (ours, theirs))
+        # one span at most starts at a place
+        _, i, j = np.intersect1d(ours[0] * width + ours[1], theirs[0] * width + theirs[1], assume_unique=True, return_indices=True)
+        both = ours[0][i[(ours[2][i] == theirs[2][j]) & (ours[3][i] == theirs[3][j])]]
+        n_p, n_g, tp = (np.bincount(rows, minlength=len(p)) for rows in (ours[0], theirs[0], both))
+        return pa.StructArray.from_arrays([pa.array(tp), pa.array(n_p - tp), pa.array(n_g - tp)], ["tp", "fp", "fn"])
+
+    return once(count)(predicted, gold)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
-from ..functions.tags import entity_spans, span_keys
+from ..functions.tags import entity_spans, span_overlap
 
 IGNORED = -100  # fixed value: label of positions that do not count
 
@@ -23,23 +23,8 @@ def spans(sentences: DataFrame, tags: str, keys: list[str]) -> DataFrame:
 
 
 def span_counts(predicted: Column, gold: Column) -> Column:
-    """``struct<tp,fp,fn>`` of one sentence by set algebra on its spans."""
-
-    def count(pair: Column) -> Column:
-        hits = F.size(F.array_intersect(pair["p"], pair["g"]))
-        return let(
-            hits,
-            lambda tp: F.struct(
-                tp.cast("bigint").alias("tp"),
-                (F.size(pair["p"]) - tp).cast("bigint").alias("fp"),
-                (F.size(pair["g"]) - tp).cast("bigint").alias("fn"),
-            ),
-        )
-
-    pair = F.struct(
-        span_keys(entity_spans(predicted)).alias("p"), span_keys(entity_spans(gold)).alias("g")
-    )
-    return let(pair, count)
+    """``struct<tp,fp,fn>`` of one sentence by set algebra on its spans, a batch of sentences at a time."""
+    return span_overlap(predicted, gold)
 
 
 def entity_f1(predicted: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:

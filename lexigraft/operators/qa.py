@@ -150,16 +150,15 @@ def best_spans(
     and candidates are combined on the map side, however many windows an example has.
     """
     is_context = F.transform("feature_offsets", lambda o: o.isNotNull())
-    best = features.withColumn(
-        "__best",
-        A.best_window_span(F.col("s_scores"), F.col("e_scores"), is_context, n_best, max_answer_len),
-    )
+    found = A.best_window_span(F.col("s_scores"), F.col("e_scores"), is_context, n_best, max_answer_len)
+    # exploded, so that the fields below do not search the window again; a window without a span has no row
+    best = features.withColumn("__best", F.explode(F.array_compact(F.array(found))))
     a_start = F.get("feature_offsets", F.col("__best.start"))["start"]
     a_end = F.get("feature_offsets", F.col("__best.end"))["end"]
     text = [F.substr("context", a_start + 1, a_end - a_start).alias("a_text")] if "context" in features.columns else []
     candidate = best.select(
         key,
-        F.when(F.col("__best").isNotNull(), F.struct(
+        F.struct(
             F.col("__best.score").alias("score"),
             (-F.col("window")).alias("neg_window"),
             F.col("__best.neg_s_rank").alias("s"),
@@ -167,9 +166,9 @@ def best_spans(
             a_start.alias("a_start"),
             a_end.alias("a_end"),
             *text,
-        )).alias("c"),
+        ).alias("c"),
     )
-    return candidate.groupBy(key).agg(F.max("c").alias("c")).filter("c is not null").select(
+    return candidate.groupBy(key).agg(F.max("c").alias("c")).select(
         key,
         F.col("c.score").alias("score"),
         (-F.col("c.neg_window")).alias("window"),

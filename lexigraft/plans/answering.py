@@ -199,7 +199,9 @@ def _(spark, sf):
 def _(spark, sf):
     seen = F.transform("feature_offsets", lambda o: o.isNotNull())
     best = A.best_window_span(F.col("s_scores"), F.col("e_scores"), seen, 20, 64)
-    rows = I.scored_windows(spark, sf).select("id", F.col("window").cast("bigint").alias("window"), best.alias("b")).filter("b is not null")
+    # exploded, so that the filter and the fields below do not search the window again
+    found = F.explode(F.array_compact(F.array(best))).alias("b")
+    rows = I.scored_windows(spark, sf).select("id", F.col("window").cast("bigint").alias("window"), found)
     return rows.select("id", "window", F.col("b.score").alias("score"), F.col("b.start").cast("bigint").alias("start"), F.col("b.end").cast("bigint").alias("end"))
 
 

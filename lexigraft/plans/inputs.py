@@ -7,13 +7,18 @@ and run records follow from md5 buckets, so SQL can derive the very same rows
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.arrays import let, md5_bucket, positions
+from ..functions.arrays import as_arrays, digest_heads, md5_bucket, md5_buckets, numbered_md5_buckets, once
 from ..functions.text import run_name, tokens
 from ..operators import qa, vocab
-from ..session import spread, stable
+from ..session import bounded_batches, spread, stable
 from ..sources.text import corpus_lines
 
 DIM = 64        # fixed value: width of the embeddings table
@@ -158,31 +163,59 @@ def lexicon_lines(all_words: DataFrame, spark: SparkSession, sf: str) -> DataFra
 
 # ---------------------------------------------------------------- tagged sentences
 
-def gold_tag(w: Column) -> Column:
-    def tag(b: Column) -> Column:
-        return (
-            F.when(b == 0, "B-PER").when(b == 1, "I-PER").when(b == 2, "I-LOC").when(b == 3, "BO")
-            .when(b == 4, "B-DATe").otherwise("O")
-        )
+TAGS = ["B-PER", "I-PER", "I-LOC", "BO", "B-DATe", "O", "O", "O", "O", "O"]  # by the last digit of a bucket
+
+
+def tag_of(b: Column) -> Column:
+    return F.get(F.array(*[F.lit(t) for t in TAGS]), (b % 10).cast("int"))
+
 
-    return let(h(w) % 10, tag)
+def gold_tag(w: Column) -> Column:
+    return tag_of(h(w))
 
 
 def tagged(spark: SparkSession, sf: str) -> DataFrame:
     """(doc_id, lang, line_no, sentence): one sentence per line, tags not yet repaired."""
-    return lines(spark, sf).select(
-        "doc_id",
-        "lang",
-        "line_no",
-        F.transform(tokens(F.col("line")), lambda w: F.struct(w.alias("token"), gold_tag(w).alias("tag"))).alias("sentence"),
+    bounded_batches(spark)
+    rows = lines(spark, sf).select("doc_id", "lang", "line_no", tokens(F.col("line")).alias("__words"))
+    token = lambda w, b: F.struct(w.alias("token"), tag_of(b).alias("tag"))
+    return rows.withColumn("__buckets", md5_buckets(F.col("__words"))).select(
+        "doc_id", "lang", "line_no", F.zip_with("__words", "__buckets", token).alias("sentence")
     )
 
 
-def predicted_tags(sentence: Column) -> Column:
-    """Gold tags, dropped to O for one token in eight."""
-    return F.transform(
-        sentence, lambda t: F.when(h("p", t["token"]) % 8 == 0, F.lit("O")).otherwise(t["tag"])
-    )
+def predicted_tags(rows: DataFrame, sentence: str, name: str = "tags") -> DataFrame:
+    """Add the gold tags of a sentence, dropped to O for one token in eight."""
+    buckets = md5_buckets(F.transform(sentence, lambda t: t["token"]), "p")
+    tag = lambda t, b: F.when(b % 8 == 0, F.lit("O")).otherwise(t["tag"])
+    return rows.withColumn("__buckets", buckets).withColumn(name, F.zip_with(sentence, "__buckets", tag)).drop("__buckets")
+
+
+def piece_scores(row_key: Column, labels: Column, n_labels: Column, ignored: int) -> Column:
+    """A score in 0..99 of every label at each counted piece, null at the others."""
+
+    @F.arrow_udf("array<array<bigint>>")
+    def draw(keys: pa.Array, labels: pa.Array, counts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(labels), 0).to_numpy(zero_copy_only=False)
+        counted = pc.fill_null(pc.not_equal(labels.flatten(), ignored), False).to_numpy(zero_copy_only=False)
+        n = counts.to_numpy(zero_copy_only=False)
+        names = [b"%d" % c for c in range(int(n.max(initial=0)))]
+        digests = []
+        at = 0
+        for key, size, width in zip(keys.to_pylist(), sizes.tolist(), n.tolist(), strict=True):
+            start = hashlib.md5(key.encode() + b"-", usedforsecurity=False)
+            for i in np.nonzero(counted[at : at + size])[0].tolist():
+                piece = start.copy()
+                piece.update(b"%d-" % i)
+                for name in names[:width]:
+                    m = piece.copy()
+                    m.update(name)
+                    digests.append(m.digest())
+            at += size
+        widths = np.where(counted, np.repeat(n, sizes), 0)
+        return as_arrays(sizes, labels.is_valid(), as_arrays(widths, pa.array(counted), pa.array(digest_heads(digests) % 100)))
+
+    return once(draw)(row_key, labels, n_labels)
 
 
 def conll_texts(spark: SparkSession, sf: str) -> DataFrame:
@@ -262,6 +295,7 @@ def packed_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def windows(spark: SparkSession, sf: str) -> DataFrame:
+    bounded_batches(spark)
     return qa.context_windows(questions(spark, sf), MAX_LENGTH, STRIDE)
 
 
@@ -269,15 +303,15 @@ def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
     """Windows with feature_offsets and md5-made start and end scores per position."""
     feats = qa.masked_offsets(windows(spark, sf))
 
+    def buckets(name: str) -> Column:
+        key = F.concat(F.lit(name), F.col("doc_id").cast("string"), F.lit("-"), F.col("window").cast("string"), F.lit("-"))
+        return numbered_md5_buckets(key, F.size("feature_offsets"))
+
     def scores(name: str) -> Column:
-        return F.transform(
-            positions(F.col("feature_offsets")),
-            lambda i: (h(name, F.col("doc_id"), F.lit("-"), F.col("window"), F.lit("-"), i) % 1000) / F.lit(10.0),
-        )
+        return F.transform(name, lambda b: (b % 1000) / F.lit(10.0))
 
-    return feats.select(
-        "id", "doc_id", "window", "feature_offsets", scores("s").alias("s_scores"), scores("e").alias("e_scores")
-    )
+    drawn = feats.select("id", "doc_id", "window", "feature_offsets", buckets("s").alias("__s"), buckets("e").alias("__e"))
+    return drawn.select("id", "doc_id", "window", "feature_offsets", scores("__s").alias("s_scores"), scores("__e").alias("e_scores"))
 
 
 # ---------------------------------------------------------------- run records and step logs

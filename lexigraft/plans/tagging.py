@@ -23,11 +23,11 @@ def gold(spark, sf):
 
 
 def gold_tags(spark, sf):
-    return gold(spark, sf).select(*KEYS, ner.tags_of(F.col("sentence")).alias("tags"))
+    return I.tagged(spark, sf).select(*KEYS, F.transform("sentence", lambda t: normalize_tag(t["tag"])).alias("tags"))
 
 
 def predicted_tags(spark, sf):
-    return gold(spark, sf).select(*KEYS, I.predicted_tags(F.col("sentence")).alias("tags"))
+    return I.predicted_tags(gold(spark, sf), "sentence").select(*KEYS, "tags")
 
 
 @query("N1_entity_spans", sql('select doc_id, line_no, etype, s::bigint as start, e::bigint as "end" from span where side = \'g\''))
@@ -125,14 +125,9 @@ def _(spark, sf):
     n = inventory.agg(F.count("*").cast("int").alias("n_labels"))
     rows = rows.crossJoin(F.broadcast(n))
 
-    def scores(i):
-        key = F.concat_ws("-", F.concat(F.lit("n"), F.col("doc_id").cast("string")), F.col("line_no").cast("string"), i.cast("string"))
-        return F.transform(
-            F.sequence(F.lit(0), F.col("n_labels") - 1), lambda c: I.h(F.concat_ws("-", key, c.cast("string"))) % 100
-        )
-
-    counted = F.transform("labels", lambda label, i: F.when(label != ner.IGNORED, scores(i)))
-    decoded = rows.select(F.explode(ner.decode_predictions(counted, F.col("labels"))).alias("d"))
+    row_key = F.concat_ws("-", F.concat(F.lit("n"), F.col("doc_id").cast("string")), F.col("line_no").cast("string"))
+    scored = rows.select("labels", I.piece_scores(row_key, F.col("labels"), F.col("n_labels"), ner.IGNORED).alias("scores"))
+    decoded = scored.select(F.explode(ner.decode_predictions(F.col("scores"), F.col("labels"))).alias("d"))
     names = inventory.withColumn("id", F.col("id").cast("int"))
     return (
         decoded.groupBy("d.predicted", "d.gold").agg(F.count("*").alias("n"))
