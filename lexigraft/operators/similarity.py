@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.vector_sums import of_width
 from ..session import scratch_path
 
-_BLOCK_BYTES = 128 << 20      # vectors of a block on either side
+_BLOCK_BYTES = 32 << 20      # vectors of a block on either side
 _BROADCAST_BYTES = 256 << 20  # checked size up to which the reference side is shipped whole
 _DECIMALS = 9                 # scores are compared at nine decimals
 _SLACK = 1e-8                 # what rounding may take from a bound
@@ -29,6 +29,7 @@ _BLOCK_ROWS = 256             # references of a block, about
 _PIVOTS = 4096                # most pivots: they are shipped to every task
 _FIRST = 2                    # blocks that every query meets
 _SCORES = 8 << 20             # scores held at once
+_FOUND = 1 << 20              # found pairs held at once: a query may find k in each block
 _CLASS_NEIGHBOURS = "cls bigint, ref_id bigint, score double, rank bigint"
 
 
@@ -105,8 +106,18 @@ def search(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFrame, int
     """(query row, ref_id, score, rank) of the k best references of each query, and the number of products made.
 
     Equal scores go to the smaller id. Scores are rounded before they are compared, so the result does
-    not depend on the blocks.
+    not depend on the blocks. Queries are taken so many at a time that what they find stays within ``_FOUND``.
     """
+    step = max(1, _FOUND // max(1, len(index.blocks) * max(1, k)))
+    parts, products = [], 0
+    for at in range(0, max(1, len(queries)), step):
+        part, made = _search_some(queries[at : at + step], index, k)
+        parts.append(part.assign(query=part["query"] + at))
+        products += made
+    return pd.concat(parts, ignore_index=True), products
+
+
+def _search_some(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFrame, int]:
     unit = _unit(queries.astype(np.float64))
     n, m = len(unit), len(index.blocks)
     empty = pd.DataFrame({"query": [], "ref_id": [], "score": [], "rank": []}).astype({"query": "int64", "ref_id": "int64", "rank": "int64"})
