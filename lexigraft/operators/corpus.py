@@ -15,6 +15,7 @@ from ..functions.text import tokens
 from .keys import lookup_join, seeded_rank
 
 IGNORED = -100
+CHUNK_TOKENS = 1 << 20        # tokens of the lines that a task of the joined form holds, about
 MAX_SHIPPED_BYTES = 64 << 20  # checked size up to which a vocabulary goes to every task
 
 
@@ -49,12 +50,7 @@ def encode(
         names, ids = shipped.value
         index = dict(zip(names.to_pylist(), ids.tolist(), strict=True))  # once a task
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index("words"))
-            flat = col.flatten().dictionary_encode()  # each different word of a batch is looked up once
-            coded = np.array([index.get(w, unk_id) for w in flat.dictionary.to_pylist()] or [unk_id], dtype=np.int64)
-            coded = coded[flat.indices.fill_null(0).to_numpy(zero_copy_only=False)]
-            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(col).fill_null(0).to_numpy())])
-            out = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded))
+            out = _codes(batch.column(batch.schema.get_field_index("words")), index, unk_id)
             cols = [batch.column(batch.schema.get_field_index(k)) for k in keys]
             yield pa.RecordBatch.from_arrays([*cols, out], names=[*keys, "ids"])
 
@@ -62,12 +58,43 @@ def encode(
 
 
 def _encode_by_join(words: DataFrame, vocab: DataFrame, unk_id: int, keys: list[str]) -> DataFrame:
-    probe = words.select(*keys, F.posexplode_outer("words").alias("pos", "token"))
-    coded = lookup_join(probe, vocab, "token", "id", "left")
-    value = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
-    return coded.groupBy(*keys).agg(F.array_sort(F.collect_list(value)).alias("v")).select(
-        *keys, F.transform("v", lambda x: x["id"].cast("bigint")).alias("ids")
-    )
+    """Lines are dealt into chunks; each different token of a chunk is joined once, and its ids meet the chunk's lines.
+
+    Rows of equal keys are one line, their tokens by position.
+    """
+    spark = words.sparkSession
+    n_tokens = words.agg(F.sum(F.greatest(F.size("words"), F.lit(0)).cast("bigint"))).first()[0] or 0
+    chunks = max(spark.sparkContext.defaultParallelism, -(-n_tokens // CHUNK_TOKENS))
+    dealt = words.withColumn("__chunk", F.pmod(F.xxhash64(*keys), F.lit(chunks)))
+    asked = dealt.select("__chunk", F.explode("words").alias("token")).distinct()
+    known = lookup_join(asked, vocab, "token", "id").select(F.col("__chunk").alias("__asked"), "token", F.col("id").cast("bigint").alias("id"))
+    schema = words.select(*keys, F.array().cast("array<bigint>").alias("ids")).schema
+    names = [f.name for f in schema.fields]
+
+    def look_up(lines: pa.Table, pairs: pa.Table) -> pa.Table:
+        index = dict(zip(pairs["token"].to_pylist(), pairs["id"].to_pylist(), strict=True))
+        col = lines["words"].combine_chunks()
+        coded = _codes(col, index, unk_id)
+        columns = [lines[k] for k in keys]
+        rows = list(zip(*[c.to_pylist() for c in columns], strict=True))
+        if len(set(rows)) < len(rows):
+            merged: dict[tuple, list[tuple[int, int]]] = {}
+            for row, ids in zip(rows, coded.to_pylist(), strict=True):
+                merged.setdefault(row, []).extend(enumerate(ids))
+            columns = [pa.array(c, k.type) for c, k in zip(zip(*merged, strict=True), columns, strict=True)]
+            coded = pa.array([[i for _, i in sorted(v)] for v in merged.values()], pa.list_(pa.int64()))
+        return pa.Table.from_arrays([*columns, coded], names=names)
+
+    return dealt.groupBy("__chunk").cogroup(known.groupBy("__asked")).applyInArrow(look_up, schema)
+
+
+def _codes(words: pa.Array, index: dict[str, int], unk_id: int) -> pa.Array:
+    """The ids of a batch of token arrays; each different word is looked up once, a null array has no ids."""
+    flat = words.flatten().dictionary_encode()
+    coded = np.array([index.get(w, unk_id) for w in flat.dictionary.to_pylist()] or [unk_id], dtype=np.int64)
+    coded = coded[flat.indices.fill_null(0).to_numpy(zero_copy_only=False)]
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(words).fill_null(0).to_numpy())])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(coded))
 
 
 def masked_copy(
