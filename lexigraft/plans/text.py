@@ -76,11 +76,9 @@ def _(spark, sf):
 
     path = scratch_path(spark, "conll")
     src.write_conll(split_80_10_10(I.tagged(spark, sf), I.SEED, ["doc_id", "line_no"]), path, ["doc_id", "line_no"])
-    back = src.read_conll(spark, f"{path}/split=*")
-    rows = F.array_sort(F.collect_list(F.struct("pos", F.concat("token", F.lit("\t"), "tag").alias("row"))))
-    sentences = back.groupBy("file", "sent_id").agg(
-        F.md5(joined(F.transform(rows, lambda r: r["row"]), "\n")).alias("sentence")
-    )
+    back = src.read_conll_sentences(spark, f"{path}/split=*")
+    rows = F.transform("sentence", lambda t: F.concat(t["token"], F.lit("\t"), t["tag"]))
+    sentences = back.select("file", F.md5(joined(rows, "\n")).alias("sentence"))
     split = F.regexp_extract("file", "split=([a-z]+)", 1).alias("split")
     return sentences.groupBy(split, "sentence").agg(F.count("*").alias("n"))
 

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -106,46 +112,104 @@ def sentence_tokens(sentences: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def read_conll(spark: SparkSession, path: str, variant: str = "evaluation") -> DataFrame:
-    """(file, sent_id, pos, token, tag) of CoNLL files of any size.
+class _Place:
+    """Where a file split stands: blank lines and token rows so far, and the sentences they opened."""
+
+    def __init__(self) -> None:
+        self.gaps = self.nth = self.opened = self.open_at = 0
+        self.first_gap = self.last_gap = None
+
+    def pass_by(self, blank: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Take in the next lines; (nth, opened so far, nth of the last opening or 0) of their token rows."""
+        gap = self.gaps + np.cumsum(blank)
+        at = gap[known]
+        self.gaps += int(blank.sum())
+        if not at.size:
+            return at, at, at
+        if self.first_gap is None:
+            self.first_gap = self.last_gap = int(at[0])
+        opens = at != np.append(self.last_gap, at[:-1])
+        nth = self.nth + np.arange(1, len(at) + 1)
+        opened = self.opened + np.cumsum(opens)
+        open_at = np.maximum(np.maximum.accumulate(np.where(opens, nth, 0)), self.open_at)
+        self.last_gap, self.nth, self.opened, self.open_at = (int(x[-1]) for x in (at, nth, opened, open_at))
+        return nth, opened, open_at
+
+
+_SUMMARY = "file string, block bigint, gaps bigint, first_gap bigint, last_gap bigint, tokens bigint, opened bigint, last_open bigint"
+_FRAGMENT = "file string, block bigint, n_open bigint, nth bigint, open_at bigint, rows array<struct<token:string,tag:string>>"
+
+
+def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """Each batch in runs of one file split; a task reads its splits one after another, each in file order."""
+    for batch in batches:
+        file, block = (pc.dictionary_encode(batch.column(c)) for c in BLOCK)
+        codes = file.indices.to_numpy().astype(np.int64) * len(block.dictionary) + block.indices.to_numpy()
+        starts = np.nonzero(np.append(True, codes[1:] != codes[:-1]))[0] if len(codes) else []
+        for i, j in zip(starts, [*starts[1:], len(codes)], strict=True):
+            some = batch.slice(i, j - i)
+            yield tuple(some.column(c)[0].as_py() for c in BLOCK), some
+
+
+def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row per file split; ``tokens`` and what follows from them are null in a split without a token."""
+    def row(key: tuple, p: _Place) -> pa.RecordBatch:
+        values = [*key, p.gaps, p.first_gap, p.last_gap, *((p.nth, p.opened) if p.nth else (None, None)), p.open_at or None]
+        types = [pa.string()] + [pa.int64()] * 7
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in _SUMMARY.split(", ")])
+
+    at, place = None, _Place()
+    for key, some in _by_split(batches):
+        if key != at:
+            if at is not None:
+                yield row(at, place)
+            at, place = key, _Place()
+        place.pass_by(*(some.column(c).to_numpy(zero_copy_only=False) for c in ("blank", "known")))
+    if at is not None:
+        yield row(at, place)
+
+
+def _fragments(batches: Iterator[pa.RecordBatch], whole: bool | None = None) -> Iterator[pa.RecordBatch]:
+    """One row per sentence, or per part of one that a batch or a split may cut: the first and the last of each.
+
+    ``whole`` keeps only those that open and end within their batch, or only the others.
+    """
+    at, place = None, _Place()
+    for key, some in _by_split(batches):
+        if key != at:
+            at, place = key, _Place()
+        known = some.column("t").is_valid()
+        nth, opened, open_at = place.pass_by(*(c.to_numpy(zero_copy_only=False) for c in (some.column("blank"), known)))
+        if not nth.size:
+            continue
+        starts = np.nonzero(np.append(True, opened[1:] != opened[:-1]))[0]
+        uncut = open_at[starts] == nth[starts]
+        uncut[-1] = False
+        rows = some.filter(known)
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(nth)), pa.int32()), rows.column("t"))
+        first = pa.array(starts)
+        made = pa.RecordBatch.from_arrays(
+            [rows.column(c).take(first) for c in BLOCK] + [pa.array(opened[starts]), pa.array(nth[starts]), pa.array(open_at[starts], mask=open_at[starts] == 0), lists],
+            names=[*BLOCK, "n_open", "nth", "open_at", "rows"],
+        )
+        yield made if whole is None else made.filter(pa.array(uncut == whole))
 
-    Every file split is numbered on its own; one summary row per split then yields what
-    the splits before it contribute. A sentence may span splits.
+
+def _conll_fragments(spark: SparkSession, path: str, variant: str, whole: bool | None = None) -> DataFrame:
+    """(file, sent_id, pos, rows): parts of sentences by the position of their first token.
+
+    Every file split is numbered as it is read, without a shuffle; one summary row per split then
+    yields what the splits before it contribute. A sentence may span splits.
     """
-    blank = (F.length(strip(F.col("value"))) == 0).cast("bigint")
     lines = file_lines(spark, path).withColumn("t", conll_fields(F.col("value"), variant))
-    within = Window.partitionBy(*BLOCK).orderBy("at")
-    so_far = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = (
-        lines.withColumn("gap", F.sum(blank).over(so_far))
-        .withColumn("gaps", F.sum(blank).over(Window.partitionBy(*BLOCK)))
-        .filter("t is not null")
-        .withColumn("nth", F.row_number().over(within).cast("bigint"))
-        .withColumn("prev_gap", F.lag("gap").over(within))
-        .withColumn("opens", (F.col("prev_gap") != F.col("gap")))
-        .withColumn("n_open", F.sum(F.coalesce(F.col("opens").cast("bigint"), F.lit(0))).over(so_far))
-        .withColumn("open_at", F.max(F.when(F.col("opens"), F.col("nth"))).over(so_far))
-    )
-    blocks = rows.groupBy(*BLOCK).agg(
-        F.max("gaps").alias("gaps"),
-        F.min("gap").alias("first_gap"),
-        F.max("gap").alias("last_gap"),
-        F.count("*").alias("tokens"),
-        F.max("n_open").alias("opened"),
-        F.max("open_at").alias("last_open"),
-    )
-    empty_blocks = (
-        lines.groupBy(*BLOCK)
-        .agg(F.sum(blank).alias("gaps"), F.count("t").alias("tokens"))
-        .filter("tokens = 0")
-        .select(*BLOCK, "gaps")
-    )
+    blank = (F.length(strip(F.col("value"))) == 0).alias("blank")
+    blocks = lines.select(*BLOCK, blank, F.col("t").isNotNull().alias("known")).mapInArrow(_summaries, _SUMMARY)
+    rows = lines.select(*BLOCK, blank, "t").mapInArrow(partial(_fragments, whole=whole), _FRAGMENT)
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = (
-        blocks.unionByName(empty_blocks, allowMissingColumns=True)
-        .withColumn("gap0", F.coalesce(F.sum("gaps").over(before), F.lit(0)))
+        blocks.withColumn("gap0", F.coalesce(F.sum("gaps").over(before), F.lit(0)))
         .filter("tokens is not null")
         .withColumn("last_abs", F.col("gap0") + F.col("last_gap"))
         .withColumn("prev_abs", F.lag("last_abs").over(order))
@@ -169,7 +233,7 @@ def read_conll(spark: SparkSession, path: str, variant: str = "evaluation") -> D
         )
         .select(*BLOCK, "token0", "sent0", "carry_open")
     )
-    return rows.join(carried, BLOCK).select(
+    return rows.join(F.broadcast(carried), BLOCK).select(
         "file",
         (F.col("sent0") + F.col("n_open")).alias("sent_id"),
         (
@@ -177,11 +241,26 @@ def read_conll(spark: SparkSession, path: str, variant: str = "evaluation") -> D
             + F.col("nth")
             - F.coalesce(F.col("token0") + F.col("open_at"), F.col("carry_open"))
         ).alias("pos"),
-        "t.token",
-        "t.tag",
+        "rows",
     )
 
 
+def read_conll(spark: SparkSession, path: str, variant: str = "evaluation") -> DataFrame:
+    """(file, sent_id, pos, token, tag) of CoNLL files of any size."""
+    parts = _conll_fragments(spark, path, variant).select("file", "sent_id", F.col("pos").alias("__pos"), F.posexplode("rows").alias("__i", "t"))
+    return parts.select("file", "sent_id", (F.col("__pos") + F.col("__i")).alias("pos"), "t.token", "t.tag")
+
+
+def read_conll_sentences(spark: SparkSession, path: str, variant: str = "evaluation") -> DataFrame:
+    """(file, sent_id, sentence) of CoNLL files of any size: the rows of ``read_conll``, a sentence each.
+
+    Only parts of sentences at the borders of batches and splits are shuffled, for which the files are read once more.
+    """
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "rows")))
+    joined = _conll_fragments(spark, path, variant, whole=False).groupBy("file", "sent_id").agg(F.flatten(F.transform(ordered, lambda p: p["rows"])).alias("sentence"))
+    return _conll_fragments(spark, path, variant, whole=True).select("file", "sent_id", F.col("rows").alias("sentence")).unionByName(joined)
+
+
 def conll_record(sentence: Column) -> Column:
     """One sentence as text; a text sink's own line break adds the blank separator line."""
     rows = F.transform(sentence, lambda t: F.concat(t["token"], F.lit("\t"), t["tag"]))

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,31 @@ def test_conll_file_read_in_many_splits(spark, tmp_path):
             assert sorted(got) == list(range(len(got)))
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_conll_sentences_over_batches_and_splits(spark, tmp_path):
+    body = "".join(f"w{i}\tO\n" + "\n" * (i % 11 == 4) + "\t\t\n" * (i % 97 == 5) for i in range(700)) + "\n \n" * 80 + "end B-PER\n"
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "f.conll").write_text(body.replace("w", name), encoding="utf-8")
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxRecordsPerBatch")
+    old = [spark.conf.get(n) for n in names]
+    try:
+        for size, batch in (("300", "10000"), ("1700", "7"), ("64m", "16"), ("64m", "10000")):
+            spark.conf.set(names[0], size)
+            spark.conf.set(names[1], batch)
+            by_token = {}
+            for r in src.read_conll(spark, str(tmp_path / "*")).collect():
+                by_token.setdefault((r["file"], r["sent_id"]), {})[r["pos"]] = (r["token"], r["tag"])
+            sentences = src.read_conll_sentences(spark, str(tmp_path / "*"))
+            got = {(r["file"], r["sent_id"]): [tuple(t) for t in r["sentence"]] for r in sentences.collect()}
+            assert got == {k: [s[p] for p in range(len(s))] for k, s in by_token.items()}
+            for name in ("a", "b"):
+                # a line of tabs alone ends a sentence and is a row of empty fields, which the reference drops
+                rows = [[t for t in s if t[0]] for (f, _), s in sorted(got.items()) if f"/{name}/" in f]
+                assert [s for s in rows if s] == conll_reference(body.replace("w", name), "evaluation")
+    finally:
+        for n, v in zip(names, old, strict=True):
+            spark.conf.set(n, v)
+    plan = src.read_conll(spark, str(tmp_path / "*"))._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\(file#\d+, block#\d+", plan)  # lines are numbered where they are read
