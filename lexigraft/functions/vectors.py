@@ -12,6 +12,8 @@ from pyspark.sql import types as T
 from .arrays import once, positions
 
 DOUBLES = T.ArrayType(T.DoubleType())
+_CELLS = 1 << 14    # normals made at a time
+_HASHES = 1 << 16   # n-grams of which the different ones are drawn at a time
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -69,6 +71,15 @@ def lanes(dim: int) -> np.ndarray:
     return np.arange(1, dim + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
 
 
+def normal_rows(hashes: np.ndarray, dim: int) -> np.ndarray:
+    """A row of normals for each hash, made so many rows at a time that all steps stay in a core's cache."""
+    out, lane = np.empty((len(hashes), dim)), lanes(dim)
+    step = max(1, _CELLS // dim)
+    for at in range(0, len(hashes), step):
+        out[at : at + step] = normals(hashes[at : at + step, None], lane)
+    return out
+
+
 def as_lists(known: np.ndarray, rows: np.ndarray) -> pa.Array:
     """Arrow lists with ``rows`` at the known positions and null elsewhere."""
     ends = np.concatenate([[0], np.cumsum(np.where(known, rows.shape[1], 0))])
@@ -85,8 +96,8 @@ def gaussian(key: Column, dim: int, seed: int) -> Column:
 
     @F.arrow_udf(DOUBLES)
     def draw(hashes: pa.Array) -> pa.Array:
-        base = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)[:, None]
-        return as_lists(np.ones(len(base), dtype=bool), normals(base, lanes(dim)))
+        base = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return as_lists(np.ones(len(base), dtype=bool), normal_rows(base, dim))
 
     return once(draw)(F.xxhash64(F.lit(seed), key))
 
@@ -106,13 +117,19 @@ def with_gaussian_ngram_mean(
         flat = hashes.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
         filled = sizes > 0
         counts = sizes[filled]
-        starts = np.concatenate([[0], np.cumsum(counts)[:-1]]).astype(np.int64)
+        starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
         out = np.empty((len(counts), dim))
-        for at in range(0, len(counts), 1024):  # bounds the n-gram rows held at once
-            first = starts[at : at + 1024]
-            last = first[-1] + counts[at : at + 1024][-1]
-            sums = np.add.reduceat(normals(flat[first[0] : last, None], lanes(dim)), first - first[0], axis=0)
-            out[at : at + 1024] = sums * (scale / counts[at : at + 1024, None])
+        at = 0
+        while at < len(counts):
+            # an n-gram that several rows have is drawn once for all of them
+            end = max(at + 1, int(np.searchsorted(starts, starts[at] + _HASHES, side="right")) - 1)
+            different, where = np.unique(flat[starts[at] : starts[end]], return_inverse=True)
+            drawn = normal_rows(different, dim)
+            for i in range(at, end, 128):  # bounds the n-gram rows held at once
+                j = min(end, i + 128)
+                rows = drawn[where[starts[i] - starts[at] : starts[j] - starts[at]]]
+                out[i:j] = np.add.reduceat(rows, starts[i:j] - starts[i], axis=0) * (scale / counts[i:j, None])
+            at = end
         return as_lists(filled, out)
 
     # the one-element explode keeps the lambda out of the Python function's argument
