@@ -18,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.vector_sums import of_width
 from ..session import scratch_path
 
@@ -29,7 +30,11 @@ _BLOCK_ROWS = 256             # references of a block, about
 _PIVOTS = 4096                # most pivots: they are shipped to every task
 _FIRST = 2                    # blocks that every query meets
 _SCORES = 8 << 20             # scores held at once
-_FOUND = 1 << 20              # found pairs held at once: a query may find k in each block
+_FOUND = 8 << 20              # most that queries taken at once may find: k in each block
+_HELD = 1 << 18               # found pairs held before they are cut to the best
+_GUESS = 2048                 # references of a block that give a first floor
+_EXACT = 1 << 16              # pairs scored exactly at once
+_LONGEST = 1e15               # vectors up to this length are multiplied in single precision first
 _CLASS_NEIGHBOURS = "cls bigint, ref_id bigint, score double, rank bigint"
 
 
@@ -38,12 +43,14 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Block(NamedTuple):
-    """Reference classes by least id: vectors, least ids, and all their ids with the ends of each class."""
+    """Reference classes by least id: vectors, least ids, all their ids with the ends of each class; vectors in single precision and the greatest length."""
 
     rows: np.ndarray
     least: np.ndarray
     ids: np.ndarray
     ends: np.ndarray
+    single: np.ndarray
+    longest: float
 
 
 class Index(NamedTuple):
@@ -58,7 +65,10 @@ def _block_of(vectors: np.ndarray, ids: list) -> Block:
     least = np.array([i[0] for i in ids], np.int64)
     order = np.argsort(least)
     flat = [ids[i] for i in order.tolist()]
-    return Block(vectors[order], least[order], np.concatenate([np.asarray(i, np.int64) for i in flat]), np.cumsum([len(i) for i in flat]))
+    rows = vectors[order]
+    with np.errstate(over="ignore"):
+        single, longest = rows.astype(np.float32), float(np.linalg.norm(rows, axis=1).max())
+    return Block(rows, least[order], np.concatenate([np.asarray(i, np.int64) for i in flat]), np.cumsum([len(i) for i in flat]), single, longest)
 
 
 def pivots_of(vectors: np.ndarray, block_rows: int) -> np.ndarray:
@@ -92,23 +102,49 @@ def build_index(vectors: np.ndarray, ids: list, block_rows: int = _BLOCK_ROWS) -
     return Index(centres[used], radii, blocks)
 
 
-def _best_in(unit: np.ndarray, block: Block, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, class, score) of what may be among a query's k best classes: it reaches ``floor`` and the block's k-th score."""
-    scores = np.round(unit @ block.rows.T, _DECIMALS)
-    n = scores.shape[1]
-    if n > k:
-        floor = np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k])
-    at, column = np.nonzero(scores >= floor[:, None])
-    return at, column, scores[at, column]
+def _pairs(met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return np.divmod(np.flatnonzero(met), met.shape[1])
+
+
+def _best_in(unit: np.ndarray, single: np.ndarray, block: Block, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, class, score) of what may be among a query's k best classes: it reaches ``floor`` and the block's k-th score.
+
+    Products are made in single precision; what may reach the floor by the bound of their error is scored exactly.
+    """
+    n, d = block.rows.shape
+    if not block.longest < _LONGEST:  # also where a cell is no number
+        scores = np.round(unit @ block.rows.T, _DECIMALS)
+        if n > k:
+            floor = np.maximum(floor, np.partition(scores, n - k, axis=1)[:, n - k])
+        at, column = _pairs(scores >= floor[:, None])
+        return at, column, scores[at, column]
+    rough = single @ block.single.T
+    off = (d + 8) * 2.0**-23 * block.longest + _SLACK
+    open_ = np.nonzero(floor == -np.inf)[0]
+    if n > k and len(open_):
+        # the k-th score among some references is a floor for that among all
+        some = rough[open_, : max(_GUESS, k)]
+        floor = floor.copy()
+        floor[open_] = np.partition(some, some.shape[1] - k, axis=1)[:, some.shape[1] - k] - off
+    # twice the bound: the floor itself is rounded to single precision
+    at, column = _pairs(rough >= (floor - 2 * off).astype(np.float32)[:, None])
+    score = np.empty(len(at))
+    for i in range(0, len(at), _EXACT):
+        pair = slice(i, i + _EXACT)
+        score[pair] = np.einsum("nd,nd->n", unit[at[pair]], block.rows[column[pair]])
+    score = np.round(score, _DECIMALS)
+    kept = score >= floor[at]
+    return at[kept], column[kept], score[kept]
 
 
 def search(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFrame, int]:
     """(query row, ref_id, score, rank) of the k best references of each query, and the number of products made.
 
     Equal scores go to the smaller id. Scores are rounded before they are compared, so the result does
-    not depend on the blocks. Queries are taken so many at a time that what they find stays within ``_FOUND``.
+    not depend on the blocks. Queries are taken so many at a time that scores and bounds stay within ``_SCORES`` and finds within ``_FOUND``.
     """
-    step = max(1, _FOUND // max(1, len(index.blocks) * max(1, k)))
+    m = len(index.blocks)
+    step = max(1, min(_FOUND // max(1, m * k), _SCORES // max([1, m, *(len(b.rows) for b in index.blocks)])))
     parts, products = [], 0
     for at in range(0, max(1, len(queries)), step):
         part, made = _search_some(queries[at : at + step], index, k)
@@ -117,59 +153,94 @@ def search(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFrame, int
     return pd.concat(parts, ignore_index=True), products
 
 
+class _Found:
+    """What queries found so far, cut to the k best classes of each whenever it outgrows ``_HELD``.
+
+    With ``again`` a query may find a class several times, which counts once.
+    """
+
+    def __init__(self, index: Index, n: int, k: int, again: bool = False) -> None:
+        self.index, self.k, self.again = index, k, again
+        self.floor = np.full(n, -np.inf)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.held, self.least_held = 0, 0
+
+    def add(self, j: int, at: np.ndarray, column: np.ndarray, score: np.ndarray) -> None:
+        self.parts.append((at, np.full(len(at), j), column, score, self.index.blocks[j].least[column]))
+        self.held += len(at)
+        if self.held > 2 * self.least_held + _HELD:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, ...]:
+        """(query row, block, class, score, least id) of the k best classes by query; the k-th score is the floor from now on."""
+        at, home, column, score, least = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        if self.again:
+            order = np.lexsort((-score, column, home, at))
+            at, home, column, score, least = (c[order] for c in (at, home, column, score, least))
+            new = np.append(True, (at[1:] != at[:-1]) | (home[1:] != home[:-1]) | (column[1:] != column[:-1]))[: len(at)]
+            at, home, column, score, least = (c[new] for c in (at, home, column, score, least))
+        order = np.lexsort((least, -score, at))
+        at, home, column, score, least = (c[order] for c in (at, home, column, score, least))
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        kth = place == self.k - 1
+        self.floor[at[kth]] = score[kth]
+        kept = place < self.k
+        self.parts = [tuple(c[kept] for c in (at, home, column, score, least))]
+        self.held = self.least_held = int(kept.sum())
+        return self.parts[0]
+
+
+def _nothing() -> pd.DataFrame:
+    return pd.DataFrame({"query": [], "ref_id": [], "score": [], "rank": []}).astype({"query": "int64", "ref_id": "int64", "rank": "int64"})
+
+
 def _search_some(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFrame, int]:
     unit = _unit(queries.astype(np.float64))
+    single = unit.astype(np.float32)
     n, m = len(unit), len(index.blocks)
-    empty = pd.DataFrame({"query": [], "ref_id": [], "score": [], "rank": []}).astype({"query": "int64", "ref_id": "int64", "rank": "int64"})
     if not n or not m or k < 1:
-        return empty, 0
+        return _nothing(), 0
     bound = unit @ index.centres.T + index.radii + _SLACK
     first = np.argsort(-bound, axis=1, kind="stable")[:, :_FIRST]
     seen = np.zeros((n, m), np.bool_)
     np.put_along_axis(seen, first, True, axis=1)
-    floor = np.full(n, -np.inf)
-    found: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+    found = _Found(index, n, k)
     products = 0
 
     def meet(j: int, rows: np.ndarray) -> None:
         nonlocal products
         block = index.blocks[j]
         products += len(rows) * len(block.rows)
-        at, column, score = _best_in(unit[rows], block, k, floor[rows])
-        found.append((rows[at], np.full(len(at), j), column, score))
+        at, column, score = _best_in(unit[rows], single[rows], block, k, found.floor[rows])
+        found.add(j, rows[at], column, score)
 
     for j in range(m):
         rows = np.nonzero(seen[:, j])[0]
         if rows.size:
             meet(j, rows)
-    at, score = np.concatenate([f[0] for f in found]), np.concatenate([f[3] for f in found])
-    order = np.lexsort((-score, at))
-    at, score = at[order], score[order]
-    place = np.arange(len(at)) - np.searchsorted(at, at)
-    floor[at[place == k - 1]] = score[place == k - 1]
-    todo = ~seen & (bound >= floor[:, None])
+    found.best()
     for j in range(m):
-        rows = np.nonzero(todo[:, j])[0]
+        rows = np.nonzero(~seen[:, j] & (bound[:, j] >= found.floor))[0]
         if rows.size:
             meet(j, rows)
-    at, home, column, score = (np.concatenate(c) for c in zip(*found, strict=True))
-    least = np.concatenate([index.blocks[j].least[column[home == j]] for j in range(m)])
-    by_home = np.argsort(home, kind="stable")
-    at, home, column, score = at[by_home], home[by_home], column[by_home], score[by_home]
+    return _ranked(found), products
+
+
+def _ranked(found: _Found) -> pd.DataFrame:
+    """(query, ref_id, score, rank) of the k best ids of each query."""
     # the k best classes hold the k best ids: a class past them has k smaller ids before its own
-    order = np.lexsort((least, -score, at))
-    at, home, column, score = at[order], home[order], column[order], score[order]
-    kept = np.arange(len(at)) - np.searchsorted(at, at) < k
-    at, home, column, score = at[kept], home[kept], column[kept], score[kept]
-    members = [index.blocks[j] for j in home.tolist()]
+    at, home, column, score, _ = found.best()
+    members = [found.index.blocks[j] for j in home.tolist()]
     ids = [b.ids[(b.ends[c - 1] if c else 0) : b.ends[c]] for b, c in zip(members, column.tolist(), strict=True)]
+    if not ids:
+        return _nothing()
     sizes = np.array([len(i) for i in ids])
     at, score, ref = np.repeat(at, sizes), np.repeat(score, sizes), np.concatenate(ids)
     order = np.lexsort((ref, -score, at))
     at, score, ref = at[order], score[order], ref[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
-    kept = place < k
-    return pd.DataFrame({"query": at[kept], "ref_id": ref[kept], "score": score[kept], "rank": place[kept] + 1}), products
+    kept = place < found.k
+    return pd.DataFrame({"query": at[kept], "ref_id": ref[kept], "score": score[kept], "rank": place[kept] + 1})
 
 
 # ---------------------------------------------------------------- classes
@@ -356,10 +427,9 @@ def normalise(rows: DataFrame, vec: str = "vec") -> DataFrame:
     """Divide each vector by its length."""
     from ..functions.vectors import norm
 
-    length = norm(F.col(vec))
-    return rows.withColumn("__len", length).withColumn(
-        vec, F.transform(vec, lambda v: v.cast("double") / (F.col("__len") + F.lit(1e-8)))
-    ).drop("__len")
+    # bound once: named in a column of its own, the length would be made again for each cell
+    divided = let(norm(F.col(vec)), lambda length: F.transform(vec, lambda v: v.cast("double") / (length + F.lit(1e-8))))
+    return rows.withColumn(vec, divided)
 
 
 def class_weights(near: DataFrame) -> DataFrame:
@@ -377,9 +447,73 @@ def weighted_neighbours(queries: DataFrame, refs: DataFrame, k: int, dim: int, *
 
 # ---------------------------------------------------------------- approximate
 
+class Tables(NamedTuple):
+    """Hyperplane tables: a vector's bucket in each, and the buckets that lie closest to it."""
+
+    planes: np.ndarray  # (tables, bits, cells)
+    probes: int
+
+    def buckets(self, vectors: np.ndarray) -> np.ndarray:
+        """(rows, tables): the number of the bucket by the signs of the projections."""
+        powers = 1 << np.arange(self.planes.shape[1])
+        return np.concatenate([(np.einsum("nd,tbd->ntb", v, self.planes) > 0) @ powers for v in self._slices(vectors)])
+
+    def probed(self, vectors: np.ndarray) -> np.ndarray:
+        """(rows, tables, probes): the buckets that differ in the signs with the smallest margins in sum."""
+        bits = self.planes.shape[1]
+        powers = 1 << np.arange(bits)
+        # flips by ascending sum of margins are among the subsets of the few smallest ones
+        flips = np.array([[(s >> b) & 1 for b in range(bits)] for s in range(1 << min(bits, 8))], np.float64)
+        out = []
+        for v in self._slices(vectors):
+            margins = np.einsum("nd,tbd->ntb", v, self.planes)
+            order = np.argsort(np.abs(margins), axis=2, kind="stable")
+            small = np.take_along_axis(np.abs(margins), order, axis=2)
+            best = np.argsort(small @ flips.T, axis=2, kind="stable")[:, :, : self.probes]
+            # bit i of a flip stands for the i-th smallest margin
+            masks = (flips[best] * powers[order][:, :, None, :]).sum(axis=3).astype(np.int64)
+            out.append(((margins > 0) @ powers)[:, :, None] ^ masks)
+        return np.concatenate(out)
+
+    def _slices(self, vectors: np.ndarray) -> list[np.ndarray]:
+        tables, bits, _ = self.planes.shape
+        step = max(1, _SCORES // (8 * tables * (1 << min(bits, 8))))
+        return [vectors[at : at + step] for at in range(0, len(vectors), step)]
+
+
+def search_tables(queries: np.ndarray, block: Block, tables: Tables, k: int, bucket_rows: int) -> pd.DataFrame:
+    """(query row, ref_id, score, rank) of the k best references of the block that share a probed bucket."""
+    if not len(queries) or not len(block.rows) or k < 1:
+        return _nothing()
+    unit = _unit(queries)
+    single = unit.astype(np.float32)
+    buckets, probed = tables.buckets(block.rows), tables.probed(queries)
+    found = _Found(Index(np.zeros((1, 1)), np.zeros(1), [block]), len(unit), k, again=True)
+    for t in range(len(tables.planes)):
+        order = np.argsort(buckets[:, t], kind="stable")
+        number = buckets[order, t]
+        asked = probed[:, t].ravel()
+        by_bucket = np.argsort(asked, kind="stable")
+        different, starts = np.unique(asked[by_bucket], return_index=True)
+        rows_by_bucket = by_bucket // probed.shape[2]
+        for b, i, j in zip(different.tolist(), starts.tolist(), [*starts[1:].tolist(), len(asked)], strict=True):
+            lo, hi = np.searchsorted(number, (b, b + 1))
+            for at in range(lo, hi, bucket_rows):
+                held = order[at : min(hi, at + bucket_rows)]
+                part = block._replace(rows=block.rows[held], single=block.single[held])
+                step = max(1, _SCORES // len(held))
+                for first in range(i, j, step):
+                    rows = rows_by_bucket[first : min(j, first + step)]
+                    q, column, score = _best_in(unit[rows], single[rows], part, k, found.floor[rows])
+                    found.add(0, rows[q], held[column], score)
+        if found.parts:
+            found.best()
+    return _ranked(found) if found.parts else _nothing()
+
+
 def top_k_approximate(
     queries: DataFrame, refs: DataFrame, k: int, dim: int, tables: int = 12, bits: int | None = None, probes: int | None = None,
-    bucket_rows: int = 4096, seed: int = 42,
+    bucket_rows: int = 4096, seed: int = 42, block_bytes: int = _BLOCK_BYTES,
 ) -> DataFrame:
     """(query_id, ref_id, score, rank): as ``top_k_similar`` but only among references that share a probed bucket.
 
@@ -387,63 +521,40 @@ def top_k_approximate(
     probes, in every table, the ``probes`` buckets that lie closest to it: those that differ in the signs
     with the smallest margins in sum. All that meet are scored exactly. Recall is not guaranteed: it grows
     with tables and probes, and falls with bits. By default a bucket holds about 64 classes of references
-    and half of the buckets are probed up to 8. A bucket of more than ``bucket_rows`` is cut into parts that the queries all meet.
+    and half of the buckets are probed up to 8. A bucket of more than ``bucket_rows`` is searched in parts.
+
+    References are cut into blocks of ``block_bytes`` by a hash, queries into parts of as many bytes. A task
+    makes the tables of one block and searches them for one part, so that a vector travels once
+    for each block or part that it meets, not once for each bucket.
     """
     members, classes = vector_classes(queries, "query_id", dim)
     table = reference_classes(refs, k, dim)
     n_refs, n_queries = max(1, table.count()), classes.count()
     bits = max(1, min(16, int(np.log2(n_refs / 64)) if n_refs > 64 else 1)) if bits is None else bits
     probes = max(1, min(8, 1 << (bits - 1))) if probes is None else min(probes, 1 << bits)
-    planes = np.random.default_rng(seed).normal(size=(tables, bits, dim))
-    powers = 1 << np.arange(bits)
-    # flips by ascending sum of margins are among the subsets of the few smallest ones
-    flips = np.array([[(s >> b) & 1 for b in range(bits)] for s in range(1 << min(bits, 8))], np.float64)
+    made = Tables(np.random.default_rng(seed).normal(size=(tables, bits, dim)), probes)
+    rows = max(1, block_bytes // (8 * (dim + k)))
+    blocks = -(-n_refs // rows)
+    cores = classes.sparkSession.sparkContext.defaultParallelism
+    parts = max(1, -(-n_queries // rows), min(-(-cores // blocks), n_queries // 256))
 
-    @F.pandas_udf("array<bigint>")
-    def buckets(vec: pd.Series) -> pd.Series:
-        """One bucket a table; the table is part of its number."""
-        signs = np.einsum("nd,tbd->ntb", np.stack(vec.to_numpy()).astype(np.float64), planes) > 0
-        return pd.Series(list((signs @ powers) + (np.arange(tables) << bits)))
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
-    @F.pandas_udf("array<bigint>")
-    def probed(vec: pd.Series) -> pd.Series:
-        margins = np.einsum("nd,tbd->ntb", np.stack(vec.to_numpy()).astype(np.float64), planes)
-        order = np.argsort(np.abs(margins), axis=2, kind="stable")
-        small = np.take_along_axis(np.abs(margins), order, axis=2)
-        cost = small @ flips.T
-        best = np.argsort(cost, axis=2, kind="stable")[:, :, :probes]
-        # bit i of a flip stands for the i-th smallest margin
-        masks = (flips[best] * powers[order][:, :, None, :]).sum(axis=3).astype(np.int64)
-        own = ((margins > 0) @ powers)[:, :, None]
-        found = (own ^ masks) + (np.arange(tables) << bits)[None, :, None]
-        return pd.Series(list(found.reshape(len(margins), -1)))
-
-    dealt = _written(table.withColumn("bucket", F.explode(buckets("vec"))), "buckets")
-    parts = dealt.groupBy("bucket").agg(F.ceil(F.count("*") / F.lit(bucket_rows)).alias("parts"))
-    # a bucket of queries is cut as well: its parts meet every part of the references
-    chunks = max(1, -(-n_queries // bucket_rows))
-    asking = classes.withColumn("bucket", F.explode(probed("vec"))).withColumn("chunk", F.pmod(F.xxhash64("cls"), F.lit(chunks)))
-    left = asking.join(parts, "bucket").withColumn("part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)))
-    left = _written(left.select("bucket", "chunk", "part", "cls", "vec"), "probes")
-    right = dealt.join(parts, "bucket").withColumn("part", F.pmod(F.xxhash64("cls"), F.col("parts")))
-    right = right.join(left.select("bucket", "chunk").distinct(), "bucket").select(*[F.col(c).alias(c) for c in ("bucket", "chunk", "part")], "vec", "ids")
+    left = classes.select("cls", "vec", F.pmod(F.xxhash64("cls"), F.lit(parts)).alias("part"), every(blocks).alias("block"))
+    right = table.select("vec", "ids", F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block"), every(parts).alias("part"))
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
             return pd.DataFrame({"cls": [], "ref_id": [], "score": []})
-        vectors = np.stack(r["vec"].to_numpy())
-        index = Index(np.zeros((1, dim)), np.full(1, np.inf), [_block_of(vectors, r["ids"].tolist())])
-        out = []
-        step = max(1, _SCORES // len(r))
-        for at in range(0, len(q), step):
-            some = q.iloc[at : at + step]
-            found, _ = search(np.stack(some["vec"].to_numpy()), index, k)
-            out.append(pd.DataFrame({"cls": some["cls"].to_numpy()[found["query"].to_numpy()], "ref_id": found["ref_id"], "score": found["score"]}))
-        return pd.concat(out, ignore_index=True)
+        block = _block_of(np.stack(r["vec"].to_numpy()).astype(np.float64), r["ids"].tolist())
+        found = search_tables(np.stack(q["vec"].to_numpy()).astype(np.float64), block, made, k, bucket_rows)
+        return pd.DataFrame({"cls": q["cls"].to_numpy()[found["query"].to_numpy()], "ref_id": found["ref_id"], "score": found["score"]})
 
-    keys = ["bucket", "chunk", "part"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "cls bigint, ref_id bigint, score double")
+    keys = ["part", "block"]
+    tasks = parts * blocks
+    found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(score, "cls bigint, ref_id bigint, score double")
     order = Window.partitionBy("cls").orderBy(F.col("score").desc(), "ref_id")
-    best = found.groupBy("cls", "ref_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order).cast("bigint"))
+    best = found.withColumn("rank", F.row_number().over(order).cast("bigint"))
     near = _written(best.filter(F.col("rank") <= k), "approximate")
     return members.join(near, "cls").select("query_id", "ref_id", "score", "rank")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from lexigraft.functions import vectors as V
 from lexigraft.functions.arrays import md5_bucket, md5_buckets, numbered_md5_buckets
 from lexigraft.functions.tags import entity_spans
+from lexigraft.functions.text import char_ngrams
 from lexigraft.operators import ner, qa, similarity
 
 
@@ -68,3 +71,75 @@ def test_window_labels_bound_their_batches(spark):
         assert spark.conf.get(session._BYTES_SETTING) == "1048576b"
     finally:
         spark.conf.set(session._BYTES_SETTING, before)
+
+
+def test_gaussian_rows_by_blocks_are_the_same(spark):
+    hashes = np.random.default_rng(1).integers(0, 2**63, 700, dtype=np.uint64)
+    assert np.array_equal(V.normal_rows(hashes, 48), V.normals(hashes[:, None], V.lanes(48)))
+    texts = ["aaaa", "", "banana", "aaaa", "bandana", None] * 40
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, word string").coalesce(1)
+    got = V.with_gaussian_ngram_mean(rows, char_ngrams(F.col("word")), "m", 6, 0.5, 9).orderBy("i").collect()
+    hashed = rows.select("i", F.transform(char_ngrams(F.col("word")), lambda g: F.xxhash64(F.lit(9), g)).alias("h")).orderBy("i").collect()
+    for r, x in zip(got, hashed, strict=True):
+        if not x["h"]:
+            assert r["m"] is None
+            continue
+        drawn = V.normals(np.array(x["h"], np.int64).view(np.uint64)[:, None], V.lanes(6))
+        assert r["m"] == pytest.approx(0.5 * drawn.mean(axis=0))
+
+
+def test_single_precision_does_not_decide():
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(1, 16))
+    # references that differ by less than single precision tells apart, and equal ones
+    refs = np.repeat(similarity._unit(base + 1e-9 * rng.normal(size=(40, 16))), 2, axis=0)
+    refs = np.concatenate([refs, similarity._unit(rng.normal(size=(300, 16)))])
+    queries = np.concatenate([base, rng.normal(size=(20, 16))])
+    for scale in (1.0, 1e20):  # the second is beyond what is multiplied in single precision
+        index = similarity.build_index(refs * scale, [[i] for i in range(len(refs))], 32)
+        near, _ = similarity.search(queries, index, 7)
+        scores = np.round(similarity._unit(queries) @ (refs * scale).T, 9)
+        for q in range(len(queries)):
+            best = sorted(range(len(refs)), key=lambda i: (-scores[q, i], i))[:7]
+            got = near[near["query"] == q]
+            if scale == 1.0:
+                assert got["ref_id"].tolist() == best
+            assert got["score"].to_numpy() == pytest.approx(scores[q, best])
+
+
+def test_tables_search_meets_what_shares_a_probed_bucket(monkeypatch):
+    rng = np.random.default_rng(6)
+    refs, queries = similarity._unit(rng.normal(size=(400, 8))), rng.normal(size=(50, 8))
+    tables = similarity.Tables(rng.normal(size=(3, 4, 8)), 2)
+    block = similarity._block_of(refs, [[2 * i, 2 * i + 1] for i in range(400)])
+    whole = similarity.search_tables(queries, block, tables, 5, 4096)
+    buckets, probed = tables.buckets(refs), tables.probed(queries)
+    scores = np.round(similarity._unit(queries) @ refs.T, 9)
+    for q in range(50):
+        met = {i for i in range(400) for t in range(3) if buckets[i, t] in probed[q, t]}
+        best = sorted(((-scores[q, i], j) for i in met for j in (2 * i, 2 * i + 1)))[:5]
+        got = whole[whole["query"] == q]
+        assert [(-s, r) for s, r in zip(got["score"], got["ref_id"], strict=True)] == best
+    # what is held at once is bounded and changes nothing
+    monkeypatch.setattr(similarity, "_SCORES", 64)
+    monkeypatch.setattr(similarity, "_HELD", 10)
+    assert similarity.search_tables(queries, block, tables, 5, 3).equals(whole)
+    assert max(len(v) for v in tables._slices(queries)) == 1
+
+
+def test_approximate_search_sends_no_vector_by_bucket(spark):
+    rng = np.random.default_rng(7)
+    vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
+    refs = spark.createDataFrame(vectors, "id bigint, vec array<double>")
+    queries = refs.withColumnRenamed("id", "query_id")
+    one = similarity.top_k_approximate(queries, refs, 4, 8).orderBy("query_id", "rank").collect()
+    cut = similarity.top_k_approximate(queries, refs, 4, 8, block_bytes=60 * 12 * 8).orderBy("query_id", "rank").collect()
+    assert one == cut and len(one) == 1200
+
+
+def test_normalise_makes_a_length_once(spark):
+    rows = spark.createDataFrame([(1, [3.0, 4.0]), (2, None)], "id int, vec array<double>")
+    made = similarity.normalise(rows)
+    assert made.orderBy("id").collect()[0]["vec"] == pytest.approx([0.6, 0.8]) and made.orderBy("id").collect()[1]["vec"] is None
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(SQRT(aggregate(" in plan  # not inside the function of a cell
