@@ -223,11 +223,11 @@ def _search_some(queries: np.ndarray, index: Index, k: int) -> tuple[pd.DataFram
         rows = np.nonzero(~seen[:, j] & (bound[:, j] >= found.floor))[0]
         if rows.size:
             meet(j, rows)
-    return _ranked(found), products
+    return _ranked(found, k), products
 
 
-def _ranked(found: _Found) -> pd.DataFrame:
-    """(query, ref_id, score, rank) of the k best ids of each query."""
+def _ranked(found: _Found, k: int) -> pd.DataFrame:
+    """(query, ref_id, score, rank) of the k best ids of each query; where it may find a class again, an id counts once."""
     # the k best classes hold the k best ids: a class past them has k smaller ids before its own
     at, home, column, score, _ = found.best()
     members = [found.index.blocks[j] for j in home.tolist()]
@@ -236,10 +236,15 @@ def _ranked(found: _Found) -> pd.DataFrame:
         return _nothing()
     sizes = np.array([len(i) for i in ids])
     at, score, ref = np.repeat(at, sizes), np.repeat(score, sizes), np.concatenate(ids)
+    if found.again:
+        order = np.lexsort((-score, ref, at))
+        at, score, ref = at[order], score[order], ref[order]
+        new = np.append(True, (at[1:] != at[:-1]) | (ref[1:] != ref[:-1]))
+        at, score, ref = at[new], score[new], ref[new]
     order = np.lexsort((ref, -score, at))
     at, score, ref = at[order], score[order], ref[order]
     place = np.arange(len(at)) - np.searchsorted(at, at)
-    kept = place < found.k
+    kept = place < k
     return pd.DataFrame({"query": at[kept], "ref_id": ref[kept], "score": score[kept], "rank": place[kept] + 1})
 
 
@@ -488,7 +493,9 @@ def search_tables(queries: np.ndarray, block: Block, tables: Tables, k: int, buc
     unit = _unit(queries)
     single = unit.astype(np.float32)
     buckets, probed = tables.buckets(block.rows), tables.probed(queries)
-    found = _Found(Index(np.zeros((1, 1)), np.zeros(1), [block]), len(unit), k, again=True)
+    # an id may stand in several classes: so many of them hold k different ids
+    most = k * int(np.unique(block.ids, return_counts=True)[1].max())
+    found = _Found(Index(np.zeros((1, 1)), np.zeros(1), [block]), len(unit), most, again=True)
     for t in range(len(tables.planes)):
         order = np.argsort(buckets[:, t], kind="stable")
         number = buckets[order, t]
@@ -504,11 +511,11 @@ def search_tables(queries: np.ndarray, block: Block, tables: Tables, k: int, buc
                 step = max(1, _SCORES // len(held))
                 for first in range(i, j, step):
                     rows = rows_by_bucket[first : min(j, first + step)]
-                    q, column, score = _best_in(unit[rows], single[rows], part, k, found.floor[rows])
+                    q, column, score = _best_in(unit[rows], single[rows], part, most, found.floor[rows])
                     found.add(0, rows[q], held[column], score)
         if found.parts:
             found.best()
-    return _ranked(found) if found.parts else _nothing()
+    return _ranked(found, k) if found.parts else _nothing()
 
 
 def top_k_approximate(
@@ -542,7 +549,7 @@ def top_k_approximate(
         return F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
 
     left = classes.select("cls", "vec", F.pmod(F.xxhash64("cls"), F.lit(parts)).alias("part"), every(blocks).alias("block"))
-    right = table.select("vec", "ids", F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block"), every(parts).alias("part"))
+    right = table.select("vec", F.array_distinct("ids").alias("ids"), F.pmod(F.xxhash64("cls"), F.lit(blocks)).alias("block"), every(parts).alias("part"))
 
     def score(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
         if q.empty or r.empty:
@@ -555,6 +562,6 @@ def top_k_approximate(
     tasks = parts * blocks
     found = left.repartition(tasks, *keys).groupBy(*keys).cogroup(right.repartition(tasks, *keys).groupBy(*keys)).applyInPandas(score, "cls bigint, ref_id bigint, score double")
     order = Window.partitionBy("cls").orderBy(F.col("score").desc(), "ref_id")
-    best = found.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    best = found.groupBy("cls", "ref_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(order).cast("bigint"))
     near = _written(best.filter(F.col("rank") <= k), "approximate")
     return members.join(near, "cls").select("query_id", "ref_id", "score", "rank")

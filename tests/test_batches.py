@@ -127,6 +127,23 @@ def test_tables_search_meets_what_shares_a_probed_bucket(monkeypatch):
     assert max(len(v) for v in tables._slices(queries)) == 1
 
 
+def test_tables_search_counts_an_id_once():
+    rng = np.random.default_rng(8)
+    refs, queries = similarity._unit(rng.normal(size=(200, 8))), rng.normal(size=(20, 8))
+    ids = [[i // 3, 500 + i] if i % 2 else [i // 3] for i in range(200)]
+    tables = similarity.Tables(rng.normal(size=(2, 1, 8)), 2)
+    near = similarity.search_tables(queries, similarity._block_of(refs, ids), tables, 6, 50)
+    scores = np.round(similarity._unit(queries) @ refs.T, 9)
+    for q in range(20):
+        top = {}
+        for i in range(200):
+            for j in ids[i]:
+                top[j] = max(top.get(j, -2.0), scores[q, i])
+        best = sorted((-s, j) for j, s in top.items())[:6]
+        got = near[near["query"] == q]
+        assert [(-s, r) for s, r in zip(got["score"], got["ref_id"], strict=True)] == best
+
+
 def test_approximate_search_sends_no_vector_by_bucket(spark):
     rng = np.random.default_rng(7)
     vectors = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(300, 8)))]
