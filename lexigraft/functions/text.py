@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from functools import lru_cache
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import let
@@ -125,6 +125,16 @@ def char_ngrams(token: Column, n_min: int = 3, n_max: int = 5) -> Column:
     return let(F.concat(F.lit("<"), token, F.lit(">")), of_wrapped)
 
 
+def ngram_rows(tokens: DataFrame, token: str, n_min: int = 3, n_max: int = 5) -> DataFrame:
+    """(ngram): a row for each element of ``char_ngrams`` of each token, without a function per element."""
+    w, size, at = F.col("__w"), F.col("__size"), F.col("__at")
+    wrapped = tokens.select(F.concat(F.lit("<"), token, F.lit(">")).alias("__w")).select(w, F.length(w).alias("__size"))
+    starts = F.when(size >= n_min, F.sequence(F.lit(1), size - (n_min - 1)))
+    placed = wrapped.select(w, size, F.explode(starts).alias("__at"))
+    grams = [F.when(at + (n - 1) <= size, F.substring(w, at, F.lit(n))) for n in range(n_min, n_max + 1)]
+    return placed.select(F.explode(F.array(*grams)).alias("ngram")).filter("ngram is not null")
+
+
 def strip_numbering(col: Column) -> Column:
     """Drop one leading ``N.`` or ``N)`` and the surrounding whitespace."""
     return strip(F.regexp_replace(col, rf"^\p{{Nd}}+[{WS_CLASS}]*[.)][{WS_CLASS}]*", ""))

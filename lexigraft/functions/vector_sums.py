@@ -48,6 +48,19 @@ def parts_of(values: np.ndarray) -> np.ndarray:
     return out
 
 
+def joined_parts(parts: np.ndarray, most: int) -> list[tuple[int, np.ndarray]]:
+    """The parts (units + 1, cells) that are not all zero, by the number of their unit; a part is told in the next
+    smaller unit if sums of ``most`` cells, the last carry of them too, stay below 2**62. Totals stay the same."""
+    out, held = [], np.zeros(parts.shape[1], np.int64)
+    for j in range(len(_UNITS)):
+        if int(np.abs(held).max(initial=0)) < (1 << (61 - _BITS)) // max(most, 1):
+            held = (held << _BITS) + parts[j]
+        else:
+            out.append((j - 1, held))
+            held = parts[j]
+    return [(j, p) for j, p in [*out, (len(_UNITS) - 1, held), (len(_UNITS), parts[-1])] if p.any()]
+
+
 def carried(sums: np.ndarray) -> np.ndarray:
     """The same totals with parts of at most 30 digits below the first unit: one form for each total."""
     sums = sums.copy()

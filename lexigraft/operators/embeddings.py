@@ -16,6 +16,7 @@ from ..functions.vector_sums import exact_sums, of_width
 from ..session import stable
 from .keys import lookup_join
 from .lexicon import Segmenter, segment
+from .ngrams import block_means, frozen_blocks
 
 _MAX_MATRIX_ROWS = 8192  # an alignment matrix is d x d; the driver holds it
 NGRAM_SCALE = 0.02       # fixed value: scale of n-gram vectors
@@ -125,10 +126,20 @@ def whole_token_vectors(tokens: DataFrame, vectors: Vectors) -> DataFrame:
 def ngram_means(
     tokens: DataFrame, ngram_vectors: DataFrame, dim: int, n_min: int = 3, n_max: int = 5
 ) -> DataFrame:
-    """(token, n, vec): mean over the token's n-grams found in ``ngram_vectors(ngram, vec)``."""
-    probe = tokens.select("token", F.explode(char_ngrams(F.col("token"), n_min, n_max)).alias("ngram"))
-    hits = lookup_join(probe, ngram_vectors.filter(F.col("vec").isNotNull()), "ngram", "vec")
-    return mean_vectors(hits, ["token"], dim)
+    """(token, n, vec): mean over the token's n-grams found in ``ngram_vectors(ngram, vec)``.
+
+    Vectors go to blocks of tokens, see ``ngrams``. What no block takes, such as a text without blanks that has
+    more n-grams than a block, gets a row for each n-gram.
+    """
+    known = ngram_vectors.filter(F.col("vec").isNotNull())
+    blocks = frozen_blocks(tokens, dim, n_min, n_max)
+    means = block_means(blocks, known, dim)
+    rest = blocks.filter("block is null").select("token", F.col("times").cast("int").alias("times"))
+    if rest.isEmpty():
+        return means
+    copies = rest.select("token", F.explode(F.array_repeat(F.lit(0), F.col("times")))).select("token")
+    probe = copies.select("token", F.explode(char_ngrams(F.col("token"), n_min, n_max)).alias("ngram"))
+    return means.unionByName(mean_vectors(lookup_join(probe, known, "ngram", "vec"), ["token"], dim))
 
 
 def lexical_vectors(tokens: DataFrame, lexicon: DataFrame | Segmenter, vectors: Vectors, dim: int) -> DataFrame:

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexigraft.functions import vectors as V
-from lexigraft.operators import alignment, embeddings as E, similarity
+from lexigraft.functions.text import char_ngrams, ngram_rows
+from lexigraft.operators import alignment, embeddings as E, ngrams, similarity
 
 VEC = "word string, vec array<float>"
 LEX = "word string, morphemes array<string>"
@@ -332,3 +333,48 @@ def test_functions_may_stand_for_lexicon_and_vector_table(spark):
 
     got = {r["token"]: (r["origin"], r["vec"]) for r in E.lexical_vectors(toks, halves, vector, 2).collect()}
     assert got["abab"] == ("morpheme", [1.0, 2.0]) and got["zz"] == ("whole_token", [0.25, 8.0]) and got["x"][0] == "char_ngram"
+
+
+def test_ngram_vectors_go_once_to_a_block_of_tokens(spark):
+    names = [a + b for a in ("stone", "water", "ሰላማዊ", "x😀") for b in ("", "s", "ing", "ings", "ed", "less", "lessly")]
+    toks = tokens(spark, *names, *names[:3], None, "", "abcdefghijklmnopqrstuvwxyz")
+    rows = ngrams.cut_blocks(toks.coalesce(1), 3, 5, 60).collect()
+    grams = lambda t: [f"<{t}>"[i : i + n] for n in (3, 4, 5) for i in range(len(t) + 3 - n)]
+    listed = {r["block"]: r["ngrams"] for r in rows if r["ngrams"] is not None}
+    members = [r for r in rows if r["places"] is not None]
+    assert {r["token"]: r["times"] for r in members} == {n: 1 + (n in names[:3]) for n in names}
+    assert [r["token"] for r in rows if r["block"] is None] == ["abcdefghijklmnopqrstuvwxyz"]
+    for r in members:
+        assert sorted(listed[r["block"]][k] for k in r["places"]) == sorted(grams(r["token"]))
+    assert all(len(set(g)) == len(g) <= 60 for g in listed.values())
+    # a vector is asked for by blocks, not by each occurrence
+    [whole] = ngrams.cut_blocks(toks.coalesce(1), 3, 5, 1000).filter("ngrams is not null").collect()
+    assert sorted(whole["ngrams"]) == sorted({g for n in [*names, "abcdefghijklmnopqrstuvwxyz"] for g in grams(n)})
+
+
+@pytest.mark.parametrize("block_bytes", [64 << 20, 8 * 6 * 50])
+def test_ngram_means_are_those_of_all_occurrences(spark, monkeypatch, block_bytes):
+    """Equal bits, with repeated, null, empty, broken and very long tokens, n-grams that repeat or lack a vector, odd cells."""
+    monkeypatch.setattr(ngrams, "BLOCK_BYTES", block_bytes)
+    rng = np.random.default_rng(12)
+    names = ["".join(rng.choice(list("abcሰላ😀"), rng.integers(1, 12))) for _ in range(150)]
+    broken = spark.sql("select cast(X'61FF62' as string) as token")
+    toks = tokens(spark, *names, *names[:40], *names[:10], None, "", "ab" * 40, "zzzzz").unionByName(broken)
+    of_all = [g for g in dict.fromkeys(r["g"] for r in toks.select(F.explode(char_ngrams(F.col("token"))).alias("g")).collect()) if "z" not in g]
+    values = rng.normal(size=(len(of_all), 6)) * 10.0 ** rng.integers(-14, 9, size=(len(of_all), 6))
+    table = [(g, None if i % 11 == 3 else [None if i % 13 == 4 else float(x) for x in v]) for i, (g, v) in enumerate(zip(of_all, values, strict=True))]
+    table += [(g, [1.0, 1e-20, 3.0, float("inf") if i == 5 else 0.5, -1e8, 2.0**-70]) for i, g in enumerate(of_all[:30])] + [(None, [1.0] * 6)]
+    probe = toks.select("token", F.explode(char_ngrams(F.col("token"))).alias("ngram"))
+    for kind in ("double", "float"):
+        vectors = spark.createDataFrame(table, f"ngram string, vec array<{kind}>")
+        bits = lambda df: sorted((r["t"], r["n"], np.array(r["vec"]).tobytes()) for r in df.select(F.hex(F.col("token").cast("binary")).alias("t"), "n", "vec").collect())
+        got = bits(E.ngram_means(toks, vectors, 6))
+        assert got == bits(E.mean_vectors(probe.join(vectors.filter("vec is not null"), "ngram"), ["token"], 6)) and len(got) > 100
+    assert E.ngram_means(toks, vectors.limit(0), 6).count() == E.ngram_means(toks.limit(0), vectors, 6).count() == 0
+
+
+def test_ngram_rows_are_the_elements_of_char_ngrams(spark):
+    toks = tokens(spark, "a", "", None, "ሰላማዊ", "x😀yz", "aaaa", "aaaa")
+    for sizes in ((3, 5), (1, 2), (4, 4)):
+        want = toks.select(F.explode(char_ngrams(F.col("token"), *sizes)).alias("ngram"))
+        assert sorted(ngram_rows(toks, "token", *sizes).collect()) == sorted(want.collect())
