@@ -15,12 +15,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import ngram_rows
 from ..functions.vector_sums import carried, closed, joined_parts, of_width, parts_of
 from ..functions.vectors import as_lists
 from ..session import stable
 
 BLOCK_BYTES = 64 << 20
-_CHARS = 16  # bytes of text, for each vector that a block may hold, at which it is closed
+_RUN = 1 << 20     # bytes of text whose n-grams are numbered at a time, or more where a block takes more
+_CHARS = 16        # bytes of text, for each vector that a block may hold, at which it is closed
 
 
 def number_ngrams(words: list[str], n_min: int, n_max: int) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -40,19 +42,49 @@ def number_ngrams(words: list[str], n_min: int, n_max: int) -> tuple[np.ndarray,
     places, ngrams = np.empty(int(total.sum()), np.int32), []
     number = chars  # of the n-gram that begins at a character, if its word has one there
     for n in range(1, n_max + 1):
+        key = number
         if n > 1:
             at = at[at + n <= (begins + lengths)[word[at]]]
-            coded = pa.array((number[at] << 21) | chars[at + (n - 1)]).dictionary_encode().indices.to_numpy()
-            number = np.zeros(len(chars), np.int64)
-            number[at] = coded
+            key = (number[at] << 21) | chars[at + (n - 1)]
+        coded = pa.array(key).dictionary_encode()
+        place = coded.indices.to_numpy()
+        number = np.zeros(len(chars), np.int64)
+        number[at] = place
         if n >= n_min:
-            different, first, place = np.unique(number[at], return_index=True, return_inverse=True)
+            first = np.empty(len(coded.dictionary), np.int64)
+            first[place[::-1]] = at[::-1]
             places[slots[word[at]] + at - begins[word[at]]] = place + len(ngrams)
             slots = slots + counts[n]
-            ngrams += [text[i : i + n] for i in at[first].tolist()]
+            ngrams += [text[i : i + n] for i in first.tolist()]
     return total, places, ngrams
 
 
+def runs_of(texts: pa.Array, rows: int) -> Iterator[slice]:
+    """Runs of at most ``rows`` rows and about ``_RUN`` bytes of text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        by_size = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _RUN, side="right"))
+        end = max(at + 1, min(at + rows, by_size))
+        yield slice(at, end)
+        at = end
+
+
+def distinct_ngrams(tokens: DataFrame, token: str, n_min: int = 3, n_max: int = 5) -> DataFrame:
+    """(ngram): the different n-grams of all tokens; before the shuffle, those of each run of tokens."""
+    names = tokens.select(F.col(token).alias("token")).filter("token is not null")
+    fits = (F.length("token") <= _RUN // 16) & F.is_valid_utf8("token")
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column("token")
+            for run in runs_of(texts, len(texts)):
+                ngrams = number_ngrams([f"<{t}>" for t in texts[run].to_pylist()], n_min, n_max)[2]
+                yield pa.RecordBatch.from_arrays([pa.array(ngrams, pa.string())], names=["ngram"])
+
+    return names.filter(fits).mapInArrow(listed, "ngram string").union(ngram_rows(names.filter(~fits), "token", n_min, n_max)).distinct()
+
+
 def cut_blocks(tokens: DataFrame, n_min: int, n_max: int, most: int) -> DataFrame:
     """(block, token, times, places, ngrams): different tokens, and one row per block with its different n-grams.
 
@@ -72,7 +104,7 @@ def cut_blocks(tokens: DataFrame, n_min: int, n_max: int, most: int) -> DataFram
         return pa.RecordBatch.from_arrays([pa.array([block] * n, pa.int64()), tokens, times, places, ngrams], names=names)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made, goal = 0, most
+        made, goal = 0, max(1, most // 2)  # that many tokens mostly have fewer than ``most`` n-grams
 
         def blocks(part: int, tokens: pa.Array, times: pa.Array) -> Iterator[pa.RecordBatch]:
             """One block, or those of both halves where it would hold too much."""
@@ -94,8 +126,8 @@ def cut_blocks(tokens: DataFrame, n_min: int, n_max: int, most: int) -> DataFram
         held: list[tuple[pa.Array, pa.Array]] = []
         n_tokens = n_chars = part = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
+            for run in runs_of(whole.column("token"), 2048):
+                batch = whole.slice(run.start, run.stop - run.start)
                 part, fitting = batch.column("part")[0].as_py(), batch.column("fits")
                 rest, batch = batch.filter(pc.invert(fitting)), batch.filter(fitting)
                 if rest.num_rows:

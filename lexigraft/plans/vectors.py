@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
-from ..functions.text import char_ngrams, ngram_rows
+from ..functions.text import char_ngrams
 from ..operators import alignment, embeddings as E, similarity, vocab
 from ..operators.lexicon import parse_lexicon, segment
+from ..operators.ngrams import distinct_ngrams
 from ..session import scratch_path, stable
 from ..sources import records
 from . import inputs as I
@@ -55,7 +56,7 @@ def matrix(spark):
 
 
 def ngram_vectors(words, spark, sf):
-    return I.ngram_table(ngram_rows(words, "word"), spark, sf)
+    return I.ngram_table(distinct_ngrams(words, "word"), spark, sf)
 
 
 @query("A16_vector_table_scan", sql(f"select {fingerprint()}, count(distinct vec_id) as n, min(d)::bigint as first_dim, max(d)::bigint + 1 as width from vecd"))

@@ -373,8 +373,11 @@ def test_ngram_means_are_those_of_all_occurrences(spark, monkeypatch, block_byte
     assert E.ngram_means(toks, vectors.limit(0), 6).count() == E.ngram_means(toks.limit(0), vectors, 6).count() == 0
 
 
-def test_ngram_rows_are_the_elements_of_char_ngrams(spark):
+def test_ngram_rows_are_the_elements_of_char_ngrams(spark, monkeypatch):
     toks = tokens(spark, "a", "", None, "ሰላማዊ", "x😀yz", "aaaa", "aaaa")
     for sizes in ((3, 5), (1, 2), (4, 4)):
         want = toks.select(F.explode(char_ngrams(F.col("token"), *sizes)).alias("ngram"))
         assert sorted(ngram_rows(toks, "token", *sizes).collect()) == sorted(want.collect())
+        for run in (1 << 20, 48):
+            monkeypatch.setattr(ngrams, "_RUN", run)
+            assert sorted(ngrams.distinct_ngrams(toks, "token", *sizes).collect()) == sorted(want.distinct().collect())
