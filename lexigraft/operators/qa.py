@@ -87,11 +87,12 @@ def split_counts(items: DataFrame) -> DataFrame:
 def context_windows(
     examples: DataFrame, max_length: int = 384, stride: int = 128, keys: tuple[str, ...] = ("id",), long_questions: str = "raise"
 ) -> DataFrame:
-    """(keys, window, q_len, first, offsets): overlapping windows over the context tokens.
+    """(keys, window, q_len, first, n_tokens, offsets): overlapping windows over the context tokens.
 
     ``examples`` has question and context. Only the context is cut; consecutive windows
     share ``stride`` tokens. Windows are built inside the row. A question that leaves no room for a
     window fails the job, or with ``long_questions="skip"`` has no windows (``too_long`` finds it).
+    A null question has no windows; a context without tokens has one, which is empty.
     """
     if long_questions not in ("raise", "skip"):
         raise ValueError(f"long_questions is 'raise' or 'skip', not {long_questions!r}")
@@ -99,21 +100,24 @@ def context_windows(
         examples.withColumn("offsets", A.token_offsets(F.col("context")))
         .withColumn("q_len", F.size(A.tokens(F.col("question"))))
         .withColumn("__capacity", F.lit(max_length - SPECIALS) - F.col("q_len"))
+        .withColumn("__n", F.size("offsets"))
     )
+    none = F.array().cast("array<int>")
     step_ok = F.col("__capacity") > stride
     starts = A.window_starts(F.size("offsets"), F.col("__capacity"), stride)
     return (
         sized.withColumn(
             "__starts",
-            F.when(step_ok, starts).otherwise(
-                F.array().cast("array<int>")
+            F.when(F.col("question").isNull(), none).when(step_ok, starts).otherwise(
+                none
                 if long_questions == "skip"
                 else F.raise_error(F.lit("question too long: no room for a context window"))
             ),
         )
         .select("*", F.posexplode("__starts").alias("window", "first"))
         .withColumn("offsets", F.slice("offsets", F.col("first") + 1, F.col("__capacity")))
-        .drop("__starts", "__capacity")
+        .withColumn("n_tokens", F.least(F.col("__capacity"), F.col("__n") - F.col("first")))
+        .drop("__starts", "__capacity", "__n")
     )
 
 

@@ -152,7 +152,8 @@ def _(spark, sf):
 
 @query("Q5_context_windows", sql("select id, win as \"window\", ql::bigint as q_len, f::bigint as first, count(*) as n, min(s)::bigint as start_char, max(e)::bigint as end_char from wtok group by all"))
 def _(spark, sf):
-    w = I.windows(spark, sf)
+    # a window without tokens has no first and no last one
+    w = I.windows(spark, sf).filter("n_tokens > 0")
     return w.select(
         "id", F.col("window").cast("bigint").alias("window"), F.col("q_len").cast("bigint").alias("q_len"), F.col("first").cast("bigint").alias("first"),
         F.size("offsets").cast("bigint").alias("n"), F.get("offsets", F.lit(0))["start"].cast("bigint").alias("start_char"),
