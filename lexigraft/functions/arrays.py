@@ -66,11 +66,15 @@ def md5_buckets(words: Column, prefix: str = "") -> Column:
     return once(hashed)(words)
 
 
-def numbered_md5_buckets(prefix: Column, counts: Column) -> Column:
-    """``md5_bucket`` of ``prefix`` followed by 0, 1, ... for ``counts`` numbers; nulls without a prefix."""
+def numbered_md5_buckets(prefix: Column, counts: Column, *kept: Column | str) -> Column:
+    """``md5_bucket`` of ``prefix`` followed by 0, 1, ... for ``counts`` numbers; nulls without a prefix.
+
+    Rows wait for their buckets with all columns that are needed later. Large ones are named in ``kept``: they
+    go along unread, so that their bytes bound how many rows wait.
+    """
 
     @F.arrow_udf("array<bigint>")
-    def hashed(prefixes: pa.Array, counts: pa.Array) -> pa.Array:
+    def hashed(prefixes: pa.Array, counts: pa.Array, *_: pa.Array) -> pa.Array:
         sizes = np.maximum(pc.fill_null(counts, 0).to_numpy(zero_copy_only=False), 0).astype(np.int64)
         numbers = [str(i).encode() for i in range(int(sizes.max(initial=0)))]
         digests = []
@@ -83,4 +87,4 @@ def numbered_md5_buckets(prefix: Column, counts: Column) -> Column:
         missing = np.repeat(prefixes.is_null().to_numpy(zero_copy_only=False), sizes)
         return as_arrays(sizes, counts.is_valid(), pa.array(digest_heads(digests), mask=missing))
 
-    return once(hashed)(prefix, counts)
+    return once(hashed)(prefix, counts, *kept)

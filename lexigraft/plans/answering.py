@@ -193,7 +193,7 @@ def _(spark, sf):
 def _(spark, sf):
     best = A.n_best(F.col("s_scores"), 20)
     pos = F.array_join(F.transform(best, lambda b: b["pos"].cast("string")), " ")
-    return I.scored_windows(spark, sf).select("id", F.col("window").cast("bigint").alias("window"), pos.alias("positions"))
+    return I.scored_windows(spark, sf, offsets=False).select("id", F.col("window").cast("bigint").alias("window"), pos.alias("positions"))
 
 
 @query("J8_start_end_candidates", sql("select id, win as \"window\", sc as score, sp::bigint as start, ep::bigint as \"end\" from wbest"))

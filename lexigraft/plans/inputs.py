@@ -299,19 +299,20 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
     return qa.context_windows(questions(spark, sf), MAX_LENGTH, STRIDE)
 
 
-def scored_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Windows with feature_offsets and md5-made start and end scores per position."""
+def scored_windows(spark: SparkSession, sf: str, offsets: bool = True) -> DataFrame:
+    """Windows with md5-made start and end scores per position, and feature_offsets if asked for."""
     feats = qa.masked_offsets(windows(spark, sf))
+    kept = ["feature_offsets"] if offsets else []
 
     def buckets(name: str) -> Column:
         key = F.concat(F.lit(name), F.col("doc_id").cast("string"), F.lit("-"), F.col("window").cast("string"), F.lit("-"))
-        return numbered_md5_buckets(key, F.size("feature_offsets"))
+        return numbered_md5_buckets(key, F.col("q_len") + F.col("n_tokens") + qa.SPECIALS, *kept)
 
     def scores(name: str) -> Column:
         return F.transform(name, lambda b: (b % 1000) / F.lit(10.0))
 
-    drawn = feats.select("id", "doc_id", "window", "feature_offsets", buckets("s").alias("__s"), buckets("e").alias("__e"))
-    return drawn.select("id", "doc_id", "window", "feature_offsets", scores("__s").alias("s_scores"), scores("__e").alias("e_scores"))
+    drawn = feats.select("id", "doc_id", "window", *kept, buckets("s").alias("__s"), buckets("e").alias("__e"))
+    return drawn.select("id", "doc_id", "window", *kept, scores("__s").alias("s_scores"), scores("__e").alias("e_scores"))
 
 
 # ---------------------------------------------------------------- run records and step logs
