@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.tags import normalize_tag
-from ..functions.text import WS_CLASS, strip, tokens, unix_newlines
+from ..functions.text import WHITESPACE, WS_CLASS, strip, tokens, unix_newlines
 from ..operators.lexicon import parse_lexicon
+from ..session import stable
 
 BLOCK = ["file", "block"]
 
@@ -137,7 +138,33 @@ class _Place:
 
 
 _SUMMARY = "file string, block bigint, gaps bigint, first_gap bigint, last_gap bigint, tokens bigint, opened bigint, last_open bigint"
-_FRAGMENT = "file string, block bigint, n_open bigint, nth bigint, open_at bigint, rows array<struct<token:string,tag:string>>"
+_PART = {"n_open": "bigint", "nth": "bigint", "open_at": "bigint", "rows": "array<struct<token:string,tag:string>>"}
+_FRAGMENT = ", ".join(f"{name} {kind}" for name, kind in _PART.items())
+_PARTS = f"array<struct<{', '.join(f'{name}:{kind}' for name, kind in _PART.items())}>>"
+_FIELDS = pa.struct([("token", pa.string()), ("tag", pa.string())])
+
+
+def _parsed(lines: pa.Array, variant: str) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Which lines are blank, which have a token, and the tokens' ``struct<token,tag>``: ``conll_fields``, but no tag is repaired."""
+    blank = pc.equal(pc.utf8_trim(lines, characters=WHITESPACE), "").to_numpy(zero_copy_only=False)
+    tabbed = np.zeros(len(lines), np.bool_)
+    if variant == "evaluation":
+        tabbed = pc.match_substring(lines, "\t").to_numpy(zero_copy_only=False)
+    known, at = tabbed.copy(), np.nonzero(~tabbed & ~blank)[0]
+    spaced = []
+    for i, line in zip(at.tolist(), lines.take(pa.array(at)).to_pylist(), strict=True):
+        fields = line.split()
+        known[i] = len(fields) >= 2
+        if known[i]:
+            spaced.append((fields[0], fields[-1]))
+    fields = pc.split_pattern(lines.filter(pa.array(known & tabbed)), "\t")
+    ends = fields.offsets.to_numpy()
+    pair = [fields.values.take(pa.array(i)) for i in (ends[:-1], ends[1:] - 1)]
+    if spaced:
+        order = np.empty(int(known.sum()), np.int64)
+        order[np.argsort(~tabbed[known], kind="stable")] = np.arange(len(order))
+        pair = [pa.concat_arrays([a, pa.array(b, pa.string())]).take(pa.array(order)) for a, b in zip(pair, zip(*spaced, strict=True), strict=True)]
+    return blank, known, pa.StructArray.from_arrays(pair, fields=list(_FIELDS))
 
 
 def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
@@ -151,65 +178,104 @@ def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Rec
             yield tuple(some.column(c)[0].as_py() for c in BLOCK), some
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per file split; ``tokens`` and what follows from them are null in a split without a token."""
-    def row(key: tuple, p: _Place) -> pa.RecordBatch:
-        values = [*key, p.gaps, p.first_gap, p.last_gap, *((p.nth, p.opened) if p.nth else (None, None)), p.open_at or None]
-        types = [pa.string()] + [pa.int64()] * 7
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names=[c.split()[0] for c in _SUMMARY.split(", ")])
+def _parts(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[tuple[tuple, _Place, bool, pa.RecordBatch | None]]:
+    """(split, place, at a border, parts of sentences) as a split is read; only the border of a split cuts a sentence.
 
-    at, place = None, _Place()
+    At a border are what comes first in a split and what comes last, the latter once the split has been read,
+    when ``place`` is final. A split without a token has None there.
+    """
+    def cut(starts: np.ndarray, end: int, rows: pa.Array, *numbers: np.ndarray) -> pa.RecordBatch:
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, end), pa.int32()), rows)
+        n_open, nth, open_at = (x[starts] for x in numbers)
+        return pa.RecordBatch.from_arrays([pa.array(n_open), pa.array(nth), pa.array(open_at, mask=open_at == 0), lists], names=list(_PART))
+
+    def whole(some: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """One part of what batches have of it, numbered by the first."""
+        if len(some) == 1:
+            return some[0]
+        rows = pa.concat_arrays([x.column("rows").flatten() for x in some])
+        return pa.RecordBatch.from_arrays([*some[0].columns[:3], pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows)], names=list(_PART))
+
+    at, place, held = None, _Place(), []  # held: what there is of the sentence that is open
     for key, some in _by_split(batches):
         if key != at:
             if at is not None:
-                yield row(at, place)
-            at, place = key, _Place()
-        place.pass_by(*(some.column(c).to_numpy(zero_copy_only=False) for c in ("blank", "known")))
+                yield at, place, True, whole(held) if held else None
+            at, place, held = key, _Place(), []
+        blank, known, rows = _parsed(some.column("value"), variant)
+        nth, opened, open_at = place.pass_by(blank, known)
+        if not nth.size:
+            continue
+        starts = np.nonzero(np.append(True, opened[1:] != opened[:-1]))[0]
+        made = cut(starts, len(nth), rows, opened, nth, open_at)
+        if held and held[0].column("n_open")[0].as_py() == opened[0]:
+            held.append(made.slice(0, 1))
+            made = made.slice(1)
+        if made.num_rows:
+            if held:
+                done = whole(held)
+                yield at, place, done.column("open_at")[0].as_py() != done.column("nth")[0].as_py(), done
+            if made.num_rows > 1:
+                cut_first = open_at[starts[-made.num_rows]] != nth[starts[-made.num_rows]]
+                if cut_first:
+                    yield at, place, True, made.slice(0, 1)
+                yield at, place, False, made.slice(int(cut_first), made.num_rows - 1 - int(cut_first))
+            held = [made.slice(made.num_rows - 1)]
     if at is not None:
-        yield row(at, place)
+        yield at, place, True, whole(held) if held else None
 
 
-def _fragments(batches: Iterator[pa.RecordBatch], whole: bool | None = None) -> Iterator[pa.RecordBatch]:
-    """One row per sentence, or per part of one that a batch or a split may cut: the first and the last of each.
+def _summaries(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[pa.RecordBatch]:
+    """One row per file split, with the parts at its borders; ``tokens`` and what follows from them are null in a split without a token."""
+    types = [pa.string()] + [pa.int64()] * 7
+    names = [c.split()[0] for c in _SUMMARY.split(", ")]
+    borders, last = [], None
 
-    ``whole`` keeps only those that open and end within their batch, or only the others.
-    """
-    at, place = None, _Place()
-    for key, some in _by_split(batches):
-        if key != at:
-            at, place = key, _Place()
-        known = some.column("t").is_valid()
-        nth, opened, open_at = place.pass_by(*(c.to_numpy(zero_copy_only=False) for c in (some.column("blank"), known)))
-        if not nth.size:
-            continue
-        starts = np.nonzero(np.append(True, opened[1:] != opened[:-1]))[0]
-        uncut = open_at[starts] == nth[starts]
-        uncut[-1] = False
-        rows = some.filter(known)
-        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(nth)), pa.int32()), rows.column("t"))
-        first = pa.array(starts)
-        made = pa.RecordBatch.from_arrays(
-            [rows.column(c).take(first) for c in BLOCK] + [pa.array(opened[starts]), pa.array(nth[starts]), pa.array(open_at[starts], mask=open_at[starts] == 0), lists],
-            names=[*BLOCK, "n_open", "nth", "open_at", "rows"],
-        )
-        yield made if whole is None else made.filter(pa.array(uncut == whole))
+    def row(key: tuple, p: _Place) -> pa.RecordBatch:
+        values = [*key, p.gaps, p.first_gap, p.last_gap, *((p.nth, p.opened) if p.nth else (None, None)), p.open_at or None]
+        parts = pa.Table.from_batches(borders).combine_chunks().to_batches()[0].to_struct_array() if borders else None
+        listed = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts) if borders else pa.nulls(1, _parts_type())
+        return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(values, types, strict=True)), listed], names=[*names, "parts"])
+
+    for key, place, at_border, parts in _parts(batches, variant):
+        if last is not None and last[1] is not place:
+            yield row(*last)
+            borders = []
+        last = key, place
+        if at_border and parts is not None:
+            borders.append(parts)
+    if last is not None:
+        yield row(*last)
+
+
+def _parts_type() -> pa.DataType:
+    return pa.list_(pa.struct([("n_open", pa.int64()), ("nth", pa.int64()), ("open_at", pa.int64()), ("rows", pa.list_(_FIELDS))]))
 
 
-def _conll_fragments(spark: SparkSession, path: str, variant: str, whole: bool | None = None) -> DataFrame:
-    """(file, sent_id, pos, rows): parts of sentences by the position of their first token.
+def _inner_parts(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[pa.RecordBatch]:
+    """The sentences that open and end within a file split, a row each."""
+    for key, _, at_border, parts in _parts(batches, variant):
+        if not at_border and parts.num_rows:
+            place = [pa.array([v], t).take(pa.array(np.zeros(parts.num_rows, np.int64))) for v, t in zip(key, (pa.string(), pa.int64()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*place, *parts.columns], names=[*BLOCK, *parts.schema.names])
 
-    Every file split is numbered as it is read, without a shuffle; one summary row per split then
-    yields what the splits before it contribute. A sentence may span splits.
+
+def _conll_parts(spark: SparkSession, path: str, variant: str) -> tuple[DataFrame, DataFrame]:
+    """(file, sent_id, pos, rows), twice: sentences within a file split, and parts of those at its borders.
+
+    ``pos`` is the position of the first token. Every file split is numbered as it is read, without a shuffle; one
+    summary row per split, made by a first reading, holds the parts at the borders and yields what the splits before it
+    contribute. A sentence may span splits.
     """
-    lines = file_lines(spark, path).withColumn("t", conll_fields(F.col("value"), variant))
-    blank = (F.length(strip(F.col("value"))) == 0).alias("blank")
-    blocks = lines.select(*BLOCK, blank, F.col("t").isNotNull().alias("known")).mapInArrow(_summaries, _SUMMARY)
-    rows = lines.select(*BLOCK, blank, "t").mapInArrow(partial(_fragments, whole=whole), _FRAGMENT)
+    if variant not in ("evaluation", "preparation"):
+        raise ValueError(f"unknown CoNLL variant {variant!r}")
+    lines = file_lines(spark, path).select(*BLOCK, "value")
+    blocks = stable(lines.mapInArrow(partial(_summaries, variant=variant), f"{_SUMMARY}, parts {_PARTS}"))
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     carried = (
-        blocks.withColumn("gap0", F.coalesce(F.sum("gaps").over(before), F.lit(0)))
+        blocks.drop("parts").withColumn("gap0", F.coalesce(F.sum("gaps").over(before), F.lit(0)))
         .filter("tokens is not null")
         .withColumn("last_abs", F.col("gap0") + F.col("last_gap"))
         .withColumn("prev_abs", F.lag("last_abs").over(order))
@@ -233,32 +299,42 @@ def _conll_fragments(spark: SparkSession, path: str, variant: str, whole: bool |
         )
         .select(*BLOCK, "token0", "sent0", "carry_open")
     )
-    return rows.join(F.broadcast(carried), BLOCK).select(
-        "file",
-        (F.col("sent0") + F.col("n_open")).alias("sent_id"),
-        (
-            F.col("token0")
-            + F.col("nth")
-            - F.coalesce(F.col("token0") + F.col("open_at"), F.col("carry_open"))
-        ).alias("pos"),
-        "rows",
-    )
+    rows = F.col("rows")
+    if variant == "preparation":
+        rows = F.transform(rows, lambda t: F.struct(t["token"].alias("token"), normalize_tag(t["tag"]).alias("tag")))
+
+    def placed(parts: DataFrame) -> DataFrame:
+        return parts.join(F.broadcast(carried), BLOCK).select(
+            "file",
+            (F.col("sent0") + F.col("n_open")).alias("sent_id"),
+            (
+                F.col("token0")
+                + F.col("nth")
+                - F.coalesce(F.col("token0") + F.col("open_at"), F.col("carry_open"))
+            ).alias("pos"),
+            rows.alias("rows"),
+        )
+
+    inner = lines.mapInArrow(partial(_inner_parts, variant=variant), f"file string, block bigint, {_FRAGMENT}")
+    return placed(inner), placed(blocks.select(*BLOCK, F.inline("parts")))
 
 
 def read_conll(spark: SparkSession, path: str, variant: str = "evaluation") -> DataFrame:
     """(file, sent_id, pos, token, tag) of CoNLL files of any size."""
-    parts = _conll_fragments(spark, path, variant).select("file", "sent_id", F.col("pos").alias("__pos"), F.posexplode("rows").alias("__i", "t"))
+    inner, borders = _conll_parts(spark, path, variant)
+    parts = inner.unionByName(borders).select("file", "sent_id", F.col("pos").alias("__pos"), F.posexplode("rows").alias("__i", "t"))
     return parts.select("file", "sent_id", (F.col("__pos") + F.col("__i")).alias("pos"), "t.token", "t.tag")
 
 
 def read_conll_sentences(spark: SparkSession, path: str, variant: str = "evaluation") -> DataFrame:
     """(file, sent_id, sentence) of CoNLL files of any size: the rows of ``read_conll``, a sentence each.
 
-    Only parts of sentences at the borders of batches and splits are shuffled, for which the files are read once more.
+    Only parts of sentences at the borders of file splits are shuffled.
     """
+    inner, borders = _conll_parts(spark, path, variant)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "rows")))
-    joined = _conll_fragments(spark, path, variant, whole=False).groupBy("file", "sent_id").agg(F.flatten(F.transform(ordered, lambda p: p["rows"])).alias("sentence"))
-    return _conll_fragments(spark, path, variant, whole=True).select("file", "sent_id", F.col("rows").alias("sentence")).unionByName(joined)
+    joined = borders.groupBy("file", "sent_id").agg(F.flatten(F.transform(ordered, lambda p: p["rows"])).alias("sentence"))
+    return inner.select("file", "sent_id", F.col("rows").alias("sentence")).unionByName(joined)
 
 
 def conll_record(sentence: Column) -> Column:
