@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import md5_bucket
 from ..functions.text import tokens
+from ..session import scratch_path
 from .keys import lookup_join, seeded_rank
 
 IGNORED = -100
+CHUNK_TOKENS = 1 << 22        # tokens of the lines that are joined and coded together, about
 MAX_SHIPPED_BYTES = 64 << 20  # checked size up to which a vocabulary goes to every task
 
 
@@ -30,8 +35,8 @@ def encode(
     """(keys, ids): ids of the first ``max_length`` whitespace tokens of each line.
 
     A token listed twice has its smallest id. A vocabulary of up to ``shipped_bytes`` is sent to the
-    tasks and looked up in Arrow batches: lines stay where they are. A larger one is joined token by
-    token, with the same result.
+    tasks and looked up in Arrow batches: lines stay where they are. A larger one is joined with
+    the tokens, with the same result.
     """
     words = lines.select(*keys, F.slice(tokens(F.col(text)), 1, max_length).alias("words"))
     vocab = vocab.filter("token is not null and id is not null").groupBy("token").agg(F.min("id").alias("id"))
@@ -62,6 +67,16 @@ def encode(
 
 
 def _encode_by_join(words: DataFrame, vocab: DataFrame, unk_id: int, keys: list[str]) -> DataFrame:
+    """Rows of equal keys are one line, their tokens by position; they are joined token by token, all others by chunks."""
+    repeated = words.groupBy(*keys).agg(F.count("*").alias("__rows")).filter("__rows > 1").select(*[F.col(k).alias(f"__{k}") for k in keys])
+    if repeated.isEmpty():
+        return _encode_chunks(words, vocab, unk_id, keys)
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys])
+    once, more = (words.join(repeated, same, how) for how in ("left_anti", "left_semi"))
+    return _encode_chunks(once, vocab, unk_id, keys).unionByName(_encode_tokens(more, vocab, unk_id, keys))
+
+
+def _encode_tokens(words: DataFrame, vocab: DataFrame, unk_id: int, keys: list[str]) -> DataFrame:
     probe = words.select(*keys, F.posexplode_outer("words").alias("pos", "token"))
     coded = lookup_join(probe, vocab, "token", "id", "left")
     value = F.when(F.col("token").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(unk_id)).alias("id")))
@@ -70,6 +85,59 @@ def _encode_by_join(words: DataFrame, vocab: DataFrame, unk_id: int, keys: list[
     )
 
 
+def _encode_chunks(words: DataFrame, vocab: DataFrame, unk_id: int, keys: list[str]) -> DataFrame:
+    """Each different token of a chunk of lines is joined once; its id then meets the chunk's lines, which hold token numbers.
+
+    A chunk is what a task reads in a row, up to ``CHUNK_TOKENS`` tokens or one line. Chunks are written once, as both the
+    tokens and the lines are read from them.
+    """
+    spark = words.sparkSession
+
+    def chunk(held: list[pa.RecordBatch], number: int) -> pa.RecordBatch:
+        table = pa.Table.from_batches(held)
+        sizes = np.concatenate([pc.fill_null(pc.list_value_length(c), 0).to_numpy() for c in table["words"].chunks])
+        flat = pa.concat_arrays([c.flatten() for c in table["words"].chunks]).dictionary_encode()
+        codes = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), flat.indices)
+        first = np.arange(len(table)) == 0
+        tokens = pa.ListArray.from_arrays(pa.array(np.append(0, np.full(len(table), len(flat.dictionary))), pa.int32()), flat.dictionary, mask=pa.array(~first))
+        columns = [pa.array(np.full(len(table), number)), *(table[k].combine_chunks() for k in keys), codes, tokens]
+        return pa.RecordBatch.from_arrays(columns, names=["__chunk", *keys, "__codes", "__tokens"])
+
+    def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, number = [], 0, TaskContext.get().partitionId() << 32
+        for batch in batches:
+            some = len(batch.column(batch.schema.get_field_index("words")).flatten())
+            if held and n + some > CHUNK_TOKENS:
+                yield chunk(held, number)
+                held, n, number = [], 0, number + 1
+            if batch.num_rows:
+                held.append(batch)
+                n += some
+        if held:
+            yield chunk(held, number)
+
+    at = scratch_path(spark, "chunks")
+    number, codes, tokens = (F.lit(None).cast(kind) for kind in ("bigint", "array<int>", "array<string>"))
+    schema = words.select(number.alias("__chunk"), *keys, codes.alias("__codes"), tokens.alias("__tokens")).schema
+    words.select(*keys, "words").mapInArrow(chunks, schema).write.option("compression", "zstd").parquet(at)
+    written = spark.read.schema(schema).parquet(at)
+    asked = written.filter("__tokens is not null").select(F.col("__chunk").alias("__asked"), F.posexplode("__tokens").alias("__code", "token"))
+    known = lookup_join(asked, vocab, "token", "id").select("__asked", "__code", F.col("id").cast("bigint").alias("id"))
+    out = words.select(*keys, F.array().cast("array<bigint>").alias("ids")).schema
+
+    def look_up(lines: pa.Table, known: pa.Table) -> pa.Table:
+        codes = lines["__codes"].combine_chunks()
+        flat = codes.flatten().to_numpy()
+        ids = np.full(int(flat.max(initial=-1)) + 1, unk_id, np.int64)
+        ids[known["__code"].to_numpy()] = known["id"].to_numpy()
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(codes).to_numpy())])
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids[flat]))
+        return pa.Table.from_arrays([*(lines[k] for k in keys), lists], names=[*keys, "ids"])
+
+    lines = written.select("__chunk", *keys, "__codes")
+    return lines.groupBy("__chunk").cogroup(known.groupBy("__asked")).applyInArrow(look_up, out)
+
+
 def masked_copy(
     encoded: DataFrame,
     keys: list[str],
