@@ -76,7 +76,7 @@ def _(spark, sf):
 
     path = scratch_path(spark, "conll")
     src.write_conll(split_80_10_10(I.tagged(spark, sf), I.SEED, ["doc_id", "line_no"]), path, ["doc_id", "line_no"])
-    back = src.read_conll_sentences(spark, f"{path}/split=*")
+    back = src.read_conll_sentences(spark, f"{path}/split=*", plain=True)
     rows = F.transform("sentence", lambda t: F.concat(t["token"], F.lit("\t"), t["tag"]))
     sentences = back.select("file", F.md5(joined(rows, "\n")).alias("sentence"))
     split = F.regexp_extract("file", "split=([a-z]+)", 1).alias("split")

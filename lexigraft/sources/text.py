@@ -22,13 +22,13 @@ BLOCK = ["file", "block"]
 
 # ---------------------------------------------------------------- files of any size
 
-def file_lines(spark: SparkSession, path: str) -> DataFrame:
+def file_lines(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """(file, block, at, value): every line with a key that sorts it into file order.
 
     Files are read in splits; ``block`` is the split's byte offset and ``at`` increases
-    within it, so no file has to fit one task.
+    within it, so no file has to fit one task. A line ends with any line break, or with ``separator``.
     """
-    return spark.read.text(path).select(
+    return spark.read.text(path, lineSep=separator).select(
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"),
@@ -178,7 +178,17 @@ def _by_split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, pa.Rec
             yield tuple(some.column(c)[0].as_py() for c in BLOCK), some
 
 
-def _parts(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[tuple[tuple, _Place, bool, pa.RecordBatch | None]]:
+def _unpacked(records: pa.Array) -> pa.Array:
+    """The lines of records that were parted by empty lines; each is followed by such a line.
+
+    Where a split begins within a run of line breaks, a record may come twice, then one that starts with a line break.
+    """
+    if pc.any(pc.or_(pc.starts_with(records, "\n"), pc.equal(records, ""))).as_py():
+        raise ValueError("more than one empty line between two sentences: such files are not plain")
+    return pc.split_pattern(pc.binary_join_element_wise(records, "", "\n"), "\n").flatten()
+
+
+def _parts(batches: Iterator[pa.RecordBatch], variant: str, plain: bool) -> Iterator[tuple[tuple, _Place, bool, pa.RecordBatch | None]]:
     """(split, place, at a border, parts of sentences) as a split is read; only the border of a split cuts a sentence.
 
     At a border are what comes first in a split and what comes last, the latter once the split has been read,
@@ -202,7 +212,8 @@ def _parts(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[tuple[tu
             if at is not None:
                 yield at, place, True, whole(held) if held else None
             at, place, held = key, _Place(), []
-        blank, known, rows = _parsed(some.column("value"), variant)
+        lines = some.column("value")
+        blank, known, rows = _parsed(_unpacked(lines) if plain else lines, variant)
         nth, opened, open_at = place.pass_by(blank, known)
         if not nth.size:
             continue
@@ -225,7 +236,7 @@ def _parts(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[tuple[tu
         yield at, place, True, whole(held) if held else None
 
 
-def _summaries(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[pa.RecordBatch]:
+def _summaries(batches: Iterator[pa.RecordBatch], variant: str, plain: bool) -> Iterator[pa.RecordBatch]:
     """One row per file split, with the parts at its borders; ``tokens`` and what follows from them are null in a split without a token."""
     types = [pa.string()] + [pa.int64()] * 7
     names = [c.split()[0] for c in _SUMMARY.split(", ")]
@@ -237,7 +248,7 @@ def _summaries(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[pa.R
         listed = pa.ListArray.from_arrays(pa.array([0, len(parts)], pa.int32()), parts) if borders else pa.nulls(1, _parts_type())
         return pa.RecordBatch.from_arrays([*(pa.array([v], t) for v, t in zip(values, types, strict=True)), listed], names=[*names, "parts"])
 
-    for key, place, at_border, parts in _parts(batches, variant):
+    for key, place, at_border, parts in _parts(batches, variant, plain):
         if last is not None and last[1] is not place:
             yield row(*last)
             borders = []
@@ -252,15 +263,15 @@ def _parts_type() -> pa.DataType:
     return pa.list_(pa.struct([("n_open", pa.int64()), ("nth", pa.int64()), ("open_at", pa.int64()), ("rows", pa.list_(_FIELDS))]))
 
 
-def _inner_parts(batches: Iterator[pa.RecordBatch], variant: str) -> Iterator[pa.RecordBatch]:
+def _inner_parts(batches: Iterator[pa.RecordBatch], variant: str, plain: bool) -> Iterator[pa.RecordBatch]:
     """The sentences that open and end within a file split, a row each."""
-    for key, _, at_border, parts in _parts(batches, variant):
+    for key, _, at_border, parts in _parts(batches, variant, plain):
         if not at_border and parts.num_rows:
             place = [pa.array([v], t).take(pa.array(np.zeros(parts.num_rows, np.int64))) for v, t in zip(key, (pa.string(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*place, *parts.columns], names=[*BLOCK, *parts.schema.names])
 
 
-def _conll_parts(spark: SparkSession, path: str, variant: str) -> tuple[DataFrame, DataFrame]:
+def _conll_parts(spark: SparkSession, path: str, variant: str, plain: bool = False) -> tuple[DataFrame, DataFrame]:
     """(file, sent_id, pos, rows), twice: sentences within a file split, and parts of those at its borders.
 
     ``pos`` is the position of the first token. Every file split is numbered as it is read, without a shuffle; one
@@ -269,8 +280,8 @@ def _conll_parts(spark: SparkSession, path: str, variant: str) -> tuple[DataFram
     """
     if variant not in ("evaluation", "preparation"):
         raise ValueError(f"unknown CoNLL variant {variant!r}")
-    lines = file_lines(spark, path).select(*BLOCK, "value")
-    blocks = stable(lines.mapInArrow(partial(_summaries, variant=variant), f"{_SUMMARY}, parts {_PARTS}"))
+    lines = file_lines(spark, path, "\n\n" if plain else None).select(*BLOCK, "value")
+    blocks = stable(lines.mapInArrow(partial(_summaries, variant=variant, plain=plain), f"{_SUMMARY}, parts {_PARTS}"))
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -315,7 +326,7 @@ def _conll_parts(spark: SparkSession, path: str, variant: str) -> tuple[DataFram
             rows.alias("rows"),
         )
 
-    inner = lines.mapInArrow(partial(_inner_parts, variant=variant), f"file string, block bigint, {_FRAGMENT}")
+    inner = lines.mapInArrow(partial(_inner_parts, variant=variant, plain=plain), f"file string, block bigint, {_FRAGMENT}")
     return placed(inner), placed(blocks.select(*BLOCK, F.inline("parts")))
 
 
@@ -326,12 +337,14 @@ def read_conll(spark: SparkSession, path: str, variant: str = "evaluation") -> D
     return parts.select("file", "sent_id", (F.col("__pos") + F.col("__i")).alias("pos"), "t.token", "t.tag")
 
 
-def read_conll_sentences(spark: SparkSession, path: str, variant: str = "evaluation") -> DataFrame:
+def read_conll_sentences(spark: SparkSession, path: str, variant: str = "evaluation", plain: bool = False) -> DataFrame:
     """(file, sent_id, sentence) of CoNLL files of any size: the rows of ``read_conll``, a sentence each.
 
-    Only parts of sentences at the borders of file splits are shuffled.
+    Only parts of sentences at the borders of file splits are shuffled. ``plain`` is for files whose lines end with
+    a line feed and whose sentences are parted by one empty line, as ``write_conll`` parts those that have tokens: a row
+    is then what lies between two of these, not a line. More empty lines fail the job.
     """
-    inner, borders = _conll_parts(spark, path, variant)
+    inner, borders = _conll_parts(spark, path, variant, plain)
     ordered = F.array_sort(F.collect_list(F.struct("pos", "rows")))
     joined = borders.groupBy("file", "sent_id").agg(F.flatten(F.transform(ordered, lambda p: p["rows"])).alias("sentence"))
     return inner.select("file", "sent_id", F.col("rows").alias("sentence")).unionByName(joined)

@@ -49,3 +49,22 @@ def test_sentences_are_read_once_after_the_summaries(spark, tmp_path):
     (tmp_path / "f.conll").write_text("a\tO\n\nb\tO\n", encoding="utf-8")
     plan = src.read_conll_sentences(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [value") == 1
+
+
+def test_plain_files_over_the_borders_of_splits(spark, tmp_path):
+    odd = [x for x in LINES if x.strip()]
+    sentences = ["\n".join(odd[(i + k) % len(odd)] for k in range(1 + i % 4)) + (" \n \nz O" if i % 6 == 0 else "") for i in range(24)]
+    (tmp_path / "f.conll").write_text("\n\n".join(sentences) + "\n\n", encoding="utf-8")
+    cell = spark.createDataFrame([(1, "\n\n".join(sentences))], "k int, text string")
+    want = [r["sentence"] for r in src.parse_conll(cell, "text", ["k"]).orderBy("sent_id").collect()]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in (13, 64, 9999):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            got = src.read_conll_sentences(spark, str(tmp_path / "f.conll"), plain=True).orderBy("sent_id").collect()
+            assert [r["sentence"] for r in got] == want and [r["sent_id"] for r in got] == list(range(len(want))), size
+        (tmp_path / "f.conll").write_text("a\tO\n\n\nb\tO\n\n", encoding="utf-8")
+        with pytest.raises(Exception, match="more than one empty line"):
+            src.read_conll_sentences(spark, str(tmp_path / "f.conll"), plain=True).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
